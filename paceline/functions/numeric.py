@@ -1,64 +1,44 @@
-"""Ratios and rounding."""
+"""Ratios and rounding, over SQL expression text on columns."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _round_text(value: str, digits: int) -> str:
+    scale, part, mask, half = 10**digits, 1 << 30, (1 << 30) - 1, 1 << 29
+    count = f"floor(a) * {scale}L + shiftright(high, 30)"
+    left = f"high & {mask}L"
+    beyond = f"(mid & {mask}L) > 0 OR (low & {mask}L) > 0 OR ({count}) % 2 = 1"
+    up = f"CASE WHEN ({left}) > {half}L OR (({left}) = {half}L AND ({beyond})) THEN 1 ELSE 0 END"
+    # Adding zero turns a rounded -0.0 into 0.0.
+    text = f"CASE WHEN v < 0 THEN -1D ELSE 1D END * CAST({count} + {up} AS DOUBLE) / {scale}D + 0D"
+    text = _let("high", f"floor(x) * {scale}L + shiftright(mid, 30)", text)
+    text = _let("mid", f"floor(y) * {scale}L + shiftright(low, 30)", text)
+    text = _let("low", f"floor((y - floor(y)) * {part}D) * {scale}L", text)
+    text = _let("y", f"(x - floor(x)) * {part}D", text)
+    text = _let("x", f"(a - floor(a)) * {part}D", text)
+    text = _let("a", "abs(v)", text)
+    return _let("v", f"CAST({value} AS DOUBLE)", text)
 
 
-def round_exact(value: Column, digits: int = 4) -> Column:
+def round_exact(value: str, digits: int = 4) -> Column:
     """Round half to even on the exact binary value of a double.
 
     ``bround`` looks at the shortest decimal text of the double and so takes values
     such as 0.12345 for ties. Here the fraction is cut into three 30-bit parts, exactly, and
     multiplied part by part, so that what is left over can be compared with one half.
     """
-    scale, part = F.lit(10**digits), float(1 << 30)
-    mask, half = F.lit((1 << 30) - 1), F.lit(1 << 29)
-
-    def next_part(x: Column) -> Column:
-        return (x - F.floor(x)) * F.lit(part)
-
-    def finish(size: Column, high: Column, middle: Column, low: Column) -> Column:
-        left = high.bitwiseAND(mask)
-        count = F.floor(size) * scale + F.shiftright(high, 30)
-        beyond = (middle.bitwiseAND(mask) > 0) | (low.bitwiseAND(mask) > 0) | (count % 2 == 1)
-        up = (left > half) | ((left == half) & beyond)
-        return (count + F.when(up, 1).otherwise(0)).cast("double") / scale.cast("double")
-
-    def multiply(size: Column, first: Column, second: Column) -> Column:
-        return _let(
-            F.floor(next_part(second)) * scale,
-            lambda low: _let(
-                F.floor(second) * scale + F.shiftright(low, 30),
-                lambda middle: _let(
-                    F.floor(first) * scale + F.shiftright(middle, 30), lambda high: finish(size, high, middle, low)
-                ),
-            ),
-        )
-
-    def magnitude(size: Column) -> Column:
-        return _let(
-            next_part(size), lambda first: _let(next_part(first), lambda second: multiply(size, first, second))
-        )
-
-    def signed(v: Column) -> Column:
-        return _let(_let(F.abs(v), magnitude), lambda r: F.when((v < 0) & (r > 0), -r).otherwise(r))
-
-    return _let(value.cast("double"), signed)
-
-
-def ratio(part: Column, whole: Column) -> Column:
-    """part / whole as a double, 0.0 where whole is zero or missing."""
-    return F.when(whole > 0, part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.expr(_round_text(value, digits))
 
 
-def share(part: Column, whole: Column) -> Column:
-    return round_exact(ratio(part, whole), 4)
+def share(part: str, whole: str) -> Column:
+    """part / whole, rounded to four digits; 0.0 where whole is zero or missing."""
+    ratio = f"CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0D)"
+    return F.expr(f"coalesce({_round_text(ratio, 4)}, 0D)")

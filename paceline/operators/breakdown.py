@@ -39,7 +39,7 @@ def score_values(counts: DataFrame, keys: Sequence[str], max_values: int) -> Dat
     base = counts.filter((F.col("property") == ALL) & (F.col("start_users") > 0)).select(
         *keys,
         F.col("start_users").alias("base_users"),
-        share(F.col("end_users"), F.col("start_users")).alias("base_conversion"),
+        share("end_users", "start_users").alias("base_conversion"),
     )
     largest = Window.partitionBy(*keys, "property").orderBy(F.desc("start_users"), "value")
     ranked = (
@@ -52,8 +52,8 @@ def score_values(counts: DataFrame, keys: Sequence[str], max_values: int) -> Dat
     floor = F.greatest(F.lit(LEAST_USERS), F.ceil(F.lit(LEAST_FRACTION) * F.col("base_users")))
     scored = (
         joined.filter(F.col("start_users") >= floor)
-        .withColumn("conversion", share(F.col("end_users"), F.col("start_users")))
-        .withColumn("lift", round_exact(F.col("conversion") - F.col("base_conversion"), 4))
+        .withColumn("conversion", share("end_users", "start_users"))
+        .withColumn("lift", round_exact("conversion - base_conversion"))
     )
     return scored.select(
         *keys,
@@ -62,7 +62,7 @@ def score_values(counts: DataFrame, keys: Sequence[str], max_values: int) -> Dat
         "conversion",
         "lift",
         F.col("start_users").alias("affected_users"),
-        round_exact(F.col("start_users") * F.abs("lift"), 1).alias("impact"),
+        round_exact("start_users * abs(lift)", 1).alias("impact"),
         "base_users",
         "base_conversion",
     )

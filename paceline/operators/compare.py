@@ -22,7 +22,7 @@ def _compare(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.coalesce("b", "a_base").alias("b_pct"),
     )
     return (
-        joined.withColumn("delta", round_exact(F.col("a_pct") - F.col("b_pct"), 4))
+        joined.withColumn("delta", round_exact("a_pct - b_pct"))
         .filter(F.abs("delta") >= LEAST_DELTA)
         .orderBy(F.abs("delta").desc(), *keys)
     )

@@ -28,9 +28,8 @@ def _vocabulary(dictionary: DataFrame | Sequence[str], column: str) -> list[str]
     return names
 
 
-def _verdict(found: Column) -> list[Column]:
-    accepted = found["score"] >= LEAST_SCORE
-    return [F.when(accepted, found["match"]).alias("to_name"), round_exact(found["score"], 3).alias("score")]
+def _accepted() -> Column:
+    return F.when(F.col("found.score") >= LEAST_SCORE, F.col("found.match"))
 
 
 def name_conformance(feed: DataFrame, dictionary: DataFrame | Sequence[str], column: str = "event") -> DataFrame:
@@ -44,7 +43,7 @@ def name_conformance(feed: DataFrame, dictionary: DataFrame | Sequence[str], col
     unknown = names.filter(~F.col("from_name").isin(known)) if known else names
     find = best_match({"": known})
     scored = unknown.repartition("from_name").withColumn("found", find(F.lit(""), F.col("from_name")))
-    return scored.select("from_name", *_verdict(F.col("found")))
+    return scored.select("from_name", _accepted().alias("to_name"), round_exact("found.score", 3).alias("score"))
 
 
 def conformed_event_log(log: DataFrame, dictionary: DataFrame | Sequence[str]) -> DataFrame:
@@ -83,8 +82,8 @@ def property_conformance(feed: DataFrame, properties: Sequence[str], values: Dat
     find_prop = best_match({"": names})
     found_props = unknown_props.withColumn("found", find_prop(F.lit(""), F.col("property"))).select(
         "property",
-        F.when(F.col("found.score") >= LEAST_SCORE, F.col("found.match")).alias("prop_match"),
-        round_exact(F.col("found.score"), 3).alias("property_score"),
+        _accepted().alias("prop_match"),
+        round_exact("found.score", 3).alias("property_score"),
     )
     typed = pairs.join(found_props, "property", "left").withColumn(
         "to_property", F.when(F.col("property_score").isNull(), F.col("property")).otherwise(F.col("prop_match"))
@@ -102,8 +101,8 @@ def property_conformance(feed: DataFrame, properties: Sequence[str], values: Dat
         .select(
             "to_property",
             "value",
-            F.when(F.col("found.score") >= LEAST_SCORE, F.col("found.match")).alias("value_match"),
-            round_exact(F.col("found.score"), 3).alias("value_score"),
+            _accepted().alias("value_match"),
+            round_exact("found.score", 3).alias("value_score"),
         )
     )
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.args import as_int, funnel_steps, known_property
-from paceline.functions.numeric import ratio, round_exact
+from paceline.functions.numeric import round_exact
 from paceline.operators.breakdown import score_values, top_entries, value_counts
 from paceline.operators.funnel import funnel_reach, step_counts, step_rows, worst_loss
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
@@ -117,15 +117,18 @@ def cohort_funnels(
 
 def _level(
     base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[str]], small: bool, steps: list[str],
-    properties: Sequence[str], max_depth: int,
+    properties: Sequence[str], expand: bool,
 ) -> DataFrame:
     """The nodes of one level: funnel, worst step, and blockers where the cohort may be expanded."""
     n = len(steps)
     members = _members(base, frontier, subsets, small)
     nodes = _cohort_counts(members, frontier, n).withColumn("worst", worst_loss(n))
-    open_nodes = nodes.filter(
-        (F.col("at_1") > 0) & (F.col("depth") < max_depth) & (F.col("worst.lost") >= LEAST_COHORT)
-    ).select("signature", "filters", F.col("worst.step").alias("pair"))
+    item = "rank int, property string, value string, conversion double, lift double, affected_users bigint, impact double"
+    if not expand:
+        return nodes.withColumn("blockers", F.lit(None).cast(f"array<struct<{item}>>"))
+    open_nodes = nodes.filter((F.col("at_1") > 0) & (F.col("worst.lost") >= LEAST_COHORT)).select(
+        "signature", "filters", F.col("worst.step").alias("pair")
+    )
 
     pair_reach = F.get(F.array(*[F.col(f"pair_{k}") for k in range(1, n)]), F.col("pair") - 1)
     narrow = open_nodes.select("signature", "pair")
@@ -139,8 +142,8 @@ def _level(
         .filter(~F.map_contains_key("filters", F.col("property")))
     )
     blockers = top_entries(entries, ["signature"], BLOCKERS_PER_NODE).filter(F.col("kind") == "blocker")
-    item = F.struct("rank", "property", "value", "conversion", "lift", "affected_users", "impact")
-    listed = blockers.groupBy("signature").agg(F.sort_array(F.collect_list(item)).alias("blockers"))
+    row = F.struct("rank", "property", "value", "conversion", "lift", "affected_users", "impact")
+    listed = blockers.groupBy("signature").agg(F.sort_array(F.collect_list(row)).alias("blockers"))
     return nodes.join(listed, "signature", "left")
 
 
@@ -197,9 +200,10 @@ def drilldown_tree(
     small = True
     levels = []
     while subsets:
-        nodes = materialise(_level(base, frontier, subsets, small, names, properties, deepest), "cohort-level")
+        expand = len(levels) < deepest
+        nodes = materialise(_level(base, frontier, subsets, small, names, properties, expand), "cohort-level")
         levels.append(nodes)
-        if len(levels) > deepest:
+        if not expand:
             break
         frontier = _children(nodes)
         sizes = frontier.groupBy(F.map_keys("filters").alias("on")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -236,7 +240,7 @@ def drilldown_report(tree: DataFrame, steps: str | Sequence[str]) -> DataFrame:
         "depth",
         F.when(F.size("path") == 0, "all users").otherwise(F.array_join("path", ", ")).alias("cohort"),
         F.col("at_1").alias("users"),
-        round_exact(ratio(F.col(f"at_{len(names)}"), F.col("at_1")) * 100, 1).alias("conversion_pct"),
+        F.coalesce(round_exact(f"at_{len(names)} / nullif(at_1, 0) * 100", 1), F.lit(0.0)).alias("conversion_pct"),
         F.when(started, F.get(labels, step - 1)).alias("worst_from"),
         F.when(started, F.get(labels, step)).alias("worst_to"),
         F.when(started, F.col("worst.lost")).alias("lost_users"),

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
-from functools import reduce
-from operator import add
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.args import as_flag, as_int, funnel_steps, known_property, profile_condition, required_text
-from paceline.functions.numeric import ratio, share
+from paceline.functions.numeric import share
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
 from paceline.operators.lookback import within
 from paceline.sources.segments import SegmentStore
@@ -24,16 +22,12 @@ def _at(event: str) -> Column:
     return F.when(F.col("event") == event, F.col("ts"))
 
 
-def _passed(times: Sequence[str]) -> Column:
-    """How many of the chained step times are present."""
-    return reduce(add, [F.when(F.col(t).isNotNull(), 1).otherwise(0) for t in times])
+def _passed(n: int) -> Column:
+    """How many of the chained step times ``t1 .. tn`` are present."""
+    return F.expr(" + ".join(f"if(t{k} IS NULL, 0, 1)" for k in range(1, n + 1)))
 
 
-def _pair_column(k: int) -> str:
-    return f"pair_{k}"
-
-
-def _light_reach(rows: DataFrame, steps: list[str], window: Column, pairs: bool) -> DataFrame:
+def _light_reach(rows: DataFrame, steps: list[str], window_days: int, pairs: bool) -> DataFrame:
     """Users whose step events fit into one task: one shuffle, then array minima."""
     n = len(steps)
     per_user = rows.groupBy("user_id").agg(
@@ -42,29 +36,28 @@ def _light_reach(rows: DataFrame, steps: list[str], window: Column, pairs: bool)
     )
     if not pairs:
         per_user = per_user.filter(F.col("t1").isNotNull())
+    span = f"make_dt_interval({window_days})"
+    if pairs and n > 2:
+        per_user = per_user.withColumns({f"first{k}": F.array_min(f"all{k}") for k in range(2, n)})
     for k in range(2, n + 1):
-        before, first = F.col(f"t{k - 1}"), F.col("t1")
-        later = F.filter(F.col(f"all{k}"), lambda x: (x > before) & (x <= first + window))
-        per_user = per_user.withColumn(f"t{k}", F.array_min(later))
-    columns = [F.col("user_id"), _passed([f"t{k}" for k in range(1, n + 1)]).alias("reached")]
-    if pairs:
-        for k in range(2, n):
-            per_user = per_user.withColumn(f"first{k}", F.array_min(f"all{k}"))
-        for k in range(1, n):
-            first = F.col("t1" if k == 1 else f"first{k}")
-            follows = F.exists(F.col(f"all{k + 1}"), lambda x: (x > first) & (x <= first + window))
-            pair = F.when(first.isNull(), 0).when(follows, 2).otherwise(1)
-            columns.append(pair.alias(_pair_column(k)))
+        later = f"filter(all{k}, x -> x > t{k - 1} AND x <= t1 + {span})"
+        per_user = per_user.withColumn(f"t{k}", F.expr(f"array_min({later})"))
+    columns = [F.col("user_id"), _passed(n).alias("reached")]
+    for k in range(1, n if pairs else 1):
+        first = "t1" if k == 1 else f"first{k}"
+        follows = f"exists(all{k + 1}, x -> x > {first} AND x <= {first} + {span})"
+        columns.append(F.expr(f"CASE WHEN {first} IS NULL THEN 0 WHEN {follows} THEN 2 ELSE 1 END").alias(f"pair_{k}"))
     return per_user.select(*columns)
 
 
-def _heavy_reach(rows: DataFrame, steps: list[str], window: Column, pairs: bool) -> DataFrame:
+def _heavy_reach(rows: DataFrame, steps: list[str], window_days: int, pairs: bool) -> DataFrame:
     """The same by conditional minima, one pass per step.
 
     The state has one row per heavy user, which the skew policy bounds, and is broadcast, so
     the rows themselves are never shuffled; the minima combine map-side.
     """
     n = len(steps)
+    window = F.make_dt_interval(F.lit(window_days))
     state = rows.groupBy("user_id").agg(
         F.min(_at(steps[0])).alias("t1"),
         *[F.min(_at(steps[k - 1])).alias(f"first{k}") for k in range(2, n if pairs else 2)],
@@ -78,12 +71,12 @@ def _heavy_reach(rows: DataFrame, steps: list[str], window: Column, pairs: bool)
                 first = F.col("t1" if j == 1 else f"first{j}")
                 hit = (F.col("event") == steps[j]) & (F.col("ts") > first) & (F.col("ts") <= first + window)
                 pair = F.when(first.isNull(), 0).when(hit, 2).otherwise(1)
-                found.append(F.max(pair).alias(_pair_column(j)))
+                found.append(F.max(pair).alias(f"pair_{j}"))
         state = rows.join(F.broadcast(state), "user_id").groupBy("user_id", *known).agg(*found)
     if not pairs:
         state = state.filter(F.col("t1").isNotNull())
-    names = [_pair_column(k) for k in range(1, n)] if pairs else []
-    return state.select("user_id", _passed([f"t{k}" for k in range(1, n + 1)]).alias("reached"), *names)
+    names = [f"pair_{k}" for k in range(1, n)] if pairs else []
+    return state.select("user_id", _passed(n).alias("reached"), *names)
 
 
 def funnel_reach(
@@ -107,7 +100,7 @@ def funnel_reach(
     keeps users that never did step 1.
     """
     names = funnel_steps(steps)
-    window = F.make_dt_interval(F.lit(as_int(conversion_window_days, 14)))
+    window = as_int(conversion_window_days, 14)
     condition = profile_condition(filters, properties)
     cohort = (users if condition is None else users.filter(condition)).select("user_id")
     rows = within(log, as_int(timeframe_days, 90), as_of).filter(F.col("event").isin(sorted(set(names))))
@@ -138,14 +131,13 @@ def step_rows(counts: DataFrame, steps: Sequence[str], keys: Sequence[str] = ())
             )
         )
     rows = counts.select(*keys, F.col("at_1").alias("started"), F.inline(F.array(*items)))
-    lost = F.when((F.col("step") > 1) & (F.col("previous") > 0), share(F.col("previous") - F.col("users"), F.col("previous")))
     return rows.select(
         *keys,
         "step",
         "event",
         "users",
-        share(F.col("users"), F.col("started")).alias("conversion_from_start"),
-        F.coalesce(lost, F.lit(0.0)).alias("lost_from_previous"),
+        share("users", "started").alias("conversion_from_start"),
+        share("previous - users", "previous").alias("lost_from_previous"),
     )
 
 
@@ -181,18 +173,18 @@ def funnel_summary(reach: DataFrame, steps: str | Sequence[str]) -> DataFrame:
     n = len(names)
     counts = reach.agg(*step_counts(n)).withColumn("worst", worst_loss(n))
     labels = F.array(*[F.lit(s) for s in names])
-    users_at = F.array(*[F.col(f"at_{k}") for k in range(1, n + 1)])
+    before = ", ".join(f"at_{k}" for k in range(1, n + 1))
     started = F.col("at_1") > 0
     step = F.col("worst.step")
     return counts.select(
         F.col("at_1").alias("started_users"),
         F.col(f"at_{n}").alias("converted_users"),
-        share(F.col(f"at_{n}"), F.col("at_1")).alias("conversion"),
+        share(f"at_{n}", "at_1").alias("conversion"),
         F.when(started, step).alias("worst_step"),
         F.when(started, F.get(labels, step - 1)).alias("worst_from"),
         F.when(started, F.get(labels, step)).alias("worst_to"),
         F.when(started, F.col("worst.lost")).alias("lost_users"),
-        F.when(started, share(F.col("worst.lost"), F.get(users_at, step - 1))).alias("lost_pct"),
+        F.when(started, share("worst.lost", f"get(array({before}), worst.step - 1)")).alias("lost_pct"),
     )
 
 

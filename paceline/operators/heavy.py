@@ -7,11 +7,13 @@ worked on in time slices or with conditional minima instead, which combine map-s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paceline.session import materialise
+
 
 @dataclass(frozen=True)
 class SkewPolicy:
@@ -24,8 +26,15 @@ class SkewPolicy:
     min_rows: int = 1_000_000
     max_users: int = 100_000
     slice_unit: str = "minute"
+    known: DataFrame | None = None
+
+    def measured(self, log: DataFrame) -> SkewPolicy:
+        """This policy with the heavy users of a log, found once for several operators. Runs a job."""
+        return replace(self, known=materialise(self.heavy_users(log), "heavy-users"))
 
     def heavy_users(self, rows: DataFrame) -> DataFrame:
+        if self.known is not None:
+            return self.known
         counts = rows.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"))
         even_share = counts.select(F.sum("n_rows") / F.lit(self.max_users)).scalar()
         limit = F.greatest(F.lit(float(self.min_rows)), even_share)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paceline.functions.args import as_int, name_list, path_ends
@@ -85,13 +85,14 @@ def _best(matches: Column) -> Column:
 def align(found: Journeys, canonical: DataFrame) -> DataFrame:
     """``(path, matched, completed, users)``: how many users match which canonical path how far.
 
-    Each user goes to the path matched furthest. A heavy user's slices are turned, one by one, into
-    tables "matched before -> matched after", whose size depends on the paths alone, and
-    these are chained per user.
+    Each user goes to the path matched furthest; ``path`` is its events, null where there is no
+    canonical path. A heavy user's slices are turned, one by one, into tables "matched before ->
+    matched after", whose size depends on the paths alone, and these are chained per user.
     """
     listed = F.broadcast(_as_list(canonical))  # one row with at most five paths
     light = found.light.crossJoin(listed).select(
         "completed",
+        "canonical",
         _best(F.transform("canonical", lambda path: _advance(F.col("events"), path, F.lit(0)))).alias("best"),
     )
 
@@ -101,36 +102,28 @@ def align(found: Journeys, canonical: DataFrame) -> DataFrame:
         lambda path: F.transform(F.sequence(F.lit(0), F.size(path)), lambda m: _advance(F.col("names"), path, m)),
     )
     chained = F.transform(
-        F.sequence(F.lit(0), F.size(F.get("steps", F.lit(0))["moves"]) - 1),
-        lambda p: F.aggregate("steps", F.lit(0), lambda m, step: F.get(F.get(step["moves"], p), m)),
+        "canonical",
+        lambda _, p: F.aggregate("steps", F.lit(0), lambda m, step: F.get(F.get(step["moves"], p), m)),
     )
     heavy = (
         found.pieces.withColumn("names", names)
         .crossJoin(listed)
-        .filter(F.size("canonical") > 0)
         .select("user_id", "completed", F.struct("slice", moves.alias("moves")).alias("step"))
         .groupBy("user_id", "completed")
         .agg(F.sort_array(F.collect_list("step")).alias("steps"))
-        .select("completed", _best(chained).alias("best"))
+        .crossJoin(listed)
+        .select("completed", "canonical", _best(chained).alias("best"))
     )
     return (
         light.unionByName(heavy)
-        .groupBy(F.col("best.path").alias("path"), F.col("best.matched").alias("matched"), "completed")
+        .groupBy("completed", F.col("best.matched").alias("matched"), F.get("canonical", F.col("best.path")).alias("path"))
         .agg(F.count(F.lit(1)).alias("users"))
     )
 
 
-def _nodes(aligned: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Users per (step, event): every aligned user counts at each step it matched."""
-    listed = F.broadcast(_as_list(canonical))
-    matched_events = F.slice(F.get("canonical", F.col("path")), F.lit(1), F.col("matched"))
-    return (
-        aligned.filter(F.col("matched") > 0)
-        .crossJoin(listed)
-        .select("users", F.posexplode(matched_events).alias("step", "event"))
-        .groupBy("step", "event")
-        .agg(F.sum("users").alias("users"))
-    )
+def _whole() -> WindowSpec:
+    """All rows of an alignment: at most a few per step of the five paths."""
+    return Window.partitionBy(F.lit(0))
 
 
 def _find(log: DataFrame, start: str, end: str, segment: DataFrame | None, options: dict[str, Any]) -> Journeys:
@@ -138,6 +131,16 @@ def _find(log: DataFrame, start: str, end: str, segment: DataFrame | None, optio
     return journeys(scoped_rows(log, segment=segment, **options), start, end)
 
 
+def _aligned_steps(found: Journeys) -> DataFrame:
+    """Aligned users per step they matched, ``(step, event, users)``, with the users that started and
+    completed on every row."""
+    aligned = align(found, canonical_paths(found))
+    done = F.sum(F.when(F.col("completed"), F.col("users")).otherwise(0))
+    totals = {"started_users": F.sum("users").over(_whole()), "completed_users": done.over(_whole())}
+    matched_events = F.slice("path", F.lit(1), F.greatest(F.col("matched"), F.lit(0)))
+    return aligned.withColumns(totals).select("users", *totals, F.posexplode_outer(matched_events).alias("step", "event"))
+
+
 def journey_map(
     log: DataFrame, start_event: str, end_event: str, *, segment: DataFrame | None = None, **options: Any
 ) -> DataFrame:
@@ -145,15 +148,10 @@ def journey_map(
 
     Options: ``timeframe_days``, ``as_of``, ``skew``.
     """
-    found = _find(log, start_event, end_event, segment, options)
-    canonical = canonical_paths(found)
-    aligned = align(found, canonical)
-    started = aligned.agg(F.sum("users").alias("started"))
-    return (
-        _nodes(aligned, canonical)
-        .crossJoin(F.broadcast(started))
-        .select("step", "event", "users", share(F.col("users"), F.col("started")).alias("pct_of_start"))
-        .orderBy("step", F.desc("users"), "event")
+    steps = _aligned_steps(_find(log, start_event, end_event, segment, options)).filter(F.col("step").isNotNull())
+    nodes = steps.groupBy("step", "event").agg(F.sum("users").alias("users"), F.first("started_users").alias("started"))
+    return nodes.select("step", "event", "users", share("users", "started").alias("pct_of_start")).orderBy(
+        "step", F.desc("users"), "event"
     )
 
 
@@ -167,31 +165,32 @@ def journey_paths(
 def journey_summary(
     log: DataFrame, start_event: str, end_event: str, *, segment: DataFrame | None = None, **options: Any
 ) -> DataFrame:
-    """One row: users that started and completed, and the step after which most users are lost."""
-    found = _find(log, start_event, end_event, segment, options)
-    canonical = canonical_paths(found)
-    aligned = align(found, canonical)
-    totals = aligned.agg(
-        F.coalesce(F.sum("users"), F.lit(0)).alias("started_users"),
-        F.coalesce(F.sum(F.when(F.col("completed"), F.col("users"))), F.lit(0)).alias("completed_users"),
-    )
-    steps = _nodes(aligned, canonical).groupBy("step").agg(
-        F.sum("users").alias("users"), F.array_join(F.sort_array(F.collect_set("event")), "/").alias("events")
+    """One row: users that started and completed, and the step after which most users are lost.
+
+    No row if nobody started.
+    """
+    steps = (
+        _aligned_steps(_find(log, start_event, end_event, segment, options))
+        .groupBy("step")
+        .agg(
+            F.sum("users").alias("users"),
+            F.array_join(F.sort_array(F.collect_set("event")), "/").alias("events"),
+            F.first("started_users").alias("started_users"),
+            F.first("completed_users").alias("completed_users"),
+        )
     )
-    # As many rows as the longest canonical path has steps.
-    along = Window.orderBy("step")
-    worst = (
-        steps.withColumn("lost_users", F.col("users") - F.lead("users").over(along))
-        .filter(F.col("lost_users").isNotNull())
-        .orderBy(F.desc("lost_users"), "step")
+    lost = F.col("users") - F.lead("users").over(_whole().orderBy("step"))
+    lossy = F.col("lost_users").isNotNull()
+    return (
+        steps.withColumn("lost_users", lost)
+        .orderBy(F.desc_nulls_last("lost_users"), "step")
         .limit(1)
-        .select((F.col("step") + 1).alias("worst_step"), F.col("events").alias("worst_events"), "lost_users")
-    )
-    return totals.join(F.broadcast(worst), how="left", on=F.lit(True)).select(
-        "started_users",
-        "completed_users",
-        share(F.col("completed_users"), F.col("started_users")).alias("completion"),
-        "worst_step",
-        "worst_events",
-        "lost_users",
+        .select(
+            "started_users",
+            "completed_users",
+            share("completed_users", "started_users").alias("completion"),
+            F.when(lossy, F.col("step") + 1).alias("worst_step"),
+            F.when(lossy, F.col("events")).alias("worst_events"),
+            "lost_users",
+        )
     )

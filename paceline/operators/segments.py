@@ -93,11 +93,11 @@ def discover_events(
     )
     shares = _sized(counts, members, users).select(
         "event",
-        share(F.col("segment_users"), F.col("segment_size")).alias("segment_pct"),
-        share(F.col("population_users"), F.col("population_size")).alias("population_pct"),
+        share("segment_users", "segment_size").alias("segment_pct"),
+        share("population_users", "population_size").alias("population_pct"),
     )
-    lift = F.col("segment_pct") / F.greatest(F.col("population_pct"), F.lit(SHARE_FLOOR))
-    scored = shares.withColumn("lift", round_exact(lift, 4))
+    lift = f"segment_pct / greatest(population_pct, {SHARE_FLOOR}D)"
+    scored = shares.withColumn("lift", round_exact(lift))
     distance = F.abs(F.ln(F.when(F.col("lift") > 0, F.col("lift")).otherwise(F.lit(ZERO_LIFT))))
     return scored.orderBy(distance.desc(), "event").limit(as_int(top_n, 15))
 
@@ -128,12 +128,12 @@ def profile_segment(
     shares = _sized(counts, members, users).select(
         "property",
         "value",
-        share(F.col("segment_users"), F.col("segment_size")).alias("segment_pct"),
-        share(F.col("population_users"), F.col("population_size")).alias("population_pct"),
+        share("segment_users", "segment_size").alias("segment_pct"),
+        share("population_users", "population_size").alias("population_pct"),
     )
-    change = (F.col("segment_pct") - F.col("population_pct")) / F.greatest(F.col("population_pct"), F.lit(CHANGE_FLOOR))
+    change = f"(segment_pct - population_pct) / greatest(population_pct, {CHANGE_FLOOR}D)"
     return (
-        shares.withColumn("relative_change", round_exact(change, 4))
+        shares.withColumn("relative_change", round_exact(change))
         .filter(F.abs("relative_change") >= as_float(min_relative_change, 0.3))
         .filter(F.col("segment_pct") >= LEAST_SEGMENT_SHARE)
         .orderBy(F.abs("relative_change").desc(), "property", "value")

@@ -14,6 +14,7 @@ from paceline.operators.breakdown import breakdown_entries, top_entries
 from paceline.operators.compare import compare_discoveries, compare_profiles
 from paceline.operators.funnel import export_funnel_segments, funnel_reach, funnel_steps_table
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
+from paceline.operators.lookback import within
 from paceline.operators.metrics import insight
 from paceline.operators.paths import journey_map, product_paths
 from paceline.operators.segments import define_segment, discover_events, profile_segment
@@ -94,7 +95,7 @@ def upgrade_paths(
     journey_start: str,
     segment_name: str = "recent_upgraders",
     timeframe_days: Any = 90,
-    paths_days: Any = 90,
+    paths_days: int = 90,
     as_of: datetime | None = None,
     skew: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
@@ -111,7 +112,7 @@ def upgrade_paths(
     distinctive = materialise(
         discover_events(log, users, doers, top_n=12, timeframe_days=paths_days, as_of=as_of), "distinctive"
     )
-    shared = {"timeframe_days": paths_days, "as_of": as_of, "skew": skew}
+    shared = {"timeframe_days": paths_days, "as_of": as_of, "skew": skew.measured(within(log, paths_days, as_of))}
     paths = product_paths(log, path_start, goal, allowed_events=F.broadcast(distinctive), top_n=8, **shared)
     nodes = journey_map(log, journey_start, goal, **shared)
     return _stack([

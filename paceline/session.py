@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # No call-site lookup for every column built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -7,26 +7,36 @@ from pyspark.sql import functions as F
 
 from paceline.session import scratch_path
 from paceline.sources.segments import SegmentStore
-from paceline.sources.tables import read_event_log, user_profiles
+from paceline.sources.tables import event_log, user_profiles
 
 PROPERTIES = ["segment", "nation", "region", "balance_band"]
 
 
+# Declared, so that no job has to look into the files before the first query.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+    "orders": "o_custkey bigint, o_orderpriority string, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_event_log(spark, f"{sf_dir}/events.parquet", user_id="user_id", event="event_type", ts="ts")
+    return event_log(_table(spark, sf_dir, "events"), event="event_type")
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_event_log(
-        spark, f"{sf_dir}/orders.parquet", user_id="o_custkey", event="o_orderpriority", ts="o_orderdate"
-    )
+    return event_log(_table(spark, sf_dir, "orders"), user_id="o_custkey", event="o_orderpriority", ts="o_orderdate")
 
 
 def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their nation, region and a band of their balance."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    customer, nation, region = (_table(spark, sf_dir, name) for name in ("customer", "nation", "region"))
     band = F.when(F.col("c_acctbal") < 0, "negative").when(F.col("c_acctbal") < 5000, "mid").otherwise("high")
     joined = (
         customer.join(nation, customer.c_nationkey == nation.n_nationkey)
@@ -39,7 +49,7 @@ def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noisy_click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The click log as a careless client would send it: every name in one of seven spellings."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = _table(spark, sf_dir, "events")
     name = F.col("event_type")
     length = F.length(name)
     # Left alone, last letter lost, upper case, letter doubled, first letter lost, prefixed, reversed.

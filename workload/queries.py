@@ -436,7 +436,7 @@ def drilldown_tree_orders(spark, sf):
         "depth",
         F.col("at_1").alias("started_users"),
         F.col("at_3").alias("converted_users"),
-        share(F.col("at_3"), F.col("at_1")).alias("conversion"),
+        share("at_3", "at_1").alias("conversion"),
         F.col("worst.step").alias("worst_step"),
         F.col("worst.lost").alias("lost_users"),
         F.coalesce(
