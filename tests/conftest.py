@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime
+import uuid
+from datetime import datetime, timedelta
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -34,19 +37,44 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(scope="session")
-def make_log(spark):
+def make_table(spark, tmp_path_factory):
+    """Rows written as a parquet file and read back."""
+    folder = tmp_path_factory.mktemp("tables")
+
+    def build(columns: dict[str, pa.Array], schema: str):
+        path = str(folder / f"{uuid.uuid4().hex}.parquet")
+        pq.write_table(pa.table(columns), path)
+        return spark.read.schema(schema).parquet(path)
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def make_log(make_table):
     """A log from (user, event, time) rows; a number is days after 2024-01-01."""
 
     def build(rows):
-        base = datetime(2024, 1, 1).timestamp()
-        stamped = [
-            (u, e, t if isinstance(t, datetime) else datetime.fromtimestamp(base + t * 86400)) for u, e, t in rows
-        ]
-        return spark.createDataFrame(stamped, LOG)
+        users, events, times = zip(*rows, strict=True)
+        stamps = [t if isinstance(t, datetime) else datetime(2024, 1, 1) + timedelta(days=t) for t in times]
+        columns = {
+            "user_id": pa.array(users, pa.int64()),
+            "event": pa.array(events, pa.string()),
+            "ts": pa.array(stamps, pa.timestamp("us")),
+        }
+        return make_table(columns, LOG)
 
     return build
 
 
 @pytest.fixture(scope="session")
-def make_users(spark):
-    return lambda rows: spark.createDataFrame(rows, USERS)
+def make_users(make_table):
+    def build(rows):
+        ids, plans, countries = zip(*rows, strict=True)
+        columns = {
+            "user_id": pa.array(ids, pa.int64()),
+            "plan": pa.array(plans, pa.string()),
+            "country": pa.array(countries, pa.string()),
+        }
+        return make_table(columns, USERS)
+
+    return build
