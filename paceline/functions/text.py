@@ -34,4 +34,5 @@ def best_match(candidates: Mapping[str, Sequence[str]]) -> Callable[[Column, Col
             found.append((best, max(best_score, 0.0)))
         return pd.DataFrame(found, columns=["match", "score"])
 
-    return F.pandas_udf(find, "match string, score double")
+    # Called non-deterministic to keep the optimizer from filtering on it before names are made distinct.
+    return F.pandas_udf(find, "match string, score double").asNondeterministic()

@@ -19,39 +19,28 @@ MOST_ENTRIES = 5
 ALL = "*"  # pseudo property that carries the base of a cohort
 
 
-def value_counts(users: DataFrame, properties: Sequence[str], keys: Sequence[str], start: Column, end: Column) -> DataFrame:
-    """Start and end users per (keys, property, value), with the pseudo property for the base."""
+def value_counts(
+    users: DataFrame, properties: Sequence[str], keys: Sequence[str], kept: Sequence[str], counts: Sequence[Column]
+) -> DataFrame:
+    """Aggregates over the ``kept`` columns per (keys, property, value), with the pseudo property ALL."""
     base = F.array(F.struct(F.lit(ALL).alias("property"), F.lit(None).cast("string").alias("value")))
     cells = F.concat(base, property_rows(properties)) if properties else base
-    return (
-        users.select(*keys, start.alias("s"), end.alias("e"), F.inline(cells))
-        .groupBy(*keys, "property", "value")
-        .agg(F.sum("s").alias("start_users"), F.sum("e").alias("end_users"))
-    )
+    return users.select(*keys, *kept, F.inline(cells)).groupBy(*keys, "property", "value").agg(*counts)
 
 
-def score_values(counts: DataFrame, keys: Sequence[str], max_values: int) -> DataFrame:
+def score_values(values: DataFrame, keys: Sequence[str], max_values: int) -> DataFrame:
     """Conversion, lift and impact of the candidate values of each cohort in ``keys``.
 
-    Candidates are the ``max_values`` largest values of a property (a row-number limit, which Spark
-    also applies before the shuffle) that hold enough users.
+    ``values`` has ``start_users``, ``end_users`` and the cohort's ``base_users`` and
+    ``base_conversion``. Candidates are the ``max_values`` largest values of a property (a row-number
+    limit, which Spark also applies before the shuffle) that hold enough users.
     """
-    base = counts.filter((F.col("property") == ALL) & (F.col("start_users") > 0)).select(
-        *keys,
-        F.col("start_users").alias("base_users"),
-        share("end_users", "start_users").alias("base_conversion"),
-    )
     largest = Window.partitionBy(*keys, "property").orderBy(F.desc("start_users"), "value")
-    ranked = (
-        counts.filter((F.col("property") != ALL) & F.col("value").isNotNull() & (F.col("start_users") > 0))
-        .withColumn("rank", F.row_number().over(largest))
-        .filter(F.col("rank") <= max_values)
-    )
-    # One row per cohort; without keys that is one row in all.
-    joined = ranked.join(base, list(keys)) if keys else ranked.join(F.broadcast(base), how="cross")
     floor = F.greatest(F.lit(LEAST_USERS), F.ceil(F.lit(LEAST_FRACTION) * F.col("base_users")))
     scored = (
-        joined.filter(F.col("start_users") >= floor)
+        values.filter(F.col("value").isNotNull() & (F.col("start_users") > 0))
+        .withColumn("rank", F.row_number().over(largest))
+        .filter((F.col("rank") <= max_values) & (F.col("start_users") >= floor))
         .withColumn("conversion", share("end_users", "start_users"))
         .withColumn("lift", round_exact("conversion - base_conversion"))
     )
@@ -85,9 +74,13 @@ def breakdown_entries(
     n = len(funnel_steps(steps))
     open_properties = [p for p in properties if p not in (filters or {})]
     joined = reach.filter(F.col("reached") >= 1).join(users.select("user_id", *open_properties), "user_id")
-    done = F.when(F.col("reached") >= n, 1).otherwise(0)
-    counts = value_counts(joined, open_properties, [], F.lit(1), done)
-    return score_values(counts, [], as_int(max_values_per_property, 8))
+    totals = [F.count(F.lit(1)).alias("start_users"), F.count_if(F.col("reached") >= n).alias("end_users")]
+    counts = value_counts(joined, open_properties, [], ["reached"], totals)
+    base = counts.filter(F.col("property") == ALL).select(
+        F.col("start_users").alias("base_users"), share("end_users", "start_users").alias("base_conversion")
+    )
+    values = counts.filter(F.col("property") != ALL).crossJoin(F.broadcast(base))  # one row, or none
+    return score_values(values, [], as_int(max_values_per_property, 8))
 
 
 def top_entries(entries: DataFrame, keys: Sequence[str] = (), most: int = MOST_ENTRIES) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.args import as_int, funnel_steps, known_property
-from paceline.functions.numeric import round_exact
-from paceline.operators.breakdown import score_values, top_entries, value_counts
+from paceline.functions.numeric import round_exact, share
+from paceline.operators.breakdown import ALL, score_values, value_counts
 from paceline.operators.funnel import funnel_reach, step_counts, step_rows, worst_loss
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
 from paceline.session import materialise
@@ -91,11 +91,10 @@ def _members(base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[st
     return keyed.join(F.broadcast(wanted) if small else wanted, "signature")
 
 
-def _cohort_counts(members: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
-    """``at_1 .. at_n`` per cohort; cohorts without users have zeros."""
-    counts = members.groupBy("signature").agg(*step_counts(n, F.col("n")))
-    zeros = [F.coalesce(f"at_{k}", F.lit(0)).alias(f"at_{k}") for k in range(1, n + 1)]
-    return frontier.join(counts, "signature", "left").select(*frontier.columns, *zeros)
+def _with_zeros(frontier: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """``at_1 .. at_n`` of every cohort of the frontier; cohorts without users have zeros."""
+    zeros = {f"at_{k}": F.coalesce(f"at_{k}", F.lit(0)) for k in range(1, n + 1)}
+    return frontier.join(counts, "signature", "left").withColumns(zeros)
 
 
 def cohort_funnels(
@@ -112,39 +111,68 @@ def cohort_funnels(
     frontier = frontier.select(_signature(F.col("filters")).alias("signature")).distinct()
     subsets = sorted({tuple(sorted(f)) for (f,) in listed})
     members = _members(base, frontier, subsets, len(listed) <= MOST_BROADCAST_COHORTS)
-    return step_rows(_cohort_counts(members, frontier, len(names)), names, ["signature"])
+    counts = members.groupBy("signature").agg(*step_counts(len(names), F.col("n")))
+    return step_rows(_with_zeros(frontier, counts, len(names)), names, ["signature"])
+
+
+BLOCKERS = "array<struct<impact: double, property: string, value: string, lift: double, conversion: double, affected_users: bigint>>"
 
 
 def _level(
     base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[str]], small: bool, steps: list[str],
     properties: Sequence[str], expand: bool,
 ) -> DataFrame:
-    """The nodes of one level: funnel, worst step, and blockers where the cohort may be expanded."""
+    """The nodes of one level: funnel, worst step, and blockers where the cohort may be expanded.
+
+    One aggregation per (cohort, property, value) holds the funnels and the figures of all step
+    pairs; the worst pair is picked from it afterwards.
+    """
     n = len(steps)
     members = _members(base, frontier, subsets, small)
-    nodes = _cohort_counts(members, frontier, n).withColumn("worst", worst_loss(n))
-    item = "rank int, property string, value string, conversion double, lift double, affected_users bigint, impact double"
     if not expand:
-        return nodes.withColumn("blockers", F.lit(None).cast(f"array<struct<{item}>>"))
-    open_nodes = nodes.filter((F.col("at_1") > 0) & (F.col("worst.lost") >= LEAST_COHORT)).select(
-        "signature", "filters", F.col("worst.step").alias("pair")
+        counts = members.groupBy("signature").agg(*step_counts(n, F.col("n")))
+        nodes = _with_zeros(frontier, counts, n).withColumn("worst", worst_loss(n))
+        return nodes.withColumn("blockers", F.lit(None).cast(BLOCKERS))
+
+    pairs = [f"pair_{k}" for k in range(1, n)]
+    reached = [[F.sum(F.when(F.col(p) >= k, F.col("n")).otherwise(0)) for p in pairs] for k in (1, 2)]
+    figures = [F.array(*reached[0]).alias("starts"), F.array(*reached[1]).alias("ends")]
+    stats = value_counts(
+        members, properties, ["signature"], ["reached", "n", *pairs], [*step_counts(n, F.col("n")), *figures]
     )
+    whole = stats.filter(F.col("property") == ALL).drop("property", "value")
+    nodes = _with_zeros(frontier, whole, n).withColumn("worst", worst_loss(n))
 
-    pair_reach = F.get(F.array(*[F.col(f"pair_{k}") for k in range(1, n)]), F.col("pair") - 1)
-    narrow = open_nodes.select("signature", "pair")
-    inside = members.join(F.broadcast(narrow) if small else narrow, "signature")
-    start = F.when(pair_reach >= 1, F.col("n")).otherwise(0)
-    end = F.when(pair_reach >= 2, F.col("n")).otherwise(0)
-    counts = value_counts(inside, properties, ["signature"], start, end)
-    entries = (
-        score_values(counts, ["signature"], BREAKDOWN_VALUES)
-        .join(open_nodes.select("signature", "filters"), "signature")
+    open_nodes = (
+        nodes.filter((F.col("at_1") > 0) & (F.col("worst.lost") >= LEAST_COHORT))
+        .select("signature", "filters", F.col("worst.step").alias("pair"), "starts", "ends")
+        .select(
+            "signature",
+            "filters",
+            "pair",
+            F.expr("get(starts, pair - 1)").alias("base_users"),
+            share("get(ends, pair - 1)", "get(starts, pair - 1)").alias("base_conversion"),
+        )
+    )
+    values = (
+        stats.filter(F.col("property") != ALL)
+        .join(F.broadcast(open_nodes) if small else open_nodes, "signature")
         .filter(~F.map_contains_key("filters", F.col("property")))
+        .withColumns({"start_users": F.expr("get(starts, pair - 1)"), "end_users": F.expr("get(ends, pair - 1)")})
+    )
+    # At most 8 values of each property are left per cohort.
+    worse = score_values(values, ["signature"], BREAKDOWN_VALUES).filter(F.col("lift") < 0)
+    row = F.struct((-F.col("impact")).alias("order"), "property", "value", "lift", "conversion", "affected_users")
+    strongest = F.slice(F.sort_array(F.collect_list(row)), 1, BLOCKERS_PER_NODE)
+    blocker = F.transform(
+        strongest,
+        lambda b: F.struct(
+            (-b["order"]).alias("impact"),
+            *[b[c].alias(c) for c in ("property", "value", "lift", "conversion", "affected_users")],
+        ),
     )
-    blockers = top_entries(entries, ["signature"], BLOCKERS_PER_NODE).filter(F.col("kind") == "blocker")
-    row = F.struct("rank", "property", "value", "conversion", "lift", "affected_users", "impact")
-    listed = blockers.groupBy("signature").agg(F.sort_array(F.collect_list(row)).alias("blockers"))
-    return nodes.join(listed, "signature", "left")
+    listed = worse.groupBy("signature").agg(blocker.alias("blockers"))
+    return nodes.drop("starts", "ends").join(listed, "signature", "left")
 
 
 def _children(nodes: DataFrame) -> DataFrame:
@@ -188,8 +216,8 @@ def drilldown_tree(
     worst (lost, step), blockers``.
 
     Runs one level after the other. The base and each level's nodes are written to the shared
-    folder; the driver only learns which sets of properties the next cohorts filter on. Options:
-    ``timeframe_days``, ``conversion_window_days``, ``as_of``, ``skew``.
+    folder; the driver learns the next cohorts' definitions if they are few, else only which sets of
+    properties they filter on. Options: ``timeframe_days``, ``conversion_window_days``, ``as_of``, ``skew``.
     """
     names = funnel_steps(steps)
     deepest = as_int(max_depth, 3)
@@ -206,9 +234,13 @@ def drilldown_tree(
         if not expand:
             break
         frontier = _children(nodes)
-        sizes = frontier.groupBy(F.map_keys("filters").alias("on")).agg(F.count(F.lit(1)).alias("n")).collect()
-        subsets = [list(row["on"]) for row in sizes]
-        small = sum(row["n"] for row in sizes) <= MOST_BROADCAST_COHORTS
+        few = frontier.limit(MOST_BROADCAST_COHORTS + 1).collect()
+        small = len(few) <= MOST_BROADCAST_COHORTS
+        if small:  # the definitions of a few cohorts, kept as literals instead of being derived again
+            subsets = [list(on) for on in sorted({tuple(sorted(row["filters"])) for row in few})]
+            frontier = spark.createDataFrame(few, FRONTIER)
+        else:
+            subsets = [list(row["on"]) for row in frontier.select(F.map_keys("filters").alias("on")).distinct().collect()]
     tree = levels[0]
     for level in levels[1:]:
         tree = tree.unionByName(level)

@@ -154,12 +154,14 @@ def _light_journeys(rows: DataFrame, start: str, end: str) -> DataFrame:
     tail, head = F.col("tail"), F.col("head")
     done = F.array_position(tail, F.lit(end))
     back = F.col("back")
+    has_start = F.bool_or(F.col("event") == start)
     return (
-        _light_items(rows)
+        rows.groupBy("user_id")
+        .agg(_sorted_items("ts", "event").alias("items"), has_start.alias("has_start"))
+        .filter("has_start")
         .withColumn("items", _without_repeats("items"))
         .select("user_id", _names(F.col("items")).alias("names"))
         .withColumn("first", F.array_position(names, F.lit(start)).cast("int"))
-        .filter(F.col("first") > 0)
         .withColumn("tail", F.slice(names, F.greatest(F.col("first"), F.lit(1)), F.size(names)))
         .withColumn("done", done.cast("int"))
         .withColumn("head", F.slice(tail, F.lit(1), F.col("done")))
