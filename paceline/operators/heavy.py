@@ -23,8 +23,8 @@ class SkewPolicy:
     looks like, so anything with one row per heavy user may be broadcast.
     """
 
-    min_rows: int = 1_000_000
-    max_users: int = 100_000
+    min_rows: int = 100_000
+    max_users: int = 1_000_000
     slice_unit: str = "minute"
     known: DataFrame | None = None
 

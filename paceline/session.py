@@ -1,4 +1,4 @@
-"""Session settings and the shared folder for materialised tables."""
+"""Session settings and tables written to the cluster's shared folder."""
 
 from __future__ import annotations
 
@@ -27,19 +27,16 @@ def build_session(app_name: str = "paceline", master: str | None = None, **extra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and written tables, as the cluster names it.
+    """The folder for written tables, as the cluster names it.
 
     Only a local session without ``spark.checkpoint.dir`` gets a folder of its own;
     on a cluster a machine-local folder would be lost with its machine.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="paceline-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
