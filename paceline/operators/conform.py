@@ -28,6 +28,11 @@ def _vocabulary(dictionary: DataFrame | Sequence[str], column: str) -> list[str]
     return names
 
 
+def _unknown(names: DataFrame, column: str, known: Sequence[str]) -> DataFrame:
+    listed = names.sparkSession.createDataFrame([(n,) for n in known], f"{column} string")
+    return names.join(F.broadcast(listed), column, "left_anti")  # the length of the list is checked
+
+
 def _accepted() -> Column:
     return F.when(F.col("found.score") >= LEAST_SCORE, F.col("found.match"))
 
@@ -40,7 +45,7 @@ def name_conformance(feed: DataFrame, dictionary: DataFrame | Sequence[str], col
     """
     known = _vocabulary(dictionary, column)
     names = feed.select(F.col(column).alias("from_name")).filter(F.col("from_name").isNotNull()).distinct()
-    unknown = names.filter(~F.col("from_name").isin(known)) if known else names
+    unknown = _unknown(names, "from_name", known)
     find = best_match({"": known})
     scored = unknown.repartition("from_name").withColumn("found", find(F.lit(""), F.col("from_name")))
     return scored.select("from_name", _accepted().alias("to_name"), round_exact("found.score", 3).alias("score"))
@@ -78,7 +83,7 @@ def property_conformance(feed: DataFrame, properties: Sequence[str], values: Dat
 
     pairs = feed.select("property", "value").filter(F.col("property").isNotNull() & F.col("value").isNotNull()).distinct()
     props = pairs.select("property").distinct()
-    unknown_props = props.filter(~F.col("property").isin(names)) if names else props
+    unknown_props = _unknown(props, "property", names)
     find_prop = best_match({"": names})
     found_props = unknown_props.withColumn("found", find_prop(F.lit(""), F.col("property"))).select(
         "property",

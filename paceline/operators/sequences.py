@@ -21,6 +21,7 @@ from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
 from paceline.operators.lookback import within
 
 ARROW = " -> "
+MOST_BROADCAST_NAMES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,15 @@ def scoped_rows(
 ) -> Rows:
     """Events of the look-back, of the allowed events and of a segment's users.
 
-    ``allowed_events`` is a list or a frame with an ``event`` column (a semi-join); an empty
-    list restricts nothing.
+    ``allowed_events`` is a list or a frame with an ``event`` column, which is counted and, unless
+    very long, broadcast for a semi-join; an empty list restricts nothing.
     """
     rows = within(log, as_int(timeframe_days, 90), as_of)
     if isinstance(allowed_events, DataFrame):
-        rows = rows.join(allowed_events.select("event"), "event", "left_semi").select("user_id", "event", "ts")
+        names = allowed_events.select("event").distinct()
+        if names.limit(MOST_BROADCAST_NAMES + 1).count() <= MOST_BROADCAST_NAMES:
+            names = F.broadcast(names)
+        rows = rows.join(names, "event", "left_semi").select("user_id", "event", "ts")
     elif name_list(allowed_events):
         rows = rows.filter(F.col("event").isin(name_list(allowed_events)))
     members = None if segment is None else segment.select("user_id").distinct()

@@ -113,7 +113,7 @@ def upgrade_paths(
         discover_events(log, users, doers, top_n=12, timeframe_days=paths_days, as_of=as_of), "distinctive"
     )
     shared = {"timeframe_days": paths_days, "as_of": as_of, "skew": skew.measured(within(log, paths_days, as_of))}
-    paths = product_paths(log, path_start, goal, allowed_events=F.broadcast(distinctive), top_n=8, **shared)
+    paths = product_paths(log, path_start, goal, allowed_events=distinctive, top_n=8, **shared)
     nodes = journey_map(log, journey_start, goal, **shared)
     return _stack([
         _lines(distinctive, "event", F.col("event"), "segment_pct", "population_pct", "lift"),
