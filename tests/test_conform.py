@@ -80,3 +80,10 @@ def test_property_pairs(spark):
         ("device", "toaster", "device", None, None, 0.308),
         ("shoe", "mobile", None, "mobile", 0.364, None),
     }
+
+
+def test_only_distinct_names_are_scored(spark):
+    corrected = name_conformance(feed(spark, ["purchas"] * 3), EVENTS).filter("to_name IS NOT NULL")
+    plan = corrected._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert plan.index("ArrowEvalPython") < plan.index("HashAggregate")  # printed from the top

@@ -147,3 +147,18 @@ def test_breakdown_equals_plain_restatement(spark, make_log, make_users):
     assert top["blocker", 1] == max(e[3] for e in found.values() if e[1] < 0)
     skipped = breakdown_entries(reach, profiles, ["a", "b"], PROPERTIES, filters={"plan": "free"})
     assert {e.property for e in skipped.collect()} == {"country"}
+
+
+def test_number_of_heavy_users_is_bounded(make_log):
+    rows = [(u, "a", DAY + timedelta(minutes=i)) for u in range(30) for i in range(1 + 40 // (u + 1))]
+    log = make_log(rows)
+    for most in (2, 5, 20):
+        heavy = {r.user_id for r in SkewPolicy(0, most).heavy_users(log).collect()}
+        assert len(heavy) < most
+        share = len(rows) / most
+        assert heavy == {u for u in range(30) if 1 + 40 // (u + 1) > share}
+    assert SkewPolicy(40, 1000).heavy_users(log).count() == 1
+    light, heavy = SkewPolicy(5, 1000).split(log)
+    assert light.count() + heavy.count() == len(rows)
+    measured = SkewPolicy(5, 1000).measured(log)
+    assert measured.split(log)[1].count() == heavy.count() > 0
