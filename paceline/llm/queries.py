@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paceline.llm.common import table
+from paceline.llm.gru_language import identify_languages
 from paceline.llm.repair import document_index, encode_shards
 from paceline.session import scratch_path
 
@@ -20,5 +21,9 @@ def op1_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_index(spark, path)
 
 
+def op2_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards,)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language)}
