@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paceline.llm.common import table
 from paceline.llm.gru_language import identify_languages
 from paceline.llm.repair import document_index, encode_shards
+from paceline.llm.templates import leaks
 from paceline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,5 +26,9 @@ def op2_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks)}
