@@ -2,6 +2,54 @@
 
 from __future__ import annotations
 
+OP4 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS i
+  FROM (SELECT k, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts)),
+triples AS (
+  SELECT k, i, word, lead(word, 1) OVER p AS b, lead(word, 2) OVER p AS c FROM words WINDOW p AS (PARTITION BY k ORDER BY i)),
+twice AS (
+  SELECT k, unnest(range(i, i + 3)) AS i
+  FROM (SELECT k, i, count(*) OVER (PARTITION BY k, word, b, c) AS n FROM triples WHERE c IS NOT NULL) WHERE n > 1),
+repeated AS (SELECT k, count(DISTINCT i) AS n FROM twice GROUP BY k),
+per_word AS (SELECT k, count(*) AS n, sum(length(word)) AS chars FROM words GROUP BY k),
+lines AS (
+  SELECT k, line FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+per_line AS (SELECT k, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM lines GROUP BY k),
+measured AS (
+  SELECT t.k, doc_id, lang, source, coalesce(w.n, 0) AS n_words, coalesce(w.chars, 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+    coalesce(w.n, 0) < 50 OR 100 * coalesce(r.n, 0) > 50 * coalesce(w.n, 0) AS base_failed
+  FROM texts t LEFT JOIN per_word w USING (k) LEFT JOIN per_line l USING (k) LEFT JOIN repeated r USING (k)),
+valued AS (
+  SELECT k, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS rule,
+    unnest([100 * word_chars // n_words, 1000 * n_symbols // n_words, 1000 * n_dup_lines // n_lines,
+            1000 * n_repeat_words // n_words]) AS v
+  FROM measured WHERE NOT base_failed),
+cells AS (
+  SELECT rule, lang, source, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS v FROM valued),
+by_group AS (SELECT rule, lang, source, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM cells GROUP BY ALL),
+by_lang AS (SELECT rule, lang, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM cells GROUP BY ALL),
+corpus AS (SELECT rule, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM cells GROUP BY ALL),
+settled AS (
+  SELECT g.rule, g.lang, g.source,
+    CASE WHEN g.n >= 100 THEN g.q1 WHEN l.n >= 100 THEN l.q1 ELSE c.q1 END AS q1,
+    CASE WHEN g.n >= 100 THEN g.q3 WHEN l.n >= 100 THEN l.q3 ELSE c.q3 END AS q3
+  FROM by_group g JOIN by_lang l ON g.rule = l.rule AND g.lang IS NOT DISTINCT FROM l.lang JOIN corpus c ON g.rule = c.rule),
+bad AS (
+  SELECT DISTINCT v.k
+  FROM valued v JOIN settled s ON v.rule = s.rule AND v.lang IS NOT DISTINCT FROM s.lang AND v.source IS NOT DISTINCT FROM s.source
+  WHERE v > q3 + 3 * (q3 - q1) + CASE v.rule WHEN 'word_length' THEN 50 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 100 ELSE 50 END
+    OR v.rule = 'word_length' AND v < q1 - 3 * (q3 - q1) - 50)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND k NOT IN (SELECT k FROM bad) AS kept
+FROM measured
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_adaptive_rules": OP4}
