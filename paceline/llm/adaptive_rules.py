@@ -28,8 +28,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RULES = {
     "word_length": ("100 * word_chars div n_words", 50, True),
     "symbols": ("1000 * n_symbols div n_words", 20, False),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 100, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 50, False),
+    "dup_lines": ("1000 * n_dup_lines div n_lines", 300, False),
+    "repeats": ("1000 * n_repeat_words div n_words", 300, False),
 }
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
