@@ -11,6 +11,7 @@ from paceline.llm.common import table
 from paceline.llm.gru_language import identify_languages
 from paceline.llm.repair import document_index, encode_shards
 from paceline.llm.templates import leaks
+from paceline.llm.unit_dedup import repeated_units
 from paceline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,5 +37,9 @@ def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup)}
