@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paceline.llm.adaptive_rules import apply_rules
+from paceline.llm.blob_ledger import BASE, count_of, scan_versions, spans_text
 from paceline.llm.common import table
 from paceline.llm.gru_language import identify_languages
 from paceline.llm.repair import document_index, encode_shards
@@ -41,5 +43,13 @@ def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_versions(table(spark, sf_dir, "documents"), scratch_path(spark, "ledger"), ["doc_id"])
+    counts = [count_of("findings", kind).alias(f"n_{kind}") for kind in BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(spans_text("findings", BASE), 256).alias("base_sha256"), spans_text("findings").alias("spans")
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger)}
