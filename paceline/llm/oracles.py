@@ -51,5 +51,29 @@ FROM measured
 """
 
 
+OP7 = r"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line_no, regexp_extract_all(lower(line), '[\p{L}\p{N}]+') AS words
+  FROM (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+places AS (SELECT words, {'doc_id': doc_id, 'line_no': line_no} AS place FROM lines WHERE len(words) > 0),
+reduced AS (SELECT row_number() OVER () AS id, words, min(place) AS first FROM places GROUP BY words),
+gaps AS (
+  SELECT id, words, first, g, list_concat(words[1:g - 1], words[g + 1:]) AS rest
+  FROM (SELECT *, unnest(range(1, len(words) + 1)) AS g FROM reduced WHERE len(words) >= 5)),
+pairs AS (
+  SELECT a.id, b.first FROM gaps a JOIN gaps b ON a.g = b.g AND a.rest = b.rest AND b.first < a.first
+  UNION ALL
+  SELECT a.id, b.first FROM gaps a JOIN reduced b ON a.rest = b.words AND b.first < a.first AND len(b.words) >= 5
+  UNION ALL
+  SELECT b.id, a.first FROM gaps a JOIN reduced b ON a.rest = b.words AND a.first < b.first AND len(b.words) >= 5),
+near AS (SELECT id, min(first) AS near FROM pairs GROUP BY id),
+verdicts AS (SELECT words, first, CASE WHEN near < first THEN near ELSE first END AS kept FROM reduced LEFT JOIN near USING (id))
+SELECT DISTINCT place.doc_id AS doc_id, place.line_no AS line_no, kept.doc_id AS kept_doc_id, kept.line_no AS kept_line_no,
+  (kept < first)::BIGINT AS edits
+FROM places JOIN verdicts USING (words) WHERE place > kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_adaptive_rules": OP4}
+    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7}
