@@ -75,5 +75,30 @@ FROM places JOIN verdicts USING (words) WHERE place > kept
 """
 
 
+OP8 = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '\S+'),
+      lambda w: lower(regexp_replace(w, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g'))), lambda w: w <> '') AS w
+  FROM documents),
+cut AS (
+  SELECT k, doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM texts WHERE len(w) > 0),
+hashed AS (SELECT k, doc_id, list_transform(s, lambda x: hash(x)) AS s FROM cut),
+classes AS (SELECT s, min(doc_id) AS rep, count(*) AS n_copies, row_number() OVER () AS c FROM hashed GROUP BY s),
+tokens AS (SELECT c, len(s) AS n, unnest(s) AS t FROM classes),
+pairs AS (
+  SELECT a.c AS a, b.c AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING count(*) * 1800 >= 800 * (a.n + b.n)),
+reached AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON r.b = p.a),
+named AS (SELECT a AS c, min(rep) AS class_id FROM reached JOIN classes ON reached.b = classes.c GROUP BY a),
+links AS (SELECT a AS c, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT t.doc_id, CASE WHEN c.c IS NULL THEN t.doc_id ELSE class_id END AS class_id, coalesce(n_copies, 1) AS n_copies,
+  coalesce(n_links, 0) AS n_links
+FROM texts t LEFT JOIN hashed h USING (k) LEFT JOIN classes c ON h.s = c.s LEFT JOIN named USING (c) LEFT JOIN links USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7}
+    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7, "op8_chosen_path_join": OP8}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paceline.llm.adaptive_rules import apply_rules
 from paceline.llm.blob_ledger import BASE, count_of, scan_versions, spans_text
+from paceline.llm.chosen_path import near_duplicates
 from paceline.llm.common import table
 from paceline.llm.gru_language import identify_languages
 from paceline.llm.line_neighbours import near_duplicate_lines
@@ -56,5 +57,9 @@ def op7_line_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join)}
