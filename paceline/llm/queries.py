@@ -12,6 +12,7 @@ from paceline.llm.blob_ledger import BASE, count_of, scan_versions, spans_text
 from paceline.llm.chosen_path import near_duplicates
 from paceline.llm.common import table
 from paceline.llm.gru_language import identify_languages
+from paceline.llm.line_blocks import extract_main_text
 from paceline.llm.line_neighbours import near_duplicate_lines
 from paceline.llm.repair import document_index, encode_shards
 from paceline.llm.templates import leaks
@@ -61,5 +62,9 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks)}
