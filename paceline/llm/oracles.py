@@ -100,5 +100,36 @@ FROM texts t LEFT JOIN hashed h USING (k) LEFT JOIN classes c ON h.s = c.s LEFT
 """
 
 
+OP10 = r"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS k, doc_id, source, length(coalesce(text, '')) AS chars, md5(coalesce(doc_id::VARCHAR, '')) AS place
+  FROM documents),
+laid AS (
+  SELECT *, coalesce(sum(chars) OVER (PARTITION BY source ORDER BY place, doc_id, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM rows),
+sizes AS (SELECT source, sum(chars) AS chars, floor(sqrt(sum(chars)))::BIGINT AS root FROM rows GROUP BY source),
+sources AS (
+  SELECT source, greatest(ceil(chars / 20000), 1)::BIGINT AS n, greatest(1, 200 * root // greatest(sum(root) OVER (), 1))::BIGINT AS p
+  FROM sizes),
+starts AS (SELECT DISTINCT unnest([0, n // p, n // p + 1]) AS f FROM sources),
+kinds AS (
+  SELECT f, source, least(n - least(n, f * p), p) AS a, sum(least(n, f * p)) OVER (PARTITION BY f) AS base,
+    sum(least(n - least(n, f * p), p)) OVER (PARTITION BY f) AS q
+  FROM starts, sources),
+run AS (
+  SELECT f, source, a, base, q, 0::BIGINT AS t, 0::BIGINT AS done, NULL::VARCHAR AS pick FROM kinds WHERE a > 0
+  UNION ALL
+  SELECT f, source, a, base, q, t + 1, done + (source = best.s)::BIGINT, best.s
+  FROM (SELECT *, min(CASE WHEN done < a AND done * q // a <= t THEN {'d': ((done + 1) * q + a - 1) // a, 's': source} END) OVER (PARTITION BY f) AS best
+        FROM run WHERE t < q)),
+plan AS (SELECT f, source, done - 1 AS nth, base + t - 1 AS slot, q FROM run WHERE pick = source),
+blocks AS (
+  SELECT doc_id, l.source, least(b // 20000, n - 1)::BIGINT AS block_no, p, b FROM laid l JOIN sources s ON l.source = s.source),
+timed AS (SELECT *, block_no // p AS c, (SELECT max(f) FROM starts WHERE f <= block_no // p) AS f FROM blocks)
+SELECT doc_id, t.source, block_no, (slot + (c - t.f) * q)::BIGINT AS slot, (b - block_no * 20000)::BIGINT AS block_offset
+FROM timed t JOIN plan ON t.source = plan.source AND t.f = plan.f AND block_no - c * p = nth
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7, "op8_chosen_path_join": OP8}
+    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7, "op8_chosen_path_join": OP8, "op10_pfair_mix": OP10}

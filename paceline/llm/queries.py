@@ -14,6 +14,7 @@ from paceline.llm.common import table
 from paceline.llm.gru_language import identify_languages
 from paceline.llm.line_blocks import extract_main_text
 from paceline.llm.line_neighbours import near_duplicate_lines
+from paceline.llm.pfair_mix import interleave
 from paceline.llm.repair import document_index, encode_shards
 from paceline.llm.templates import leaks
 from paceline.llm.unit_dedup import repeated_units
@@ -66,5 +67,11 @@ def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weighted by the square root of their size, in blocks of 20,000 characters."""
+    mixed = interleave(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "block_no", "slot", "block_offset")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks, op10_pfair_mix)}
