@@ -158,6 +158,16 @@ class GruLabeller:
         ends = np.cumsum(counts)
         return (total[ends] - total[ends - counts]) / np.maximum(np.diff(offsets), 1)[:, None]
 
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of every text."""
+        known = np.array([bool(self.languages) and x is not None and any(map(str.isalpha, x)) for x in texts], bool)
+        encoded = [x.encode() if k else b"" for x, k in zip(texts, known, strict=True)]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
+        found = self.document_probabilities(np.frombuffer(b"".join(encoded), np.uint8), offsets)
+        best = found.argmax(axis=1) if self.languages else np.zeros(len(texts), np.int64)
+        names = [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
+        return names, np.where(known, np.clip(found.max(axis=1, initial=0), 0, 1), 0.0)
+
     def position_labels(self, text: str) -> list[tuple[int, int, str]]:
         """Spans (start, end in code points, language) of neighbouring characters with the same label."""
         data = np.frombuffer(text.encode(), np.uint8)
@@ -227,14 +237,7 @@ def predict_languages(docs: DataFrame, model: GruLabeller) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in batches_of(whole)):
-            texts = batch["text"].to_pylist()
-            known = np.array([bool(model.languages) and x is not None and any(map(str.isalpha, x)) for x in texts], bool)
-            encoded = [x.encode() if k else b"" for x, k in zip(texts, known, strict=True)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
-            found = model.document_probabilities(np.frombuffer(b"".join(encoded), np.uint8), offsets)
-            best = found.argmax(axis=1) if model.languages else np.zeros(len(texts), np.int64)
-            names = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
-            scores = np.where(known, np.clip(found.max(axis=1, initial=0), 0, 1), 0.0)
+            names, scores = model.predict(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -249,6 +252,17 @@ def identify_languages(docs: DataFrame, settings: GruSettings = GruSettings()) -
     return predict_languages(docs, learn_languages(docs, remainder() != 1, settings))
 
 
+def with_language(docs: DataFrame, model: GruLabeller, least_score: float = 0.35) -> DataFrame:
+    """Documents in a language the model knows: neither ``und`` nor of a score below ``least_score``, with all their columns."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in batches_of(whole)):
+            names, scores = model.predict(batch["text"].to_pylist())
+            yield batch.filter(pa.array([x != "und" and y >= least_score for x, y in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def label_positions(docs: DataFrame, model: GruLabeller) -> DataFrame:
     """The language of every position: ``spans`` of (start, end, lang) in code points, without gaps."""
 

@@ -129,6 +129,14 @@ def positions(docs: DataFrame, parts: dict[str, int] | None, block_chars: int, c
     return found.select(*KEY, "block_no", slot.alias("slot"), (F.col("chars_before") - F.col("block_no") * block_chars).alias("block_offset"))
 
 
+OUTPUTS = ("block_no", "slot", "block_offset")
+
+
+def output_names(docs: DataFrame) -> list[str]:
+    """The names of the columns that ``interleave`` adds: with underscores in front where documents have such a column."""
+    return [free_name(docs, c) for c in OUTPUTS]
+
+
 def interleave(
     docs: DataFrame, parts: dict[str, int] | None = None, block_chars: int = BLOCK_CHARS, cycle: int = CYCLE, digits: int = DIGITS
 ) -> DataFrame:
@@ -139,7 +147,7 @@ def interleave(
     square root of its characters, in ``cycle`` parts. Only hashes and lengths are laid out; documents are joined to the result once.
     """
     found = positions(docs.select("doc_id", "source", "text"), parts, block_chars, cycle, digits)
-    found = found.select(*[F.col(c).alias(f"_at_{c}") for c in KEY], *[F.col(c).alias(free_name(docs, c)) for c in ("block_no", "slot", "block_offset")])
+    found = found.select(*[F.col(c).alias(f"_at_{c}") for c in KEY], *[F.col(c).alias(name) for c, name in zip(OUTPUTS, output_names(docs), strict=True)])
     same = content_hash() == F.col("_at_content")
     for key in ("doc_id", "source"):
         same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
