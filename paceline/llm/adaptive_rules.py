@@ -26,7 +26,7 @@ from paceline.session import materialise
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: Measured value (whole number), slack beyond its limits, and whether it has a lower limit.
 RULES = {
-    "word_length": ("100 * word_chars div n_words", 50, True),
+    "word_length": ("100 * word_chars div n_words", 100, True),
     "symbols": ("1000 * n_symbols div n_words", 20, False),
     "dup_lines": ("1000 * n_dup_lines div n_lines", 300, False),
     "repeats": ("1000 * n_repeat_words div n_words", 300, False),

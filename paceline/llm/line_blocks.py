@@ -55,8 +55,9 @@ def set_apart(tag: str, attributes: str, in_article: bool) -> bool:
         name, words = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and words == "true" or name == "role" and words in OUTSIDE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body") and not OUTSIDE_NAMES.isdisjoint(re.split(r"[\s_-]+", words)):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body"):
+            if not OUTSIDE_NAMES.isdisjoint([*re.split(r"[\s_-]+", words), *re.sub("[_-]", "", words).split()]):
+                return True
     return False
 
 

@@ -43,8 +43,8 @@ settled AS (
 bad AS (
   SELECT DISTINCT v.k
   FROM valued v JOIN settled s ON v.rule = s.rule AND v.lang IS NOT DISTINCT FROM s.lang AND v.source IS NOT DISTINCT FROM s.source
-  WHERE v > q3 + 3 * (q3 - q1) + CASE v.rule WHEN 'word_length' THEN 50 WHEN 'symbols' THEN 20 ELSE 300 END
-    OR v.rule = 'word_length' AND v < q1 - 3 * (q3 - q1) - 50)
+  WHERE v > q3 + 3 * (q3 - q1) + CASE v.rule WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 20 ELSE 300 END
+    OR v.rule = 'word_length' AND v < q1 - 3 * (q3 - q1) - 100)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND k NOT IN (SELECT k FROM bad) AS kept
 FROM measured
