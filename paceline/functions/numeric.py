@@ -42,3 +42,12 @@ def share(part: str, whole: str) -> Column:
     """part / whole, rounded to four digits; 0.0 where whole is zero or missing."""
     ratio = f"CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0D)"
     return F.expr(f"coalesce({_round_text(ratio, 4)}, 0D)")
+
+
+def missing_share(part: str, whole: str) -> Column:
+    """1 - part / whole, rounded to four digits; 0.0 where whole is zero or missing.
+
+    The quotient is taken first: as a double, 1 - 799/800 lies below a tie that 1/800 lies above.
+    """
+    ratio = f"1D - CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0D)"
+    return F.expr(f"coalesce({_round_text(ratio, 4)}, 0D)")

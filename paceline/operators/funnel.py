@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.args import as_flag, as_int, funnel_steps, known_property, profile_condition, required_text
-from paceline.functions.numeric import share
+from paceline.functions.numeric import missing_share, share
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
 from paceline.operators.lookback import within
 from paceline.sources.segments import SegmentStore
@@ -137,7 +137,7 @@ def step_rows(counts: DataFrame, steps: Sequence[str], keys: Sequence[str] = ())
         "event",
         "users",
         share("users", "started").alias("conversion_from_start"),
-        share("previous - users", "previous").alias("lost_from_previous"),
+        missing_share("users", "previous").alias("lost_from_previous"),
     )
 
 

@@ -7,6 +7,7 @@ import pytest
 
 import plain
 from conftest import PROPERTIES
+from paceline.functions.numeric import missing_share
 from paceline.operators.breakdown import breakdown_entries, top_entries
 from paceline.operators.funnel import (
     export_funnel_segments,
@@ -107,6 +108,18 @@ def test_step_table_and_summary(make_log, people):
     assert {(r.value, r.users) for r in by_plan} == {("pro", 5), ("free", 3)}
 
 
+@pytest.mark.parametrize("base", [800, 20_000])
+def test_loss_is_one_minus_the_rounded_quotient(spark, base):
+    """Doubles decide near ties: 800 to 799 users loses 0.0012, not 0.0013."""
+    found = spark.range(base + 1).select(missing_share("id", str(base)).alias("lost")).toPandas()["lost"].tolist()
+    assert found == [round(1 - users / base, 4) for users in range(base + 1)]
+
+
+def test_loss_in_the_step_table(spark):
+    reach = spark.range(800).selectExpr("id AS user_id", "if(id = 0, 1, 2) AS reached")
+    assert funnel_steps_table(reach, ["a", "b"]).collect()[1].lost_from_previous == round(1 - 799 / 800, 4) == 0.0012
+
+
 def test_nobody_started(make_log, people):
     reach = funnel_reach(make_log([(1, "x", 0)]), people, STEPS)
     assert [r.users for r in funnel_steps_table(reach, STEPS).collect()] == [0, 0, 0]

@@ -56,20 +56,18 @@ def recent(days: int) -> str:
 
 
 def reach(steps: Sequence[str], days: int, window: int, cohort: str = "users", name: str = "reach") -> str:
-    """One aggregation per step, each joined to the step before."""
-    parts = [
-        f"{name}_1 AS (SELECT user_id, min(ts) AS t, min(ts) AS t0 FROM log"
-        f" WHERE event = '{steps[0]}' AND {since(days)} AND user_id IN (SELECT user_id FROM {cohort}) GROUP BY user_id)"
-    ]
-    for k, event in enumerate(steps[1:], 2):
-        parts.append(
-            f"{name}_{k} AS (SELECT l.user_id, min(l.ts) AS t, min(p.t0) AS t0 FROM log l"
-            f" JOIN {name}_{k - 1} p ON l.user_id = p.user_id WHERE l.event = '{event}' AND l.ts > p.t"
-            f" AND l.ts <= p.t0 + INTERVAL {window} DAY GROUP BY l.user_id)"
-        )
-    levels = " UNION ALL ".join(f"SELECT user_id, {k} AS k FROM {name}_{k}" for k in range(1, len(steps) + 1))
-    parts.append(f"{name} AS (SELECT user_id, CAST(max(k) AS INTEGER) AS reached FROM ({levels}) GROUP BY user_id)")
-    return ", ".join(parts)
+    """A user's times of all steps in one row; step after step the least time that is allowed is picked from its list."""
+    times = [f"list(ts) FILTER (WHERE event = '{event}') AS times_{k}" for k, event in enumerate(steps, 1)]
+    rows = (
+        f"SELECT user_id, {', '.join(times)} FROM log"
+        f" WHERE {since(days)} AND user_id IN (SELECT user_id FROM {cohort}) GROUP BY user_id"
+    )
+    picked = f"SELECT *, list_min(times_1) AS at_1 FROM ({rows})"
+    for k in range(2, len(steps) + 1):
+        allowed = f"lambda x: x > at_{k - 1} AND x <= at_1 + INTERVAL {window} DAY"
+        picked = f"SELECT *, list_min(list_filter(times_{k}, {allowed})) AS at_{k} FROM ({picked})"
+    passed = " + ".join(f"(at_{k} IS NOT NULL)::INTEGER" for k in range(1, len(steps) + 1))
+    return f"{name} AS (SELECT user_id, {passed} AS reached FROM ({picked}) WHERE at_1 IS NOT NULL)"
 
 
 ORDER_REACH = reach(ORDER_STEPS, ORDER_DAYS, ORDER_WINDOW)
@@ -89,7 +87,7 @@ def steps_table(steps: Sequence[str], source: str, keys: Sequence[str] = (), nam
   FROM {source}, {name}_labels {group}),
 {name} AS (SELECT {names}CAST(c.step AS INTEGER) AS step, c.event, c.users,
   {pct('c.users', 's.users')} AS conversion_from_start,
-  CASE WHEN p.users > 0 THEN {r('(p.users - c.users)::DOUBLE / p.users')} ELSE 0.0 END AS lost_from_previous
+  CASE WHEN p.users > 0 THEN {r('1.0::DOUBLE - c.users::DOUBLE / p.users')} ELSE 0.0 END AS lost_from_previous
   FROM {name}_counts c JOIN {name}_counts s ON s.step = 1 AND {on} LEFT JOIN {name}_counts p ON {before})"""
 
 
