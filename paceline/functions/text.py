@@ -2,37 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LETTER_CLASSES = 64
 
-def best_match(candidates: Mapping[str, Sequence[str]]) -> Callable[[Column, Column], Column]:
-    """A vectorised function ``(kind, name) -> struct<match, score>``.
 
-    Finds the candidate of that kind most similar to the name, ignoring case; the first one
-    listed wins ties. Two upper bounds of the similarity skip candidates that cannot win.
+def best_of_list() -> Callable[[Column, Column, Column], Column]:
+    """A vectorised function ``(name, list number, list) -> struct<match, score>``.
+
+    Finds the name of a sorted list most similar to the given one, ignoring case; the first listed wins ties.
+    The score is difflib's ratio. Letters that two names share bound it from above, so the list is tried in the order of
+    that bound, and no further than a name can still win. A list is prepared once for all names that meet it in turn.
     """
-    listed = {kind: list(names) for kind, names in candidates.items()}
 
-    def find(kinds, names):
+    def find(batches: Iterator) -> Iterator:
         import difflib
 
+        import numpy as np
         import pandas as pd
 
-        found = []
-        for kind, name in zip(kinds, names, strict=True):
-            best, best_score = None, -1.0
-            text = name.lower()
-            for candidate in listed.get(kind, ()):
-                matcher = difflib.SequenceMatcher(None, text, candidate.lower())
-                if matcher.real_quick_ratio() > best_score and matcher.quick_ratio() > best_score:
-                    score = matcher.ratio()
-                    if score > best_score:
-                        best, best_score = candidate, score
-            found.append((best, max(best_score, 0.0)))
-        return pd.DataFrame(found, columns=["match", "score"])
-
-    # Called non-deterministic to keep the optimizer from filtering on it before names are made distinct.
-    return F.pandas_udf(find, "match string, score double").asNondeterministic()
+        def letters(text: str) -> np.ndarray:
+            # Classes of letters: two letters in one class can only raise the bound.
+            return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % LETTER_CLASSES, minlength=LETTER_CLASSES)
+
+        prepared: tuple = (None,)
+        for names, numbers, lists in batches:
+            found = []
+            for name, number, listed in zip(names, numbers, lists, strict=True):
+                if prepared[0] != number:
+                    lowered = [x.lower() for x in listed]
+                    counts = np.array([letters(x) for x in lowered]).reshape(-1, LETTER_CLASSES)
+                    prepared = number, lowered, counts, np.array([len(x) for x in lowered])
+                _, lowered, counts, lengths = prepared
+                text = name.lower()
+                total = np.maximum(lengths + len(text), 1)
+                bound = np.where(lengths + len(text), 2.0 * np.minimum(counts, letters(text)).sum(axis=1) / total, 1.0)
+                best, score = None, -1.0
+                matcher = difflib.SequenceMatcher(None, "", "")
+                for k in np.lexsort((np.arange(len(bound)), -bound)):
+                    if bound[k] < score:
+                        break
+                    matcher.set_seqs(text, lowered[k])
+                    ratio = matcher.ratio()
+                    if ratio > score or ratio == score and k < best:
+                        best, score = k, ratio
+                found.append((None if best is None else listed[best], max(score, 0.0)))
+            yield pd.DataFrame(found, columns=["match", "score"])
+
+    def annotated(batches):
+        yield from find(batches)
+
+    import pandas as pd
+
+    annotated.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(annotated, "match string, score double").asNondeterministic()

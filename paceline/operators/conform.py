@@ -8,59 +8,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.numeric import round_exact
-from paceline.functions.text import best_match
+from paceline.functions.text import best_of_list
 from paceline.session import materialise
 
 LEAST_SCORE = 0.9  # fixed value: similarity from which a match is accepted
-MOST_DICTIONARY_NAMES = 100_000
-MOST_BROADCAST_NAMES = 1_000_000
+LIST_NAMES = 1000  # names of a dictionary that are prepared and searched together
+SPREAD = 32  # parts over which names without a near match are dealt out
 
 
-def _vocabulary(dictionary: DataFrame | Sequence[str], column: str) -> list[str]:
-    """Known names as a list; their number is checked, since every executor gets them."""
-    if not isinstance(dictionary, DataFrame):
-        names = sorted({str(n) for n in dictionary})
-    else:
-        found = dictionary.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_DICTIONARY_NAMES + 1)
-        names = sorted(row[0] for row in found.collect())
-    if len(names) > MOST_DICTIONARY_NAMES:
-        raise ValueError(f"a dictionary holds at most {MOST_DICTIONARY_NAMES} names")
-    return names
+def _dictionary(names: DataFrame | Sequence[str], column: str, feed: DataFrame) -> DataFrame:
+    """Known names, once each, as ``(kind, known)`` of one kind."""
+    if not isinstance(names, DataFrame):
+        names = feed.sparkSession.createDataFrame([(str(n),) for n in names], f"`{column}` string")
+    listed = names.select(F.lit("").alias("kind"), F.col(column).cast("string").alias("known"))
+    return listed.filter(F.col("known").isNotNull()).distinct()
 
 
-def _unknown(names: DataFrame, column: str, known: Sequence[str]) -> DataFrame:
-    listed = names.sparkSession.createDataFrame([(n,) for n in known], f"{column} string")
-    return names.join(F.broadcast(listed), column, "left_anti")  # the length of the list is checked
+def _accepted(score: str, match: str) -> Column:
+    return F.when(F.col(score) >= LEAST_SCORE, F.col(match))
 
 
-def _accepted() -> Column:
-    return F.when(F.col("found.score") >= LEAST_SCORE, F.col("found.match"))
+def best_matches(unknown: DataFrame, known: DataFrame) -> DataFrame:
+    """``(kind, name, match, score)``: the most similar known name of the kind, whatever the size of either side.
+
+    ``unknown`` has distinct ``(kind, name)``, ``known`` distinct ``(kind, known)``. The dictionary is cut into lists by
+    length. A ratio of at least 0.9 is only possible for lengths within a ninth or so, so names meet the lists of those
+    lengths first; what finds no acceptable match there meets all lists of its kind. Names without any candidate score 0.
+    """
+    size = F.char_length(F.lower("known"))
+    sized = known.withColumn("size", size)
+    counts = sized.groupBy("kind", "size").agg(F.ceil(F.count(F.lit(1)) / LIST_NAMES).alias("lists"))
+    numbered = sized.join(counts, ["kind", "size"]).withColumn("part", F.pmod(F.xxhash64("known"), F.col("lists")))
+    lists = numbered.groupBy("kind", "size", "part").agg(F.sort_array(F.collect_list("known")).alias("listed"))
+    lists = materialise(lists.withColumn("number", F.xxhash64("kind", "size", "part")), "dictionary")
+    unknown = materialise(unknown, "unknown-names")
+    find = best_of_list()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        found = pairs.select("kind", "name", find("name", "number", "listed").alias("found"))
+        order = F.struct((-F.col("found.score")).alias("less"), F.col("found.match").alias("match"))
+        best = found.groupBy("kind", "name").agg(F.min(order).alias("best"))
+        return best.select("kind", "name", "best.match", (-F.col("best.less")).alias("score"))
+
+    length = F.char_length(F.lower("name"))
+    # The longer of two names has at most 11/9 of the letters of the shorter.
+    near = F.explode(F.sequence(F.floor(length * 9 / 11).cast("int"), F.ceil(length * 11 / 9).cast("int")))
+    close = materialise(scored(unknown.withColumn("size", near).join(lists, ["kind", "size"])).filter(F.col("score") >= LEAST_SCORE), "close-names")
+    rest = unknown.join(close, ["kind", "name"], "left_anti").withColumn("place", F.pmod(F.xxhash64("name"), F.lit(SPREAD)))
+    every = lists.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    far = scored(rest.join(every, ["kind", "place"]))
+    best = close.unionByName(far)
+    return unknown.join(best, ["kind", "name"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def name_conformance(feed: DataFrame, dictionary: DataFrame | Sequence[str], column: str = "event") -> DataFrame:
     """``(from_name, to_name, score)`` of every unknown name in the feed, once.
 
     A name is known only in its exact spelling. ``to_name`` is null below the least score. Only the
-    distinct unknown names reach Python.
+    distinct unknown names reach Python; they and the dictionary are written first.
     """
-    known = _vocabulary(dictionary, column)
-    names = feed.select(F.col(column).alias("from_name")).filter(F.col("from_name").isNotNull()).distinct()
-    unknown = _unknown(names, "from_name", known)
-    find = best_match({"": known})
-    scored = unknown.repartition("from_name").withColumn("found", find(F.lit(""), F.col("from_name")))
-    return scored.select("from_name", _accepted().alias("to_name"), round_exact("found.score", 3).alias("score"))
+    known = _dictionary(dictionary, column, feed)
+    names = feed.select(F.lit("").alias("kind"), F.col(column).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    unknown = names.join(known.select(F.col("known").alias("name")), "name", "left_anti").select("kind", "name")
+    return best_matches(unknown, known).select(
+        F.col("name").alias("from_name"), _accepted("score", "match").alias("to_name"), round_exact("score", 3).alias("score")
+    )
 
 
 def conformed_event_log(log: DataFrame, dictionary: DataFrame | Sequence[str]) -> DataFrame:
     """The log with accepted corrections applied; other names stay as they are.
 
-    Writes the corrections first. They are broadcast if they are few enough; beyond that the log is
-    joined by shuffle, where adaptive execution splits hot names.
+    Writes the corrections first. Adaptive execution broadcasts them if they are small; else the log is
+    joined by shuffle, where it splits hot names.
     """
     corrections = name_conformance(log, dictionary).filter(F.col("to_name").isNotNull())
     fixed = materialise(corrections.select(F.col("from_name").alias("event"), "to_name"), "corrections")
-    if fixed.count() <= MOST_BROADCAST_NAMES:
-        fixed = F.broadcast(fixed)
     rest = [c for c in log.columns if c != "event"]
     return log.join(fixed, "event", "left").select(F.coalesce("to_name", "event").alias("event"), *rest)
 
@@ -73,43 +95,25 @@ def property_conformance(feed: DataFrame, properties: Sequence[str], values: Dat
     property; values of an unknown property are not checked. ``to_*`` is the name to use: the
     known one, the accepted match, or null if nothing was accepted. Scores are null for known names.
     """
-    known_values: dict[str, list[str]] = {}
     rows = values.select("property", "value").filter(F.col("value").isNotNull()).distinct()
-    for prop, value in rows.orderBy("property", "value").limit(MOST_DICTIONARY_NAMES + 1).collect():
-        known_values.setdefault(prop, []).append(value)
-    if sum(map(len, known_values.values())) > MOST_DICTIONARY_NAMES:
-        raise ValueError(f"a dictionary holds at most {MOST_DICTIONARY_NAMES} values")
-    names = [str(p) for p in properties]
-
     pairs = feed.select("property", "value").filter(F.col("property").isNotNull() & F.col("value").isNotNull()).distinct()
-    props = pairs.select("property").distinct()
-    unknown_props = _unknown(props, "property", names)
-    find_prop = best_match({"": names})
-    found_props = unknown_props.withColumn("found", find_prop(F.lit(""), F.col("property"))).select(
-        "property",
-        _accepted().alias("prop_match"),
-        round_exact("found.score", 3).alias("property_score"),
+
+    corrected = name_conformance(pairs, [str(p) for p in properties], "property").select(
+        F.col("from_name").alias("property"), F.col("to_name").alias("prop_match"), F.col("score").alias("property_score")
     )
-    typed = pairs.join(found_props, "property", "left").withColumn(
+    typed = pairs.join(corrected, "property", "left").withColumn(
         "to_property", F.when(F.col("property_score").isNull(), F.col("property")).otherwise(F.col("prop_match"))
     )
     known_pairs = rows.select(F.col("property").alias("to_property"), "value", F.lit(True).alias("known"))
-    checked = typed.join(known_pairs, ["to_property", "value"], "left")
+    checked = materialise(typed.join(known_pairs, ["to_property", "value"], "left"), "checked-values")
     # Only values that are unknown, of a property that has a dictionary, are scored.
-    open_value = F.col("known").isNull() & F.col("to_property").isin(list(known_values))
-    find_value = best_match(known_values)
-    scored = (
-        checked.filter(open_value)
-        .select("to_property", "value")
-        .distinct()
-        .withColumn("found", find_value(F.col("to_property"), F.col("value")))
-        .select(
-            "to_property",
-            "value",
-            _accepted().alias("value_match"),
-            round_exact("found.score", 3).alias("value_score"),
-        )
-    )
+    open_values = checked.filter(F.col("known").isNull()).select(F.col("to_property").alias("kind"), F.col("value").alias("name")).distinct()
+    listed = rows.select(F.col("property").alias("kind"), F.col("value").alias("known"))
+    open_values = open_values.join(listed.select("kind").distinct(), "kind", "left_semi")
+    scored = best_matches(open_values, listed).select(
+        F.col("kind").alias("to_property"), F.col("name").alias("value"), _accepted("score", "match").alias("value_match"),
+        round_exact("score", 3).alias("value_score"),
+    )
     return (
         checked.join(scored, ["to_property", "value"], "left")
         .filter(F.col("property_score").isNotNull() | F.col("value_score").isNotNull())

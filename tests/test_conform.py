@@ -3,8 +3,6 @@ from __future__ import annotations
 import difflib
 import random
 
-import pytest
-
 from paceline.operators import conform
 from paceline.operators.conform import conformed_event_log, name_conformance, property_conformance
 
@@ -43,17 +41,22 @@ def test_empty_dictionary_resolves_nothing(spark):
     assert [tuple(r) for r in name_conformance(feed(spark, ["x"]), []).collect()] == [("x", None, 0.0)]
 
 
-def test_too_large_dictionary_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(conform, "MOST_DICTIONARY_NAMES", 3)
-    with pytest.raises(ValueError):
-        name_conformance(feed(spark, ["x"]), EVENTS)
-    with pytest.raises(ValueError):
-        name_conformance(feed(spark, ["x"]), feed(spark, EVENTS))
+def test_a_large_dictionary(spark, monkeypatch):
+    """Lists of seven names: exact best matches over many lists, near and far."""
+    monkeypatch.setattr(conform, "LIST_NAMES", 7)
+    rng = random.Random(5)
+    known = sorted({"".join(rng.choice("abcdeXé") for _ in range(rng.randrange(1, 14))) for _ in range(400)})
+    names = sorted({"".join(rng.choice("abcdeXéz") for _ in range(rng.randrange(1, 16))) for _ in range(60)} | {k + "a" for k in known[::9]} | {""})
+    rows = {r.from_name: r for r in name_conformance(feed(spark, names), feed(spark, known)).collect()}
+    assert set(rows) == set(names) - set(known)
+    for name, row in rows.items():
+        scores = [(difflib.SequenceMatcher(None, name.lower(), k.lower()).ratio(), k) for k in known]
+        best = max(score for score, _ in scores)
+        assert row.score == round(best, 3)
+        assert row.to_name == (next(k for s, k in scores if s == best) if best >= 0.9 else None)
 
 
-@pytest.mark.parametrize("most", [10, 0])
-def test_log_is_corrected(make_log, monkeypatch, most):
-    monkeypatch.setattr(conform, "MOST_BROADCAST_NAMES", most)
+def test_log_is_corrected(make_log):
     log = make_log([(1, "purchas", 0), (1, "click", 1), (2, "mystery", 2), (3, "PURCHASE", 3)])
     fixed = conformed_event_log(log, EVENTS)
     assert fixed.columns == ["event", "user_id", "ts"]
@@ -80,10 +83,3 @@ def test_property_pairs(spark):
         ("device", "toaster", "device", None, None, 0.308),
         ("shoe", "mobile", None, "mobile", 0.364, None),
     }
-
-
-def test_only_distinct_names_are_scored(spark):
-    corrected = name_conformance(feed(spark, ["purchas"] * 3), EVENTS).filter("to_name IS NOT NULL")
-    plan = corrected._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
-    assert plan.index("ArrowEvalPython") < plan.index("HashAggregate")  # printed from the top

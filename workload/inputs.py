@@ -19,6 +19,9 @@ SCHEMAS = {
     "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "region": "r_regionkey int, r_name string",
+    "documents": "doc_id bigint, text string",
+    "conversations": "conv_id bigint, text string",
+    "benchmark": "item_id bigint, text string",
 }
 
 
@@ -83,5 +86,22 @@ def noisy_profile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokens(table: DataFrame) -> DataFrame:
+    return table.select(F.explode(F.split("text", "[ \\n]+")).alias("event")).filter("event <> ''")
+
+
+def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of documents and conversations, as they stand there: a dictionary that grows with the tables."""
+    parts = [_tokens(_table(spark, sf_dir, name)) for name in ("documents", "conversations")]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def misspelt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long words of the benchmark that the dictionary knows, their last letter doubled."""
+    long_words = _tokens(_table(spark, sf_dir, "benchmark")).filter("event rlike '^[A-Za-z]{10,}$'").distinct()
+    known = long_words.join(word_dictionary(spark, sf_dir), "event", "left_semi")
+    return known.select(F.concat("event", F.substring("event", -1, 1)).alias("event"))
+
+
 def fresh_store(spark: SparkSession) -> SegmentStore:
     return SegmentStore(spark, scratch_path(spark, "segments"))

@@ -42,9 +42,11 @@ from workload.inputs import (
     click_log,
     customer_profiles,
     fresh_store,
+    misspelt_words,
     noisy_click_log,
     noisy_profile_values,
     order_log,
+    word_dictionary,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -459,6 +461,11 @@ def name_conformance_clicks(spark, sf):
     return name_conformance(noisy_click_log(spark, sf), dictionary)
 
 
+@_query
+def name_conformance_words(spark, sf):
+    return name_conformance(misspelt_words(spark, sf), word_dictionary(spark, sf))
+
+
 @_query
 def conformed_event_log_clicks(spark, sf):
     dictionary = event_catalog(click_log(spark, sf)).select("event")
