@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -9,27 +10,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+TRUE_VALUES = (True, 1, "1", "true", "True", "yes")  # fixed values: what counts as true
+NAMES = re.compile(r"[^,\s](?:[^,]*[^,\s])?")
+
+
+def parsed(value: Any, kind: type, default: Any = None) -> Any:
+    """A parameter as saved reports write it, typed: numbers may be text, lists comma-separated text; blank is the default."""
+    if value is None or value == "":
+        return [] if kind is list else default
+    if kind is bool:
+        return value in TRUE_VALUES
+    if kind is list:
+        return NAMES.findall(value) if isinstance(value, str) else [str(item) for item in value]
+    return kind(float(value))
+
+
 def as_int(value: Any, default: int) -> int:
-    """Whole number from a number or numeric text; blank means the default."""
-    return default if value is None or value == "" else int(float(value))
+    return parsed(value, int, default)
 
 
 def as_float(value: Any, default: float) -> float:
-    return default if value is None or value == "" else float(value)
+    return parsed(value, float, default)
 
 
 def as_flag(value: Any) -> bool:
-    # What counts as true.
-    return value in (True, 1, "1", "true", "True", "yes")
+    return parsed(value, bool, False)
 
 
 def name_list(value: str | Iterable[Any] | None) -> list[str]:
-    """Names from a list or from comma-separated text."""
-    if value is None:
-        return []
-    if isinstance(value, str):
-        return [part.strip() for part in value.split(",") if part.strip()]
-    return [str(item) for item in value]
+    return parsed(value, list)
 
 
 def event_names(value: str | Sequence[Any], what: str, least: int, most: int) -> list[str]:

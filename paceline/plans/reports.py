@@ -46,7 +46,7 @@ def conversion_blockers(
     properties: Sequence[str],
     *,
     stalled_at_step: Any,
-    base_name: str = "share_funnel",
+    base_name: str,
     timeframe_days: Any = 90,
     conversion_window_days: Any = 14,
     discovery_days: Any = 90,
@@ -93,7 +93,7 @@ def upgrade_paths(
     goal: str,
     path_start: str,
     journey_start: str,
-    segment_name: str = "recent_upgraders",
+    segment_name: str,
     timeframe_days: Any = 90,
     paths_days: int = 90,
     as_of: datetime | None = None,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +26,10 @@ def build_session(app_name: str = "paceline", master: str | None = None, **extra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for written tables, as the cluster names it.
-
-    Only a local session without ``spark.checkpoint.dir`` gets a folder of its own;
-    on a cluster a machine-local folder would be lost with its machine.
-    """
+    """The folder for written tables: ``spark.checkpoint.dir`` as the cluster names it, else a folder in the warehouse,
+    which all executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="paceline-")
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/paceline-scratch"
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:

@@ -1,14 +1,21 @@
-"""Named user segments as a partitioned parquet table."""
+"""Named user segments as versions of a table.
+
+Members lie in folders of their own, one a version; a small table of versions says which folder is whose. A version
+becomes visible by the one row that is appended there after its members are committed, so a reader sees the old segment
+or the new one, and a job that fails leaves the old one. Names are data, never part of a path.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
-from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+VERSIONS = "segment_name string, version long, folder string, users long"
+
 
 def check_export_names(names: Iterable[str]) -> list[str]:
     """Refuse a job that would write one segment twice."""
@@ -20,51 +27,66 @@ def check_export_names(names: Iterable[str]) -> list[str]:
 
 
 class SegmentStore:
-    """Segments under one root, one directory per name.
-
-    A write replaces the whole directory of its name, so a rewrite leaves no duplicates
-    and an empty result empties the segment. Names are text even if they look like numbers.
-    """
+    """Segments under one root. A write replaces the segment of its name, an empty result empties it."""
 
     def __init__(self, spark: SparkSession, root: str, user_id_type: str = "bigint"):
         self.spark = spark
         self.root = root.rstrip("/")
         self.user_id_type = user_id_type
 
-    def _directory(self, name: str) -> str:
+    @staticmethod
+    def _checked(name: str) -> str:
         text = str(name or "").strip()
         if not text:
             raise ValueError("a segment needs a name")
-        return f"{self.root}/segment_name={quote(text, safe=' ')}"
+        return text
+
+    def _versions(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(VERSIONS).parquet(f"{self.root}/versions")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], VERSIONS)
+
+    def _current(self) -> DataFrame:
+        """The newest version of every segment; of two writers at once the one with the greater folder name wins."""
+        newest = F.max(F.struct("version", "folder", "users")).alias("newest")
+        return self._versions().groupBy("segment_name").agg(newest).select("segment_name", "newest.*")
 
-    def write(self, name: str, users: DataFrame) -> None:
-        """Replace segment ``name``. Runs a job."""
-        members = users.select(F.col("user_id").cast(self.user_id_type)).dropDuplicates()
-        members.write.mode("overwrite").parquet(self._directory(name))
+    def write(self, name: str, users: DataFrame) -> int:
+        """Replace segment ``name``; returns its size. Runs two jobs and a small one for the version."""
+        text = self._checked(name)
+        folder = f"{self.root}/members/{uuid.uuid4().hex}"
+        members = users.select(F.lit(text).alias("segment_name"), F.col("user_id").cast(self.user_id_type)).dropDuplicates()
+        members.write.parquet(folder)
+        size = self._members([folder]).count()
+        before = self._versions().filter(F.col("segment_name") == text).agg(F.max("version")).first()[0] or 0
+        row = [(text, before + 1, folder, size)]
+        self.spark.createDataFrame(row, VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        return size
 
-    def write_all(self, segments: Iterable[tuple[str, DataFrame]]) -> None:
-        """Replace several segments; duplicate names fail before the first job."""
+    def write_all(self, segments: Iterable[tuple[str, DataFrame]]) -> dict[str, int]:
+        """Replace several segments; duplicate names fail before the first job. Returns the sizes by name."""
         listed = list(segments)
         check_export_names(str(name).strip() for name, _ in listed)
-        for name, users in listed:
-            self.write(name, users)
+        return {str(name).strip(): self.write(name, users) for name, users in listed}
+
+    def _members(self, folders: list[str]) -> DataFrame:
+        schema = f"segment_name string, user_id {self.user_id_type}"
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def read(self, name: str) -> DataFrame:
-        """Members of a segment; unknown or empty is an error. Runs a one-row job."""
-        try:
-            members = self.spark.read.schema(f"user_id {self.user_id_type}").parquet(self._directory(name))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            members = None
-        if members is None or members.isEmpty():
+        """Members of a segment; unknown or empty is an error. Runs a job over the versions."""
+        found = self._current().filter(F.col("segment_name") == str(name or "").strip()).first()
+        if found is None or not found["users"]:
             raise ValueError(f"segment {name!r} is unknown or empty")
-        return members
+        return self._members([found["folder"]]).select("user_id")
 
     def table(self) -> DataFrame:
-        """All segments as (segment_name, user_id)."""
-        schema = f"user_id {self.user_id_type}, segment_name string"
-        return self.spark.read.schema(schema).parquet(self.root).select("segment_name", "user_id")
+        """All segments as (segment_name, user_id); empty if nothing was written. Runs a job over the versions."""
+        return self._members([row["folder"] for row in self._current().filter("users > 0").collect()])
 
     def sizes(self) -> DataFrame:
-        return self.table().groupBy("segment_name").agg(F.count_distinct("user_id").alias("users"))
+        """Users of every segment that has some, from the versions alone."""
+        return self._current().filter("users > 0").select("segment_name", "users")

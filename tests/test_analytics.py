@@ -66,9 +66,9 @@ def sections(frame):
 
 def test_reports(tools):
     log, users, store = tools.log, tools.users, tools.store
-    blockers = sections(conversion_blockers(log, users, store, STEPS, PROPERTIES, stalled_at_step=2))
+    blockers = sections(conversion_blockers(log, users, store, STEPS, PROPERTIES, stalled_at_step=2, base_name="f"))
     assert blockers["funnel"] == ["1 a", "2 b", "3 c"] and "c" in blockers["event"]
-    upgrade = sections(upgrade_paths(log, users, store, goal="c", path_start="a", journey_start="b"))
+    upgrade = sections(upgrade_paths(log, users, store, goal="c", path_start="a", journey_start="b", segment_name="doers"))
     assert upgrade["path"] and upgrade["journey"][0] == "1 b" and set(upgrade["event"]) == set("abcx")
     health = sections(
         weekly_health(log, users, PROPERTIES, signup_events="a", engagement_events="b, c, x", steps=STEPS)

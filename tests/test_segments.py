@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import PROPERTIES
 from paceline.operators.compare import compare_discoveries, compare_profiles
@@ -45,9 +46,10 @@ def test_rules(log, users):
 def test_store(spark, tmp_path):
     store = SegmentStore(spark, str(tmp_path / "store"))
     three = spark.createDataFrame([(1,), (2,), (2,)], "user_id bigint")
-    store.write("007", three)
-    store.write("007", three)
-    store.write("x/y=z", three.limit(1))
+    assert store.sizes().count() == store.table().count() == 0  # nothing written yet
+    assert store.write("007", three) == 2
+    assert store.write("007", three) == 2
+    assert store.write("x/y=z", three.limit(1)) == 1
     assert {(r.segment_name, r.users) for r in store.sizes().collect()} == {("007", 2), ("x/y=z", 1)}
     assert ids(store.read("007")) == [1, 2]
     store.write("007", three.filter("user_id > 5"))
@@ -62,6 +64,26 @@ def test_store(spark, tmp_path):
         store.write(" ", three)
 
 
+@pytest.mark.parametrize("name", ["z\u00fcrich", "\u65e5\u672c", "a/b", "50%", "x y", "007", "a=b", "..", "_hidden", ".dot", "n\nl"])
+def test_any_name(spark, tmp_path, name):
+    store = SegmentStore(spark, str(tmp_path / "store"))
+    assert store.write_all([(name, spark.range(3).withColumnRenamed("id", "user_id"))]) == {name: 3}
+    assert ids(store.read(name)) == [0, 1, 2]
+    assert ids(store.table().filter(F.col("segment_name") == name)) == [0, 1, 2]
+    assert [tuple(r) for r in store.sizes().collect()] == [(name, 3)]
+
+
+def test_a_failed_write_leaves_the_segment(spark, tmp_path):
+    store = SegmentStore(spark, str(tmp_path / "store"))
+    store.write("s", spark.range(3).withColumnRenamed("id", "user_id"))
+    earlier = store.read("s")
+    with pytest.raises(Exception, match="broken"):
+        store.write("s", spark.range(3).select(F.expr("raise_error('broken')").cast("long").alias("user_id")))
+    assert ids(store.read("s")) == [0, 1, 2]
+    store.write("s", spark.range(1).withColumnRenamed("id", "user_id"))
+    assert ids(earlier) == [0, 1, 2] and ids(store.read("s")) == [0]  # who reads the old version goes on reading it
+
+
 def test_discovery(spark, log, users):
     segment = spark.createDataFrame([(1,), (2,), (2,)], "user_id bigint")
     rows = [tuple(r) for r in discover_events(log, users, segment).collect()]

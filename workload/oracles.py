@@ -422,6 +422,11 @@ sliced AS (SELECT nation AS value, reached FROM reach JOIN users USING (user_id)
         f"""SELECT 'orders_stalled' AS segment_name, count(*) AS users FROM reach WHERE reached = 2
   UNION ALL SELECT 'orders_converted', count(*) FROM reach WHERE reached >= 3
   UNION ALL SELECT '007', count(*) FROM users u WHERE {done('1-URGENT', DAYS_O)} >= 3""",
+    )
+    add(
+        "segment_store_names", USERS,
+        """SELECT CASE region WHEN 'EUROPE' THEN 'z\u00fcrich' WHEN 'ASIA' THEN '\u65e5\u672c' ELSE 'a/b = 50%' END AS segment_name, user_id
+  FROM users WHERE region IN ('EUROPE', 'ASIA', 'AFRICA')""",
     )
     segments = f"{ORDERS}, {ORDER_REACH}, {ORDER_SEGMENTS}"
     add("segment_event_discovery", f"{segments}, {discovery('stalled', DAYS_O, 15, 'd')}", "SELECT * FROM d")

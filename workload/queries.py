@@ -283,6 +283,16 @@ def segment_store_sizes(spark, sf):
     return store.sizes()
 
 
+@_query
+def segment_store_names(spark, sf):
+    """Segments of awkward names, one of them emptied again."""
+    store, users = fresh_store(spark), customer_profiles(spark, sf)
+    for name, region in (("z\u00fcrich", "EUROPE"), ("\u65e5\u672c", "ASIA"), ("a/b = 50%", "AFRICA"), ("gone", "AMERICA")):
+        store.write(name, define_segment(users, users, filters={"region": region}, properties=PROPERTIES))
+    store.write("gone", users.limit(0))
+    return store.table()
+
+
 @_query
 def segment_event_discovery(spark, sf):
     stalled, _ = _order_segments(spark, sf)
@@ -485,7 +495,7 @@ def property_conformance_profiles(spark, sf):
 def conversion_blockers_report(spark, sf):
     return conversion_blockers(
         order_log(spark, sf), customer_profiles(spark, sf), fresh_store(spark), ORDER_STEPS, PROPERTIES,
-        stalled_at_step=1, discovery_days=DAYS_O, **ORDER_FUNNEL,
+        stalled_at_step=1, base_name="orders", discovery_days=DAYS_O, **ORDER_FUNNEL,
     )
 
 
@@ -493,7 +503,7 @@ def conversion_blockers_report(spark, sf):
 def upgrade_paths_report(spark, sf):
     return upgrade_paths(
         order_log(spark, sf), customer_profiles(spark, sf), fresh_store(spark), goal="5-LOW", path_start="1-URGENT",
-        journey_start="2-HIGH", timeframe_days=500, paths_days=DAYS_O,
+        journey_start="2-HIGH", segment_name="doers", timeframe_days=500, paths_days=DAYS_O,
     )
 
 
