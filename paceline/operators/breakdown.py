@@ -93,3 +93,14 @@ def top_entries(entries: DataFrame, keys: Sequence[str] = (), most: int = MOST_E
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= most)
     )
+
+
+def breakdown_summary(reach: DataFrame, steps: str | Sequence[str], entries: DataFrame) -> DataFrame:
+    """One row: the base users and conversion, and the strongest blocker, or else the strongest booster, if there is one."""
+    n = len(funnel_steps(steps))
+    base = reach.agg(
+        F.count_if(F.col("reached") >= 1).alias("base_users"), F.count_if(F.col("reached") >= n).alias("end_users")
+    ).select("base_users", share("end_users", "base_users").alias("base_conversion"))
+    strongest = top_entries(entries, most=1)
+    chosen = strongest.orderBy("kind").limit(1)  # "blocker" before "booster"
+    return base.join(chosen.select("kind", "property", "value", "lift", "affected_users"), F.lit(True), "left")

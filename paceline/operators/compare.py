@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.numeric import round_exact
@@ -34,3 +34,17 @@ def compare_discoveries(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
     return _compare(a, b, ["property", "value"])
+
+
+HIGHLIGHTS = 5
+
+
+def highlights(compared: DataFrame, label_a: str, label_b: str) -> DataFrame:
+    """The largest differences as ``(rank, item, segment_a, a_pct, segment_b, b_pct, delta)``."""
+    keys = [c for c in ("event", "property", "value") if c in compared.columns]
+    top = compared.orderBy(F.abs("delta").desc(), *keys).limit(HIGHLIGHTS)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.abs("delta").desc(), *keys)  # of five rows
+    return top.select(
+        F.row_number().over(order).alias("rank"), F.concat_ws("=", *keys).alias("item"), F.lit(label_a).alias("segment_a"), "a_pct",
+        F.lit(label_b).alias("segment_b"), "b_pct", "delta",
+    )

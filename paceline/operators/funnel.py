@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from paceline.functions.args import as_flag, as_int, funnel_steps, known_property, profile_condition, required_text
 from paceline.functions.numeric import missing_share, share
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
-from paceline.operators.lookback import within
+from paceline.operators.lookback import surveyed, within
+from paceline.session import materialise
 from paceline.sources.segments import SegmentStore
 
 TOP_VALUES = 8
@@ -51,10 +52,10 @@ def _light_reach(rows: DataFrame, steps: list[str], window_days: int, pairs: boo
 
 
 def _heavy_reach(rows: DataFrame, steps: list[str], window_days: int, pairs: bool) -> DataFrame:
-    """The same by conditional minima, one pass per step.
+    """The same by conditional minima, one pass over the heavy rows per step; the minima combine map-side.
 
-    The state has one row per heavy user, which the skew policy bounds, and is broadcast, so
-    the rows themselves are never shuffled; the minima combine map-side.
+    The state has one row per heavy user and is written after each step, so that adaptive execution knows its size
+    and broadcasts it, or splits the rows of one user.
     """
     n = len(steps)
     window = F.make_dt_interval(F.lit(window_days))
@@ -72,7 +73,7 @@ def _heavy_reach(rows: DataFrame, steps: list[str], window_days: int, pairs: boo
                 hit = (F.col("event") == steps[j]) & (F.col("ts") > first) & (F.col("ts") <= first + window)
                 pair = F.when(first.isNull(), 0).when(hit, 2).otherwise(1)
                 found.append(F.max(pair).alias(f"pair_{j}"))
-        state = rows.join(F.broadcast(state), "user_id").groupBy("user_id", *known).agg(*found)
+        state = rows.join(materialise(state, "heavy-state"), "user_id").groupBy("user_id", *known).agg(*found)
     if not pairs:
         state = state.filter(F.col("t1").isNotNull())
     names = [f"pair_{k}" for k in range(1, n)] if pairs else []
@@ -97,20 +98,24 @@ def funnel_reach(
     Step 1 is the user's first matching event in the look-back; each next step is the first match
     strictly after the step before and at most the conversion window after step 1. ``with_pairs``
     adds ``pair_k``: 0, 1 or 2 steps reached in the funnel made of steps k and k+1 alone, and
-    keeps users that never did step 1.
+    keeps users that never did step 1. Runs the surveying pass unless ``as_of`` and the heavy users are given.
     """
     names = funnel_steps(steps)
     window = as_int(conversion_window_days, 14)
     condition = profile_condition(filters, properties)
     cohort = (users if condition is None else users.filter(condition)).select("user_id")
-    rows = within(log, as_int(timeframe_days, 90), as_of).filter(F.col("event").isin(sorted(set(names))))
+    days = as_int(timeframe_days, 90)
+    as_of, skew = surveyed(log, days, as_of, skew)
+    rows = within(log, days, as_of).filter(F.col("event").isin(sorted(set(names))))
     # A filtered cohort thins out the events before their shuffle; the whole population does not,
     # and is matched against one row per user afterwards, on the same partitioning.
     light, heavy = skew.split(rows, cohort if condition is not None else None)
-    reaches = [_light_reach(light, names, window, with_pairs), _heavy_reach(heavy, names, window, with_pairs)]
+    reaches = [_light_reach(light, names, window, with_pairs)]
+    if heavy is not None:
+        reaches.append(_heavy_reach(heavy, names, window, with_pairs))
     if condition is None:
         reaches = [r.join(cohort, "user_id", "left_semi") for r in reaches]
-    return reaches[0].unionByName(reaches[1])
+    return reaches[0] if heavy is None else reaches[0].unionByName(reaches[1])
 
 
 def step_counts(n: int, weight: Column | None = None) -> list[Column]:

@@ -2,57 +2,72 @@
 
 Operators that need a user's events in order collect them per user. That is fine for
 almost everybody; a crawler or a shared account may hold a large part of the log, and is
-worked on in time slices or with conditional minima instead, which combine map-side.
+worked on in slices of a measured number of rows or with conditional minima instead, which combine map-side.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from paceline.session import materialise
+from paceline.session import scratch_path
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """A user is heavy with more than ``min_rows`` rows and more than 1/``max_users`` of all rows.
+    """A user with more than ``min_rows`` rows is heavy, whatever the size of the log.
 
-    The second rule bounds the number of heavy users by ``max_users`` whatever the data
-    looks like, so anything with one row per heavy user may be broadcast.
+    ``slice_rows`` bounds the rows of a heavy user that meet in one group. ``known`` holds the heavy users once they are
+    found; ``nobody`` says that there are none, and their branch is then left out of the plan.
     """
 
     min_rows: int = 100_000
-    max_users: int = 1_000_000
-    slice_unit: str = "minute"
+    slice_rows: int = 20_000
     known: DataFrame | None = None
-
-    def measured(self, log: DataFrame) -> SkewPolicy:
-        """This policy with the heavy users of a log, found once for several operators. Runs a job."""
-        return replace(self, known=materialise(self.heavy_users(log), "heavy-users"))
+    nobody: bool = False
 
     def heavy_users(self, rows: DataFrame) -> DataFrame:
         if self.known is not None:
             return self.known
-        counts = rows.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"))
-        even_share = counts.select(F.sum("n_rows") / F.lit(self.max_users)).scalar()
-        limit = F.greatest(F.lit(float(self.min_rows)), even_share)
-        return counts.filter(F.col("n_rows") > limit).select("user_id")
+        return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > self.min_rows).select("user_id")
 
-    def split(self, rows: DataFrame, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(light, heavy) rows, both only of ``members`` if given.
+    def split(self, rows: DataFrame, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """(light, heavy) rows, both only of ``members`` if given; heavy is None if there is nobody.
 
-        The set of heavy users is computed once and broadcast. While it is empty, adaptive
-        execution drops both the anti-join and the whole heavy branch.
+        Rows without a user are rows of one user, the missing one. The list of heavy users is as long as the log makes it:
+        adaptive execution decides whether to broadcast it.
         """
-        keyed = rows.filter(F.col("user_id").isNotNull())
-        heavy = self.heavy_users(rows)
-        light = keyed.join(F.broadcast(heavy), "user_id", "left_anti")
         if members is not None:
-            light = light.join(members, "user_id", "left_semi")
-            heavy = heavy.join(members, "user_id", "left_semi")
-        return light, keyed.join(F.broadcast(heavy), "user_id")
+            rows = rows.join(members, "user_id", "left_semi")
+        if self.nobody:
+            return rows, None
+        heavy = self.heavy_users(rows).withColumnRenamed("user_id", "heavy_id")
+        same = rows["user_id"].eqNullSafe(heavy["heavy_id"])
+        return rows.join(heavy, same, "left_anti"), rows.join(heavy, same, "left_semi")
 
 
 DEFAULT_SKEW = SkewPolicy()
+
+
+def survey(log: DataFrame, as_of: datetime | str | None, skew: SkewPolicy) -> tuple[datetime | str | None, SkewPolicy]:
+    """The newest time of a log and its heavy users, found in one pass over ``(user_id, ts)``; what is given stays.
+
+    Runs a job unless both are given. Users are counted over all rows of ``log``; that a user is called heavy who
+    has few rows in a look-back does no harm.
+    """
+    if as_of is not None and (skew.known is not None or skew.nobody):
+        return as_of, skew
+    spark, seen = log.sparkSession, Observation()
+    per_user = log.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("ts").alias("newest"))
+    heavy = F.col("n_rows") > skew.min_rows
+    observed = per_user.observe(seen, F.max("newest").cast("string").alias("newest"), F.count_if(heavy).alias("heavy"))
+    path = scratch_path(spark, "heavy-users")
+    observed.filter(heavy).select("user_id").write.parquet(path)
+    found = seen.get
+    if skew.known is None and not skew.nobody:
+        known = spark.read.schema(per_user.select("user_id").schema).parquet(path)
+        skew = replace(skew, known=known, nobody=not found.get("heavy"))
+    return found.get("newest") if as_of is None else as_of, skew

@@ -7,27 +7,42 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceline.operators.heavy import SkewPolicy, survey
 
-def cutoff(log: DataFrame, days: int, as_of: datetime | None = None) -> Column:
+#: How many days after its time an event may be filed under ``day``, at most, for the newest one to be found.
+LATE_DAYS = 7
+
+
+def cutoff(log: DataFrame, days: int, as_of: datetime | str | None = None, late_days: int = LATE_DAYS) -> Column:
     """Oldest time inside the look-back.
 
     A scalar subquery, evaluated once before the scan that uses it, so the comparison is
-    pushed into that scan as a value. ``as_of`` gives the newest time, if it is known, and saves
-    the pass over ``ts``.
+    pushed into that scan as a value. ``as_of`` gives the newest time (text is read in the session's time zone), if it is known,
+    and saves the pass over ``ts``. If the log is partitioned by ``day``, only the newest day and the ``late_days`` before
+    it are searched: the newest event may lie under an earlier day than one that came in late.
     """
     span = F.make_dt_interval(F.lit(int(days)))
     if as_of is not None:
         return F.lit(as_of).cast(log.schema["ts"].dataType) - span
     newest = log
     if "day" in log.columns:
-        newest = log.filter(F.col("day") == log.select(F.max("day")).scalar())
+        newest = log.filter(F.col("day") >= log.select(F.date_sub(F.max("day"), late_days)).scalar())
     return newest.select(F.max("ts") - span).scalar()
 
 
-def within(log: DataFrame, days: int, as_of: datetime | None = None) -> DataFrame:
-    """Events of the last ``days`` days, the cut-off included."""
-    oldest = cutoff(log, days, as_of)
+def within(log: DataFrame, days: int, as_of: datetime | str | None = None, late_days: int = LATE_DAYS) -> DataFrame:
+    """Events of the last ``days`` days, the cut-off included.
+
+    A log with ``day`` is pruned by it. ``day`` may be the date of the event in any time zone or a later one, as that of its
+    arrival; a day is left as a margin for the zone.
+    """
+    oldest = cutoff(log, days, as_of, late_days)
     recent = log.filter(F.col("ts") >= oldest)
     if "day" in log.columns:
-        recent = recent.filter(F.col("day") >= oldest.cast("date"))
+        recent = recent.filter(F.col("day") >= F.date_sub(oldest.cast("date"), 1))
     return recent.select("user_id", "event", "ts")
+
+
+def surveyed(log: DataFrame, days: int, as_of: datetime | str | None, skew: SkewPolicy) -> tuple[datetime | str | None, SkewPolicy]:
+    """What ``survey`` finds for a look-back. A log with ``day`` is surveyed inside the look-back only, so that it is pruned."""
+    return survey(within(log, days, as_of) if "day" in log.columns else log, as_of, skew)

@@ -72,3 +72,34 @@ def insight(
         return result.select(F.lit("all users").alias("group"), "value")
     top = result.orderBy(F.desc("value"), F.asc_nulls_last("group")).limit(TOP_GROUPS)
     return top.filter(F.col("group").isNotNull())
+
+
+def insight_summary(rows: DataFrame, total: DataFrame) -> DataFrame:
+    """One row: the total, the number of groups or weeks, and the latest week or the top group with its value."""
+    weekly = "week" in rows.columns
+    key = F.col("week").cast("string") if weekly else F.col("group")
+    named = rows.select(key.alias("item"), "value", *(["week"] if weekly else []))
+    if weekly:
+        chosen = named.agg(F.count(F.lit(1)).alias("groups"), F.max_by(F.struct("item", "value"), "week").alias("top"))
+    else:
+        # Of equal values the least name.
+        first = F.min(F.struct((-F.col("value")).alias("less"), "item", "value"))
+        chosen = named.agg(F.count(F.lit(1)).alias("groups"), first.alias("top"))
+    whole = total.select(F.col("value").alias("total"))
+    return chosen.join(whole, F.lit(True), "left").select(
+        "total", "groups", F.col("top.item").alias("item"), F.col("top.value").alias("item_value")
+    )
+
+
+def weekly_users(
+    log: DataFrame, sets: Mapping[str, str | Sequence[str]], *, timeframe_days: Any = 90, as_of: datetime | str | None = None
+) -> DataFrame:
+    """``(week, <set> ...)``: distinct users of several event sets per Monday week, from one pass over the log.
+
+    The log is reduced to one row per user and week, with a flag for each set, before weeks are counted.
+    """
+    listed = {name: event_names(events, name, 1, 20) for name, events in sets.items()}
+    rows = within(log, as_int(timeframe_days, 90), as_of).filter(F.col("event").isin(sorted({e for x in listed.values() for e in x})))
+    flags = [F.max(F.col("event").isin(events).cast("int")).alias(name) for name, events in listed.items()]
+    per_user = rows.filter(F.col("user_id").isNotNull()).groupBy("user_id", F.date_trunc("week", "ts").cast("date").alias("week")).agg(*flags)
+    return per_user.groupBy("week").agg(*[F.sum(name).alias(name) for name in listed]).orderBy("week")

@@ -12,20 +12,12 @@ from pyspark.sql import functions as F
 from paceline.functions.args import as_int, name_list, path_ends
 from paceline.functions.numeric import share
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
-from paceline.operators.sequences import ARROW, Journeys, journeys, path_windows, scoped_rows
+from paceline.operators.sequences import Journeys, journeys, path_counts, scoped_rows
+from paceline.session import materialise
 
 CANONICAL_PATHS = 5
 
 
-def _path_counts(found: Journeys) -> DataFrame:
-    return (
-        path_windows(found)
-        .groupBy("events")
-        .agg(F.count(F.lit(1)).alias("users"))
-        .withColumn("path", F.array_join("events", ARROW))
-    )
-
-
 def product_paths(
     log: DataFrame,
     start_event: str,
@@ -37,9 +29,10 @@ def product_paths(
     as_of: datetime | None = None,
     skew: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
-    """The most-travelled paths from start to end with their users, and the users of all paths.
+    """The most-travelled paths from start to end with their users, and the users of all paths, ``completed_users``.
 
-    Restricting the events always keeps the two ends.
+    Restricting the events always keeps the two ends. If nobody completed there is one row, without a path. Runs the
+    surveying pass, and writes the counts by path.
     """
     start, end = path_ends(start_event, end_event)
     if isinstance(allowed_events, DataFrame):
@@ -49,15 +42,18 @@ def product_paths(
         names = name_list(allowed_events)
         allowed = sorted({*names, start, end}) if names else None
     rows = scoped_rows(log, timeframe_days=timeframe_days, allowed_events=allowed, as_of=as_of, skew=skew)
-    counts = _path_counts(journeys(rows, start, end)).select("path", "users")
-    total = counts.agg(F.sum("users").alias("completed_users"))
-    top = counts.orderBy(F.desc("users"), "path").limit(as_int(top_n, 10))
-    return top.crossJoin(F.broadcast(total))
+    return path_counts(journeys(rows, start, end), as_int(top_n, 10)).select("path", "users", "completed_users")
+
+
+def product_paths_summary(paths: DataFrame) -> DataFrame:
+    """One row: the users that completed, and the most travelled path."""
+    ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("users"), "path")))
+    return ranked.filter("rank = 1").select("completed_users", F.col("path").alias("top_path"), F.col("users").alias("top_users"))
 
 
 def canonical_paths(found: Journeys) -> DataFrame:
     """The five most-travelled completed journeys."""
-    return _path_counts(found).orderBy(F.desc("users"), "path").limit(CANONICAL_PATHS)
+    return path_counts(found, CANONICAL_PATHS).filter(F.col("path").isNotNull()).select("events", "path", "users")
 
 
 def _as_list(canonical: DataFrame) -> DataFrame:
@@ -87,38 +83,57 @@ def align(found: Journeys, canonical: DataFrame) -> DataFrame:
 
     Each user goes to the path matched furthest; ``path`` is its events, null where there is no
     canonical path. A heavy user's slices are turned, one by one, into tables "matched before ->
-    matched after", whose size depends on the paths alone, and these are chained per user.
+    matched after", whose size depends on the paths alone; these are composed in groups of ``COMPOSED`` until one is left.
     """
     listed = F.broadcast(_as_list(canonical))  # one row with at most five paths
-    light = found.light.crossJoin(listed).select(
+    aligned = found.light.crossJoin(listed).select(
         "completed",
         "canonical",
         _best(F.transform("canonical", lambda path: _advance(F.col("events"), path, F.lit(0)))).alias("best"),
     )
+    if found.steps is not None:
+        chained = _composed(found.steps, listed)
+        matched = F.transform("moves", lambda m: F.get(m, F.lit(0)))
+        aligned = aligned.unionByName(chained.crossJoin(listed).select("completed", "canonical", _best(matched).alias("best")))
+    return (
+        aligned.groupBy("completed", F.col("best.matched").alias("matched"), F.get("canonical", F.col("best.path")).alias("path"))
+        .agg(F.count(F.lit(1)).alias("users"))
+    )
 
-    names = F.transform("items", lambda x: x["event"])
+
+COMPOSED = 32
+
+
+def _composed(steps: DataFrame, listed: DataFrame) -> DataFrame:
+    """``(user_id, completed, moves)``: one table of moves per path and heavy user. Runs a job for each level."""
+    keys = ["user_id", "completed"]
+    numbers = steps.groupBy(*keys, "slice").count().withColumn(
+        "nth", F.row_number().over(Window.partitionBy(*keys).orderBy("slice")) - 1
+    )
+    names = F.transform(F.sort_array(F.collect_list(F.struct("pos", "event"))), lambda x: x["event"])
     moves = F.transform(
         "canonical",
         lambda path: F.transform(F.sequence(F.lit(0), F.size(path)), lambda m: _advance(F.col("names"), path, m)),
     )
+    tables = steps.groupBy(*keys, "slice").agg(names.alias("names")).crossJoin(listed).select(*keys, "slice", moves.alias("moves"))
+    of = numbers.select(F.col("user_id").alias("of_user"), F.col("slice").alias("of_slice"), "nth")
+    level = tables.join(of, tables["user_id"].eqNullSafe(of["of_user"]) & (tables["slice"] == of["of_slice"])).select(*keys, "nth", "moves")
+    level = materialise(level, "moves")
     chained = F.transform(
-        "canonical",
-        lambda _, p: F.aggregate("steps", F.lit(0), lambda m, step: F.get(F.get(step["moves"], p), m)),
-    )
-    heavy = (
-        found.pieces.withColumn("names", names)
-        .crossJoin(listed)
-        .select("user_id", "completed", F.struct("slice", moves.alias("moves")).alias("step"))
-        .groupBy("user_id", "completed")
-        .agg(F.sort_array(F.collect_list("step")).alias("steps"))
-        .crossJoin(listed)
-        .select("completed", "canonical", _best(chained).alias("best"))
-    )
-    return (
-        light.unionByName(heavy)
-        .groupBy("completed", F.col("best.matched").alias("matched"), F.get("canonical", F.col("best.path")).alias("path"))
-        .agg(F.count(F.lit(1)).alias("users"))
+        F.get("parts", F.lit(0))["moves"],
+        lambda first, p: F.transform(
+            F.sequence(F.lit(0), F.size(first) - 1),
+            lambda m: F.aggregate("parts", m, lambda at, part: F.get(F.get(part["moves"], p), at)),
+        ),
     )
+    longest = level.agg(F.max("nth")).first()[0] or 0
+    while longest > 0:
+        grouped = level.groupBy(*keys, F.expr(f"cast(nth div {COMPOSED} as int)").alias("nth")).agg(
+            F.sort_array(F.collect_list(F.struct(F.col("nth").alias("k"), "moves"))).alias("parts")
+        )
+        level = materialise(grouped.select(*keys, "nth", chained.alias("moves")), "moves")
+        longest //= COMPOSED
+    return level.select(*keys, "moves")
 
 
 def _whole() -> WindowSpec:
@@ -127,8 +142,10 @@ def _whole() -> WindowSpec:
 
 
 def _find(log: DataFrame, start: str, end: str, segment: DataFrame | None, options: dict[str, Any]) -> Journeys:
+    """The journeys, written: paths are counted and users aligned from one pass over the log."""
     start, end = path_ends(start, end)
-    return journeys(scoped_rows(log, segment=segment, **options), start, end)
+    found = journeys(scoped_rows(log, segment=segment, **options), start, end)
+    return Journeys(materialise(found.light, "journeys"), found.steps)
 
 
 def _aligned_steps(found: Journeys) -> DataFrame:

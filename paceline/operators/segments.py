@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paceline.functions.args import as_float, as_int, profile_condition, required_text
 from paceline.functions.numeric import round_exact, share
 from paceline.operators.lookback import cutoff, within
+from paceline.session import materialise
 from paceline.sources.tables import property_rows
 
 # Fixed values of the analyses.
@@ -70,6 +71,45 @@ def define_segment(
     return cohort.join(per_user, "user_id", "left").filter(kept).select("user_id")
 
 
+def _flagged(rows: DataFrame, segments: Sequence[DataFrame]) -> DataFrame:
+    """Rows of users with ``member_0``, ``member_1``, ... that are null for users outside a segment."""
+    members = [s.select("user_id", F.lit(k).alias("k")) for k, s in enumerate(segments)]
+    listed = members[0]
+    for more in members[1:]:
+        listed = listed.unionByName(more)
+    flags = [F.max(F.when(F.col("k") == k, 1)).alias(f"member_{k}") for k in range(len(segments))]
+    return rows.join(listed.groupBy("user_id").agg(*flags), "user_id", "left")
+
+
+def discover_together(
+    log: DataFrame,
+    users: DataFrame,
+    segments: Sequence[DataFrame],
+    *,
+    top_n: Any = 15,
+    timeframe_days: Any = 90,
+    as_of: datetime | str | None = None,
+) -> list[DataFrame]:
+    """``discover_events`` for several segments from one pass over the log, whose counts are written."""
+    pairs = within(log, as_int(timeframe_days, 90), as_of).select("user_id", "event").distinct()
+    members = [F.count(f"member_{k}").alias(f"segment_users_{k}") for k in range(len(segments))]
+    counts = _flagged(pairs, segments).groupBy("event").agg(F.count("user_id").alias("population_users"), *members)
+    counts = materialise(counts, "event-counts")
+    return [_distinctive(counts.withColumn("segment_users", F.col(f"segment_users_{k}")), s, users, top_n) for k, s in enumerate(segments)]
+
+
+def _distinctive(counts: DataFrame, segment: DataFrame, users: DataFrame, top_n: Any) -> DataFrame:
+    shares = _sized(counts, segment.select("user_id").distinct(), users).select(
+        "event",
+        share("segment_users", "segment_size").alias("segment_pct"),
+        share("population_users", "population_size").alias("population_pct"),
+    )
+    lift = f"segment_pct / greatest(population_pct, {SHARE_FLOOR}D)"
+    scored = shares.withColumn("lift", round_exact(lift))
+    distance = F.abs(F.ln(F.when(F.col("lift") > 0, F.col("lift")).otherwise(F.lit(ZERO_LIFT))))
+    return scored.orderBy(distance.desc(), "event").limit(as_int(top_n, 15))
+
+
 def discover_events(
     log: DataFrame,
     users: DataFrame,
@@ -77,29 +117,18 @@ def discover_events(
     *,
     top_n: Any = 15,
     timeframe_days: Any = 90,
-    as_of: datetime | None = None,
+    as_of: datetime | str | None = None,
 ) -> DataFrame:
     """Events over- or under-used by a segment, most distinctive first.
 
     The log is reduced to distinct (user, event) before it meets the segment. Population counts
     come from the log, the population size from the profiles.
     """
-    members = segment.select("user_id").distinct()
     pairs = within(log, as_int(timeframe_days, 90), as_of).select("user_id", "event").distinct()
-    counts = (
-        pairs.join(members.withColumn("member", F.lit(1)), "user_id", "left")
-        .groupBy("event")
-        .agg(F.count("user_id").alias("population_users"), F.count("member").alias("segment_users"))
+    counts = _flagged(pairs, [segment]).groupBy("event").agg(
+        F.count("user_id").alias("population_users"), F.count("member_0").alias("segment_users")
     )
-    shares = _sized(counts, members, users).select(
-        "event",
-        share("segment_users", "segment_size").alias("segment_pct"),
-        share("population_users", "population_size").alias("population_pct"),
-    )
-    lift = f"segment_pct / greatest(population_pct, {SHARE_FLOOR}D)"
-    scored = shares.withColumn("lift", round_exact(lift))
-    distance = F.abs(F.ln(F.when(F.col("lift") > 0, F.col("lift")).otherwise(F.lit(ZERO_LIFT))))
-    return scored.orderBy(distance.desc(), "event").limit(as_int(top_n, 15))
+    return _distinctive(counts, segment, users, top_n)
 
 
 def discovery_summary(discovery: DataFrame) -> DataFrame:
@@ -113,19 +142,19 @@ def discovery_summary(discovery: DataFrame) -> DataFrame:
     )
 
 
-def profile_segment(
-    users: DataFrame, segment: DataFrame, properties: Sequence[str], *, min_relative_change: Any = 0.3
-) -> DataFrame:
-    """Property values whose share in the segment departs from the population, largest change first."""
-    members = segment.select("user_id").distinct()
-    flagged = users.join(members.withColumn("member", F.lit(1)), "user_id", "left")
-    counts = (
-        flagged.select("member", F.inline(property_rows(properties)))
+def _value_counts(users: DataFrame, segments: Sequence[DataFrame], properties: Sequence[str]) -> DataFrame:
+    members = [f"member_{k}" for k in range(len(segments))]
+    return (
+        _flagged(users, segments)
+        .select(*members, F.inline(property_rows(properties)))
         .groupBy("property", "value")
-        .agg(F.count(F.lit(1)).alias("population_users"), F.count("member").alias("segment_users"))
+        .agg(F.count(F.lit(1)).alias("population_users"), *[F.count(m).alias(f"segment_users_{k}") for k, m in enumerate(members)])
         .filter(F.col("value").isNotNull())
     )
-    shares = _sized(counts, members, users).select(
+
+
+def _deviations(counts: DataFrame, segment: DataFrame, users: DataFrame, min_relative_change: Any) -> DataFrame:
+    shares = _sized(counts, segment.select("user_id").distinct(), users).select(
         "property",
         "value",
         share("segment_users", "segment_size").alias("segment_pct"),
@@ -138,3 +167,29 @@ def profile_segment(
         .filter(F.col("segment_pct") >= LEAST_SEGMENT_SHARE)
         .orderBy(F.abs("relative_change").desc(), "property", "value")
     )
+
+
+def profile_segment(
+    users: DataFrame, segment: DataFrame, properties: Sequence[str], *, min_relative_change: Any = 0.3
+) -> DataFrame:
+    """Property values whose share in the segment departs from the population, largest change first."""
+    counts = _value_counts(users, [segment], properties).withColumnRenamed("segment_users_0", "segment_users")
+    return _deviations(counts, segment, users, min_relative_change)
+
+
+def profile_together(
+    users: DataFrame, segments: Sequence[DataFrame], properties: Sequence[str], *, min_relative_change: Any = 0.3
+) -> list[DataFrame]:
+    """``profile_segment`` for several segments from one pass over the profiles, whose counts are written."""
+    counts = materialise(_value_counts(users, segments, properties), "value-counts")
+    return [
+        _deviations(counts.withColumn("segment_users", F.col(f"segment_users_{k}")), s, users, min_relative_change)
+        for k, s in enumerate(segments)
+    ]
+
+
+def profile_summary(deviations: DataFrame, segment: DataFrame) -> DataFrame:
+    """One row: the segment's size and its strongest deviation, if it has one."""
+    size = segment.select("user_id").distinct().agg(F.count(F.lit(1)).alias("segment_size"))
+    top = deviations.orderBy(F.abs("relative_change").desc(), "property", "value").limit(1)
+    return size.join(top, F.lit(True), "left")

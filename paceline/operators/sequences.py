@@ -1,9 +1,9 @@
 """Ordered event sequences per user.
 
-A sequence is ordered by ``(ts, event)``. Light users are collected into one array each, in one
-shuffle. Heavy users (see ``heavy.py``) are first reduced to distinct rows, map-side, and then
-collected per user and time slice; what has to be known across slices (how many rows came
-before, which event came last) is carried by windows over the slices, not over the rows.
+A sequence is ordered by ``(ts, event)``. Light users are collected into one array each, in one shuffle. The rows of heavy
+users (see ``heavy.py``) are dealt out by ranges of (user, ts, event) and numbered in order, so that slices of a bounded
+number of rows follow from the numbers. What has to be known across slices (how many rows came before, which event came last)
+is carried by windows over one slim row per slice, and joined back on (user, slice).
 """
 
 from __future__ import annotations
@@ -18,19 +18,19 @@ from pyspark.sql import functions as F
 
 from paceline.functions.args import as_int, name_list, path_ends
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
-from paceline.operators.lookback import within
+from paceline.operators.lookback import surveyed, within
+from paceline.session import materialise
 
 ARROW = " -> "
-MOST_BROADCAST_NAMES = 1_000_000
 
 
 @dataclass(frozen=True)
 class Rows:
-    """Events in scope, split by the skew policy."""
+    """Events in scope, split by the skew policy; ``heavy`` is None if nobody is."""
 
     light: DataFrame
-    heavy: DataFrame
-    slice_unit: str
+    heavy: DataFrame | None
+    slice_rows: int
 
 
 def scoped_rows(
@@ -39,25 +39,24 @@ def scoped_rows(
     timeframe_days: Any = 90,
     allowed_events: str | Sequence[str] | DataFrame | None = None,
     segment: DataFrame | None = None,
-    as_of: datetime | None = None,
+    as_of: datetime | str | None = None,
     skew: SkewPolicy = DEFAULT_SKEW,
 ) -> Rows:
     """Events of the look-back, of the allowed events and of a segment's users.
 
-    ``allowed_events`` is a list or a frame with an ``event`` column, which is counted and, unless
-    very long, broadcast for a semi-join; an empty list restricts nothing.
+    ``allowed_events`` is a list or a frame with an ``event`` column; an empty list restricts nothing. Runs the
+    surveying pass unless ``as_of`` and the heavy users are given.
     """
-    rows = within(log, as_int(timeframe_days, 90), as_of)
+    days = as_int(timeframe_days, 90)
+    as_of, skew = surveyed(log, days, as_of, skew)
+    rows = within(log, days, as_of)
     if isinstance(allowed_events, DataFrame):
-        names = allowed_events.select("event").distinct()
-        if names.limit(MOST_BROADCAST_NAMES + 1).count() <= MOST_BROADCAST_NAMES:
-            names = F.broadcast(names)
-        rows = rows.join(names, "event", "left_semi").select("user_id", "event", "ts")
+        rows = rows.join(allowed_events.select("event").distinct(), "event", "left_semi").select("user_id", "event", "ts")
     elif name_list(allowed_events):
         rows = rows.filter(F.col("event").isin(name_list(allowed_events)))
     members = None if segment is None else segment.select("user_id").distinct()
     light, heavy = skew.split(rows, members)
-    return Rows(light, heavy, skew.slice_unit)
+    return Rows(light, heavy, skew.slice_rows)
 
 
 def _sorted_items(*fields: str) -> Column:
@@ -74,31 +73,10 @@ def _names(items: Column) -> Column:
     return F.transform(items, lambda x: x["event"])
 
 
-def _by_slice() -> Any:
-    return Window.partitionBy("user_id").orderBy("slice")
-
-
-def _drop_seam(pieces: DataFrame) -> DataFrame:
-    """Drop a slice's first item where it repeats the event the slice before ended with."""
-    items = F.col("items")
-    last = F.lag(F.element_at(items, -1)["event"]).over(_by_slice())
-    repeats = F.get(items, F.lit(0))["event"] == F.col("last_event")
-    return pieces.withColumn("last_event", last).withColumn(
-        "items", F.when(repeats, F.slice(items, 2, F.size(items))).otherwise(items)
-    )
-
-
-def _explode_positions(pieces: DataFrame, sliced: bool, *keys: str) -> DataFrame:
-    """One row per item with its 1-based position in the whole sequence."""
-    if sliced:
-        before = F.sum(F.size("items")).over(_by_slice().rowsBetween(Window.unboundedPreceding, -1))
-        pieces = pieces.withColumn("offset", F.coalesce(before, F.lit(0)))
-    else:
-        pieces = pieces.withColumn("offset", F.lit(0))
-    rows = pieces.select("user_id", *keys, "offset", F.posexplode("items").alias("at", "item"))
-    return rows.withColumn("pos", (F.col("offset") + F.col("at") + 1).cast("bigint")).select(
-        "user_id", *keys, "pos", "item.*"
-    )
+def _positions(items: DataFrame, *keys: str) -> DataFrame:
+    """One row per item of an array with its 1-based position."""
+    rows = items.select("user_id", *keys, F.posexplode("items").alias("at", "item"))
+    return rows.withColumn("pos", (F.col("at") + 1).cast("bigint")).select("user_id", *keys, "pos", "item.*")
 
 
 def _light_items(rows: DataFrame, copies: bool = False) -> DataFrame:
@@ -109,26 +87,69 @@ def _light_items(rows: DataFrame, copies: bool = False) -> DataFrame:
     return counted.groupBy("user_id").agg(_sorted_items("ts", "event", "copies").alias("items"))
 
 
-def _heavy_items(rows: DataFrame, slice_unit: str, *keys: str) -> DataFrame:
+def _numbered(rows: DataFrame, slice_rows: int, *keys: str) -> DataFrame:
+    """Distinct rows of heavy users with their number ``at`` in the order, and their ``slice``. Runs a job.
+
+    Ranges of (user, ts, event) cut a user wherever that evens out the partitions; no two rows have one key.
+    """
     distinct = rows.groupBy("user_id", *keys, "ts", "event").agg(F.count(F.lit(1)).alias("copies"))
-    sliced = distinct.withColumn("slice", F.date_trunc(slice_unit, "ts"))
-    return sliced.groupBy("user_id", *keys, "slice").agg(_sorted_items("ts", "event", "copies").alias("items"))
+    order = ("user_id", "ts", "event")
+    ordered = distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    return materialise(ordered, "ordered-rows").withColumn("slice", F.expr(f"at div {slice_rows}"))
+
+
+def _across_slices() -> Any:
+    """Over one row per slice, never over the rows of a user."""
+    return Window.partitionBy("user_id").orderBy("slice")
+
+
+def _onto(rows: DataFrame, slim: DataFrame, *columns: str) -> DataFrame:
+    """Rows with columns of their slice."""
+    of = slim.select(F.col("user_id").alias("of_user"), F.col("slice").alias("of_slice"), *columns)
+    same = rows["user_id"].eqNullSafe(of["of_user"]) & (rows["slice"] == of["of_slice"])
+    return rows.join(of, same).drop("of_user", "of_slice")
+
+
+def _before() -> Column:
+    """Rows in the slices before."""
+    return F.coalesce(F.sum("n").over(_across_slices().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+
+
+def _heavy_sequences(numbered: DataFrame) -> DataFrame:
+    slim = numbered.groupBy("user_id", "slice").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
+    placed = _onto(numbered, slim.select("user_id", "slice", "first_at", _before()), "before", "first_at")
+    return placed.withColumn("pos", F.col("before") + F.col("at") - F.col("first_at") + 1)
+
+
+def _heavy_compressed(numbered: DataFrame) -> DataFrame:
+    """Numbered rows that do not repeat the event before, with ``pos``. Runs a job."""
+    slim = numbered.groupBy("user_id", "slice").agg(F.min("at").alias("first_at"), F.max_by("event", "at").alias("last_event"))
+    earlier = F.lag(F.struct("last_event")).over(_across_slices()).alias("earlier")
+    inside = Window.partitionBy("user_id", "slice").orderBy("at")
+    seamed = _onto(numbered, slim.select("user_id", "slice", "first_at", earlier), "first_at", "earlier")
+    first = F.col("at") == F.col("first_at")
+    previous = F.when(first, F.col("earlier.last_event")).otherwise(F.lag("event").over(inside))
+    repeats = (~first | F.col("earlier").isNotNull()) & F.col("event").eqNullSafe(F.col("previous"))
+    kept = seamed.withColumn("previous", previous).filter(~repeats).drop("previous", "earlier", "first_at")
+    kept = materialise(kept.withColumn("rank", F.row_number().over(inside)), "compressed-rows")
+    slim = kept.groupBy("user_id", "slice").agg(F.count(F.lit(1)).alias("n")).select("user_id", "slice", _before())
+    return _onto(kept, slim, "before").withColumn("pos", (F.col("before") + F.col("rank")).cast("bigint"))
 
 
 def user_sequences(rows: Rows) -> DataFrame:
     """``(user_id, pos, ts, event, copies)``; identical rows are one entry with their number."""
-    light = _explode_positions(_light_items(rows.light, copies=True), False)
-    heavy = _explode_positions(_heavy_items(rows.heavy, rows.slice_unit), True)
-    return light.unionByName(heavy)
+    light = _positions(_light_items(rows.light, copies=True))
+    if rows.heavy is None:
+        return light
+    return light.unionByName(_heavy_sequences(_numbered(rows.heavy, rows.slice_rows)).select(*light.columns))
 
 
 def compressed_sequences(rows: Rows) -> DataFrame:
     """``(user_id, pos, ts, event)`` without consecutive repeats of an event."""
-    shrink = _without_repeats("items")
-    light = _explode_positions(_light_items(rows.light).withColumn("items", shrink), False)
-    pieces = _drop_seam(_heavy_items(rows.heavy, rows.slice_unit).withColumn("items", shrink))
-    heavy = _explode_positions(pieces, True).drop("copies")
-    return light.unionByName(heavy)
+    light = _positions(_light_items(rows.light).withColumn("items", _without_repeats("items")))
+    if rows.heavy is None:
+        return light
+    return light.unionByName(_heavy_compressed(_numbered(rows.heavy, rows.slice_rows)).select(*light.columns))
 
 
 # ------------------------------------------------------------------ journeys
@@ -138,19 +159,20 @@ def compressed_sequences(rows: Rows) -> DataFrame:
 class Journeys:
     """From the start event to the end event, or to the end of the log where that was not reached.
 
-    ``light``: ``(user_id, completed, events)``. ``pieces``: ``(user_id, completed, slice, items)``,
-    the journeys of heavy users cut into time slices.
+    ``light``: ``(user_id, completed, events)``. ``steps``: ``(user_id, completed, slice, pos, event)``, the
+    journeys of heavy users a row a step; None if nobody is heavy.
     """
 
     light: DataFrame
-    pieces: DataFrame
+    steps: DataFrame | None
 
 
 def journeys(rows: Rows, start: str, end: str) -> Journeys:
     """Each user's journey: the last start before the first end after the first start, up to that end;
     for users that never get to the end, everything from the first start on."""
     start, end = path_ends(start, end)
-    return Journeys(_light_journeys(rows.light, start, end), _heavy_pieces(rows.heavy, rows.slice_unit, start, end))
+    steps = None if rows.heavy is None else _heavy_steps(rows.heavy, rows.slice_rows, start, end)
+    return Journeys(_light_journeys(rows.light, start, end), steps)
 
 
 def _light_journeys(rows: DataFrame, start: str, end: str) -> DataFrame:
@@ -178,8 +200,15 @@ def _light_journeys(rows: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def _heavy_pieces(rows: DataFrame, slice_unit: str, start: str, end: str) -> DataFrame:
-    """Bounds by three conditional minima and maxima, then the rows between them in slices."""
+def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows with the state of their user. The state is written: adaptive execution knows its size, and can split the
+    rows of one user if it is too large to broadcast."""
+    known = materialise(state, "heavy-state").withColumnRenamed("user_id", "state_user")
+    return rows.join(known, rows["user_id"].eqNullSafe(known["state_user"])).drop("state_user")
+
+
+def _heavy_steps(rows: DataFrame, slice_rows: int, start: str, end: str) -> DataFrame:
+    """Bounds by three conditional minima and maxima, then the rows between them, compressed. Runs jobs."""
     ts = F.col("ts")
     is_start, is_end = F.col("event") == start, F.col("event") == end
     after_first = ts >= F.col("first_start") if end > start else ts > F.col("first_start")
@@ -187,10 +216,8 @@ def _heavy_pieces(rows: DataFrame, slice_unit: str, start: str, end: str) -> Dat
 
     state = rows.groupBy("user_id").agg(F.min(F.when(is_start, ts)).alias("first_start"))
     state = state.filter(F.col("first_start").isNotNull())
-    state = rows.join(F.broadcast(state), "user_id").groupBy("user_id", "first_start").agg(
-        F.min(F.when(is_end & after_first, ts)).alias("end_at")
-    )
-    state = rows.join(F.broadcast(state), "user_id").groupBy("user_id", "first_start", "end_at").agg(
+    state = _with_state(rows, state).groupBy("user_id", "first_start").agg(F.min(F.when(is_end & after_first, ts)).alias("end_at"))
+    state = _with_state(rows, state).groupBy("user_id", "first_start", "end_at").agg(
         F.max(F.when(is_start & before_end, ts)).alias("last_start")
     )
     bounds = state.select(
@@ -202,9 +229,9 @@ def _heavy_pieces(rows: DataFrame, slice_unit: str, start: str, end: str) -> Dat
     here = F.struct("ts", "event")
     from_start = here >= F.struct(F.col("from_ts").alias("ts"), F.lit(start).alias("event"))
     to_end = here <= F.struct(F.col("to_ts").alias("ts"), F.lit(end).alias("event"))
-    inside = rows.join(F.broadcast(bounds), "user_id").filter(from_start & (F.col("to_ts").isNull() | to_end))
-    pieces = _heavy_items(inside, slice_unit, "completed").withColumn("items", _without_repeats("items"))
-    return _drop_seam(pieces).select("user_id", "completed", "slice", "items")
+    inside = _with_state(rows, bounds).filter(from_start & (F.col("to_ts").isNull() | to_end))
+    steps = _heavy_compressed(_numbered(inside, slice_rows, "completed"))
+    return materialise(steps.select("user_id", "completed", "slice", "pos", "event"), "journey-steps")
 
 
 def journey_sequences(found: Journeys) -> DataFrame:
@@ -212,21 +239,74 @@ def journey_sequences(found: Journeys) -> DataFrame:
     light = found.light.select("user_id", "completed", F.posexplode("events").alias("at", "event")).select(
         "user_id", "completed", (F.col("at") + 1).cast("bigint").alias("pos"), "event"
     )
-    heavy = _explode_positions(found.pieces, True, "completed").select("user_id", "completed", "pos", "event")
-    return light.unionByName(heavy)
+    return light if found.steps is None else light.unionByName(found.steps.drop("slice"))
+
+
+def _whole(steps: DataFrame) -> DataFrame:
+    """``(user_id, events)``: whole journeys of heavy users, each in one row; for results that ask for just that."""
+    listed = F.sort_array(F.collect_list(F.struct("pos", "event")))
+    return steps.groupBy("user_id").agg(F.transform(listed, lambda x: x["event"]).alias("events"))
 
 
 def path_windows(found: Journeys) -> DataFrame:
-    """``(user_id, events)`` of the users that reached the end event.
+    """``(user_id, events)`` of the users that reached the end event. A heavy user's path is one row, as asked for;
+    to count paths use ``path_counts``."""
+    light = found.light.filter("completed").select("user_id", "events")
+    return light if found.steps is None else light.unionByName(_whole(found.steps.filter("completed")))
+
+
+FIRST_STEPS = 1000  # of a heavy user's path, by which it is ordered among paths of as many users
+
 
-    The sorting of a heavy user's window is spread over its slices; only the finished path, which
-    is part of the result, is put together in one row.
+def path_counts(found: Journeys, most: int) -> DataFrame:
+    """``(events, path, users)`` of the ``most`` travelled completed journeys, and the users of all, ``completed_users``.
+
+    Paths are told apart by two hashes over their steps, which are combined map-side for heavy users; only the winners
+    are put together. Among paths of as many users the text decides.
     """
-    heavy = (
-        found.pieces.filter("completed")
-        .select("user_id", F.struct("slice", _names(F.col("items")).alias("names")).alias("piece"))
-        .groupBy("user_id")
-        .agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-        .select("user_id", F.flatten(F.transform("pieces", lambda p: p["names"])).alias("events"))
+
+    def hashed(event: Column, pos: Column) -> list[Column]:
+        return [F.xxhash64(event, pos), F.xxhash64(pos, event)]
+
+    def folded(which: int) -> Column:
+        each = F.transform("events", lambda e, i: hashed(e, (i + 1).cast("bigint"))[which])
+        return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
+
+    digest = ["steps", "h1", "h2"]
+    counted = (
+        found.light.filter("completed")
+        .select("events", F.size("events").cast("bigint").alias("steps"), folded(0).alias("h1"), folded(1).alias("h2"))
+        .groupBy(*digest)
+        .agg(F.count(F.lit(1)).alias("users"), F.min("events").alias("events"))
+        .withColumn("like", F.lit(None).cast(found.light.schema["user_id"].dataType))
+        .withColumn("ordered", F.array_join("events", ARROW))
     )
-    return found.light.filter("completed").select("user_id", "events").unionByName(heavy)
+    if found.steps is not None:
+        done = found.steps.filter("completed")
+        h1, h2 = hashed(F.col("event"), F.col("pos"))
+        opening = F.when(F.col("pos") <= FIRST_STEPS, F.struct("pos", "event"))
+        heavy = done.groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("steps"), F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"),
+            F.sort_array(F.collect_list(opening)).alias("opening"),
+        )
+        text = F.array_join(F.transform("opening", lambda x: x["event"]), ARROW)
+        heavy = heavy.groupBy(*digest).agg(
+            F.count(F.lit(1)).alias("users"), F.min("user_id").alias("like"), F.min(text).alias("ordered")
+        )
+        counted = counted.unionByName(heavy, allowMissingColumns=True).groupBy(*digest).agg(
+            F.sum("users").alias("users"), F.min("events").alias("events"), F.min("like").alias("like"), F.max("ordered").alias("ordered")
+        )
+    counted = materialise(counted, "path-counts")
+    top = counted.orderBy(F.desc("users"), "ordered", "h1").limit(most)
+    if found.steps is not None:
+        top = materialise(top, "top-paths")
+        wanted = top.filter(F.col("events").isNull()).select(F.col("like").alias("of_user"))
+        done = found.steps.filter("completed")
+        own = _whole(done.join(wanted, done["user_id"].eqNullSafe(wanted["of_user"]), "left_semi"))
+        own = own.select(F.col("user_id").alias("of_user"), F.col("events").alias("own"))
+        top = top.join(own, F.col("events").isNull() & top["like"].eqNullSafe(own["of_user"]), "left")
+        top = top.withColumn("events", F.coalesce("events", "own"))
+    total = counted.agg(F.coalesce(F.sum("users"), F.lit(0)).alias("completed_users"))
+    found_paths = top.select("events", F.array_join("events", ARROW).alias("path"), "users", F.lit(True).alias("some"))
+    # One row, so that the users of all paths are there even if no path is.
+    return total.join(found_paths, F.lit(True), "left").select("events", "path", "users", "completed_users")

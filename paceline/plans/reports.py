@@ -13,11 +13,10 @@ from paceline.functions.args import funnel_steps
 from paceline.operators.breakdown import breakdown_entries, top_entries
 from paceline.operators.compare import compare_discoveries, compare_profiles
 from paceline.operators.funnel import export_funnel_segments, funnel_reach, funnel_steps_table
-from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
-from paceline.operators.lookback import within
-from paceline.operators.metrics import insight
+from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy, survey
+from paceline.operators.metrics import weekly_users
 from paceline.operators.paths import journey_map, product_paths
-from paceline.operators.segments import define_segment, discover_events, profile_segment
+from paceline.operators.segments import define_segment, discover_events, discover_together, profile_together
 from paceline.session import materialise
 from paceline.sources.segments import SegmentStore
 
@@ -60,6 +59,7 @@ def conversion_blockers(
     share, difference). Writes the reach once and the two segments cut from it.
     """
     names = funnel_steps(steps)
+    as_of, skew = survey(log, as_of, skew)
     reach = funnel_reach(
         log, users, names, timeframe_days=timeframe_days, conversion_window_days=conversion_window_days,
         properties=properties, as_of=as_of, skew=skew,
@@ -69,11 +69,9 @@ def conversion_blockers(
         store, reach, names, base_name=base_name, stalled_at_step=stalled_at_step, converted=True
     )
     stalled, converted = store.read(stalled_name), store.read(converted_name)
-    found = [
-        discover_events(log, users, s, top_n=top_n, timeframe_days=discovery_days, as_of=as_of)
-        for s in (stalled, converted)
-    ]
-    profiles = [profile_segment(users, s, properties) for s in (stalled, converted)]
+    cohorts = [stalled, converted]
+    found = discover_together(log, users, cohorts, top_n=top_n, timeframe_days=discovery_days, as_of=as_of)
+    profiles = profile_together(users, cohorts, properties)
     label = F.concat_ws("=", "property", "value")
     return _stack([
         _lines(
@@ -105,6 +103,7 @@ def upgrade_paths(
     Sections ``event`` (segment share, population share, lift), ``path`` (users, all completed users)
     and ``journey`` (users, share of start). The event set reaches the paths as a semi-join.
     """
+    as_of, skew = survey(log, as_of, skew)
     rule = {"event": goal, "op": "at_least", "count": 1, "timeframe_days": timeframe_days}
     store.write(segment_name, define_segment(log, users, event_filters=[rule], as_of=as_of))
     doers = store.read(segment_name)
@@ -112,7 +111,7 @@ def upgrade_paths(
     distinctive = materialise(
         discover_events(log, users, doers, top_n=12, timeframe_days=paths_days, as_of=as_of), "distinctive"
     )
-    shared = {"timeframe_days": paths_days, "as_of": as_of, "skew": skew.measured(within(log, paths_days, as_of))}
+    shared = {"timeframe_days": paths_days, "as_of": as_of, "skew": skew}
     paths = product_paths(log, path_start, goal, allowed_events=distinctive, top_n=8, **shared)
     nodes = journey_map(log, journey_start, goal, **shared)
     return _stack([
@@ -144,16 +143,19 @@ def weekly_health(
     ``booster`` and ``blocker`` (affected users, lift, impact).
     """
     names = funnel_steps(steps)
+    as_of, skew = survey(log, as_of, skew)
     options = {
         "timeframe_days": funnel_days, "conversion_window_days": conversion_window_days,
         "properties": properties, "as_of": as_of, "skew": skew,
     }
     parts = []
-    for section, events in (("signups", signup_events), ("engagement", engagement_events)):
-        series = insight(log, events=events, by_week=True, timeframe_days=series_days, as_of=as_of)
-        parts.append(_lines(series, section, F.col("week").cast("string"), "value"))
+    sets = {"signups": signup_events, "engagement": engagement_events}
+    series = materialise(weekly_users(log, sets, timeframe_days=series_days, as_of=as_of), "weekly-users")
+    for section in sets:
+        own = series.filter(F.col(section) > 0)
+        parts.append(_lines(own, section, F.col("week").cast("string"), section))
     # The breakdown's two-step reach is the full reach cut off at step 2.
-    reach = funnel_reach(log, users, names, **options)
+    reach = materialise(funnel_reach(log, users, names, **options), "reach")
     parts.append(
         _lines(
             funnel_steps_table(reach, names), "funnel", F.concat_ws(" ", F.col("step").cast("string"), "event"),

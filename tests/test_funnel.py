@@ -17,7 +17,8 @@ from paceline.operators.funnel import (
     funnel_summary,
     stalled_users,
 )
-from paceline.operators.heavy import SkewPolicy
+from paceline.operators.heavy import SkewPolicy, survey
+from paceline.operators.paths import product_paths
 from paceline.sources.segments import SegmentStore
 
 DAY = datetime(2024, 1, 1)
@@ -44,7 +45,7 @@ def random_rows(seed, users=40, events="abcx", count=1200):
     return rows
 
 
-SKEWS = {"none": SkewPolicy(), "some": SkewPolicy(20, 1000, "hour"), "all": SkewPolicy(0, 10**6, "day")}
+SKEWS = {"none": SkewPolicy(), "some": SkewPolicy(20, 15), "all": SkewPolicy(0, 3)}
 
 
 @pytest.mark.parametrize("skew", ["none", "some"])
@@ -162,16 +163,23 @@ def test_breakdown_equals_plain_restatement(spark, make_log, make_users):
     assert {e.property for e in skipped.collect()} == {"country"}
 
 
-def test_number_of_heavy_users_is_bounded(make_log):
+def test_survey_finds_newest_time_and_heavy_users(make_log):
     rows = [(u, "a", DAY + timedelta(minutes=i)) for u in range(30) for i in range(1 + 40 // (u + 1))]
-    log = make_log(rows)
-    for most in (2, 5, 20):
-        heavy = {r.user_id for r in SkewPolicy(0, most).heavy_users(log).collect()}
-        assert len(heavy) < most
-        share = len(rows) / most
-        assert heavy == {u for u in range(30) if 1 + 40 // (u + 1) > share}
-    assert SkewPolicy(40, 1000).heavy_users(log).count() == 1
-    light, heavy = SkewPolicy(5, 1000).split(log)
-    assert light.count() + heavy.count() == len(rows)
-    measured = SkewPolicy(5, 1000).measured(log)
-    assert measured.split(log)[1].count() == heavy.count() > 0
+    log = make_log([*rows, (None, "a", DAY), (None, "a", DAY + timedelta(hours=9, microseconds=1))])
+    newest, skew = survey(log, None, SkewPolicy(5))
+    assert newest == "2024-01-01 09:00:00.000001" and not skew.nobody
+    assert {r.user_id for r in skew.known.collect()} == {u for u in range(30) if 1 + 40 // (u + 1) > 5}
+    light, heavy = skew.split(log)
+    assert light.count() + heavy.count() == len(rows) + 2 and heavy.count() > 0
+    assert {r.user_id for r in survey(log, None, SkewPolicy(1))[1].known.filter("user_id is null").collect()} == {None}
+    kept, nobody = survey(log, "2024-02-02", SkewPolicy(1000))
+    assert kept == "2024-02-02" and nobody.nobody and nobody.split(log)[1] is None
+    assert survey(log, kept, nobody) == (kept, nobody)
+
+
+def test_rows_without_a_user_are_one_user(make_log):
+    """Also if that user is heavy; funnels need a profile, paths do not."""
+    log = make_log([(1, "a", 0), (1, "b", 1), (None, "a", 0), (None, "x", 0.5), (None, "b", 1)])
+    for skew in (SkewPolicy(), SkewPolicy(0, 2)):
+        found = {r.path: (r.users, r.completed_users) for r in product_paths(log, "a", "b", skew=skew).collect()}
+        assert found == {"a -> b": (1, 2), "a -> x -> b": (1, 2)}
