@@ -23,7 +23,6 @@ BLOCKERS_PER_NODE = 3
 BREAKDOWN_VALUES = 8
 
 ROOT = "{}"
-MOST_BROADCAST_COHORTS = 100_000
 FRONTIER = (
     "signature string, parent string, depth int, filters map<string,string>, path array<string>, sort_key array<string>"
 )
@@ -67,7 +66,7 @@ def _signature(filters: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(filters))))
 
 
-def _members(base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[str]], small: bool) -> DataFrame:
+def _members(base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[str]]) -> DataFrame:
     """Rows of the base that belong to each cohort, tagged with its signature.
 
     A row's key for a set of properties is the signature of its own values, so membership is an
@@ -87,8 +86,7 @@ def _members(base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[st
             complete = complete & test
         keys.append(F.when(complete, F.to_json(own)))
     keyed = base.withColumn("signature", F.explode(F.array(*keys))).filter(F.col("signature").isNotNull())
-    wanted = frontier.select("signature")
-    return keyed.join(F.broadcast(wanted) if small else wanted, "signature")
+    return keyed.join(frontier.select("signature"), "signature")
 
 
 def _with_zeros(frontier: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -110,7 +108,7 @@ def cohort_funnels(
     frontier = base.sparkSession.createDataFrame(listed, "filters map<string,string>")
     frontier = frontier.select(_signature(F.col("filters")).alias("signature")).distinct()
     subsets = sorted({tuple(sorted(f)) for (f,) in listed})
-    members = _members(base, frontier, subsets, len(listed) <= MOST_BROADCAST_COHORTS)
+    members = _members(base, frontier, subsets)
     counts = members.groupBy("signature").agg(*step_counts(len(names), F.col("n")))
     return step_rows(_with_zeros(frontier, counts, len(names)), names, ["signature"])
 
@@ -119,8 +117,8 @@ BLOCKERS = "array<struct<impact: double, property: string, value: string, lift:
 
 
 def _level(
-    base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[str]], small: bool, steps: list[str],
-    properties: Sequence[str], expand: bool,
+    base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[str]], steps: list[str], properties: Sequence[str],
+    expand: bool,
 ) -> DataFrame:
     """The nodes of one level: funnel, worst step, and blockers where the cohort may be expanded.
 
@@ -128,7 +126,7 @@ def _level(
     pairs; the worst pair is picked from it afterwards.
     """
     n = len(steps)
-    members = _members(base, frontier, subsets, small)
+    members = _members(base, frontier, subsets)
     if not expand:
         counts = members.groupBy("signature").agg(*step_counts(n, F.col("n")))
         nodes = _with_zeros(frontier, counts, n).withColumn("worst", worst_loss(n))
@@ -156,7 +154,7 @@ def _level(
     )
     values = (
         stats.filter(F.col("property") != ALL)
-        .join(F.broadcast(open_nodes) if small else open_nodes, "signature")
+        .join(open_nodes, "signature")
         .filter(~F.map_contains_key("filters", F.col("property")))
         .withColumns({"start_users": F.expr("get(starts, pair - 1)"), "end_users": F.expr("get(ends, pair - 1)")})
     )
@@ -215,9 +213,8 @@ def drilldown_tree(
     """All nodes of the tree: ``signature, parent, depth, filters, path, sort_key, at_1 .. at_n,
     worst (lost, step), blockers``.
 
-    Runs one level after the other. The base and each level's nodes are written to the shared
-    folder; the driver learns the next cohorts' definitions if they are few, else only which sets of
-    properties they filter on. Options: ``timeframe_days``, ``conversion_window_days``, ``as_of``, ``skew``.
+    Runs one level after the other. The base, each level's nodes and the next level's cohorts are written to the shared
+    folder; the driver only learns which sets of properties these filter on. Options: ``timeframe_days``, ``conversion_window_days``, ``as_of``, ``skew``.
     """
     names = funnel_steps(steps)
     deepest = as_int(max_depth, 3)
@@ -225,22 +222,15 @@ def drilldown_tree(
     spark = base.sparkSession
     frontier = spark.createDataFrame([(ROOT, "", 0, {}, [], [ROOT])], FRONTIER)
     subsets: list[list[str]] = [[]]
-    small = True
     levels = []
     while subsets:
         expand = len(levels) < deepest
-        nodes = materialise(_level(base, frontier, subsets, small, names, properties, expand), "cohort-level")
+        nodes = materialise(_level(base, frontier, subsets, names, properties, expand), "cohort-level")
         levels.append(nodes)
         if not expand:
             break
-        frontier = _children(nodes)
-        few = frontier.limit(MOST_BROADCAST_COHORTS + 1).collect()
-        small = len(few) <= MOST_BROADCAST_COHORTS
-        if small:  # the definitions of a few cohorts, kept as literals instead of being derived again
-            subsets = [list(on) for on in sorted({tuple(sorted(row["filters"])) for row in few})]
-            frontier = spark.createDataFrame(few, FRONTIER)
-        else:
-            subsets = [list(row["on"]) for row in frontier.select(F.map_keys("filters").alias("on")).distinct().collect()]
+        frontier = materialise(_children(nodes), "cohort-frontier")
+        subsets = [list(row["on"]) for row in frontier.select(F.array_sort(F.map_keys("filters")).alias("on")).distinct().collect()]
     tree = levels[0]
     for level in levels[1:]:
         tree = tree.unionByName(level)

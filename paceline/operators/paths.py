@@ -158,43 +158,20 @@ def _aligned_steps(found: Journeys) -> DataFrame:
     return aligned.withColumns(totals).select("users", *totals, F.posexplode_outer(matched_events).alias("step", "event"))
 
 
-def journey_map(
-    log: DataFrame, start_event: str, end_event: str, *, segment: DataFrame | None = None, **options: Any
-) -> DataFrame:
-    """Nodes ``(step, event, users, pct_of_start)`` along the canonical paths.
-
-    Options: ``timeframe_days``, ``as_of``, ``skew``.
-    """
-    steps = _aligned_steps(_find(log, start_event, end_event, segment, options)).filter(F.col("step").isNotNull())
-    nodes = steps.groupBy("step", "event").agg(F.sum("users").alias("users"), F.first("started_users").alias("started"))
+def _nodes(steps: DataFrame) -> DataFrame:
+    reached = steps.filter(F.col("step").isNotNull())
+    nodes = reached.groupBy("step", "event").agg(F.sum("users").alias("users"), F.first("started_users").alias("started"))
     return nodes.select("step", "event", "users", share("users", "started").alias("pct_of_start")).orderBy(
         "step", F.desc("users"), "event"
     )
 
 
-def journey_paths(
-    log: DataFrame, start_event: str, end_event: str, *, segment: DataFrame | None = None, **options: Any
-) -> DataFrame:
-    """The canonical paths of a journey map as ``(path, users)``."""
-    return canonical_paths(_find(log, start_event, end_event, segment, options)).select("path", "users")
-
-
-def journey_summary(
-    log: DataFrame, start_event: str, end_event: str, *, segment: DataFrame | None = None, **options: Any
-) -> DataFrame:
-    """One row: users that started and completed, and the step after which most users are lost.
-
-    No row if nobody started.
-    """
-    steps = (
-        _aligned_steps(_find(log, start_event, end_event, segment, options))
-        .groupBy("step")
-        .agg(
-            F.sum("users").alias("users"),
-            F.array_join(F.sort_array(F.collect_set("event")), "/").alias("events"),
-            F.first("started_users").alias("started_users"),
-            F.first("completed_users").alias("completed_users"),
-        )
+def _summary(steps: DataFrame) -> DataFrame:
+    steps = steps.groupBy("step").agg(
+        F.sum("users").alias("users"),
+        F.array_join(F.sort_array(F.collect_set("event")), "/").alias("events"),
+        F.first("started_users").alias("started_users"),
+        F.first("completed_users").alias("completed_users"),
     )
     lost = F.col("users") - F.lead("users").over(_whole().orderBy("step"))
     lossy = F.col("lost_users").isNotNull()
@@ -211,3 +188,36 @@ def journey_summary(
             "lost_users",
         )
     )
+
+
+def journey_views(
+    log: DataFrame, start_event: str, end_event: str, *, segment: DataFrame | None = None, **options: Any
+) -> dict[str, DataFrame]:
+    """``nodes``, ``paths`` and ``summary`` of one journey map, from one pass over the log that is written.
+
+    Options: ``timeframe_days``, ``as_of``, ``skew``.
+    """
+    found = _find(log, start_event, end_event, segment, options)
+    steps = materialise(_aligned_steps(found), "aligned-steps")
+    return {"nodes": _nodes(steps), "paths": canonical_paths(found).select("path", "users"), "summary": _summary(steps)}
+
+
+def journey_map(log: DataFrame, start_event: str, end_event: str, **options: Any) -> DataFrame:
+    """Nodes ``(step, event, users, pct_of_start)`` along the canonical paths.
+
+    Options: ``segment``, ``timeframe_days``, ``as_of``, ``skew``.
+    """
+    return _nodes(_aligned_steps(_find(log, start_event, end_event, options.pop("segment", None), options)))
+
+
+def journey_paths(log: DataFrame, start_event: str, end_event: str, **options: Any) -> DataFrame:
+    """The canonical paths of a journey map as ``(path, users)``."""
+    return canonical_paths(_find(log, start_event, end_event, options.pop("segment", None), options)).select("path", "users")
+
+
+def journey_summary(log: DataFrame, start_event: str, end_event: str, **options: Any) -> DataFrame:
+    """One row: users that started and completed, and the step after which most users are lost.
+
+    No row if nobody started.
+    """
+    return _summary(_aligned_steps(_find(log, start_event, end_event, options.pop("segment", None), options)))

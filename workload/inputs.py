@@ -33,6 +33,13 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(_table(spark, sf_dir, "events"), event="event_type")
 
 
+def click_log_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The click log as a table partitioned by day."""
+    path = scratch_path(spark, "clicks-by-day")
+    click_log(spark, sf_dir).withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    return event_log(spark.read.parquet(path), day="day")
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(_table(spark, sf_dir, "orders"), user_id="o_custkey", event="o_orderpriority", ts="o_orderdate")
 

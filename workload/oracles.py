@@ -332,6 +332,15 @@ def oracle_sql() -> dict[str, str]:
     add("event_catalog_orders", LOG_O, catalog)
     values = " UNION ".join(f"SELECT '{p}' AS property, {p} AS value FROM users WHERE {p} IS NOT NULL" for p in PROPERTIES)
     add("property_value_dictionary", USERS, values)
+    add("lookback_by_day", LOG_C, f"SELECT * FROM log WHERE {since(10)}")
+    add("funnel_by_day", f"{CLICKS}, {reach(CLICK_STEPS, 10, 3)}", "SELECT * FROM reach")
+    hits = f"hits AS (SELECT * FROM log WHERE event IN ('purchase', 'click') AND {since(DAYS_C)})"
+    add(
+        "insight_summary_weekly",
+        f"{LOG_C}, {hits}, weeks AS (SELECT date_trunc('week', ts)::DATE AS week, count(DISTINCT user_id) AS n FROM hits GROUP BY week)",
+        """SELECT (SELECT count(DISTINCT user_id) FROM hits) AS total, count(*) AS groups, max(week)::VARCHAR AS item,
+  arg_max(n, week) AS item_value FROM weeks""",
+    )
     add("anchored_lookback", LOG_C, f"SELECT * FROM log WHERE {since(10)}")
     add(
         "insight_unique_users", LOG_O,
@@ -442,6 +451,18 @@ sliced AS (SELECT nation AS value, reached FROM reach JOIN users USING (user_id)
         f"{segments}, {discovery('stalled', 500, 4, 'a')}, {discovery('converted', 500, 4, 'b')}, {compared('a', 'b', ['event'], 'c')}",
         "SELECT * FROM c",
     )
+    add(
+        "compare_highlights_funnel",
+        f"{segments}, {profile('stalled', 0.1, 'a')}, {profile('converted', 0.1, 'b')},"
+        f" {compared('a', 'b', ['property', 'value'], 'c')}",
+        """SELECT CAST(row_number() OVER (ORDER BY abs(delta) DESC, property, value) AS INTEGER) AS rank, property || '=' || value AS item,
+  'stalled' AS segment_a, a_pct, 'converted' AS segment_b, b_pct, delta FROM c QUALIFY rank <= 5""",
+    )
+    add(
+        "profile_summary_converted", f"{segments}, {profile('converted', 0.3, 'p')}",
+        """SELECT (SELECT count(*) FROM converted) AS segment_size, p.* FROM (SELECT 1) LEFT JOIN
+  (SELECT * FROM p ORDER BY abs(relative_change) DESC, property, value LIMIT 1) p ON true""",
+    )
     add(
         "compare_profiles_funnel",
         f"{segments}, {profile('stalled', 0.1, 'a')}, {profile('converted', 0.1, 'b')},"
@@ -469,6 +490,12 @@ sliced AS (SELECT nation AS value, reached FROM reach JOIN users USING (user_id)
     top_paths = """SELECT path, count(*) AS users, (SELECT count(*) FROM windows) AS completed_users FROM windows
   GROUP BY path ORDER BY users DESC, path LIMIT {n}"""
     add("product_paths_clicks", f"{clicks}, {journeys_sql(CLICK_ENDS)}", top_paths.format(n=10))
+    add("product_paths_nowhere", LOG_C, "SELECT NULL::VARCHAR AS path, NULL::BIGINT AS users, 0 AS completed_users")
+    add(
+        "product_paths_summary_clicks", f"{clicks}, {journeys_sql(CLICK_ENDS)}",
+        """SELECT (SELECT count(*) FROM windows) AS completed_users, path AS top_path, count(*) AS top_users FROM windows
+  GROUP BY path ORDER BY top_users DESC, path LIMIT 1""",
+    )
     allowed = quoted(sorted({"2-HIGH", "3-MEDIUM", *ORDER_ENDS}))
     add(
         "product_paths_orders",
@@ -504,6 +531,20 @@ worst AS (SELECT step, events, users - lead(users) OVER (ORDER BY step) AS lost
     # Breakdown and drill-down.
     add("breakdown_entries_orders", f"{ORDERS}, {ORDER_REACH}, {entries('reach', 3, PROPERTIES, 8, 'e')}", "SELECT * FROM e")
     add("breakdown_top", f"{ORDERS}, {ORDER_REACH}, {entries('reach', 3, PROPERTIES, 8, 'e')}", ranked_sides("e"))
+    summary = f"""SELECT (SELECT count(*) FROM reach) AS base_users,
+  {pct('(SELECT count(*) FROM reach WHERE reached >= 3)', '(SELECT count(*) FROM reach)')} AS base_conversion, t.kind, t.property, t.value, t.lift, t.affected_users
+  FROM (SELECT 1) LEFT JOIN (SELECT * FROM sides WHERE rank = 1 ORDER BY kind LIMIT 1) t ON true"""
+    add(
+        "breakdown_summary_top", f"{ORDERS}, {ORDER_REACH}, {entries('reach', 3, PROPERTIES, 8, 'e')}, sides AS ({ranked_sides('e')})",
+        summary,
+    )
+    add(
+        "breakdown_summary_small",
+        f"{ORDERS}, cohort AS (SELECT * FROM users WHERE balance_band = 'negative' AND nation = 'FRANCE'),"
+        f" {reach(ORDER_STEPS, ORDER_DAYS, ORDER_WINDOW, 'cohort')}, {entries('reach', 3, PROPERTIES[:1] + PROPERTIES[2:3], 8, 'e')},"
+        f" sides AS ({ranked_sides('e')})",
+        summary,
+    )
     add(
         "breakdown_filtered",
         f"{ORDERS}, cohort AS (SELECT * FROM users WHERE balance_band = 'mid'),"

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.numeric import share
-from paceline.operators.breakdown import breakdown_entries, top_entries
-from paceline.operators.compare import compare_discoveries, compare_profiles
+from paceline.operators.breakdown import breakdown_entries, breakdown_summary, top_entries
+from paceline.operators.compare import compare_discoveries, compare_profiles, highlights
 from paceline.operators.conform import conformed_event_log, name_conformance, property_conformance
 from paceline.operators.drilldown import cohort_base, cohort_funnels, drilldown_report, drilldown_tree
 from paceline.operators.funnel import (
@@ -22,9 +22,16 @@ from paceline.operators.funnel import (
     stalled_users,
 )
 from paceline.operators.lookback import within
-from paceline.operators.metrics import insight
-from paceline.operators.paths import canonical_paths, journey_map, journey_paths, journey_summary, product_paths
-from paceline.operators.segments import define_segment, discover_events, discovery_summary, profile_segment
+from paceline.operators.metrics import insight, insight_summary
+from paceline.operators.paths import (
+    canonical_paths,
+    journey_map,
+    journey_paths,
+    journey_summary,
+    product_paths,
+    product_paths_summary,
+)
+from paceline.operators.segments import define_segment, discover_events, discovery_summary, profile_segment, profile_summary
 from paceline.operators.sequences import (
     ARROW,
     compressed_sequences,
@@ -40,6 +47,7 @@ from paceline.sources.tables import event_catalog, property_values
 from workload.inputs import (
     PROPERTIES,
     click_log,
+    click_log_by_day,
     customer_profiles,
     fresh_store,
     misspelt_words,
@@ -124,9 +132,25 @@ def anchored_lookback(spark, sf):
     return within(click_log(spark, sf), 10)
 
 
+@_query
+def lookback_by_day(spark, sf):
+    return within(click_log_by_day(spark, sf), 10)
+
+
+@_query
+def funnel_by_day(spark, sf):
+    return funnel_reach(click_log_by_day(spark, sf), customer_profiles(spark, sf), CLICK_STEPS, timeframe_days=10, conversion_window_days=3)
+
+
 # ------------------------------------------------------------------ metrics
 
 
+@_query
+def insight_summary_weekly(spark, sf):
+    shared = {"events": ["purchase", "click"], "timeframe_days": DAYS_C}
+    return insight_summary(insight(click_log(spark, sf), by_week=True, **shared), insight(click_log(spark, sf), **shared))
+
+
 @_query
 def insight_unique_users(spark, sf):
     return insight(order_log(spark, sf), events=["1-URGENT", "2-HIGH"], timeframe_days=365)
@@ -329,9 +353,31 @@ def compare_profiles_funnel(spark, sf):
     return compare_profiles(a, b)
 
 
+@_query
+def compare_highlights_funnel(spark, sf):
+    return highlights(compare_profiles_funnel(spark, sf), "stalled", "converted")
+
+
+@_query
+def profile_summary_converted(spark, sf):
+    _, converted = _order_segments(spark, sf)
+    return profile_summary(profile_segment(customer_profiles(spark, sf), converted, PROPERTIES), converted)
+
+
 # -------------------------------------------------------------------- paths
 
 
+@_query
+def product_paths_nowhere(spark, sf):
+    """Nobody gets there: no path, but the number of users that did."""
+    return product_paths(click_log(spark, sf), "signup", "refund", timeframe_days=DAYS_C)
+
+
+@_query
+def product_paths_summary_clicks(spark, sf):
+    return product_paths_summary(product_paths(click_log(spark, sf), *CLICK_ENDS, timeframe_days=DAYS_C))
+
+
 @_query
 def user_sequences_orders(spark, sf):
     return user_sequences(scoped_rows(order_log(spark, sf), timeframe_days=1000))
@@ -411,6 +457,21 @@ def breakdown_top(spark, sf):
     return top_entries(entries)
 
 
+@_query
+def breakdown_summary_top(spark, sf):
+    reach, users = materialise(_order_reach(spark, sf), "reach"), customer_profiles(spark, sf)
+    return breakdown_summary(reach, ORDER_STEPS, breakdown_entries(reach, users, ORDER_STEPS, PROPERTIES))
+
+
+@_query
+def breakdown_summary_small(spark, sf):
+    """A cohort in which no value has enough users: the base is there, no entry is."""
+    filters = {"balance_band": "negative", "nation": "FRANCE"}
+    reach, users = materialise(_order_reach(spark, sf, filters=filters), "reach"), customer_profiles(spark, sf)
+    entries = breakdown_entries(reach, users, ORDER_STEPS, PROPERTIES, filters=filters)
+    return breakdown_summary(reach, ORDER_STEPS, entries)
+
+
 @_query
 def breakdown_filtered(spark, sf):
     filters = {"balance_band": "mid"}
