@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.common import batches_of, free_name
+from paceline.session import materialise
 
 SENTENCE_END = re.compile(r"[.!?]+(?=\s)|\n")
 WORDS = re.compile(r"\w+")
@@ -73,8 +74,9 @@ def units(docs: DataFrame, rank: Column, min_words: int = 8) -> DataFrame:
 def repeated_units(docs: DataFrame, rank: Column | None = None, min_words: int = 8) -> DataFrame:
     """doc_id, start, end, n_words of every unit to remove, and first_doc_id, first_start of the one that stays.
 
-    The first occurrences are found by an aggregation that combines before its shuffle. A digest has one row there, so the
-    join back to the occurrences is linear, and a very common unit is one that adaptive execution can split.
+    The first occurrences are found by an aggregation that combines before its shuffle, and written: a digest has one row
+    there, so the join back to the occurrences is linear, and as both its sides are dealt out for the join alone, adaptive
+    execution can split the occurrences of a very common unit.
     """
     found = units(docs, F.lit(0) if rank is None else rank, min_words)
     place = F.struct("rank", "doc_id", "start")
@@ -84,6 +86,7 @@ def repeated_units(docs: DataFrame, rank: Column | None = None, min_words: int =
         .filter(F.col("last") > F.col("first"))
         .select("high", "low", "first")
     )
+    first = materialise(first, "first-units")
     return (
         found.join(first, ["high", "low"])
         .filter(place > F.col("first"))
