@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.common import whole_text
+from paceline.session import materialise
 
 
 @dataclass(frozen=True)
@@ -120,6 +121,8 @@ def findings_by_path(versions: DataFrame, ledger_path: str, keys: list[str], rul
     names = [r.name for r in rules]
     known = ledger.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
     wanted = F.filter("findings", lambda x: x["rule"].isin(names)).alias("findings")
+    # Written, so that the join's sides are dealt out for it alone and a blob that very many paths hold can be split.
+    known = materialise(known, "findings")
     addressed = versions.select(*keys, F.sha2(whole_text(), 256).alias("blob"))
     return addressed.join(known, "blob").select(*keys, "blob", wanted)
 
