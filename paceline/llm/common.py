@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+BITMAP_WORDS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +76,26 @@ def free_name(frame: DataFrame, name: str) -> str:
 
 def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
+def bitmap(hashes: DataFrame) -> Column:
+    """The hashes of a one-column frame as a bitmap of fixed size (half a megabyte): an array of 64-bit words, as a scalar.
+
+    What passes it may be in the frame, and what is in the frame passes. It only saves shuffling rows that a join
+    would drop; once it is full it saves nothing and costs no more.
+    """
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(64 * BITMAP_WORDS))
+    marked = hashes.select(div(place, 64).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+    words = marked.groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = hashes.sparkSession.range(BITMAP_WORDS).withColumnRenamed("id", "at").join(words, "at", "left")
+    listed = F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.select(F.transform(listed, lambda x: x["bits"])).scalar()
+
+
+def passes(value: Column, words: Column) -> Column:
+    place = F.pmod(value, F.lit(64 * BITMAP_WORDS))
+    return F.getbit(F.get(words, div(place, 64).cast("int")), (place % 64).cast("int")) == 1

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.llm.common import bitmap, passes
 from paceline.session import materialise
 
 LEAST_WORDS = 5
@@ -59,7 +60,8 @@ def sharing_halves(lines: DataFrame) -> DataFrame:
     """Addresses of the lines of which some other line has a half."""
     each = lines.select(*LINE, F.explode("halves").alias("half"))
     shared = each.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("half")
-    return each.join(shared, "half", "left_semi").select(*LINE).distinct()
+    shared = materialise(shared, "halves")
+    return each.filter(passes(F.col("half"), bitmap(shared))).join(shared, "half", "left_semi").select(*LINE).distinct()
 
 
 def deletion_keys(lines: DataFrame) -> DataFrame:
@@ -73,18 +75,32 @@ def deletion_keys(lines: DataFrame) -> DataFrame:
     placed = words.select(*LINE, "first", "gone", F.xxhash64("word", "gone").alias("here"), F.xxhash64("word", F.col("gone") - 1).alias("moved"))
     left = F.coalesce(F.bit_xor("here").over(before), F.lit(0).cast("long"))
     right = F.bit_xor("moved").over(Window.partitionBy(*LINE)).bitwiseXOR(F.bit_xor("moved").over(upto_here))
-    return placed.select(*LINE, "first", "gone", left.bitwiseXOR(right).alias("key"), F.bit_xor("here").over(Window.partitionBy(*LINE)).alias("whole"))
+    return placed.select(*LINE, "first", "gone", left.bitwiseXOR(right).alias("key"))
 
 
-def candidate_links(keys: DataFrame) -> DataFrame:
-    """h1, h2 of a line and to_h1, to_h2 of another that shares a key with it; the earlier one is ``to``."""
+def whole_key() -> Column:
+    """The hash of a line as it is, by the rule of ``deletion_keys``."""
+    return F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+
+
+def candidate_links(lines: DataFrame) -> DataFrame:
+    """h1, h2 of a line and to_h1, to_h2 of another that shares a key with it; the earlier one is ``to``.
+
+    Keys that no other line has are told from counts of their hashes and go first.
+    """
     target = F.struct("first", *LINE)
-    earliest = keys.groupBy("key", "gone").agg(F.min(target).alias("to"), F.max(target).alias("last")).filter("last > to").select("key", "gone", "to")
+    keys = deletion_keys(lines)
+    wholes = lines.select(whole_key().alias("key"), target.alias("to"))
+    both = F.xxhash64("key", "gone")
+    repeated = keys.select(both.alias("hash")).groupBy("hash").count().filter("count > 1").select("hash")
+    keys = keys.filter(passes(both, bitmap(repeated)) | passes(F.col("key"), bitmap(wholes.select("key"))))
+    keys = materialise(keys, "keys")
+    earliest = keys.groupBy("key", "gone").agg(F.min(target).alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "gone", "to")
+    earliest = materialise(earliest, "earliest")
     replaced = keys.join(earliest, ["key", "gone"]).select(target.alias("of"), "to")
-    wholes = keys.select(F.col("whole").alias("key"), target.alias("to")).distinct()
-    shortened = keys.select("key", target.alias("of")).distinct().join(wholes, "key")
-    both = shortened.select(F.greatest("of", "to").alias("of"), F.least("of", "to").alias("to"))
-    pairs = replaced.unionByName(both).filter("of > to").distinct()
+    shortened = keys.select("key", target.alias("of")).join(wholes, "key")
+    ordered = shortened.select(F.greatest("of", "to").alias("of"), F.least("of", "to").alias("to"))
+    pairs = replaced.unionByName(ordered).filter("of > to").distinct()
     return pairs.select(*[F.col(f"of.{c}").alias(c) for c in LINE], *[F.col(f"to.{c}").alias(f"to_{c}") for c in LINE])
 
 
@@ -108,22 +124,25 @@ def near_duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = materialise(addressed(docs).withColumn("halves", halves()).drop("words"), "lines")
     place = F.struct("doc_id", "line_no")
     reduced = lines.groupBy(*LINE).agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    chosen = reduced.join(sharing_halves(lines), LINE).select(*LINE, "first")
+    chosen = materialise(reduced.join(sharing_halves(lines), LINE).select(*LINE, "first"), "chosen-lines")
+    texts = line_words(docs).withColumn("h1", F.xxhash64("plain")).filter(passes(F.col("h1"), bitmap(chosen.select("h1"))))
     spelt = (
-        addressed(docs)
+        texts.select("doc_id", "line_no", "plain", "h1", F.xxhash64(F.lit(1), "plain").alias("h2"))
         .join(chosen.select(F.col("first.doc_id").alias("at_id"), F.col("first.line_no").alias("line_no"), *LINE, "first"), ["line_no", *LINE])
         .filter(F.col("doc_id").eqNullSafe(F.col("at_id")))
-        .select(*LINE, "first", "words")
+        .select(*LINE, "first", F.split("plain", " ").alias("words"))
         .dropDuplicates(LINE)
     )
     spelt = materialise(spelt, "candidate-lines")
-    links = candidate_links(deletion_keys(spelt))
+    links = candidate_links(spelt)
     of, to = spelt.select(*LINE, F.col("words").alias("a")), spelt.select(*[F.col(c).alias(f"to_{c}") for c in LINE], "first", F.col("words").alias("b"))
     verified = links.join(of, LINE).join(to, ["to_h1", "to_h2"]).filter(within_one_word("a", "b"))
     nearest = verified.groupBy(*LINE).agg(F.min("first").alias("near"))
-    verdicts = reduced.join(nearest, LINE, "left").filter("last > first or near is not null")
+    # Written, so that the occurrences of a very common line are dealt out for the last join alone and can be split.
+    verdicts = materialise(reduced.join(nearest, LINE, "left").filter("last > first or near is not null"), "verdicts")
     return (
-        lines.join(verdicts, LINE)
+        lines.filter(passes(F.col("h1"), bitmap(verdicts.select("h1"))))
+        .join(verdicts, LINE)
         .withColumn("to", F.when(F.col("near").isNotNull(), F.least("first", "near")).otherwise(F.col("first")))
         .filter(place > F.col("to"))
         .select(

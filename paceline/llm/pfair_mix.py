@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import free_name
+from paceline.llm.common import div, free_name
 
 BLOCK_CHARS, CYCLE, DIGITS = 20_000, 200, 3
 KEY = ["doc_id", "source", "content"]
@@ -65,10 +65,6 @@ def source_blocks(docs: DataFrame, parts: dict[str, int] | None, block_chars: in
     return sizes.select("source", blocks, root).select("source", "blocks", F.greatest(F.lit(1).cast("long"), div(cycle * F.col("root"), total)).alias("parts"))
 
 
-def div(a: Column, b: Column | int) -> Column:
-    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
-
-
 def earliest_deadline_first(parts: Column) -> Column:
     """The order in which a cycle takes blocks: an array of positions in ``parts``, one for each slot."""
     slots = F.aggregate(parts, F.lit(0).cast("long"), lambda a, b: a + b)
