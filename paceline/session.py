@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -25,6 +29,26 @@ def build_session(app_name: str = "paceline", master: str | None = None, **extra
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once an application: they need not have it installed.
+
+    The archive lies among the driver's Spark files, from which Spark hands it out.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(SparkFiles.getRootDirectory(), f"{root.name}-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written tables: ``spark.checkpoint.dir`` as the cluster names it, else a folder in the warehouse,
     which all executors share too."""
