@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import HashedWords, batches_of, window_hashes
+from paceline.llm.common import HashedWords, batches_of, bitmap, passes, window_hashes
 from paceline.llm.components import connected_components
 from paceline.session import materialise
 
@@ -45,6 +45,8 @@ class PathSettings:
     bucket: int = 250
     branches: int = 3
     levels: int = 3
+    block_shingles: int = 1_000_000
+    block_sets: int = 2000
 
     @property
     def runs(self) -> int:
@@ -93,11 +95,13 @@ def signatures(docs: DataFrame, s: PathSettings) -> DataFrame:
 def _sized(members: DataFrame) -> DataFrame:
     """Members of buckets of two and more, with the size of their bucket."""
     sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return members.join(sizes, "path")
+    # Written, so that both sides are dealt out for the join alone and a very large bucket can be split.
+    return members.join(materialise(sizes, "sizes"), "path")
 
 
 def buckets(classes: DataFrame, s: PathSettings) -> DataFrame:
-    """path, set_id, size: the buckets in which pairs are to be compared.
+    """path, set_id, blocks: the buckets in which pairs are to be compared, and into how many blocks of some
+    ``block_shingles`` shingles and ``block_sets`` classes at most their members are cut for that.
 
     Buckets with the same members are reduced to one, which loses no pair. Runs a job for each level.
     """
@@ -106,25 +110,31 @@ def buckets(classes: DataFrame, s: PathSettings) -> DataFrame:
     level = materialise(_sized(members), "paths")
     leaves = level.filter(F.col("size") <= s.bucket)
     for depth in range(2, s.levels + 1):
-        large = level.filter(F.col("size") > s.bucket).withColumnRenamed("path", "parent")
-        # The run decides which minhashes are the next tokens.
-        chosen = F.array(*[F.array(*[F.element_at("mins", s.coordinate(r, depth, b) + 1) for b in range(s.branches)]) for r in range(s.runs)])
-        split = large.join(classes.select("set_id", "mins"), "set_id").select(
-            "parent", "set_id", "run", F.col("size").alias("parent_size"), F.posexplode(F.get(chosen, F.col("run"))).alias("branch", "value")
-        )
-        parts = split.withColumn("path", F.xxhash64("parent", "branch", "value")).drop("branch", "value")
-        sizes = parts.groupBy("path", "parent", "parent_size").agg(F.count(F.lit(1)).alias("size"))
-        alike = sizes.groupBy("parent").agg((F.max("size") * 2 >= F.first("parent_size")).alias("alike"))
-        judged = materialise(large.join(alike, "parent"), "paths")
-        leaves = leaves.unionByName(judged.filter("alike").select(F.col("parent").alias("path"), "set_id", "run", "size"))
-        going = judged.filter("not alike").select("parent").distinct()
-        level = materialise(parts.join(going, "parent", "left_semi").join(sizes.filter("size > 1").select("path", "size"), "path").select("path", "set_id", "run", "size"), "paths")
+        large = materialise(level.filter(F.col("size") > s.bucket).withColumnRenamed("path", "parent"), "paths")
+        tokens = large.join(classes.select("set_id", "mins"), "set_id")
+
+        def part(branches: range, members: DataFrame, depth: int = depth) -> DataFrame:
+            """Members by the next tokens; the run decides which minhashes those are."""
+            chosen = F.array(*[F.array(*[F.element_at("mins", s.coordinate(r, depth, b) + 1) for b in branches]) for r in range(s.runs)])
+            split = members.select("parent", "set_id", "run", "size", F.posexplode(F.get(chosen, F.col("run"))).alias("at", "value"))
+            branch = F.col("at") + F.lit(branches.start)
+            return split.select("parent", "set_id", "run", F.col("size").alias("parent_size"), F.xxhash64("parent", branch, "value").alias("path"))
+
+        # One branch tells whether members are alike; the others are only taken if not.
+        sizes = part(range(1), tokens).groupBy("path", "parent", "parent_size").agg(F.count(F.lit(1)).alias("size"))
+        alike = materialise(sizes.groupBy("parent").agg((F.max("size") * 2 >= F.first("parent_size")).alias("alike")), "alike")
+        leaves = leaves.unionByName(large.join(alike.filter("alike"), "parent", "left_semi").select(F.col("parent").alias("path"), "set_id", "run", "size"))
+        parts = part(range(s.branches), tokens.join(alike.filter("not alike"), "parent", "left_semi"))
+        level = materialise(_sized(parts.select("path", "set_id", "run")).select("path", "set_id", "run", "size"), "paths")
         leaves = leaves.unionByName(level.filter((F.col("size") <= s.bucket) | F.lit(depth == s.levels)))
     leaves = leaves.select("path", "set_id", "size").distinct()
     member = F.xxhash64("set_id")
     same = leaves.groupBy("path", "size").agg(F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("y"))
     kept = same.groupBy("size", "x", "y").agg(F.min("path").alias("path")).select("path")
-    return materialise(leaves.join(kept, "path"), "buckets")
+    chosen = materialise(leaves.join(kept, "path").join(classes.select("set_id", "n"), "set_id").select("path", "set_id", "n"), "buckets")
+    needed = F.greatest(F.ceil(F.sum("n") / s.block_shingles), F.ceil(F.count(F.lit(1)) / s.block_sets))
+    blocks = chosen.groupBy("path").agg(needed.cast("int").alias("blocks"))
+    return chosen.drop("n").join(materialise(blocks, "blocks"), "path")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, s: PathSettings) -> DataFrame:
@@ -139,6 +149,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, s: PathSettings) -> DataFra
             yield pa.RecordBatch.from_arrays([batch["set_id"].filter(kept), pa.array(found, pa.binary()).filter(kept)], ["set_id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = texts.filter(passes(F.coalesce("doc_id", F.lit(0)), bitmap(wanted.select(F.coalesce("rep", F.lit(0))))))
     return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("set_id", "text").mapInArrow(build, "set_id binary, shingles binary").dropDuplicates(["set_id"])
 
 
@@ -191,9 +202,8 @@ def compared(leaves: DataFrame, sets: DataFrame, s: PathSettings) -> DataFrame:
     """
     keys = ["path", "low", "high"]
     known = leaves.groupBy("set_id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    blocks = F.ceil(F.col("size") / (2 * s.bucket)).cast("int")
-    block = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    dealt = leaves.select("path", "set_id", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    dealt = leaves.select("path", "set_id", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = dealt.select("path", "set_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     rows = tasks.join(sets.join(known, "set_id"), "set_id")
 
@@ -232,17 +242,18 @@ def near_duplicates(docs: DataFrame, settings: PathSettings = PathSettings()) ->
     """doc_id, class_id (least ``doc_id`` of all it is linked with, over any number of links), n_copies (rows with
     the same shingles) and n_links (other shingle sets within the similarity) of every row."""
     signed = materialise(signatures(docs, settings), "signatures")
-    classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("mins").alias("mins"))
+    classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     classes = materialise(classes, "classes")
     leaves = buckets(classes, settings)
     wanted = classes.join(leaves.select("set_id").distinct(), "set_id", "left_semi").select(F.col("set_id"), "rep")
-    sets = materialise(shingle_sets(docs, wanted, settings), "sets")
-    found = materialise(compared(leaves, sets, settings), "links")
+    found = materialise(compared(leaves, shingle_sets(docs, wanted, settings), settings), "links")
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     labels = connected_components(found.filter("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b")).distinct())
     labelled = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    names = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
+    names = materialise(labelled.groupBy("label").agg(F.min("rep").alias("class_id")), "names")
     settled = labelled.join(names, "label").join(links, "set_id", "left").select("set_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Written, so that rows of a set that very many documents have can be split in the last join.
+    settled = materialise(settled, "settled")
     alone = F.col("set_id").isNull()
     return signed.select("doc_id", "set_id").join(settled, "set_id", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),

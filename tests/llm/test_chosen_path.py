@@ -59,7 +59,7 @@ def corpus():
     return [row(k, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("settings", [PathSettings(), PathSettings(bucket=5), PathSettings(bucket=3, levels=2)])
+@pytest.mark.parametrize("settings", [PathSettings(), PathSettings(bucket=5, block_shingles=700), PathSettings(bucket=3, levels=2, block_shingles=200)])
 def test_equals_all_pairs(spark, make_docs, corpus, settings):
     """Also with buckets so small that every group is split or compared in blocks."""
     same(near_duplicates(make_docs(corpus), settings).collect(), plain(corpus))
@@ -68,7 +68,7 @@ def test_equals_all_pairs(spark, make_docs, corpus, settings):
 def test_a_large_group_of_near_copies(spark, make_docs):
     draw, base = random.Random(3), prose(1, 120)
     rows = [row(k, edited(base, draw, 1)) for k in range(150)] + [row(200 + k, base) for k in range(50)]
-    same(near_duplicates(make_docs(rows), PathSettings(bucket=20)).collect(), plain(rows))
+    same(near_duplicates(make_docs(rows), PathSettings(bucket=20, block_shingles=3000, block_sets=9)).collect(), plain(rows))
 
 
 def test_shared_counts_and_ownership():
