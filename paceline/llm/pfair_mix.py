@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.common import div, free_name
+from paceline.session import materialise
 
 BLOCK_CHARS, CYCLE, DIGITS = 20_000, 200, 3
 KEY = ["doc_id", "source", "content"]
@@ -111,7 +112,7 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 def positions(docs: DataFrame, parts: dict[str, int] | None, block_chars: int, cycle: int, digits: int) -> DataFrame:
     """doc_id, source, content, block_no, slot, block_offset of every distinct document."""
-    sources = source_blocks(docs, parts, block_chars, cycle)
+    sources = materialise(source_blocks(docs, parts, block_chars, cycle), "sources")  # a row a source, read three times
     starts = sources.select(first_cycles(F.collect_list(F.struct("blocks", "parts")))).scalar()
     of = sources.select(F.col("source").alias("of_source"), "blocks", "parts")
     plan = schedule(sources).withColumnsRenamed({"source": "plan_source", "kind": "plan_kind", "nth": "plan_nth"})
@@ -143,8 +144,12 @@ def interleave(
     square root of its characters, in ``cycle`` parts. Only hashes and lengths are laid out; documents are joined to the result once.
     """
     found = positions(docs.select("doc_id", "source", "text"), parts, block_chars, cycle, digits)
-    found = found.select(*[F.col(c).alias(f"_at_{c}") for c in KEY], *[F.col(c).alias(name) for c, name in zip(OUTPUTS, output_names(docs), strict=True)])
-    same = content_hash() == F.col("_at_content")
+    at = {c: free_name(docs, f"_at_{c}") for c in KEY}
+    found = found.select(*[F.col(c).alias(name) for c, name in at.items()], *[F.col(c).alias(name) for c, name in zip(OUTPUTS, output_names(docs), strict=True)])
+    # A column of its own: who needs no text of the result then shuffles none.
+    content = free_name(docs, "_content")
+    hashed = docs.withColumn(content, content_hash())
+    same = F.col(content) == F.col(at["content"])
     for key in ("doc_id", "source"):
-        same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
-    return docs.join(found, same).drop(*[f"_at_{c}" for c in KEY])
+        same = same & F.col(key).eqNullSafe(F.col(at[key]))
+    return hashed.join(found, same).drop(content, *at.values())
