@@ -1,11 +1,16 @@
-"""Exact substring deduplication by lines and sentences: the earliest occurrence of a unit stays, all others go.
+"""Exact substring deduplication by lines, sentences and chosen windows: the earliest occurrence of a unit stays, all others go.
 
 Lines are cut after sentence ends, and sentences of a line are joined until a unit has ``min_words`` words (what is left at
-the end of a line goes to the unit before it). Units are compared by a 128-bit digest of their words in lower case. Digests are
+the end of a line goes to the unit before it). So that passages are found wherever they stand, without regard to lines and
+sentences, windows of ``WINDOW`` words are units too: of any ``REACH`` neighbouring windows the one of least hash (winnowing). A
+passage of at least ``WINDOW + REACH - 1`` words thus has the same windows in every document, and they cover all of it
+but fewer than ``REACH`` words at either end. A letter of a script written without spaces is a word there. Windows are
+compared with windows only, and overlap with sentences and each other. Units are compared by a 128-bit digest of their words in lower case. Digests are
 grouped over all documents; the occurrence of least rank, then ``doc_id``, then position stays. Offsets are code points
 of the original text, ``end`` exclusive.
 
-Defined cases: null and empty texts have no units; a line of fewer words than ``min_words`` is never removed; rows with
+Defined cases: null and empty texts have no units; a line of fewer words than ``min_words`` is only removed inside a repeated window; a
+window that overlaps the earliest occurrence of itself stays, so that runs of one word do not eat themselves; rows with
 one ``doc_id`` and rank are one document, so a repeated row repeats nothing; a null ``doc_id`` or rank comes first; an
 empty table gives an empty table; other columns are ignored; texts of any length are read to the end.
 """
@@ -18,18 +23,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import batches_of, free_name
+from paceline.llm.common import HashedWords, batches_of, free_name, window_hashes
 from paceline.session import materialise
 
 SENTENCE_END = re.compile(r"[.!?]+(?=\s)|\n")
 WORDS = re.compile(r"\w+")
-
-
-def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of the units of a text with at least ``min_words`` words."""
+# Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+PIECES = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+# Words of a window, and neighbouring windows of which one is chosen at least.
+WINDOW, REACH = 24, 8
+# Stands before the first word of a window, so that no sentence equals one.
+WINDOW_MARK = "\n"
+
+
+def text_windows(low: str, hashed: HashedWords) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of the chosen windows of a lower-cased text; they end where the next word starts."""
+    words = PIECES.findall(low)
+    if len(words) < WINDOW + REACH - 1:
+        return
+    starts = np.fromiter((m.start() for m in PIECES.finditer(low)), np.int64, len(words))
+    hashes = window_hashes(hashed.of(words), WINDOW)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, REACH).argmin(axis=1) + np.arange(len(hashes) - REACH + 1)
+    ends = np.append(starts[1:], len(low))
+    for k in np.unique(least).tolist():
+        chosen = words[k : k + WINDOW]
+        chosen[0] = WINDOW_MARK + chosen[0]
+        yield int(starts[k]), int(ends[k + WINDOW - 1]), chosen
+
+
+def text_units(text: str, min_words: int, hashed: HashedWords | None = None) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of the units of a text: sentences of at least ``min_words`` words, then windows."""
     low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     held: tuple[int, int, list[str]] | None = None  # a unit that may still get the rest of its line
     start, words = 0, []
@@ -47,16 +74,18 @@ def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, list[str]]
             if held:
                 yield held
             held, words, start = None, [], end
+    yield from text_windows(low, HashedWords(str) if hashed is None else hashed)
 
 
 def units(docs: DataFrame, rank: Column, min_words: int = 8) -> DataFrame:
     """high, low (the digest), rank, doc_id, start, end, n_words of every unit."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = HashedWords(str)
         for batch in (piece for whole in batches for piece in batches_of(whole)):
             digests, which, places = [], [], []
             for row, text in enumerate(batch["text"].to_pylist()):
-                for start, end, words in text_units(text or "", min_words):
+                for start, end, words in text_units(text or "", min_words, hashed):
                     digests.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
                     which.append(row)
                     places.append((start, end, len(words)))
@@ -82,25 +111,32 @@ def repeated_units(docs: DataFrame, rank: Column | None = None, min_words: int =
     place = F.struct("rank", "doc_id", "start")
     first = (
         found.groupBy("high", "low")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .filter(F.col("last") > F.col("first"))
+        .agg(F.min(F.struct(place.alias("place"), "end")).alias("first"), F.max(place).alias("last"))
+        .filter(F.col("last") > F.col("first.place"))
         .select("high", "low", "first")
     )
-    first = materialise(first, "first-units")
+    first = materialise(first.select("high", "low", "first.place", F.col("first.end").alias("first_end")), "first-units")
+    same_document = F.col("rank").eqNullSafe(F.col("place.rank")) & F.col("doc_id").eqNullSafe(F.col("place.doc_id"))
     return (
         found.join(first, ["high", "low"])
-        .filter(place > F.col("first"))
+        .filter((place > F.col("place")) & ~(same_document & (F.col("start") < F.col("first_end"))))
         .select(
-            "doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")
+            "doc_id", "start", "end", "n_words", F.col("place.doc_id").alias("first_doc_id"), F.col("place.start").alias("first_start")
         )
         .distinct()
     )
 
 
 def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """The documents without the removed spans; ``kept_spans`` holds the places of what stays in the original text."""
+    """The documents without the removed spans, which may overlap; ``kept_spans`` holds the places of what stays in the original text."""
     kept = free_name(docs, "kept_spans")
-    spans = removed.groupBy(F.col("doc_id").alias("_of_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    # Overlapping spans become one: a new one starts where no earlier span reaches.
+    in_order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("start") <= reach, 0).otherwise(1)
+    numbered = removed.select("doc_id", "start", "end").distinct().withColumn("opens", opens).withColumn("span", F.sum("opens").over(in_order))
+    merged = numbered.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = merged.groupBy(F.col("doc_id").alias("_of_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_of_id"]), "left")
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<struct<start: bigint, end: bigint>>"))
     length = F.coalesce(F.length("text"), F.lit(0)).cast("long")

@@ -74,3 +74,32 @@ def test_awkward_rows(spark, awkward, awkward_rows, nothing):
 def test_lower_case_of_another_length(spark, make_docs):
     text = "İstanbul one two three four five six seven eight. " * 2
     assert {tuple(r)[:3] for r in repeated_units(make_docs([row(1, text)])).collect()} == {t[:3] for t in plain([row(1, text)])}
+
+
+def test_repeated_windows_of_51_words_are_found_wherever_they_stand(spark, make_docs):
+    """Against all windows of 51 words: what is repeated goes, but for a few words at the ends of a passage."""
+    plain_words = lambda seed, n: [x.strip(".").lower() for x in prose(seed, n).split()]
+    unmarked, short = plain_words(900, 80), [x.capitalize() + "." if k % 4 == 3 else x for k, x in enumerate(plain_words(901, 90))]
+    rows = [row(k, " ".join([*plain_words(950 + k, 33 + k), *(unmarked if k % 2 else short), *plain_words(970 + k, 41 - k)])) for k in range(1, 7)]
+    han = "".join(chr(0x4E00 + (k * k * 7 + 13 * k) % 5000) for k in range(90))
+    rows += [row(20, f"{han}。"), row(21, f"他说{han[5:80]}吗")]
+    gone = {}
+    for r in repeated_units(make_docs(rows)).collect():
+        gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    seen = set()
+    for r in rows:
+        found = [(m[0].lower(), m.start()) for m in re.finditer(r"[\u4e00-\u9fff]|[a-z]+", r["text"], re.I)]
+        windows = [(tuple(w for w, _ in found[k : k + 51]), k) for k in range(len(found) - 50)]
+        repeated = {k + j for w, k in windows if w in seen for j in range(51)}
+        seen |= {w for w, _ in windows}
+        gone_words = {k for k, (_, at) in enumerate(found) if at in gone.get(r["doc_id"], ())}
+        missed = sorted(repeated - gone_words)
+        assert len(missed) <= 14 and (not repeated or gone_words)
+        assert gone_words <= {k + j for k in repeated for j in range(-7, 8)}
+    assert set(gone) == {3, 4, 5, 6, 21}
+
+
+def test_a_run_of_one_word_keeps_its_first_window(spark, make_docs):
+    docs = make_docs([row(1, "ha " * 200)])
+    left = without_units(docs, repeated_units(docs)).first()["text"]
+    assert 24 <= len(left.split()) < 40
