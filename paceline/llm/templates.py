@@ -2,10 +2,13 @@
 
 A text becomes a sequence of template words: numbers, names (capitalised words inside a sentence; neighbours are one name) and units
 (after a number) turn into typed slots, other words are lower-cased and stripped of punctuation. Windows of ``window``
-template words, at least ``literals`` of them not slots, are hashed; equal hashes of a document and an item are joined.
+template words, at least ``literals`` of them not slots, are hashed; those with fewer are hashed with the values of their
+slots, so they only match as they stand. Equal hashes of a document and an item are joined.
+A capitalised word that starts a sentence may be a name or not: windows that hold one are hashed both ways. Places are
+counted as if it were a name, in documents and items alike.
 Matches of one document and item that lie on one diagonal fill the item's slots: a match counts only if every
 value of a slot is replaced by one value throughout. An item leaks into a document if consistent matches cover at
-least ``coverage`` of its windows.
+least ``coverage`` of its windows, or of those that are not exact.
 
 Defined cases: null and empty texts match nothing, nor do items of fewer than ``literals`` words; items of equal text are
 reported by their least id; an item shorter than a window is one window; repeated documents with one id count
@@ -20,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import batches_of, window_hashes
+from paceline.llm.common import batches_of, mixed, window_hashes
 
 # Words that are numbers, and units that may follow a number.
 NUMBER_WORDS = frozenset(
@@ -38,8 +41,11 @@ UNIT_WORDS = frozenset(
 )
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*%?")
 EDGES = re.compile(r"^[^\w%]+|[^\w%]+$")
+HASH = np.uint64(0xFFFF ^ (1 << 64) - 1)  # the bits of a packed word or a slot's value without its marks
 CAPITAL, NUMERIC, UNIT, SENTENCE_END, NOTHING = 1, 2, 4, 8, 16
 SLOT_NUMBER, SLOT_NAME, SLOT_UNIT = (np.uint64(x << 8) for x in (1, 2, 3))
+# The lowest bits of a slot's value: what it surely is, or a word that may be a name as it starts a sentence.
+OTHER, NAME, MAYBE = (np.uint64(x) for x in (1, 2, 3))
 FILTER_BITS = 22
 
 
@@ -68,64 +74,118 @@ class TemplateWords(dict):
         return found
 
 
-def template(text: str, words: TemplateWords) -> tuple[np.ndarray, np.ndarray]:
-    """(template words, slot values); a slot's word is its type, the value of what is no slot is 0."""
+def _looked_up(text: str, words: TemplateWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed words, marks, whether a sentence starts) of the words that hold more than punctuation."""
     cut = text.split()
     packed = np.fromiter(map(words.__getitem__, cut), np.uint64, len(cut))
     marks = packed.astype(np.uint8)
     starts = np.concatenate([[True], marks[:-1] & SENTENCE_END > 0])[: len(marks)]
     keep = marks & NOTHING == 0
-    packed, marks, starts = packed[keep], marks[keep], starts[keep]
+    return packed[keep], marks[keep], starts[keep]
+
+
+def _slotted(packed: np.ndarray, marks: np.ndarray, starts: np.ndarray, open_names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template words, slot values, place of the first word of each); ``open_names``: sentences may start with names."""
     number = marks & NUMERIC > 0
     unit = (marks & UNIT > 0) & ~number & np.concatenate([[False], number[:-1]])[: len(number)]
-    name = (marks & CAPITAL > 0) & ~starts & ~unit
-    value = packed & ~np.uint64(0xFFFF)
+    name = (marks & CAPITAL > 0) & ~unit
+    maybe = name & starts
+    if not open_names:
+        name = name & ~starts
+    value = packed & HASH
     found = value | np.uint64(1 << 15)  # no word is a slot
     found[number], found[unit], found[name] = SLOT_NUMBER, SLOT_UNIT, SLOT_NAME
     slots = np.where(number | unit | name, value, np.uint64(0))
+    kinds = np.where(name, np.where(maybe, MAYBE, NAME), np.where(slots > 0, OTHER, np.uint64(0)))
+    first = np.arange(len(found))
     if name.any():
-        runs = name & np.concatenate([[False], name[:-1]])  # goes on a name
+        runs = name & ~maybe & np.concatenate([[False], name[:-1]])  # goes on a name
         if runs.any():
             first = np.flatnonzero(~runs)
             order = (np.arange(len(slots)) - np.maximum.accumulate(np.where(runs, 0, np.arange(len(slots))))).astype(np.uint64)
-            found, slots = found[first], np.add.reduceat(slots * (np.uint64(2) * order + np.uint64(1)), first)
-    return found, slots
+            found, slots, kinds = found[first], np.add.reduceat(slots * (np.uint64(2) * order + np.uint64(1)), first), kinds[first]
+    return found, slots | kinds, first
 
 
-def template_windows(found: np.ndarray, slots: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows of ``size`` template words with at least ``literals`` that are no slots."""
-    if len(found) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    plain = np.concatenate([[0], np.cumsum(slots == 0)])
-    at = np.flatnonzero(plain[size:] - plain[:-size] >= min(literals, size))
-    return at, window_hashes(found, size)[at]
+def template(text: str, words: TemplateWords) -> tuple[np.ndarray, np.ndarray]:
+    """(template words, slot values) with words that start sentences as they stand; the value of what is no slot is 0."""
+    return _slotted(*_looked_up(text, words), False)[:2]
+
+
+def _hashes_at(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows that start at some places; never those of ``window_hashes``."""
+    total = np.full(len(at), 0xD6E8FEB86659FD93, np.uint64)
+    for k in range(size):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
+    return mixed(total + np.uint64(size))
+
+
+class Reading:
+    """The windows of a text in both readings of the words that start its sentences."""
+
+    def __init__(self, text: str, words: TemplateWords):
+        looked_up = _looked_up(text, words)
+        self.found, self.slots, first = _slotted(*looked_up, False)
+        self.open_found, self.open_slots, self.open_first = _slotted(*looked_up, True)
+        self.place = np.searchsorted(self.open_first, first, "right") - 1
+        self.exact = np.where(self.slots > 0, self.slots & HASH, self.found)
+
+    def __len__(self) -> int:
+        return len(self.open_found)
+
+    def windows(self, size: int, literals: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, places, hashes, slot values of the text) of literal readings, exact windows and open readings."""
+        needed, parts = min(literals, size), []
+        if len(self.found) < size:
+            parts += [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), self.slots)] * 2
+        if len(self.found) >= size:
+            plain = np.concatenate([[0], np.cumsum(self.slots == 0)])
+            rich = plain[size:] - plain[:-size] < needed
+            at = np.flatnonzero(~rich)
+            parts.append((at, self.place[at], window_hashes(self.found, size)[at], self.slots))
+            at = np.flatnonzero(rich)
+            parts.append((at, self.place[at], _hashes_at(self.exact, at, size), self.slots))
+        return parts
 
 
 def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+def _listed(parts: list[tuple], size: int, passes: np.ndarray | None = None) -> Iterator[tuple[int, int, int, list[int], bool]]:
+    """(place, size, hash, slot values, whether it is exact) of the windows, or of those whose hash passes the filter."""
+    for number, (at, places, hashes, slots) in enumerate(parts):
+        if passes is not None:
+            kept = np.flatnonzero(passes[hashes & np.uint64((1 << FILTER_BITS) - 1)])
+            at, places, hashes = at[kept], places[kept], hashes[kept]
+        for p, place, value in zip(at.tolist(), places.tolist(), hashes.view(np.int64).tolist(), strict=True):
+            filled = slots[p : p + size]
+            yield place, size, value, filled[filled > 0].view(np.int64).tolist(), number == 1
+
+
 def item_windows(items: DataFrame, window: int = 8, literals: int = 5) -> DataFrame:
-    """item_id, item_pos, size, hash, slots, n_windows of every window of every distinct item."""
+    """item_id, item_pos, size, hash, item_slots, exact, n_windows and n_typed (those not only exact) of every window of every distinct item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = TemplateWords()
         for batch in batches:
             rows = []
             for item_id, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found, slots = template(text, words)
-                size = min(window, len(found))
-                if size < literals:
-                    continue
-                at, hashes = template_windows(found, slots, size, literals)
-                rows += [(item_id, int(p), size, int(h), slots[p : p + size][slots[p : p + size] > 0].view(np.int64).tolist(), len(at)) for p, h in zip(at, hashes.view(np.int64), strict=True)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+                reading = Reading(text, words)
+                # A short item is one window in either reading.
+                for size in sorted({min(window, len(reading)), min(window, len(reading.found))}):
+                    if size >= literals:
+                        rows += [(item_id, *rest) for rest in _listed(reading.windows(size, literals), size)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield _rows([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "item_pos", "size", "hash", "item_slots", "n_windows"])
+            yield _rows([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "item_pos", "size", "hash", "item_slots", "exact"])
 
     distinct = items.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
-    schema = "item_id long, item_pos long, size long, hash long, item_slots array<long>, n_windows long"
-    return distinct.select("item_id", "text").mapInArrow(cut, schema)
+    schema = "item_id long, item_pos long, size long, hash long, item_slots array<long>, exact boolean"
+    listed = distinct.select("item_id", "text").mapInArrow(cut, schema)
+    # Windows are counted by their place, as one place may have several hashes.
+    counts = listed.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("n_typed"))
+    return listed.join(counts, "item_id")
 
 
 def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -147,14 +207,9 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], lite
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if not text:
                     continue
-                found, slots = template(text, words)
+                reading = Reading(text, words)
                 for size in sizes:
-                    at, hashes = template_windows(found, slots, size, literals)
-                    hits = np.flatnonzero(passes[hashes & np.uint64((1 << FILTER_BITS) - 1)])
-                    for k in hits:
-                        p = int(at[k])
-                        filled = slots[p : p + size]
-                        rows.append((doc_id, p, size, int(hashes[k : k + 1].view(np.int64)[0]), filled[filled > 0].view(np.int64).tolist()))
+                    rows += [(doc_id, *rest[:4]) for rest in _listed(reading.windows(size, literals), size, passes)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield _rows([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "pos", "size", "hash", "slots"])
@@ -173,25 +228,31 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, literal
         hits.withColumn("pairs", F.arrays_zip("item_slots", "slots"))
         .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
         .agg(
-            F.collect_set("item_pos").alias("at"), F.min("pos").alias("start"), F.max(F.col("pos") + F.col("size")).alias("end"),
-            F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+            F.collect_set("item_pos").alias("at"), F.collect_set(F.when(~F.col("exact"), F.col("item_pos"))).alias("typed_at"), F.min("pos").alias("start"), F.max(F.col("pos") + F.col("size")).alias("end"),
+            F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
         )
     )
     consistent = F.size(F.array_distinct("pairs.item_slots")) == F.size("pairs")
     changed = F.size(F.filter("pairs", lambda x: x["item_slots"] != x["slots"]))
+
+    def share(matched: Column, n: Column) -> Column:
+        return F.struct(F.when(n > 0, matched / n).otherwise(0.0).alias("coverage"), matched.cast("long").alias("matched"), n.alias("n_windows"))
+
     return (
         diagonals.filter(consistent)
         .withColumn("changed", changed)
         .groupBy("doc_id", "item_id")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("matched"),
-            F.first("n_windows").alias("n_windows"),
+            F.greatest(
+                share(F.size(F.array_distinct(F.flatten(F.collect_set("at")))), F.first("n_windows")),
+                share(F.size(F.array_distinct(F.flatten(F.collect_set("typed_at")))), F.first("n_typed")),
+            ).alias("best"),
             F.min("start").alias("start"),
             F.max("end").alias("end"),
             F.max(F.size("pairs")).cast("long").alias("n_slots"),
             F.max("changed").cast("long").alias("n_changed"),
         )
-        .withColumn("coverage", F.col("matched") / F.col("n_windows"))
+        .select("doc_id", "item_id", "best.matched", "best.n_windows", "start", "end", "n_slots", "n_changed", "best.coverage")
     )
 
 

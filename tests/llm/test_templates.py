@@ -62,3 +62,11 @@ def test_repeated_documents_and_null_ids(spark, make_docs, items):
     assert [r["doc_id"] for r in without_leaks(docs, items).collect()] == [6]
 
 
+
+
+def test_items_full_of_numbers_are_found_as_literal_copies(spark, make_docs):
+    texts = ["Find the mean of 3, 5, 7, 9, 11, 13 and 20.", "What is 12 + 7 * 3 - 4 ?", "Which is prime: 4, 6, 8, 9, 10, 12, 14, 15, 16, 17, 18, 20 or 21?"]
+    numeric = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = make_docs([row(k, f"{prose(k, 40)}\n{x}\n{prose(50 + k, 40)}") for k, x in enumerate(texts)] + [row(9, f"{prose(9, 40)}\n{texts[0].replace('9', '8')}"), row(10, "What is 12 + 8 * 3 - 4 ?")])
+    found = {(r["doc_id"], r["item_id"]): r["coverage"] for r in leaks(docs, numeric).collect()}
+    assert found == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0}
