@@ -145,6 +145,12 @@ class Reading:
             parts.append((at, self.place[at], window_hashes(self.found, size)[at], self.slots))
             at = np.flatnonzero(rich)
             parts.append((at, self.place[at], _hashes_at(self.exact, at, size), self.slots))
+        if len(self.open_found) >= size:
+            kind = self.open_slots & np.uint64(3)
+            maybe = np.concatenate([[0], np.cumsum(kind == MAYBE)])
+            plain = np.concatenate([[0], np.cumsum((kind == 0) | (kind == MAYBE))])
+            at = np.flatnonzero((maybe[size:] > maybe[:-size]) & (plain[size:] - plain[:-size] >= needed))
+            parts.append((at, at, window_hashes(self.open_found, size)[at], self.open_slots))
         return parts
 
 
@@ -224,8 +230,14 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, literal
     listed = item_windows(items, window, literals)
     bitmap, sizes = window_filter(listed)
     hits = document_windows(docs, bitmap, sizes, literals).join(listed, ["hash", "size"])
+    marks = 0xFFFF
+
+    def value_pair(x: Column) -> Column:
+        value = [(x[name].bitwiseAND(F.lit(~marks))).alias(name) for name in ("item_slots", "slots")]
+        return F.struct(*value)
+
     diagonals = (
-        hits.withColumn("pairs", F.arrays_zip("item_slots", "slots"))
+        hits.withColumn("pairs", F.transform(F.arrays_zip("item_slots", "slots"), value_pair))
         .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
         .agg(
             F.collect_set("item_pos").alias("at"), F.collect_set(F.when(~F.col("exact"), F.col("item_pos"))).alias("typed_at"), F.min("pos").alias("start"), F.max(F.col("pos") + F.col("size")).alias("end"),
