@@ -6,8 +6,8 @@ template words, at least ``literals`` of them not slots, are hashed; those with
 slots, so they only match as they stand. Equal hashes of a document and an item are joined.
 A capitalised word that starts a sentence may be a name or not: windows that hold one are hashed both ways. Places are
 counted as if it were a name, in documents and items alike.
-Matches of one document and item that lie on one diagonal fill the item's slots: a match counts only if every
-value of a slot is replaced by one value throughout. An item leaks into a document if consistent matches cover at
+Matches of one document and item that lie on one diagonal fill the item's slots: a window counts only if every
+value of its slots is replaced by what replaces it most often on the diagonal, and none does if names change places. An item leaks into a document if consistent matches cover at
 least ``coverage`` of its windows, or of those that are not exact.
 
 Defined cases: null and empty texts match nothing, nor do items of fewer than ``literals`` words; items of equal text are
@@ -230,28 +230,64 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, literal
     listed = item_windows(items, window, literals)
     bitmap, sizes = window_filter(listed)
     hits = document_windows(docs, bitmap, sizes, literals).join(listed, ["hash", "size"])
-    marks = 0xFFFF
 
     def value_pair(x: Column) -> Column:
-        value = [(x[name].bitwiseAND(F.lit(~marks))).alias(name) for name in ("item_slots", "slots")]
-        return F.struct(*value)
+        """Of one slot of an item the value, what fills it in the document, whether it is a name, may be one."""
+        kind = x["item_slots"].bitwiseAND(F.lit(int(MAYBE)))
+        of, by = (x[name].bitwiseAND(F.lit(~0xFFFF)).alias(alias) for name, alias in (("item_slots", "of"), ("slots", "by")))
+        return F.struct(of, by, (kind == int(NAME)).alias("name"), (kind == int(MAYBE)).alias("maybe"))
 
+    def plain(pairs: Column) -> Column:
+        return F.array_distinct(F.transform(pairs, lambda x: F.struct(x["of"].alias("of"), x["by"].alias("by"))))
+
+    def agrees(a: Column, b: Column) -> Column:
+        return (a["of"] == b["of"]) & (a["by"] == b["by"])
+
+    window_row = F.struct("item_pos", "pos", "size", "exact", F.transform(F.arrays_zip("item_slots", "slots"), value_pair).alias("pairs"))
     diagonals = (
-        hits.withColumn("pairs", F.transform(F.arrays_zip("item_slots", "slots"), value_pair))
-        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(
-            F.collect_set("item_pos").alias("at"), F.collect_set(F.when(~F.col("exact"), F.col("item_pos"))).alias("typed_at"), F.min("pos").alias("start"), F.max(F.col("pos") + F.col("size")).alias("end"),
-            F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        .agg(F.collect_set(window_row).alias("windows"), F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"))
+        .withColumn("filled", F.flatten(F.transform("windows", lambda w: w["pairs"])))
+        .withColumn("replaced", plain(F.col("filled")))
+        .withColumn("names", plain(F.filter("filled", lambda x: x["name"])))
+    )
+    # Persons that change places make another story: a name with several new ones, of which one also stands for another name.
+    mixed_up = F.exists(
+        "names",
+        lambda p: (F.size(F.filter("names", lambda q: q["of"] == p["of"])) > 1)
+        & ~F.exists("names", lambda q: (q["of"] == p["of"]) & (q["by"] == p["of"]))
+        & F.exists("names", lambda q: (q["of"] != p["of"]) & (q["by"] == p["by"])),
+    )
+
+    def most_frequent(value: Column) -> Column:
+        """What fills the value in most windows; if several do, the value itself first."""
+        counted = F.transform(
+            F.filter("replaced", lambda r: r["of"] == value),
+            lambda r: F.struct(
+                F.size(F.filter("filled", lambda f: agrees(f, r))).alias("n"), (r["by"] == value).alias("same"), r["of"].alias("of"), r["by"].alias("by")
+            ),
         )
-    )
-    consistent = F.size(F.array_distinct("pairs.item_slots")) == F.size("pairs")
-    changed = F.size(F.filter("pairs", lambda x: x["item_slots"] != x["slots"]))
+        return F.array_max(counted)
+
+    of = F.array_distinct(F.transform("replaced", lambda r: r["of"]))
+    kept = F.filter("windows", lambda w: F.forall(w["pairs"], lambda p: F.exists("chosen", lambda c: agrees(c, p))))
+    changed = F.size(F.filter("pairs", lambda x: x["of"] != x["by"]))
 
     def share(matched: Column, n: Column) -> Column:
         return F.struct(F.when(n > 0, matched / n).otherwise(0.0).alias("coverage"), matched.cast("long").alias("matched"), n.alias("n_windows"))
 
     return (
-        diagonals.filter(consistent)
+        diagonals.filter(~mixed_up)
+        .withColumn("contradicts", F.size(of) < F.size("replaced"))
+        .withColumn("chosen", F.when(F.col("contradicts"), F.transform(of, most_frequent)))
+        .withColumn("windows", F.when(F.col("contradicts"), kept).otherwise(F.col("windows")))
+        .filter(F.size("windows") > 0)
+        .select(
+            "doc_id", "item_id", "n_windows", "n_typed", F.col("windows.item_pos").alias("at"),
+            F.transform(F.filter("windows", lambda w: ~w["exact"]), lambda w: w["item_pos"]).alias("typed_at"),
+            F.array_min("windows.pos").alias("start"), F.array_max(F.transform("windows", lambda w: w["pos"] + w["size"])).alias("end"),
+            plain(F.filter(F.flatten("windows.pairs"), lambda x: ~(x["maybe"] & (x["of"] == x["by"])))).alias("pairs"),
+        )
         .withColumn("changed", changed)
         .groupBy("doc_id", "item_id")
         .agg(

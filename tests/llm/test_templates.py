@@ -81,3 +81,12 @@ def test_names_that_start_sentences_may_change(spark, make_docs):
     found = {r["doc_id"]: r["coverage"] for r in leaks(docs, questions).collect()}
     assert set(found) == {1, 2, 4} and found[1] == 1 and min(found[2], found[4]) > 0.8, found
     assert {r["doc_id"] for r in leaks(make_docs([row(5, other)]), questions).collect()} == {5}
+
+
+def test_one_contradiction_costs_its_windows_alone(spark, make_docs):
+    start = "On a farm with 2 barns there are many hens and Ann counts 2 baskets of eggs each day before she walks to the village"
+    item = f"{start}. There she sells most of the eggs to a baker, who gives her bread and some butter for the week, and how much is left for the family?"
+    texts = [item.replace("2 baskets", "3 baskets"), item.replace("2 barns", "5 barns").replace("2 baskets", "7 baskets")]
+    questions = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r["coverage"] for r in leaks(make_docs([row(k, x) for k, x in enumerate(texts)]), questions).collect()}
+    assert set(found) == {0, 1} and all(0.6 < x < 1 for x in found.values())
