@@ -4,7 +4,9 @@ Markup is stripped so that every block element starts a line. A line weighs as m
 lies in a menu, form, footer, advert, comment section or the like, or outside the page's ``article`` or ``main`` element if it has
 one, or if it is mostly links and the page has none. Over the weights run windows of ``window`` lines: text begins where
 their sum surges and ends where it dives to zero. With an article all stretches between surge and dive
-are kept, otherwise the heaviest and those at least ``share`` as heavy. Weightless lines inside a stretch are not text.
+are kept, otherwise the heaviest, those at least ``share`` as heavy, those with a line that reads like text by itself, and
+those in the very element that holds one of these. Names of classes and ids set an element apart only as whole tokens or
+known compounds, and not if it holds most of the page's text or its only article. Weightless lines inside a stretch are not text.
 
 Character references are decoded, white space inside a line is one space, lines are joined by a line break.
 
@@ -44,29 +46,50 @@ OUTSIDE_NAMES = frozenset(
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# What may stand beside such a name in a class or id ("main-nav", "ad-box"); with any other part it says something else ("has-sidebar").
+BESIDE = frozenset(
+    "site page main top bottom left right primary secondary global box container wrapper wrap block section area list bar links buttons form"
+    " posts articles stories panel item items inner header body text title content count icons link button slot unit group column col".split()
+)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|"[^"]*"|'[^']*'""")
+HARD, NAMED = 1, 2
+PROSE_CHARS, SENTENCE = 40, re.compile(r"""[.!?\u2026\u3002\uff01\uff1f:]["')\]\u201d\u2019\u00bb]*$""")
+
+
+def names_outside(words: str) -> bool:
+    """Whether a class or id names something beside the text, by a whole token or a compound."""
+    for token in words.split():
+        parts = {x for x in re.split("[_-]+", token) if x and not x.isdigit()}
+        if re.sub("[_-]", "", token) in OUTSIDE_NAMES or not OUTSIDE_NAMES.isdisjoint(parts) and parts <= OUTSIDE_NAMES | BESIDE:
+            return True
+    return False
 
 
-def set_apart(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is none of the page's text."""
+def set_apart(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is none of the page's text: ``HARD`` by what it is, ``NAMED`` by its class or id, else 0."""
     if tag in OUTSIDE or tag == "header" and not in_article:
-        return True
+        return HARD
+    found = 0
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, words = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and words == "true" or name == "role" and words in OUTSIDE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body"):
-            if not OUTSIDE_NAMES.isdisjoint([*re.split(r"[\s_-]+", words), *re.sub("[_-]", "", words).split()]):
-                return True
-    return False
+            return HARD
+        if name in ("class", "id") and tag not in ("html", "body") and names_outside(words):
+            found = NAMED
+    return found
 
 
-def page_lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, characters of it in links, set apart, in an article) of every line of a page that shows text."""
-    open_elements: list[tuple[str, bool, bool]] = []  # tag, and whether what is around it is set apart, in an article
+def is_prose(text: str) -> bool:
+    """Whether a line reads like text by itself: long, or some words that end a sentence."""
+    return len(text) >= PROSE_CHARS or SENTENCE.search(text) is not None and (len(text.split()) >= 4 or len(text) >= 15)
+
+
+def read_lines(page: str) -> Iterator[tuple[str, int, bool, tuple[int, ...], bool, tuple[int, ...]]]:
+    """(text, characters of it in links, set apart, elements around it that are so by name, in an article, all elements around it)."""
+    open_elements: list[tuple[str, bool, tuple[int, ...], bool, tuple[int, ...]]] = []  # tag, and what is around it
     parts: list[str] = []
     links = shown = at = 0
-    in_link, apart, article, paragraph_apart = False, False, False, False
+    in_link, apart, named, article, around, paragraph = False, False, (), False, (), 0
     while True:
         match = MARKUP.search(page, at)
         piece = page[at : match.start()] if match else page[at:]
@@ -78,8 +101,8 @@ def page_lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         if not match or tag in BLOCKS:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                yield text, links, apart or paragraph_apart, article
-            parts, links, paragraph_apart = [], 0, False
+                yield text, links, apart or paragraph == HARD, (*named, -at) if paragraph == NAMED else named, article, around
+            parts, links, paragraph = [], 0, 0
         if not match:
             return
         at = match.end()
@@ -92,25 +115,59 @@ def page_lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         elif tag == "a":
             in_link = not closing
         elif tag == "p" and not closing:
-            paragraph_apart = set_apart(tag, match[3], article)
+            paragraph = set_apart(tag, match[3], article)
         elif tag in HOLDERS and not closing:
-            open_elements.append((tag, apart, article))
-            apart = apart or set_apart(tag, match[3], article)
+            open_elements.append((tag, apart, named, article, around))
+            kind, shown = set_apart(tag, match[3], article), shown + 1
+            apart, around = apart or kind == HARD, (*around, shown)
+            if kind == NAMED:
+                named = (*named, shown)
             article = article or tag in ("article", "main")
         elif tag in HOLDERS and any(x[0] == tag for x in open_elements):
             while True:
-                name, apart, article = open_elements.pop()
+                name, apart, named, article, around = open_elements.pop()
                 if name == tag:
                     break
 
 
+def lines_around(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
+    """(text, characters of it in links, set apart, in an article, elements around it) of every line of a page that shows text.
+
+    An element set apart by its name is not if it holds most of the page's text, or its only article.
+    """
+    lines = list(read_lines(page))
+    texts = [(len(text), named, article) for text, links, apart, named, article, _ in lines if not apart and 2 * links <= len(text)]
+    elsewhere = any(article and not named for _, named, article in texts)
+    released: set[int] = set()
+    if not elsewhere and any(named for _, named, _ in texts):
+        sizes: dict[int, int] = {}
+        holds: dict[int, bool] = {}
+        for size, named, article in texts:
+            for k in named:
+                sizes[k] = sizes.get(k, 0) + size
+                holds[k] = holds.get(k, False) or article and k == named[-1]
+        total = sum(size for size, _, _ in texts)
+        heaviest = {k for k, size in sizes.items() if 2 * size > total}
+        with_article = [k for k in sizes if holds[k] and k > 0]
+        if with_article:  # the article that weighs most, and what is around it
+            best = max(with_article, key=sizes.__getitem__)
+            heaviest |= next({*named} for _, named, article in texts if article and named and named[-1] == best)
+        released = heaviest
+    return [(text, links, apart or not released.issuperset(named), article, around) for text, links, apart, named, article, around in lines]
+
+
+def page_lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
+    """(text, characters of it in links, set apart, in an article) of every line of a page that shows text."""
+    return (line[:4] for line in lines_around(page))
+
+
 def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
-    lines = list(page_lines(page or ""))
+    lines = lines_around(page or "")
     if not lines:
         return ""
-    bounded = any(article and not apart for _, _, apart, article in lines)
+    bounded = any(article and not apart for _, _, apart, article, _ in lines)
     weights = np.array(
-        [0 if apart or (not article if bounded else 2 * links > len(text)) else len(text) for text, links, apart, article in lines], np.int64
+        [0 if apart or (not article if bounded else 2 * links > len(text)) else len(text) for text, links, apart, article, _ in lines], np.int64
     )
     # Sums over windows that end at or after a line; a stretch runs from a surge to the next dive.
     sums = np.convolve(weights, np.ones(window, np.int64))[: len(weights)]

@@ -57,3 +57,17 @@ def test_table(spark):
     article = PAGES["article"][1]
     assert found == sorted([(1, "u1", article, len(article))] * 2 + [(2, None, "", 0), (None, "u3", "", 0), (4, "u4", long, len(long))], key=str)
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("attributes", [
+    "class='has-sidebar'", "class='no-sidebar'", "class='content-with-sidebar'", "class='post comments-open'", "class='entry-content share-enabled'",
+    "class='related-work'", "style='overflow:hidden'", "data-hidden='false'", "title='a hidden gem'", "data-role='search'", "data-x='class=ad'",
+])
+def test_names_that_say_something_else(attributes):
+    for tag in ("div", "section", "article"):
+        assert main_text(f"{MENU}<div>{BODY}</div><{tag} {attributes}>{BODY}</{tag}>" if tag != "article" else f"{MENU}<{tag} {attributes}>{BODY}</{tag}>") == (TEXT if tag == "article" else f"{TEXT}\n{TEXT}")
+
+
+def test_a_name_around_most_of_the_text_is_no_sidebar():
+    assert main_text(f"<div class='sidebar'><article>{BODY}</article></div><div class='ad'>Buy this now, it is good.</div>") == TEXT
+    assert main_text(f"<div class='widget'>{BODY}</div><p>By them.</p><div class='main-nav'>Somewhere else</div>") == f"{TEXT}\nBy them."
