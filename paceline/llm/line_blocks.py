@@ -172,10 +172,14 @@ def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
     # Sums over windows that end at or after a line; a stretch runs from a surge to the next dive.
     sums = np.convolve(weights, np.ones(window, np.int64))[: len(weights)]
     rising = np.flatnonzero(np.diff(sums > 0, prepend=False, append=False))
-    stretches = [(a, b) for a, b in zip(rising[::2], rising[1::2], strict=True)]
-    heavy = max((weights[a:b].sum() for a, b in stretches), default=0)
-    kept = [k for a, b in stretches if bounded or weights[a:b].sum() >= share * heavy for k in range(a, b) if weights[k]]
-    return "\n".join(lines[k][0] for k in kept)
+    stretches = [[k for k in range(a, b) if weights[k]] for a, b in zip(rising[::2], rising[1::2], strict=True)]
+    if not bounded:
+        heavy = max((weights[x].sum() for x in stretches), default=0)
+        texts = [x for x in stretches if weights[x].sum() >= share * heavy or any(is_prose(lines[k][0]) for k in x)]
+        # What stands in the very element that holds lines of such a stretch belongs to it, however slight.
+        holders = {lines[k][4] for x in texts for k in x if lines[k][4]}
+        stretches = [x for x in stretches if x in texts or any(lines[k][4] in holders for k in x)]
+    return "\n".join(lines[k][0] for x in stretches for k in x)
 
 
 def extract_main_text(pages: DataFrame, window: int = 3, share: float = 0.25) -> DataFrame:

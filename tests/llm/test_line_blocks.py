@@ -71,3 +71,11 @@ def test_names_that_say_something_else(attributes):
 def test_a_name_around_most_of_the_text_is_no_sidebar():
     assert main_text(f"<div class='sidebar'><article>{BODY}</article></div><div class='ad'>Buy this now, it is good.</div>") == TEXT
     assert main_text(f"<div class='widget'>{BODY}</div><p>By them.</p><div class='main-nav'>Somewhere else</div>") == f"{TEXT}\nBy them."
+
+
+def test_slight_stretches_of_prose_or_of_one_container_stay():
+    """Without an article, three set-apart lines and a much longer text before them cost no closing line."""
+    adverts, long = "<div class='ad'>Buy now.</div>" * 4, "".join(f"<p>{x}</p>" for x in MAIN * 8)
+    wanted = "\n".join([TEXT] * 8)
+    assert main_text(f"<p>A short word to begin with.</p>{adverts}{long}{adverts}<p>And that was all of it.</p>") == f"A short word to begin with.\n{wanted}\nAnd that was all of it."
+    assert main_text(f"<div>{long}{adverts}<p>The end</p></div>{MENU}<div>Tiny</div>") == f"{wanted}\nThe end"
