@@ -2,7 +2,7 @@
 
 Documents are dealt out in ascending ``doc_id`` order, encoded, and their ids gathered in shards.
 Within a shard frequent pairs of neighbouring symbols are replaced by new symbols (nonterminals), the most
-frequent first, until no pair is frequent any more; a rule holds the pair and the number of ids it expands to. No
+frequent first, in ``rounds`` rounds at most, so that frequent pairs may remain; a rule holds the pair and the number of ids it expands to. No
 rule crosses the end of a document, so every document is a run of symbols and any range of its ids can be
 decoded from the expansion lengths, without its neighbours.
 
