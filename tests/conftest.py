@@ -15,7 +15,6 @@ sys.path.insert(0, str(ROOT))
 from paceline.session import build_session  # noqa: E402
 
 LOG = "user_id bigint, event string, ts timestamp_ntz"
-PROPERTIES = ["plan", "country"]
 USERS = "user_id bigint, plan string, country string"
 
 

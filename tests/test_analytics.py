@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import PROPERTIES
+from profiles import PROPERTIES
 from paceline.plans.analytics import Analytics
 from paceline.plans.reports import conversion_blockers, upgrade_paths, weekly_health
 from paceline.session import scratch_path

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 import plain
-from conftest import PROPERTIES
+from profiles import PROPERTIES
 from paceline.operators.drilldown import cohort_base, cohort_funnels, drilldown_report, drilldown_tree
 from paceline.operators.heavy import SkewPolicy
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 import plain
-from conftest import PROPERTIES
+from profiles import PROPERTIES
 from paceline.functions.numeric import missing_share
 from paceline.operators.breakdown import breakdown_entries, top_entries
 from paceline.operators.funnel import (

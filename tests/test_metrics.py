@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 
-from conftest import PROPERTIES
+from profiles import PROPERTIES
 from paceline.operators.lookback import within
 from paceline.operators.metrics import insight
 from paceline.sources.tables import event_catalog, event_log, property_values

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import PROPERTIES
+from profiles import PROPERTIES
 from paceline.operators.funnel import funnel_reach, funnel_steps_table
 from paceline.operators.heavy import SkewPolicy
 from paceline.operators.lookback import within

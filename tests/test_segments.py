@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PROPERTIES
+from profiles import PROPERTIES
 from paceline.operators.compare import compare_discoveries, compare_profiles
 from paceline.operators.segments import define_segment, discover_events, discovery_summary, profile_segment
 from paceline.sources.segments import SegmentStore
