@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest import prose, row
+from corpus_rows import prose, row
 from pyspark.sql import functions as F
 
 from paceline.llm.adaptive_rules import apply_rules, leading_bits, measure, quartiles, repeated_words, sketches

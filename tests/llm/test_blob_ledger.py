@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from conftest import row
+from corpus_rows import row
 from pyspark.sql import functions as F
 
 from paceline.llm.blob_ledger import BASE, RULES, Rule, findings_by_path, read_ledger, scan_text, scan_unseen, scan_versions, spans_text

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import prose, row
+from corpus_rows import prose, row
 
 from paceline.llm.chosen_path import PathSettings, compare, near_duplicates, one_of_each, shared_counts, word_form
 from paceline.llm.components import connected_components

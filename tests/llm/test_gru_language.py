@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import CLASHING, prose, row
+from corpus_rows import CLASHING, prose, row
 
 from paceline.llm.gru_language import GruLabeller, GruSettings, identify_languages, label_positions, learn_languages, remainder, with_language
 

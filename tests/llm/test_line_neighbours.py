@@ -6,7 +6,7 @@ import random
 import re
 
 import pytest
-from conftest import prose, row
+from corpus_rows import prose, row
 
 from paceline.llm.line_neighbours import near_duplicate_lines, without_lines
 

@@ -8,7 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
-from conftest import CLASHING, row
+from corpus_rows import CLASHING, row
 from pyspark.sql import functions as F
 
 from paceline.llm.pfair_mix import earliest_deadline_first, interleave, schedule

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import prose, row
+from corpus_rows import prose, row
 
 import __spark_entry__ as registered
 import check_oracles

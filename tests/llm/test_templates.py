@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import prose, row
+from corpus_rows import prose, row
 
 from paceline.llm.templates import TemplateWords, leaks, template, template_matches, without_leaks
 

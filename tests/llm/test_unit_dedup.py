@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import prose, row
+from corpus_rows import prose, row
 from pyspark.sql import functions as F
 
 from paceline.llm.unit_dedup import repeated_units, text_units, without_units
