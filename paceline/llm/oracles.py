@@ -131,5 +131,39 @@ FROM timed t JOIN plan ON t.source = plan.source AND t.f = plan.f AND block_no -
 """
 
 
+# The nearest border of a group or of a row is found by sorting everything; crc32 goes byte by byte over a table of 256 codes.
+OP11 = r"""
+WITH RECURSIVE step AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS n FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM step WHERE n < 8),
+codes AS (SELECT list(c ORDER BY i) AS codes FROM step WHERE n = 8),
+texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+crcs AS (
+  SELECT text, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, codes[(xor(c, b) & 255) + 1]))) AS crc
+  FROM (SELECT DISTINCT text FROM texts), codes),
+sized AS (
+  SELECT k, doc_id, strlen(text) + 16 AS size, crc, ('0x' || substr(md5(text), 1, 15))::BIGINT AS text_key,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS id_key
+  FROM texts JOIN crcs USING (text)),
+laid AS (
+  SELECT *, sum(size) OVER (ORDER BY text_key, id_key, k) - size AS below, sum(size) OVER () AS total FROM sized),
+grouped AS (
+  SELECT *, min(below) OVER (PARTITION BY text_key) AS group_start, max(below + size) OVER (PARTITION BY text_key) AS group_end FROM laid),
+hit AS (
+  SELECT i, total, i * total AS goal, 40 * group_start AS gs, 40 * group_end AS ge, 40 * below AS rs, 40 * (below + size) AS re
+  FROM grouped, range(1, 40) t(i) WHERE i * total >= 40 * below AND i * total < 40 * (below + size)),
+near AS (
+  SELECT i, total, goal, CASE WHEN goal - gs <= ge - goal THEN gs ELSE ge END AS by_group,
+    CASE WHEN goal - rs <= re - goal THEN rs ELSE re END AS by_row FROM hit),
+borders AS (SELECT CASE WHEN 1000 * abs(by_group - goal) <= total THEN by_group ELSE by_row END // 40 AS border FROM near),
+dealt AS (SELECT l.*, (SELECT count(*) FROM borders WHERE border <= below)::INTEGER AS shard FROM laid l)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY below) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM dealt
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7, "op8_chosen_path_join": OP8, "op10_pfair_mix": OP10}
+    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7, "op8_chosen_path_join": OP8, "op10_pfair_mix": OP10, "op11_histogram_sort": OP11}

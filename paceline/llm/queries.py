@@ -12,6 +12,7 @@ from paceline.llm.blob_ledger import BASE, count_of, scan_versions, spans_text
 from paceline.llm.chosen_path import near_duplicates
 from paceline.llm.common import table
 from paceline.llm.gru_language import identify_languages
+from paceline.llm.histogram_sort import shard_documents
 from paceline.llm.line_blocks import extract_main_text
 from paceline.llm.line_neighbours import near_duplicate_lines
 from paceline.llm.pfair_mix import interleave
@@ -73,5 +74,11 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "block_no", "slot", "block_offset")
 
 
+def op11_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of near-equal bytes; texts are read, and only their digests passed on."""
+    found = shard_documents(table(spark, sf_dir, "documents"), 40, ["doc_id"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks, op10_pfair_mix)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks, op10_pfair_mix, op11_histogram_sort)}

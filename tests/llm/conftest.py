@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from corpus_rows import CLASHING, SCHEMA, prose, row
 
+
 @pytest.fixture(scope="session")
 def make_docs(spark, tmp_path_factory):
     """Rows (dictionaries) written as Parquet files and read back; extra keys become columns."""
