@@ -165,5 +165,34 @@ FROM dealt
 """
 
 
+def op13(rounds: int = 10) -> str:
+    """All rounds of comparing every vector with every centroid, one after the other. Products of components are exact as doubles."""
+    assign = """
+of{n} AS MATERIALIZED (
+  SELECT r, any_value(v) AS v, min({{'d': norm - 2 * list_inner_product(v, w)::BIGINT + list_inner_product(w, w)::BIGINT, 'c': c}}) AS best
+  FROM kept, centroids{n} GROUP BY r),"""
+    move = """
+sums{n} AS (
+  SELECT best.c AS c, i, sum(x::BIGINT)::BIGINT AS s, count(*) AS n
+  FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM of{m}) GROUP BY ALL),
+centroids{n} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.w, o.w) AS w
+  FROM centroids{m} o LEFT JOIN (SELECT c, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS w FROM sums{n} GROUP BY c) m USING (c)),"""
+    steps = assign.format(n=0) + "".join(move.format(n=n, m=n - 1) + assign.format(n=n) for n in range(1, rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, v, list_inner_product(v, v)::BIGINT AS norm
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)),
+centroids0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INTEGER AS c, v AS w FROM kept
+  QUALIFY c < 8),{steps}
+named AS (SELECT c, sha256(array_to_string(list_transform(w, lambda x: x::BIGINT), ',')) AS name FROM centroids{rounds})
+SELECT vec_id, c AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+  sum(best.d) OVER ()::BIGINT AS inertia, name AS centroid_sha256
+FROM of{rounds} JOIN kept USING (r) JOIN named ON named.c = best.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7, "op8_chosen_path_join": OP8, "op10_pfair_mix": OP10, "op11_histogram_sort": OP11}
+    return {"op4_adaptive_rules": OP4, "op7_line_neighbours": OP7, "op8_chosen_path_join": OP8, "op10_pfair_mix": OP10, "op11_histogram_sort": OP11, "op13_heap_kmeans": op13()}

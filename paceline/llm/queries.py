@@ -12,6 +12,7 @@ from paceline.llm.blob_ledger import BASE, count_of, scan_versions, spans_text
 from paceline.llm.chosen_path import near_duplicates
 from paceline.llm.common import table
 from paceline.llm.gru_language import identify_languages
+from paceline.llm.heap_kmeans import cluster_vectors
 from paceline.llm.histogram_sort import shard_documents
 from paceline.llm.line_blocks import extract_main_text
 from paceline.llm.line_neighbours import near_duplicate_lines
@@ -80,5 +81,9 @@ def op11_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks, op10_pfair_mix, op11_histogram_sort)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks, op10_pfair_mix, op11_histogram_sort, op13_heap_kmeans)}
