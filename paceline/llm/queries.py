@@ -19,6 +19,7 @@ from paceline.llm.line_neighbours import near_duplicate_lines
 from paceline.llm.pfair_mix import interleave
 from paceline.llm.repair import document_index, encode_shards
 from paceline.llm.templates import leaks
+from paceline.llm.token_groups import align_tokenizers
 from paceline.llm.unit_dedup import repeated_units
 from paceline.session import scratch_path
 
@@ -81,9 +82,13 @@ def op11_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 def op13_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks, op10_pfair_mix, op11_histogram_sort, op13_heap_kmeans)}
+    return {f.__name__: f for f in (op1_repair_token_shards, op2_gru_language, op3_template_leaks, op4_adaptive_rules, op5_unit_dedup, op6_blob_ledger, op7_line_neighbours, op8_chosen_path_join, op9_line_blocks, op10_pfair_mix, op11_histogram_sort, op12_token_groups, op13_heap_kmeans)}
