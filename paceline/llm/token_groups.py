@@ -19,12 +19,14 @@ ignored; texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,10 @@ HEAVY = 1 << 16
 #: A pair as one number: id of A * PAIR + id of B.
 PAIR = 1 << 32
 SPACE_MARK = "▁"  # fixed value: how sentencepiece writes a space
+#: White space besides spaces and line breaks, and what some call so.
+UNUSUAL = re.compile("[\t\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+WHITE = " \t\n\x0b\x0c\r"
+FIRST, CHUNK, MOST_WORDS = " a", 4096, 600_000
 
 
 class Pool:
@@ -93,6 +99,7 @@ class TwoTokenizers:
         names = [self.a.id_to_token(k) or "" for k in range(self.a.get_vocab_size())]
         self.bytes_a = Pool([bytes(byte_of[c] for c in x) if all(c in byte_of for c in x) else b"" for x in names])
         self.bytes_b = Pool([self._piece(k) for k in range(self.b.get_piece_size())])
+        self.forget()
         self.digits = Pool([f"{mark}{k}".encode() for mark in ",;|" for k in range(max(len(names), self.b.get_piece_size()))])
 
     def _piece(self, k: int) -> bytes:
@@ -101,14 +108,13 @@ class TwoTokenizers:
             return bytes([int(piece[3:5], 16)])
         return b"" if self.b.is_control(k) or self.b.is_unknown(k) else piece.replace(SPACE_MARK, " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
-        """Tokens of both; texts that either does not cover byte for byte have none."""
-        spaced = [" " + x for x in texts]
-        a = Tokens.of([x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
-        b = Tokens.of(self.b.encode(texts, num_threads=1))
-        wanted = [x.encode() for x in spaced]
+    def _whole(self, texts: list[str]) -> tuple[Tokens, Tokens]:
+        """Tokens of both, by the libraries; texts that either does not cover byte for byte have none."""
+        a = Tokens.of([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        b = Tokens.of(self.b.encode([x[1:] for x in texts], num_threads=1))
+        wanted = [x.encode() for x in texts]
         sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
-        whole = np.fromiter(map(bool, texts), bool, len(texts))
+        whole = np.fromiter((len(x) > 1 and SPACE_MARK not in x for x in texts), bool, len(texts))
         for tokens, pool in ((a, self.bytes_a), (b, self.bytes_b)):
             whole &= sums(pool.sizes[tokens.ids], tokens.per_text) == sizes
         a, b, sizes = a.only(whole), b.only(whole), np.where(whole, sizes, 0)
@@ -117,6 +123,67 @@ class TwoTokenizers:
             whole &= sums(pool.joined(tokens.ids) != expected, sizes) == 0
         return a.only(whole), b.only(whole)
 
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        nothing = np.zeros(0, np.int64)
+        self.kept = [(nothing, nothing, nothing), (nothing, nothing, nothing)]
+
+    def learn(self, words: list[str]) -> None:
+        """Adds words, encoded many at a time: each stands behind a first word, spaced as in a text, and is told apart by its bytes."""
+        spelt = [x.replace("\0", "\n", 1) if x[0] == "\0" else x if x == "\n" else " " + x for x in words]
+        chunks = [spelt[k : k + CHUNK] for k in range(0, len(spelt), CHUNK)]
+        found = self._whole([FIRST + "".join(x) for x in chunks])
+        sizes = np.array([len(x.encode()) for x in spelt])
+        # Where words end in the chunks laid end to end; a line break that only sets a word apart counts to the word before.
+        lead = np.array([x[0] == "\0" for x in words])
+        at = np.arange(len(words)) // CHUNK
+        ends = np.cumsum(sizes) + len(FIRST) * (at + 1)
+        for k, (tokens, pool) in enumerate(zip(found, (self.bytes_a, self.bytes_b), strict=True)):
+            borders = np.concatenate([[0], np.cumsum(pool.sizes[tokens.ids])])
+            first, last = np.searchsorted(borders, ends - sizes + lead), np.searchsorted(borders, ends)
+            if (tokens.per_text == 0).any() or (borders[first] != ends - sizes + lead).any() or (borders[last] != ends).any():
+                raise ValueError("a tokenizer joins what stands on both sides of a space or line break")
+            starts, counts, ids = self.kept[k]
+            self.kept[k] = np.concatenate([starts, first + len(ids)]), np.concatenate([counts, last - first]), np.concatenate([ids, tokens.ids])
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
+        """Tokens of both; texts that either does not cover byte for byte have none.
+
+        Neither tokenizer joins what a single space or line break between visible characters parts, so that a text is the sequence
+        of its words. Distinct words are encoded once; texts with other white space are encoded whole.
+        """
+        held = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(held, "\n", " \n \0"), " ")
+        offsets, words = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        odd = np.fromiter((x != "\n" and (len(x.strip("\0")) == 0 or UNUSUAL.search(x, 1) is not None or x[0] in WHITE or SPACE_MARK in x) for x in distinct), bool, len(distinct))
+        strange = sums(odd[which], np.diff(offsets)) > 0
+        strange |= pc.match_substring(held, "\0").to_numpy(zero_copy_only=False)
+        per_text = np.where(strange, 0, np.diff(offsets))
+        used = which[np.repeat(~strange, np.diff(offsets))]
+        wanted = np.unique(used)
+        if len(self.index) > MOST_WORDS:
+            self.forget()
+        self.learn([distinct[k] for k in wanted.tolist() if distinct[k] not in self.index])
+        number = np.zeros(len(distinct), np.int64)
+        number[wanted] = [self.index[distinct[k]] for k in wanted.tolist()]
+        whole = self._whole([" " + texts[k] for k in np.flatnonzero(strange)])
+        return tuple(self._merged(number[used], per_text, np.flatnonzero(strange), *x) for x in zip(self.kept, whole, strict=True))
+
+    @staticmethod
+    def _merged(words: np.ndarray, per_text: np.ndarray, strange: np.ndarray, kept: tuple, whole: Tokens) -> Tokens:
+        """Tokens of texts in order: some from their words, the strange ones as encoded whole."""
+        starts, counts, ids = kept
+        sizes = sums(counts[words], per_text)
+        flat = np.concatenate([gathered(ids, starts[words], counts[words]), whole.ids])
+        if not len(strange):
+            return Tokens(flat, sizes)
+        from_words = np.cumsum(sizes) - sizes
+        from_words[strange] = int(sizes.sum()) + np.cumsum(whole.per_text) - whole.per_text
+        sizes[strange] = whole.per_text
+        return Tokens(gathered(flat, from_words, sizes), sizes)
+
 
 def group_labels(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The last token of A in the group of every token of A, and of B; tokens are given by where they end."""

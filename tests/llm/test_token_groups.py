@@ -120,6 +120,22 @@ def test_equal_to_a_plain_walk(make_docs, monkeypatch, heavy):
     assert found_alignment(make_docs(rows, 3)) == plain_alignment([(r["doc_id"], r["text"]) for r in rows])
 
 
+def test_words_and_whole_texts_give_the_same(monkeypatch):
+    """Whatever the words that are kept, and however white space stands."""
+    both, draw = TwoTokenizers(*PATHS), random.Random(9)
+    parts = ["the", "Haus.", "x", "\n", " ", "  ", "\n\n", "\t", "don't", "日本", "é", "\u00a0", "7", "!?", "\r\n", "🙂", "a.b", "\u2003", "\x1c", "▁", "'s"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(12))) for _ in range(4000)]
+    whole = both._whole([" " + x for x in texts])
+    monkeypatch.setattr(token_groups, "CHUNK", 5)
+    for most in (600_000, 3):
+        monkeypatch.setattr(token_groups, "MOST_WORDS", most)
+        for k in range(0, 4000, 500):
+            for got, expected in zip(both.encode(texts[k : k + 500]), whole, strict=True):
+                at = np.concatenate([[0], np.cumsum(expected.per_text)])
+                assert got.per_text.tolist() == expected.per_text[k : k + 500].tolist()
+                assert got.ids.tolist() == expected.ids[at[k] : at[k + 500]].tolist()
+
+
 def test_awkward(awkward, awkward_rows, nothing):
     assert found_alignment(awkward) == plain_alignment([(r["doc_id"], r["text"]) for r in awkward_rows])
     assert not found_alignment(nothing)
