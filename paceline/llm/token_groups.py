@@ -19,10 +19,12 @@ ignored; texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,8 @@ SPACE_MARK = "▁"  # fixed value: how sentencepiece writes a space
 #: White space besides spaces and line breaks, and what some call so.
 UNUSUAL = re.compile("[\t\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WHITE = " \t\n\x0b\x0c\r"
-FIRST, CHUNK, MOST_WORDS = " a", 4096, 600_000
+FIRST, CHUNK, MOST_WORDS = " a", 4096, 300_000
+WRITTEN = 1 << 17
 
 
 class Pool:
@@ -67,7 +70,7 @@ class Tokens:
     @staticmethod
     def of(lists: list[list[int]]) -> Tokens:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return Tokens(np.fromiter((x for each in lists for x in each), np.int64, int(sizes.sum())), sizes)
+        return Tokens(np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes)
 
     def only(self, texts: np.ndarray) -> Tokens:
         return Tokens(self.ids[np.repeat(texts, self.per_text)], np.where(texts, self.per_text, 0))
@@ -157,19 +160,18 @@ class TwoTokenizers:
         cut = pc.split_pattern(pc.replace_substring(held, "\n", " \n \0"), " ")
         offsets, words = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
         distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
-        odd = np.fromiter((x != "\n" and (len(x.strip("\0")) == 0 or UNUSUAL.search(x, 1) is not None or x[0] in WHITE or SPACE_MARK in x) for x in distinct), bool, len(distinct))
-        strange = sums(odd[which], np.diff(offsets)) > 0
-        strange |= pc.match_substring(held, "\0").to_numpy(zero_copy_only=False)
-        per_text = np.where(strange, 0, np.diff(offsets))
-        used = which[np.repeat(~strange, np.diff(offsets))]
-        wanted = np.unique(used)
         if len(self.index) > MOST_WORDS:
             self.forget()
-        self.learn([distinct[k] for k in wanted.tolist() if distinct[k] not in self.index])
-        number = np.zeros(len(distinct), np.int64)
-        number[wanted] = [self.index[distinct[k]] for k in wanted.tolist()]
+        new = [x for x in distinct if x not in self.index]
+        odd = {x for x in new if x != "\n" and (not x.strip("\0") or x[0] in WHITE or SPACE_MARK in x or UNUSUAL.search(x, 1))}
+        self.learn([x for x in new if x not in odd])
+        number = np.fromiter((self.index.get(x, -1) for x in distinct), np.int64, len(distinct))[which]
+        strange = sums(number < 0, np.diff(offsets)) > 0
+        strange |= pc.match_substring(held, "\0").to_numpy(zero_copy_only=False)
+        per_text = np.where(strange, 0, np.diff(offsets))
+        used = number[np.repeat(~strange, np.diff(offsets))]
         whole = self._whole([" " + texts[k] for k in np.flatnonzero(strange)])
-        return tuple(self._merged(number[used], per_text, np.flatnonzero(strange), *x) for x in zip(self.kept, whole, strict=True))
+        return tuple(self._merged(used, per_text, np.flatnonzero(strange), *x) for x in zip(self.kept, whole, strict=True))
 
     @staticmethod
     def _merged(words: np.ndarray, per_text: np.ndarray, strange: np.ndarray, kept: tuple, whole: Tokens) -> Tokens:
@@ -212,10 +214,20 @@ def group_digests(a: Tokens, b: Tokens, label_a: np.ndarray, label_b: np.ndarray
     written = np.empty(len(a.ids) + len(b.ids), np.int64)
     written[np.arange(len(a.ids)) + before_a] = a.ids + np.where(first_a, n_ids, 0)
     written[np.arange(len(b.ids)) + before_b] = b.ids + np.where(first_b, 2 * n_ids, 0)
-    text = digits.joined(written).tobytes()
-    ends = np.cumsum(sums(digits.sizes[written], a.per_text + b.per_text))
-    starts = np.concatenate([[0], ends[:-1]])
-    return [hashlib.sha256(text[s + 1 : e]).hexdigest() if e > s else "" for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    per_text = a.per_text + b.per_text
+    ends = np.cumsum(per_text)
+    found, text, hasher = [], 0, hashlib.sha256()
+    for start in range(0, len(written), WRITTEN):  # so many tokens are spelt at a time, whatever the length of a text
+        part = written[start : start + WRITTEN]
+        spelt, at = digits.joined(part).tobytes(), np.concatenate([[0], np.cumsum(digits.sizes[part])])
+        while text < len(ends):
+            first, last = ends[text] - per_text[text] - start, min(ends[text] - start, len(part))
+            hasher.update(spelt[at[max(first, 0)] + (0 <= first < last) : at[last]])
+            if ends[text] > start + len(part):
+                break
+            found.append(hasher.hexdigest() if per_text[text] else "")
+            text, hasher = text + 1, hashlib.sha256()
+    return found
 
 
 def align(texts: list[str], both: TwoTokenizers) -> tuple:
@@ -249,9 +261,10 @@ def aligned_documents(docs: DataFrame, vocabulary_a: str = "byte_bpe_50k.json",
     names = [x.split()[0] for x in ALIGNED.replace("array<long>", "list").split(", ")]
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         paths = [x if "/" in x else public_vocabulary(x) for x in (vocabulary_a, vocabulary_b)]
         both = _tokenizers(*paths)
-        for batch in (piece for whole in batches for piece in batches_of(whole)):
+        for batch in (piece for whole in batches for piece in batches_of(whole, 1 << 20)):
             *numbers, digests, offsets, pairs, times = align([x or "" for x in batch["text"].to_pylist()], both)
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (pa.array(pairs, pa.int64()), pa.array(times, pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x, pa.int64()) for x in numbers], pa.array(digests, pa.string()), *lists], names)

@@ -15,7 +15,7 @@ from corpus_rows import prose, row
 from tokenizers import Tokenizer
 
 from paceline.llm import token_groups
-from paceline.llm.token_groups import TwoTokenizers, align_tokenizers, group_labels
+from paceline.llm.token_groups import TwoTokenizers, align, align_tokenizers, group_labels
 
 PATHS = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -120,6 +120,15 @@ def test_equal_to_a_plain_walk(make_docs, monkeypatch, heavy):
     assert found_alignment(make_docs(rows, 3)) == plain_alignment([(r["doc_id"], r["text"]) for r in rows])
 
 
+@pytest.mark.parametrize("written", [1, 7, 1 << 17])
+def test_digests_in_pieces(monkeypatch, written):
+    monkeypatch.setattr(token_groups, "WRITTEN", written)
+    texts = ["", *ODD, prose(1, 200), "", "x", ""]
+    expected = sorted((c[-1], c[1]) for c in plain_alignment([(k, x) for k, x in enumerate(texts)]))
+    n_a, _, _, _, digests, *_ = align(texts, TwoTokenizers(*PATHS))
+    assert sorted(zip(digests, n_a.tolist(), strict=True)) == expected
+
+
 def test_words_and_whole_texts_give_the_same(monkeypatch):
     """Whatever the words that are kept, and however white space stands."""
     both, draw = TwoTokenizers(*PATHS), random.Random(9)
