@@ -1,61 +1,96 @@
-"""Text similarity."""
+"""Text similarity: difflib's ratio, ignoring case, and upper bounds of it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LETTER_CLASSES = 64
+#: Numbers of letter classes, each dividing the next: classes of a finer division lie inside those of a coarser one.
+DIVISIONS = (1, 4, 16, 64)
 
 
-def best_of_list() -> Callable[[Column, Column, Column], Column]:
-    """A vectorised function ``(name, list number, list) -> struct<match, score>``.
+def letter_counts(texts: Sequence[str], classes: int) -> np.ndarray:
+    """How many letters of each class every text has; a class is what code points leave when divided by their number."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.repeat(np.arange(len(texts)), sizes) * classes + letters % classes
+    return np.bincount(at, minlength=len(texts) * classes).reshape(-1, classes)
 
-    Finds the name of a sorted list most similar to the given one, ignoring case; the first listed wins ties.
-    The score is difflib's ratio. Letters that two names share bound it from above, so the list is tried in the order of
-    that bound, and no further than a name can still win. A list is prepared once for all names that meet it in turn.
-    """
 
-    def find(batches: Iterator) -> Iterator:
+def shared_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The highest ratio that texts with these letter counts can have: letters they share, twice, by all letters."""
+    total = a.sum(axis=-1) + b.sum(axis=-1)
+    return np.where(total > 0, 2.0 * np.minimum(a, b).sum(axis=-1) / np.maximum(total, 1), 1.0)
+
+
+def ratio_bound(classes: int) -> Callable[[Column, Column], Column]:
+    """A vectorised function of two texts: the highest ratio that their letters, told apart by class only, allow."""
+
+    def bound(names: pd.Series, others: pd.Series) -> pd.Series:
+        a, b = (letter_counts([x.lower() for x in side], classes) for side in (names, others))
+        return pd.Series(shared_bound(a, b))
+
+    return F.pandas_udf(bound, "double")
+
+
+def letter_keys() -> Callable[[Column], Column]:
+    """A vectorised function of a text: for every division, a key that texts share if they have the same letter counts in it."""
+
+    def keys(names: pd.Series) -> pd.DataFrame:
+        lowered = [x.lower() for x in names]
+        spelt = {f"k{c}": [",".join(map(str, row)) for row in letter_counts(lowered, c).tolist()] for c in DIVISIONS}
+        return pd.DataFrame(spelt)
+
+    return F.pandas_udf(keys, ", ".join(f"k{c} string" for c in DIVISIONS))
+
+
+def ratio() -> Callable[[Column, Column], Column]:
+    """A vectorised function of two texts: difflib's ratio of the first to the second."""
+
+    def scored(names: pd.Series, others: pd.Series) -> pd.Series:
         import difflib
 
-        import numpy as np
-        import pandas as pd
+        matcher, found = difflib.SequenceMatcher(None, "", ""), []
+        for name, other in zip(names, others, strict=True):
+            matcher.set_seqs(name.lower(), other.lower())
+            found.append(matcher.ratio())
+        return pd.Series(found, dtype="float64")
+
+    return F.pandas_udf(scored, "double")
+
+
+def best_of_lists(lists: Mapping[str, Sequence[str]]) -> Callable[[Column, Column], Column]:
+    """A vectorised function ``(kind, name) -> struct<match, score>`` over short lists of names, one for each kind.
 
-        def letters(text: str) -> np.ndarray:
-            # Classes of letters: two letters in one class can only raise the bound.
-            return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % LETTER_CLASSES, minlength=LETTER_CLASSES)
+    Finds the name of the list most similar to the given one; the least of equal ones wins. A list is tried in the order of the
+    upper bounds, and no further than a name can still win.
+    """
+    listed = {kind: sorted(names) for kind, names in lists.items()}
+
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        import difflib
 
-        prepared: tuple = (None,)
-        for names, numbers, lists in batches:
+        prepared = {kind: ([x.lower() for x in names], letter_counts([x.lower() for x in names], DIVISIONS[-1])) for kind, names in listed.items() if names}
+        matcher = difflib.SequenceMatcher(None, "", "")
+        for kinds, names in batches:
             found = []
-            for name, number, listed in zip(names, numbers, lists, strict=True):
-                if prepared[0] != number:
-                    lowered = [x.lower() for x in listed]
-                    counts = np.array([letters(x) for x in lowered]).reshape(-1, LETTER_CLASSES)
-                    prepared = number, lowered, counts, np.array([len(x) for x in lowered])
-                _, lowered, counts, lengths = prepared
-                text = name.lower()
-                total = np.maximum(lengths + len(text), 1)
-                bound = np.where(lengths + len(text), 2.0 * np.minimum(counts, letters(text)).sum(axis=1) / total, 1.0)
+            for kind, name in zip(kinds, names, strict=True):
                 best, score = None, -1.0
-                matcher = difflib.SequenceMatcher(None, "", "")
-                for k in np.lexsort((np.arange(len(bound)), -bound)):
-                    if bound[k] < score:
-                        break
-                    matcher.set_seqs(text, lowered[k])
-                    ratio = matcher.ratio()
-                    if ratio > score or ratio == score and k < best:
-                        best, score = k, ratio
-                found.append((None if best is None else listed[best], max(score, 0.0)))
+                if kind in prepared:
+                    lowered, counts = prepared[kind]
+                    bound = shared_bound(counts, letter_counts([name.lower()], DIVISIONS[-1]))
+                    for k in np.lexsort((np.arange(len(bound)), -bound)):
+                        if bound[k] < score:
+                            break
+                        matcher.set_seqs(name.lower(), lowered[k])
+                        value = matcher.ratio()
+                        if value > score or value == score and k < best:
+                            best, score = k, value
+                found.append((None if best is None else listed[kind][best], max(score, 0.0)))
             yield pd.DataFrame(found, columns=["match", "score"])
 
-    def annotated(batches):
-        yield from find(batches)
-
-    import pandas as pd
-
-    annotated.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(annotated, "match string, score double").asNondeterministic()
+    return F.pandas_udf(find, "match string, score double").asNondeterministic()

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.numeric import round_exact
-from paceline.functions.text import best_of_list
+from paceline.functions.text import best_of_lists
+from paceline.operators.similarity import NAME, most_similar
 from paceline.session import materialise
 
 LEAST_SCORE = 0.9  # fixed value: similarity from which a match is accepted
-LIST_NAMES = 1000  # names of a dictionary that are prepared and searched together
-SPREAD = 32  # parts over which names without a near match are dealt out
+LIST_NAMES = 1000  # a dictionary of no more names goes to every task as lists; a larger one is searched through an index
 
 
-def _dictionary(names: DataFrame | Sequence[str], column: str, feed: DataFrame) -> DataFrame:
+def _known_names(names: DataFrame | Sequence[str], column: str, feed: DataFrame) -> DataFrame:
     """Known names, once each, as ``(kind, known)`` of one kind."""
     if not isinstance(names, DataFrame):
         names = feed.sparkSession.createDataFrame([(str(n),) for n in names], f"`{column}` string")
@@ -24,53 +24,46 @@ def _dictionary(names: DataFrame | Sequence[str], column: str, feed: DataFrame)
     return listed.filter(F.col("known").isNotNull()).distinct()
 
 
+def _short_lists(known: DataFrame) -> dict[str, list[str]] | None:
+    """The names of every kind, if they are ``LIST_NAMES`` at most; never more than one beyond that come to the driver."""
+    rows = known.limit(LIST_NAMES + 1).collect()
+    if len(rows) > LIST_NAMES:
+        return None
+    lists: dict[str, list[str]] = {}
+    for kind, name in rows:
+        lists.setdefault(kind, []).append(name)
+    return lists
+
+
 def _accepted(score: str, match: str) -> Column:
     return F.when(F.col(score) >= LEAST_SCORE, F.col(match))
 
 
-def best_matches(unknown: DataFrame, known: DataFrame) -> DataFrame:
-    """``(kind, name, match, score)``: the most similar known name of the kind, whatever the size of either side.
+def best_matches(unknown: DataFrame, known: DataFrame, lists: dict[str, list[str]] | None) -> DataFrame:
+    """``kind, name, match, score``: the most similar known name of the kind (null, if it is not acceptable) and its score;
+    names without any candidate score 0.
 
-    ``unknown`` has distinct ``(kind, name)``, ``known`` distinct ``(kind, known)``. The dictionary is cut into lists by
-    length. A ratio of at least 0.9 is only possible for lengths within a ninth or so, so names meet the lists of those
-    lengths first; what finds no acceptable match there meets all lists of its kind. Names without any candidate score 0.
+    ``unknown`` has distinct ``(kind, name)``, ``known`` distinct ``(kind, known)``; ``lists`` are those of ``_short_lists``.
     """
-    size = F.char_length(F.lower("known"))
-    sized = known.withColumn("size", size)
-    counts = sized.groupBy("kind", "size").agg(F.ceil(F.count(F.lit(1)) / LIST_NAMES).alias("lists"))
-    numbered = sized.join(counts, ["kind", "size"]).withColumn("part", F.pmod(F.xxhash64("known"), F.col("lists")))
-    lists = numbered.groupBy("kind", "size", "part").agg(F.sort_array(F.collect_list("known")).alias("listed"))
-    lists = materialise(lists.withColumn("number", F.xxhash64("kind", "size", "part")), "dictionary")
-    unknown = materialise(unknown, "unknown-names")
-    find = best_of_list()
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        found = pairs.select("kind", "name", find("name", "number", "listed").alias("found"))
-        order = F.struct((-F.col("found.score")).alias("less"), F.col("found.match").alias("match"))
-        best = found.groupBy("kind", "name").agg(F.min(order).alias("best"))
-        return best.select("kind", "name", "best.match", (-F.col("best.less")).alias("score"))
-
-    length = F.char_length(F.lower("name"))
-    # The longer of two names has at most 11/9 of the letters of the shorter.
-    near = F.explode(F.sequence(F.floor(length * 9 / 11).cast("int"), F.ceil(length * 11 / 9).cast("int")))
-    close = materialise(scored(unknown.withColumn("size", near).join(lists, ["kind", "size"])).filter(F.col("score") >= LEAST_SCORE), "close-names")
-    rest = unknown.join(close, ["kind", "name"], "left_anti").withColumn("place", F.pmod(F.xxhash64("name"), F.lit(SPREAD)))
-    every = lists.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    far = scored(rest.join(every, ["kind", "place"]))
-    best = close.unionByName(far)
-    return unknown.join(best, ["kind", "name"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if lists is not None:
+        return unknown.select(*NAME, best_of_lists(lists)(*NAME).alias("found")).select(*NAME, "found.match", "found.score")
+    return most_similar(unknown, known, LEAST_SCORE)
 
 
 def name_conformance(feed: DataFrame, dictionary: DataFrame | Sequence[str], column: str = "event") -> DataFrame:
     """``(from_name, to_name, score)`` of every unknown name in the feed, once.
 
     A name is known only in its exact spelling. ``to_name`` is null below the least score. Only the
-    distinct unknown names reach Python; they and the dictionary are written first.
+    distinct unknown names reach Python. With a dictionary of at most ``LIST_NAMES`` names nothing is written or joined.
     """
-    known = _dictionary(dictionary, column, feed)
-    names = feed.select(F.lit("").alias("kind"), F.col(column).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    unknown = names.join(known.select(F.col("known").alias("name")), "name", "left_anti").select("kind", "name")
-    return best_matches(unknown, known).select(
+    known = _known_names(dictionary, column, feed)
+    lists = _short_lists(known)
+    names = feed.select(F.lit("").alias("kind"), F.col(column).alias("name")).filter(F.col("name").isNotNull())
+    if lists is not None:
+        unknown = names.filter(~F.col("name").isin(lists.get("", []))).distinct()
+    else:
+        unknown = names.distinct().join(known.select(F.col("known").alias("name")), "name", "left_anti").select(*NAME)
+    return best_matches(unknown, known, lists).select(
         F.col("name").alias("from_name"), _accepted("score", "match").alias("to_name"), round_exact("score", 3).alias("score")
     )
 
@@ -108,9 +101,9 @@ def property_conformance(feed: DataFrame, properties: Sequence[str], values: Dat
     checked = materialise(typed.join(known_pairs, ["to_property", "value"], "left"), "checked-values")
     # Only values that are unknown, of a property that has a dictionary, are scored.
     open_values = checked.filter(F.col("known").isNull()).select(F.col("to_property").alias("kind"), F.col("value").alias("name")).distinct()
-    listed = rows.select(F.col("property").alias("kind"), F.col("value").alias("known"))
+    listed = rows.select(F.col("property").alias("kind"), F.col("value").alias("known")).filter(F.col("kind").isNotNull())
     open_values = open_values.join(listed.select("kind").distinct(), "kind", "left_semi")
-    scored = best_matches(open_values, listed).select(
+    scored = best_matches(open_values, listed, _short_lists(listed)).select(
         F.col("kind").alias("to_property"), F.col("name").alias("value"), _accepted("score", "match").alias("value_match"),
         round_exact("score", 3).alias("value_score"),
     )

@@ -20,12 +20,16 @@ def connection():
     return check_oracles.duckdb_views(DATA)
 
 
+#: Compared in Python instead, over a small dictionary: SQL would have to compare all pairs of words.
+WITHOUT_SQL = {"name_conformance_words"}
+
+
 def test_every_query_of_the_analyses_has_sql():
-    assert queries.queries().keys() == oracles.oracle_sql().keys()
+    assert queries.queries().keys() - WITHOUT_SQL == oracles.oracle_sql().keys()
     assert queries.queries().keys() <= registered.queries().keys()
 
 
-@pytest.mark.parametrize("name", queries.queries())
+@pytest.mark.parametrize("name", sorted(queries.queries().keys() - WITHOUT_SQL))
 def test_query_equals_sql(spark, connection, name):
     ours, theirs = check_oracles.compare(spark, connection, name, DATA)
     assert ours == theirs == []

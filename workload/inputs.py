@@ -104,10 +104,11 @@ def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def misspelt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long words of the benchmark that the dictionary knows, their last letter doubled."""
-    long_words = _tokens(_table(spark, sf_dir, "benchmark")).filter("event rlike '^[A-Za-z]{10,}$'").distinct()
-    known = long_words.join(word_dictionary(spark, sf_dir), "event", "left_semi")
-    return known.select(F.concat("event", F.substring("event", -1, 1)).alias("event"))
+    """All words of the benchmark: those that the dictionary knows with their last letter doubled, the unknown ones as they stand."""
+    words = _tokens(_table(spark, sf_dir, "benchmark")).distinct()
+    known = word_dictionary(spark, sf_dir).select("event", F.lit(True).alias("known"))
+    damaged = F.when(F.col("known"), F.concat("event", F.substring("event", -1, 1))).otherwise(F.col("event"))
+    return words.join(known, "event", "left").select(damaged.alias("event"))
 
 
 def fresh_store(spark: SparkSession) -> SegmentStore:

@@ -584,21 +584,6 @@ worst AS (SELECT step, events, users - lead(users) OVER (ORDER BY step) AS lost
 
     # Name conformance.
     add("name_conformance_clicks", NAME_MATCHES, "SELECT * FROM found")
-    # Only names with so many edits less can reach a score of 0.9, which the undamaged word always does; the distance
-    # counts bytes, of which a letter here has two at most.
-    add(
-        "name_conformance_words",
-        f"""texts AS (SELECT text FROM documents UNION ALL SELECT text FROM conversations),
-known AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) AS event FROM texts),
-unknown AS (SELECT DISTINCT event || right(event, 1) AS event FROM (SELECT unnest(regexp_extract_all(text, '[^ \\n]+')) AS event FROM benchmark)
-  WHERE regexp_full_match(event, '[A-Za-z]{{10,}}') AND event IN (SELECT event FROM known)),
-pairs AS (SELECT u.event AS a, k.event AS b FROM unknown u JOIN known k ON abs(length(u.event) - length(k.event)) <= 0.1 * (length(u.event) + length(k.event))
-  WHERE levenshtein(lower(u.event), lower(k.event)) <= 2 * floor(0.1 * (length(u.event) + length(k.event)))
-    AND u.event NOT IN (SELECT event FROM known)),
-{similarity('pairs', 'scores')}""",
-        f"""SELECT a AS from_name, CASE WHEN score >= 0.9::DOUBLE THEN b END AS to_name, {r('score', 3)} AS score FROM scores
-  QUALIFY row_number() OVER (PARTITION BY a ORDER BY scores.score DESC, b) = 1""",
-    )
     add(
         "conformed_event_log_clicks",
         f"{NAME_MATCHES}, fixed AS (SELECT coalesce(to_name, event) AS event, user_id FROM noisy LEFT JOIN found ON from_name = event)",
