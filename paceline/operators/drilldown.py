@@ -1,9 +1,16 @@
-"""Recursive search for the cohorts in which a funnel loses its users."""
+"""Recursive search for the cohorts in which a funnel loses its users.
+
+Users are reduced to counts per combination of property values, reach and step pairs. One aggregation over grouping sets, a set
+for each choice of properties up to the depth of the search, then holds the figures of every cohort that any path could lead to; what
+a cohort's blockers are, which of them become cohorts of their own, and the tree, is picked from these rows. Work grows with the
+number of combinations times that of the grouping sets, which is small for a handful of properties.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from itertools import combinations
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +18,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.args import as_int, funnel_steps, known_property
 from paceline.functions.numeric import round_exact, share
-from paceline.operators.breakdown import ALL, score_values, value_counts
+from paceline.operators.breakdown import LEAST_USERS, score_values
 from paceline.operators.funnel import funnel_reach, step_counts, step_rows, worst_loss
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
 from paceline.session import materialise
@@ -23,6 +30,8 @@ BLOCKERS_PER_NODE = 3
 BREAKDOWN_VALUES = 8
 
 ROOT = "{}"
+FILTERS = "array<struct<key: string, value: string>>"
+BLOCKERS = "array<struct<impact: double, property: string, value: string, lift: double, conversion: double, affected_users: bigint>>"
 FRONTIER = (
     "signature string, parent string, depth int, filters map<string,string>, path array<string>, sort_key array<string>"
 )
@@ -61,37 +70,32 @@ def cohort_base(
     return reach.join(profiles, "user_id").groupBy(*properties, "reached", *pairs).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _signature(filters: Column) -> Column:
-    """Canonical text of a filter map: JSON with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(filters))))
+def _signature(entries: str | Column) -> Column:
+    """Canonical text of sorted filters: JSON with sorted keys."""
+    return F.to_json(F.map_from_entries(entries))
 
 
-def _members(base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[str]]) -> DataFrame:
-    """Rows of the base that belong to each cohort, tagged with its signature.
-
-    A row's key for a set of properties is the signature of its own values, so membership is an
-    equi-join; rows with a missing value have no key, as nothing equals a missing value.
+def cohort_figures(base: DataFrame, properties: Sequence[str], subsets: Sequence[Sequence[str]], figures: Sequence[Column]) -> DataFrame:
+    """``signature``, ``filters`` (an array of (key, value), sorted) and the figures of every cohort that filters on one of the sets
+    of properties. One aggregation over grouping sets; a missing value equals nothing, so it makes no cohort.
     """
-    if list(map(list, subsets)) == [[]]:
-        return base.withColumn("signature", F.lit(ROOT))
-    keys = []
-    for subset in subsets:
-        if not subset:
-            keys.append(F.lit(ROOT))
-            continue
-        own = F.create_map(*[part for p in sorted(subset) for part in (F.lit(p), F.col(p))])
-        present = [F.col(p).isNotNull() for p in subset]
-        complete = present[0]
-        for test in present[1:]:
-            complete = complete & test
-        keys.append(F.when(complete, F.to_json(own)))
-    keyed = base.withColumn("signature", F.explode(F.array(*keys))).filter(F.col("signature").isNotNull())
-    return keyed.join(frontier.select("signature"), "signature")
+    names = sorted({p for subset in subsets for p in subset})
+    if not names:
+        whole = base.agg(*figures)
+        return whole.select(F.lit(ROOT).alias("signature"), F.array().cast(FILTERS).alias("filters"), *whole.columns)
+    grouped = base.groupingSets([[F.col(p) for p in subset] for subset in subsets], *names).agg(F.grouping_id().alias("left_out"), *figures)
+    chosen = {p: F.col("left_out").bitwiseAND(F.lit(1 << (len(names) - 1 - k))) == 0 for k, p in enumerate(names)}
+    missing = F.lit(False)
+    for p, taken in chosen.items():
+        missing = missing | (taken & F.col(p).isNull())
+    entries = F.array_compact(F.array(*[F.when(taken, F.struct(F.lit(p).alias("key"), F.col(p).alias("value"))) for p, taken in chosen.items()]))
+    kept = [c for c in grouped.columns if c not in (*names, "left_out")]
+    return grouped.filter(~missing).select(entries.cast(FILTERS).alias("filters"), *kept).select(_signature("filters").alias("signature"), "filters", *kept)
 
 
 def _with_zeros(frontier: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """``at_1 .. at_n`` of every cohort of the frontier; cohorts without users have zeros."""
-    zeros = {f"at_{k}": F.coalesce(f"at_{k}", F.lit(0)) for k in range(1, n + 1)}
+    zeros = {f"at_{k}": F.coalesce(f"at_{k}", F.lit(0).cast("long")) for k in range(1, n + 1)}
     return frontier.join(counts, "signature", "left").withColumns(zeros)
 
 
@@ -106,60 +110,28 @@ def cohort_funnels(
             known_property(prop, properties)
         listed.append(({p: str(v) for p, v in filters.items()},))
     frontier = base.sparkSession.createDataFrame(listed, "filters map<string,string>")
-    frontier = frontier.select(_signature(F.col("filters")).alias("signature")).distinct()
+    frontier = frontier.select(_signature(F.array_sort(F.map_entries("filters"))).alias("signature")).distinct()
     subsets = sorted({tuple(sorted(f)) for (f,) in listed})
-    members = _members(base, frontier, subsets)
-    counts = members.groupBy("signature").agg(*step_counts(len(names), F.col("n")))
+    counts = cohort_figures(base, properties, subsets, step_counts(len(names), F.col("n"))).drop("filters")
     return step_rows(_with_zeros(frontier, counts, len(names)), names, ["signature"])
 
 
-BLOCKERS = "array<struct<impact: double, property: string, value: string, lift: double, conversion: double, affected_users: bigint>>"
-
-
-def _level(
-    base: DataFrame, frontier: DataFrame, subsets: Sequence[Sequence[str]], steps: list[str], properties: Sequence[str],
-    expand: bool,
-) -> DataFrame:
-    """The nodes of one level: funnel, worst step, and blockers where the cohort may be expanded.
+def _blockers(cohorts: DataFrame) -> DataFrame:
+    """``(signature, blockers)``: what hinders the worst step pair of each cohort that may be expanded.
 
-    One aggregation per (cohort, property, value) holds the funnels and the figures of all step
-    pairs; the worst pair is picked from it afterwards.
+    A cohort with one filter more is a value of the cohort without that filter, for each of its filters.
     """
-    n = len(steps)
-    members = _members(base, frontier, subsets)
-    if not expand:
-        counts = members.groupBy("signature").agg(*step_counts(n, F.col("n")))
-        nodes = _with_zeros(frontier, counts, n).withColumn("worst", worst_loss(n))
-        return nodes.withColumn("blockers", F.lit(None).cast(BLOCKERS))
-
-    pairs = [f"pair_{k}" for k in range(1, n)]
-    reached = [[F.sum(F.when(F.col(p) >= k, F.col("n")).otherwise(0)) for p in pairs] for k in (1, 2)]
-    figures = [F.array(*reached[0]).alias("starts"), F.array(*reached[1]).alias("ends")]
-    stats = value_counts(
-        members, properties, ["signature"], ["reached", "n", *pairs], [*step_counts(n, F.col("n")), *figures]
-    )
-    whole = stats.filter(F.col("property") == ALL).drop("property", "value")
-    nodes = _with_zeros(frontier, whole, n).withColumn("worst", worst_loss(n))
-
-    open_nodes = (
-        nodes.filter((F.col("at_1") > 0) & (F.col("worst.lost") >= LEAST_COHORT))
-        .select("signature", "filters", F.col("worst.step").alias("pair"), "starts", "ends")
-        .select(
-            "signature",
-            "filters",
-            "pair",
-            F.expr("get(starts, pair - 1)").alias("base_users"),
-            share("get(ends, pair - 1)", "get(starts, pair - 1)").alias("base_conversion"),
-        )
+    parent = F.filter("filters", lambda x: x["key"] != F.col("own.key"))
+    values = cohorts.select("filters", F.explode("filters").alias("own"), "starts", "ends").select(
+        _signature(parent).alias("signature"), F.col("own.key").alias("property"), F.col("own.value").alias("value"), "starts", "ends"
     )
-    values = (
-        stats.filter(F.col("property") != ALL)
-        .join(open_nodes, "signature")
-        .filter(~F.map_contains_key("filters", F.col("property")))
-        .withColumns({"start_users": F.expr("get(starts, pair - 1)"), "end_users": F.expr("get(ends, pair - 1)")})
+    pair = F.col("worst.step") - 1
+    open_nodes = cohorts.filter((F.col("at_1") > 0) & (F.col("worst.lost") >= LEAST_COHORT)).select(
+        "signature", pair.alias("pair"), F.get("starts", pair).alias("base_users"), share("get(ends, worst.step - 1)", "get(starts, worst.step - 1)").alias("base_conversion")
     )
+    counted = values.join(open_nodes, "signature").withColumns({"start_users": F.get("starts", F.col("pair")), "end_users": F.get("ends", F.col("pair"))})
     # At most 8 values of each property are left per cohort.
-    worse = score_values(values, ["signature"], BREAKDOWN_VALUES).filter(F.col("lift") < 0)
+    worse = score_values(counted, ["signature"], BREAKDOWN_VALUES).filter(F.col("lift") < 0)
     row = F.struct((-F.col("impact")).alias("order"), "property", "value", "lift", "conversion", "affected_users")
     strongest = F.slice(F.sort_array(F.collect_list(row)), 1, BLOCKERS_PER_NODE)
     blocker = F.transform(
@@ -169,8 +141,24 @@ def _level(
             *[b[c].alias(c) for c in ("property", "value", "lift", "conversion", "affected_users")],
         ),
     )
-    listed = worse.groupBy("signature").agg(blocker.alias("blockers"))
-    return nodes.drop("starts", "ends").join(listed, "signature", "left")
+    return worse.groupBy("signature").agg(blocker.alias("blockers"))
+
+
+def all_cohorts(base: DataFrame, steps: list[str], properties: Sequence[str], deepest: int) -> DataFrame:
+    """``signature, at_1 .. at_n, worst, blockers`` of every cohort of up to ``deepest`` filters that can be a node or a value of
+    one; those of ``deepest`` filters are not expanded, so have no blockers."""
+    n = len(steps)
+    pairs = [F.col(f"pair_{k}") for k in range(1, n)]
+    reached = [[F.sum(F.when(p >= k, F.col("n")).otherwise(0)) for p in pairs] for k in (1, 2)]
+    figures = [*step_counts(n, F.col("n")), F.array(*reached[0]).alias("starts"), F.array(*reached[1]).alias("ends")]
+    subsets = [c for size in range(min(deepest, len(properties)) + 1) for c in combinations(sorted(properties), size)]
+    found = cohort_figures(base, properties, subsets, figures).withColumn("worst", worst_loss(n))
+    # A value of fewer users is no candidate at any step pair.
+    cohorts = materialise(found.filter((F.size("filters") == 0) | (F.array_max("starts") >= LEAST_USERS)), "cohort-figures")
+    if deepest == 0:
+        return cohorts.withColumn("blockers", F.lit(None).cast(BLOCKERS))
+    open_ones = cohorts.join(_blockers(cohorts), "signature", "left")
+    return open_ones.withColumn("blockers", F.when(F.size("filters") < deepest, F.col("blockers")))
 
 
 def _children(nodes: DataFrame) -> DataFrame:
@@ -186,8 +174,7 @@ def _children(nodes: DataFrame) -> DataFrame:
         .withColumn("blocker", F.explode("blockers"))
         .filter(blocker["affected_users"] >= least)
         .withColumn("child", F.map_concat("filters", F.create_map(blocker["property"], blocker["value"])))
-        .withColumn("child", F.map_from_entries(F.array_sort(F.map_entries("child"))))
-        .withColumn("key", F.to_json("child"))
+        .withColumn("key", _signature(F.array_sort(F.map_entries("child"))))
     )
     step = F.concat_ws("=", blocker["property"], blocker["value"])
     row = F.struct(
@@ -213,26 +200,19 @@ def drilldown_tree(
     """All nodes of the tree: ``signature, parent, depth, filters, path, sort_key, at_1 .. at_n,
     worst (lost, step), blockers``.
 
-    Runs one level after the other. The base, each level's nodes and the next level's cohorts are written to the shared
-    folder; the driver only learns which sets of properties these filter on. Options: ``timeframe_days``, ``conversion_window_days``, ``as_of``, ``skew``.
+    The figures of all cohorts are written; the levels of the tree are then joined to them, level to level, in one plan.
+    Options: ``timeframe_days``, ``conversion_window_days``, ``as_of``, ``skew``.
     """
     names = funnel_steps(steps)
-    deepest = as_int(max_depth, 3)
-    base = materialise(cohort_base(log, users, names, properties, **options), "cohort-base")
+    deepest = max(as_int(max_depth, 3), 0)
+    base = cohort_base(log, users, names, properties, **options)
+    known = materialise(all_cohorts(base, names, properties, deepest).drop("filters", "starts", "ends"), "cohorts")
     spark = base.sparkSession
     frontier = spark.createDataFrame([(ROOT, "", 0, {}, [], [ROOT])], FRONTIER)
-    subsets: list[list[str]] = [[]]
-    levels = []
-    while subsets:
-        expand = len(levels) < deepest
-        nodes = materialise(_level(base, frontier, subsets, names, properties, expand), "cohort-level")
-        levels.append(nodes)
-        if not expand:
-            break
-        frontier = materialise(_children(nodes), "cohort-frontier")
-        subsets = [list(row["on"]) for row in frontier.select(F.array_sort(F.map_keys("filters")).alias("on")).distinct().collect()]
-    tree = levels[0]
-    for level in levels[1:]:
+    # The root is there without users too; its worst step is that of zeros.
+    tree = level = _with_zeros(frontier, known, len(names)).withColumn("worst", worst_loss(len(names)))
+    for _ in range(min(deepest, len(properties))):
+        level = _children(level).join(known, "signature")
         tree = tree.unionByName(level)
     return tree
 
