@@ -1,17 +1,18 @@
 """Named user segments as versions of a table.
 
-Members lie in folders of their own, one a version; a small table of versions says which folder is whose. A version
-becomes visible by the one row that is appended there after its members are committed, so a reader sees the old segment
-or the new one, and a job that fails leaves the old one. Names are data, never part of a path.
+The members of the segments that are written together lie in one folder; a small table of versions says which folder is whose. A version
+becomes visible by the row that is appended there after its members are committed, so a reader sees the old segment
+or the new one, and a job that fails leaves the old ones. Names are data, never part of a path.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 VERSIONS = "segment_name string, version long, folder string, users long"
@@ -55,37 +56,55 @@ class SegmentStore:
         return self._versions().groupBy("segment_name").agg(newest).select("segment_name", "newest.*")
 
     def write(self, name: str, users: DataFrame) -> int:
-        """Replace segment ``name``; returns its size. Runs two jobs and a small one for the version."""
-        text = self._checked(name)
-        folder = f"{self.root}/members/{uuid.uuid4().hex}"
-        members = users.select(F.lit(text).alias("segment_name"), F.col("user_id").cast(self.user_id_type)).dropDuplicates()
-        members.write.parquet(folder)
-        size = self._members([folder]).count()
-        before = self._versions().filter(F.col("segment_name") == text).agg(F.max("version")).first()[0] or 0
-        row = [(text, before + 1, folder, size)]
-        self.spark.createDataFrame(row, VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
-        return size
+        """Replace segment ``name``; returns its size."""
+        return self.write_all([(name, users)])[self._checked(name)]
 
     def write_all(self, segments: Iterable[tuple[str, DataFrame]]) -> dict[str, int]:
-        """Replace several segments; duplicate names fail before the first job. Returns the sizes by name."""
-        listed = list(segments)
-        check_export_names(str(name).strip() for name, _ in listed)
-        return {str(name).strip(): self.write(name, users) for name, users in listed}
-
-    def _members(self, folders: list[str]) -> DataFrame:
-        schema = f"segment_name string, user_id {self.user_id_type}"
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        """Replace several segments; duplicate names fail before the first job. Returns the sizes by name.
+
+        One job writes the members of all of them and counts them on the way; their versions are then appended together, by a task
+        that holds a row a segment. Versions are ordered by the clock of who writes.
+        """
+        listed = [(self._checked(name), users) for name, users in segments]
+        names = check_export_names(name for name, _ in listed)
+        if not listed:
+            return {}
+        folder, members = f"{self.root}/members/{uuid.uuid4().hex}", None
+        for name, users in listed:
+            own = users.select(F.lit(name).alias("segment_name"), F.col("user_id").cast(self.user_id_type))
+            members = own if members is None else members.unionByName(own)
+        seen = Observation()
+        sizes = [F.count_if(F.col("segment_name") == name).alias(f"n{k}") for k, name in enumerate(names)]
+        members.dropDuplicates().observe(seen, *sizes).write.parquet(folder)
+        found = {name: seen.get.get(f"n{k}", 0) for k, name in enumerate(names)}
+        rows = [(name, time.time_ns(), folder, found[name]) for name in names]
+        self.spark.createDataFrame(rows, VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        return found
+
+    def _members(self, folders: Iterable[str]) -> DataFrame:
+        schema, listed = f"segment_name string, user_id {self.user_id_type}", sorted(set(folders))
+        return self.spark.read.schema(schema).parquet(*listed) if listed else self.spark.createDataFrame([], schema)
 
     def read(self, name: str) -> DataFrame:
         """Members of a segment; unknown or empty is an error. Runs a job over the versions."""
-        found = self._current().filter(F.col("segment_name") == str(name or "").strip()).first()
+        text = str(name or "").strip()
+        found = self._current().filter(F.col("segment_name") == text).first()
         if found is None or not found["users"]:
             raise ValueError(f"segment {name!r} is unknown or empty")
-        return self._members([found["folder"]]).select("user_id")
+        return self._members([found["folder"]]).filter(F.col("segment_name") == text).select("user_id")
 
     def table(self) -> DataFrame:
-        """All segments as (segment_name, user_id); empty if nothing was written. Runs a job over the versions."""
-        return self._members([row["folder"] for row in self._current().filter("users > 0").collect()])
+        """All segments as (segment_name, user_id); empty if nothing was written. Runs a job over the versions.
+
+        A folder may hold several segments, of which some have a newer version elsewhere.
+        """
+        current = [(row["segment_name"], row["folder"]) for row in self._current().filter("users > 0").collect()]
+        if not current:
+            return self._members([])
+        written = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        newest = self.spark.createDataFrame([(name, folder.rsplit("/", 1)[1]) for name, folder in current], "segment_name string, written string")
+        members = self._members(folder for _, folder in current).withColumn("written", written)
+        return members.join(newest, ["segment_name", "written"], "left_semi").select("segment_name", "user_id")
 
     def sizes(self) -> DataFrame:
         """Users of every segment that has some, from the versions alone."""

@@ -84,6 +84,35 @@ def test_a_failed_write_leaves_the_segment(spark, tmp_path):
     assert ids(earlier) == [0, 1, 2] and ids(store.read("s")) == [0]  # who reads the old version goes on reading it
 
 
+def test_segments_written_together_are_replaced_alone(spark, tmp_path):
+    store = SegmentStore(spark, str(tmp_path / "store"))
+    some = lambda *ids: spark.createDataFrame([(i,) for i in ids], "user_id bigint")
+    assert store.write_all([("a", some(1, 2, 2)), ("b", some(2)), ("none", some())]) == {"a": 2, "b": 1, "none": 0}
+    assert store.write_all([]) == {}
+    store.write("a", some(7))
+    assert sorted(map(tuple, store.table().collect())) == [("a", 7), ("b", 2)]
+    assert sorted(map(tuple, store.sizes().collect())) == [("a", 1), ("b", 1)]
+    assert ids(store.read("b")) == [2]
+    store.write("b", some())
+    with pytest.raises(ValueError):
+        store.read("b")
+    assert [tuple(r) for r in store.table().collect()] == [("a", 7)]
+
+
+def test_a_write_is_one_job_and_a_row_of_versions(spark, tmp_path):
+    """The members are computed once, whatever the number of segments, and not read again for their sizes."""
+    store, tracker = SegmentStore(spark, str(tmp_path / "store")), spark.sparkContext.statusTracker()
+    frames = [(f"s{k}", spark.range(100, numPartitions=2).filter(f"id % 3 = {k}").withColumnRenamed("id", "user_id")) for k in range(3)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else each shuffle is a job of its own
+    spark.sparkContext.setJobGroup("one write", "")
+    try:
+        assert store.write_all(frames) == {"s0": 34, "s1": 33, "s2": 33}
+        assert len(tracker.getJobIdsForGroup("one write")) == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_discovery(spark, log, users):
     segment = spark.createDataFrame([(1,), (2,), (2,)], "user_id bigint")
     rows = [tuple(r) for r in discover_events(log, users, segment).collect()]
