@@ -4,8 +4,9 @@ Every historical version of a document is addressed by the SHA-256 of its text.
 was scanned by and what they found; a run scans each blob once for the pairs of blob and rule version that the
 ledger lacks, appends them, and joins the findings back to every path and version that holds the blob.
 
-A ledger row: ``blob``, ``scanned`` (rule@version, ...), ``findings`` (start, kind, rule, end: code points, end exclusive).
-Appending commits as a Parquet write does; a pair scanned twice, as after a lost task, changes nothing.
+A ledger row: ``blob``, ``scanned`` (rule@version, ...), ``findings`` (start, rule@version, end: code points, end exclusive).
+Appending commits as a Parquet write does; a pair scanned twice, as after a lost task, changes nothing. What is reported are the findings
+of the rule versions that are asked for, in their order: those of an older version, or of a retired rule, stay in the ledger alone.
 
 Defined cases: a null text is the empty text; null paths are paths; repeated rows are reported each; an empty table gives an
 empty table and leaves the ledger as it is; other columns are ignored; texts of any length are scanned to the end.
@@ -22,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import whole_text
+from paceline.llm.common import bitmap, passes, whole_text
 from paceline.session import materialise
 
 
@@ -57,7 +58,7 @@ RULES = (
     Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyj",)),
     Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@", flags=re.A, hints=("://",)),
 )
-FINDINGS = "array<struct<start: bigint, kind: bigint, rule: string, end: bigint>>"
+FINDINGS = "array<struct<start: bigint, pair: string, end: bigint>>"
 LEDGER = f"blob string, scanned array<string>, findings {FINDINGS}"
 
 
@@ -94,37 +95,43 @@ def unseen(addressed: DataFrame, ledger: DataFrame, keys: list[str], rules: tupl
 def scan_unseen(versions: DataFrame, ledger_path: str, keys: list[str], rules: tuple[Rule, ...] = RULES) -> None:
     """Scan what the ledger lacks and append it. Runs a job.
 
-    Only digests are grouped; each unseen blob's text is then taken from one row that holds it.
+    Only digests are grouped; each unseen blob's text is then taken from one row that holds it. A bitmap of the unseen blobs keeps
+    the texts of the others from being shuffled: with nothing unseen none are.
     """
     spark = versions.sparkSession
     addressed = versions.select(*keys, F.sha2(whole_text(), 256).alias("blob"))
     todo = unseen(addressed, read_ledger(spark, ledger_path), keys, rules).withColumnRenamed("blob", "todo_blob")
+    todo = materialise(todo, "unseen-blobs")
     texts = versions.select(*keys, whole_text().alias("text")).withColumn("blob", F.sha2("text", 256))
+    texts = texts.filter(passes(F.xxhash64("blob"), bitmap(todo.select(F.xxhash64("todo_blob").alias("hash")))))
     same = texts["blob"] == todo["todo_blob"]
     for key in keys:
         same = same & texts[key].eqNullSafe(todo["at"][key])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finding = pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("rule", pa.string()), ("end", pa.int64())])
+        finding, key = pa.struct([("start", pa.int64()), ("pair", pa.string()), ("end", pa.int64())]), {r.name: r.key for r in rules}
         for batch in batches:
             rows = []
             for text, missing in zip(batch["text"].to_pylist(), batch["missing"].to_pylist(), strict=True):
-                rows.append([dict(zip(("start", "kind", "rule", "end"), x, strict=True)) for x in scan_text(text, rules, set(missing))])
+                rows.append([{"start": start, "pair": key[name], "end": end} for start, _, name, end in scan_text(text, rules, set(missing))])
             yield pa.RecordBatch.from_arrays([batch["blob"], batch["missing"], pa.array(rows, pa.list_(finding))], ["blob", "scanned", "findings"])
 
     texts.join(todo, same).select("blob", "text", "missing").mapInArrow(scan, LEDGER).write.mode("append").parquet(ledger_path)
 
 
 def findings_by_path(versions: DataFrame, ledger_path: str, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The keys of every version, its ``blob``, and the ``findings`` of the rules in it."""
+    """The keys of every version, its ``blob``, and the ``findings`` of the given rule versions in it: (start, kind, rule, end), where
+    ``kind`` is the place of the rule among those given."""
     ledger = read_ledger(versions.sparkSession, ledger_path)
-    names = [r.name for r in rules]
-    known = ledger.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-    wanted = F.filter("findings", lambda x: x["rule"].isin(names)).alias("findings")
+    place = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.key, k)])
+    name = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.name)])
+    current = F.filter("findings", lambda x: x["pair"].isin([r.key for r in rules]))
+    told = F.transform(current, lambda x: F.struct(x["start"].alias("start"), place[x["pair"]].cast("long").alias("kind"), name[x["pair"]].alias("rule"), x["end"].alias("end")))
+    known = ledger.select("blob", told.alias("findings")).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
     # Written, so that the join's sides are dealt out for it alone and a blob that very many paths hold can be split.
     known = materialise(known, "findings")
     addressed = versions.select(*keys, F.sha2(whole_text(), 256).alias("blob"))
-    return addressed.join(known, "blob").select(*keys, "blob", wanted)
+    return addressed.join(known, "blob").select(*keys, "blob", "findings")
 
 
 def scan_versions(versions: DataFrame, ledger_path: str, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:

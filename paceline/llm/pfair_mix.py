@@ -99,13 +99,14 @@ def schedule(sources: DataFrame) -> DataFrame:
     """source, kind (first cycle of a kind), nth, slot, slots: the slot of a source's nth block in that cycle, and how
     many slots a cycle of the kind has."""
     listed = sources.select(F.sort_array(F.collect_list(F.struct("source", "blocks", "parts"))).alias("listed"))
-    # Every kind is a row of its own, so that kinds are scheduled side by side.
+    # Every kind is a row of its own, dealt out before it is scheduled, so that kinds are scheduled side by side. An outer explode has no
+    # filter on the schedule that could be pushed below the exchange and be computed there once more.
     kinds = listed.withColumn("kind", F.explode(first_cycles(F.col("listed")))).repartition(F.col("kind"))
     used = lambda x: F.least(x["blocks"], F.col("kind") * x["parts"])  # noqa: E731  blocks taken before the cycle
     left = F.transform("listed", lambda x: F.struct(x["source"].alias("source"), F.least(x["blocks"] - used(x), x["parts"]).alias("n")))
     kinds = kinds.withColumn("base", F.aggregate("listed", F.lit(0).cast("long"), lambda a, x: a + used(x))).withColumn("left", F.filter(left, lambda x: x["n"] > 0))
     filled = kinds.filter(F.size("left") > 0).withColumn("order", earliest_deadline_first(F.transform("left", lambda x: x["n"])))
-    slots = filled.select("kind", "base", "left", F.size("order").cast("long").alias("slots"), F.posexplode("order").alias("at", "pick"))
+    slots = filled.select("kind", "base", "left", F.size("order").cast("long").alias("slots"), F.posexplode_outer("order").alias("at", "pick"))
     nth = F.row_number().over(Window.partitionBy("kind", "pick").orderBy("at")) - 1
     return slots.select(F.get("left", F.col("pick"))["source"].alias("source"), "kind", nth.cast("long").alias("nth"), (F.col("base") + F.col("at")).alias("slot"), "slots")
 

@@ -2,7 +2,7 @@
 
 Documents are dealt out in ascending ``doc_id`` order, encoded, and their ids gathered in shards.
 Within a shard frequent pairs of neighbouring symbols are replaced by new symbols (nonterminals), the most
-frequent first, in ``rounds`` rounds at most, so that frequent pairs may remain; a rule holds the pair and the number of ids it expands to. No
+frequent first, in rounds, until no pair stands there ``least`` times; a rule holds the pair and the number of ids it expands to. No
 rule crosses the end of a document, so every document is a run of symbols and any range of its ids can be
 decoded from the expansion lengths, without its neighbours.
 
@@ -44,8 +44,8 @@ class TextEncoder:
 
     A byte-level BPE never merges across a space that stands before a visible character, a line break between
     visible characters, or between a word and the punctuation after it, so a text is the concatenation of such pieces. Each
-    distinct piece is encoded by the library once and then looked up; pieces not seen yet are encoded together in one call
-    and told apart by the bytes their ids cover.
+    distinct piece is encoded by the library once and then looked up. A text that holds the string of a special token is
+    encoded whole, as the library cuts it there first.
     """
 
     PUNCTUATION = ".,;:!?)"
@@ -56,7 +56,7 @@ class TextEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.vocabulary = self.tokenizer.model, self.tokenizer.get_vocab_size()
         # The character that stands for each byte in the vocabulary, as the library has it.
         letters = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -130,7 +130,8 @@ class TextEncoder:
         distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
         odd = np.fromiter((len(x.strip("\0")) == 0 or self.UNUSUAL.search(x, 1) is not None for x in distinct), bool, len(distinct))
         strange = np.add.reduceat(odd[which], offsets[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-        strange |= pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        for mark in ("\0", *self.special):
+            strange |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         if not strange.any():
             code = self.codes(distinct)[which]
             sizes = self.sizes[code]
@@ -146,6 +147,9 @@ class TextEncoder:
             starts[order] = np.cumsum(sizes[order]) - sizes[order]
             return gathered(flat, starts, sizes), sizes
         text = texts[0].as_py()
+        if any(x in text for x in self.special):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return ids, np.array([len(ids)])
         code = self.codes_of(["\0" + x for x in re.split(r"(?= \S)", text) if x])
         return gathered(self.ids, self.starts[code], self.sizes[code]), np.array([self.sizes[code].sum()])
 
@@ -162,7 +166,7 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-def grammar(ids: np.ndarray, doc_ends: np.ndarray, base: int, least: int, rounds: int, spread: int = 8):
+def grammar(ids: np.ndarray, doc_ends: np.ndarray, base: int, least: int, spread: int = 8):
     """(symbols, symbols per document, left, right) of the ids; ``doc_ends`` are the positions of last ids.
 
     A round replaces, from left to right, all pairs at least 1/``spread`` as frequent as the most frequent one
@@ -173,9 +177,7 @@ def grammar(ids: np.ndarray, doc_ends: np.ndarray, base: int, least: int, rounds
     last[doc_ends] = True
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     top = base
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         # A pair's bucket is never rarer than the pair: pairs of rare buckets need no exact count.
         bucket = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(14)
         often = np.bincount(bucket, minlength=1 << 18)
@@ -219,10 +221,10 @@ def rule_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     return lengths
 
 
-def write_shard(docs: list[tuple[int | None, np.ndarray]], base: int, least: int, rounds: int) -> tuple[bytes, int, int]:
+def write_shard(docs: list[tuple[int | None, np.ndarray]], base: int, least: int) -> tuple[bytes, int, int]:
     """(blob, number of symbols, number of rules) of documents given as (doc_id, ids with the end id)."""
     sizes = np.array([len(ids) for _, ids in docs], np.int64)
-    symbols, per_doc, left, right = grammar(np.concatenate([ids for _, ids in docs]), np.cumsum(sizes) - 1, base, least, rounds)
+    symbols, per_doc, left, right = grammar(np.concatenate([ids for _, ids in docs]), np.cumsum(sizes) - 1, base, least)
     body = b"".join(
         [
             left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), rule_lengths(left, right, base).astype("<u4").tobytes(),
@@ -300,7 +302,7 @@ def public_vocabulary(name: str) -> str:
 
 
 def encode_shards(
-    docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", shard_ids: int = 1 << 18, least: int = 12, rounds: int = 4, end_id: int = 0,
+    docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", shard_ids: int = 1 << 18, least: int = 12, end_id: int = 0,
     order: list[str] | None = None,
 ) -> DataFrame:
     """Shards of the documents, in ascending ``doc_id`` order or that of the given columns.
@@ -326,7 +328,7 @@ def encode_shards(
         end = np.array([end_id], np.uint32)
 
         def closed() -> pa.RecordBatch:
-            blob, n_symbols, n_rules = write_shard(held, base, least, rounds)
+            blob, n_symbols, n_rules = write_shard(held, base, least)
             row = [part, shard, len(held), n_held, n_symbols, n_rules, blob]
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names)
 

@@ -65,6 +65,44 @@ def test_only_unseen_pairs_are_scanned(spark, make_docs, tmp_path):
     assert found[1] == found[2] and len(found[3]) == 1
 
 
+def test_only_current_versions_are_reported(spark, make_docs, tmp_path):
+    path, docs = str(tmp_path / "ledger"), make_docs([row(1, "password=hunter22 " + "ab" * 20)])
+    told = lambda rules: [(f["kind"], f["rule"], f["start"]) for f in scan_versions(docs, path, ["doc_id"], rules).first()["findings"]]
+    first = (RULES[0], RULES[2])
+    assert told(first) == [(0, "assign", 0), (1, "hex", 18)]
+    stricter = (RULES[0], Rule("hex", 2, r"[0-9a-f]{60,}"))  # no longer matches
+    assert told(stricter) == [(0, "assign", 0)]
+    assert told(first) == [(0, "assign", 0), (1, "hex", 18)]  # the older version, asked for again, is not scanned again
+    assert told((RULES[2],)) == [(0, "hex", 18)]  # a retired rule is silent
+    # A rule put in front: kinds follow the order in which the rules are given now.
+    assert told((Rule("word", 1, r"hunter"), *first)) == [(1, "assign", 0), (0, "word", 9), (2, "hex", 18)]
+
+
+def texts_shuffled(spark, run) -> int:
+    """Rows that were dealt out with their texts while ``run`` ran; small tables are not broadcast meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen, total = store.executionsList().size(), 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    run()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k in range(seen, store.executionsList().size()):
+        execution = store.executionsList().apply(k).executionId()
+        nodes, values = store.planGraph(execution).allNodes(), store.executionMetrics(execution)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = {node.metrics().apply(i).name(): node.metrics().apply(i).accumulatorId() for i in range(node.metrics().size())}
+            key = metrics.get("shuffle records written")
+            if node.name() == "Exchange" and re.search(r"hashpartitioning\(blob#\d+, coalesce\(doc_id", node.desc()) and key is not None and values.contains(key):
+                total += int(str(values.apply(key)).split("\n")[-1].split(" ")[0].replace(",", ""))
+    return total
+
+
+def test_texts_that_are_known_are_not_shuffled(spark, make_docs, tmp_path):
+    path, docs = str(tmp_path / "ledger"), make_docs([row(k, f"text {k} " + SECRETS[0]) for k in range(200)])
+    assert texts_shuffled(spark, lambda: scan_unseen(docs, path, ["doc_id"])) == 200
+    assert texts_shuffled(spark, lambda: scan_unseen(docs, path, ["doc_id"])) == 0
+    assert read_ledger(spark, path).count() == 200
+
+
 def test_versions_of_a_path(spark, tmp_path):
     versions = spark.createDataFrame([("a", 1, SECRETS[0]), ("a", 2, "clean"), ("b", 1, SECRETS[0]), (None, 1, SECRETS[1])], "path string, version long, text string")
     found = scan_versions(versions, str(tmp_path / "l"), ["path", "version"])

@@ -35,6 +35,14 @@ def test_cycles(spark):
             assert all(abs(taken[k] - Fraction(t * p, sum(parts))) < 1 for k, p in enumerate(parts))
 
 
+def test_kinds_are_scheduled_after_they_are_dealt_out(spark):
+    """The schedule is computed once, above the exchange."""
+    sources = spark.createDataFrame([("a", 23, 5), ("b", 4, 3)], "source string, blocks long, parts long")
+    plan = schedule(sources)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "sequence(" in above and "sequence(" not in below
+
+
 def test_schedule_of_all_kinds(spark):
     """Blocks of sources that run out at different times fill all slots once, in order, each phase fairly."""
     listed = [("a", 23, 5), ("b", 4, 3), ("c", 9, 1), (None, 1, 2)]
