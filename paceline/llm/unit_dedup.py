@@ -1,16 +1,19 @@
 """Exact substring deduplication by lines, sentences and chosen windows: the earliest occurrence of a unit stays, all others go.
 
 Lines are cut after sentence ends, and sentences of a line are joined until a unit has ``min_words`` words (what is left at
-the end of a line goes to the unit before it). So that passages are found wherever they stand, without regard to lines and
-sentences, windows of ``WINDOW`` words are units too: of any ``REACH`` neighbouring windows the one of least hash (winnowing). A
-passage of at least ``WINDOW + REACH - 1`` words thus has the same windows in every document, and they cover all of it
-but fewer than ``REACH`` words at either end. A letter of a script written without spaces is a word there. Windows are
-compared with windows only, and overlap with sentences and each other. Units are compared by a 128-bit digest of their words in lower case. Digests are
-grouped over all documents; the occurrence of least rank, then ``doc_id``, then position stays. Offsets are code points
+the end of a line goes to the unit before it). Whole lines of at least ``line_words`` words are units too. So that passages are found wherever
+they stand, without regard to lines and sentences, windows of ``WINDOW`` words are units as well: of any ``REACH`` neighbouring windows the one
+of least hash (winnowing). A passage of at least ``WINDOW + REACH - 1`` words thus has the same windows in every document, and they cover all
+of it but fewer than ``REACH`` words at either end. A letter of a script written without spaces is a word. Windows are
+compared with windows only, and overlap with sentences and each other. Units are compared by a 128-bit digest of their words in lower case.
+Digests are grouped over all documents; the occurrence of least rank, then ``doc_id``, then position stays. Offsets are code points
 of the original text, ``end`` exclusive.
 
-Defined cases: null and empty texts have no units; a line of fewer words than ``min_words`` is only removed inside a repeated window; a
-window that overlaps the earliest occurrence of itself stays, so that runs of one word do not eat themselves; rows with
+Digests are sums over words (a word's hash: over letters) of powers of odd numbers, modulo 2**64, so that prefix sums give those of all windows
+and units of a text at once.
+
+Defined cases: null and empty texts have no units; a line of fewer words than ``line_words`` (by default ``min_words``) is only removed inside a
+repeated window; a window that overlaps the earliest occurrence of itself stays, so that runs of one word do not eat themselves; rows with
 one ``doc_id`` and rank are one document, so a repeated row repeats nothing; a null ``doc_id`` or rank comes first; an
 empty table gives an empty table; other columns are ignored; texts of any length are read to the end.
 """
@@ -19,95 +22,152 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import HashedWords, batches_of, free_name, window_hashes
+from paceline.llm.common import batches_of, free_name, mixed
 from paceline.session import materialise
 
 SENTENCE_END = re.compile(r"[.!?]+(?=\s)|\n")
-WORDS = re.compile(r"\w+")
-# Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
-UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-PIECES = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
-# Words of a window, and neighbouring windows of which one is chosen at least.
+# Fixed values. Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+# Words of a window, and neighbouring windows of which one is chosen at least.
 WINDOW, REACH = 24, 8
-# Stands before the first word of a window, so that no sentence equals one.
-WINDOW_MARK = "\n"
-
-
-def text_windows(low: str, hashed: HashedWords) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of the chosen windows of a lower-cased text; they end where the next word starts."""
-    words = PIECES.findall(low)
-    if len(words) < WINDOW + REACH - 1:
-        return
-    starts = np.fromiter((m.start() for m in PIECES.finditer(low)), np.int64, len(words))
-    hashes = window_hashes(hashed.of(words), WINDOW)
-    least = np.lib.stride_tricks.sliding_window_view(hashes, REACH).argmin(axis=1) + np.arange(len(hashes) - REACH + 1)
-    ends = np.append(starts[1:], len(low))
-    for k in np.unique(least).tolist():
-        chosen = words[k : k + WINDOW]
-        chosen[0] = WINDOW_MARK + chosen[0]
-        yield int(starts[k]), int(ends[k + WINDOW - 1]), chosen
-
-
-def text_units(text: str, min_words: int, hashed: HashedWords | None = None) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of the units of a text: sentences of at least ``min_words`` words, then windows."""
-    low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    held: tuple[int, int, list[str]] | None = None  # a unit that may still get the rest of its line
-    start, words = 0, []
-    for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
-        words += WORDS.findall(low, start if not words else at, end)
-        at = end
-        line_ends = end == len(text) or text[end - 1] == "\n"
-        if len(words) >= min_words:
-            if held:
-                yield held
-            held, words, start = (start, end, words), [], end
-        if line_ends:
-            if held and words:
-                held = (held[0], end, held[2] + words)
-            if held:
-                yield held
-            held, words, start = None, [], end
-    yield from text_windows(low, HashedWords(str) if hashed is None else hashed)
-
-
-def units(docs: DataFrame, rank: Column, min_words: int = 8) -> DataFrame:
+# Odd bases: of letters in words, and of words in units, for either half of a digest.
+LETTERS, HALVES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+# What tells sentences and lines from windows.
+SENTENCE, CHOSEN = 0, 1 << 40
+# Chance repeats shorter sentences and lines across unrelated documents, and boilerplate stands in clean ones.
+MIN_WORDS = 16
+# Letters that are hashed at a time, whatever the length of a text.
+PIECE = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def letter_kinds() -> np.ndarray:
+    """For every code point: 1 if it is part of a word, 2 if it is a word by itself, else 0."""
+    kinds = np.fromiter((chr(k).isalnum() for k in range(0x110000)), np.uint8, 0x110000)
+    kinds[ord("_")] = 1
+    for first, last in UNSPACED:
+        kinds[first : last + 1] = 2
+    return kinds
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64, as many as were asked for yet."""
+
+    def __init__(self, base: int):
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.known = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if len(self.known[0]) < n:
+            size = max(n, 2 * len(self.known[0]))
+            self.known = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in self.bases]
+        return [x[:n] for x in self.known]
+
+
+def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hashes of the runs ``values[first:last]``; equal runs hash alike wherever they stand."""
+    power, inverse = powers.upto(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[:-1], dtype=np.uint64)])
+    return mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
+
+
+class UnitCutter:
+    """Cuts texts; holds the powers that their hashes need."""
+
+    def __init__(self, min_words: int, line_words: int | None = None):
+        self.min_words, self.line_words = min_words, min_words if line_words is None else line_words
+        self.letters, self.halves = Powers(LETTERS), [Powers(b) for b in HALVES]
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the words of a text in lower case."""
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        letters = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = letter_kinds()[letters]
+        inside = np.concatenate([[False], kinds == 1, [False]])
+        starts = np.flatnonzero((kinds == 2) | inside[1:-1] & ~inside[:-2])
+        ends = np.flatnonzero((kinds == 2) | inside[1:-1] & ~inside[2:]) + 1
+        hashes, done = [], 0
+        while done < len(starts):
+            upto = max(done + 1, int(np.searchsorted(starts, starts[done] + PIECE)))
+            base = starts[done]
+            values = letters[base : ends[upto - 1]].astype(np.uint64) + np.uint64(1)
+            hashes.append(run_hashes(values, starts[done:upto] - base, ends[done:upto] - base, self.letters))
+            done = upto
+        return starts, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+
+    def sentences(self, text: str, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(start, end, first word, last word) of sentences of at least ``min_words`` words, and of whole lines."""
+        found, held = [], None  # held: a unit that may still get the rest of its line
+        start, first, line = 0, 0, True  # line: whether the unit began with its line
+        bounds = [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]
+        for end, last in zip(bounds, np.searchsorted(starts, bounds).tolist(), strict=True):
+            line_ends = end == len(text) or text[end - 1] == "\n"
+            if last - first >= self.min_words:
+                if held:
+                    found.append(held)
+                held, start, first, line = (start, end, first, last), end, last, False
+            if line_ends:
+                if held:
+                    found.append((held[0], end, held[2], last) if last > held[3] else held)
+                elif line and last - first >= max(self.line_words, 1):
+                    found.append((start, end, first, last))
+                held, start, first, line = None, end, last, True
+        return found
+
+    def units(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(high, low, start, end, n_words) of the units of a text: sentences and lines, then windows, which end where the next word starts."""
+        starts, hashes = self.words(text)
+        spans = np.array(self.sentences(text, starts), np.int64).reshape(-1, 4)
+        n = len(starts) - WINDOW + 1
+        at = np.arange(max(n, 0))
+        halves = [run_hashes(hashes, np.concatenate([spans[:, 2], at]), np.concatenate([spans[:, 3], at + WINDOW]), p) for p in self.halves]
+        chosen = np.zeros(0, np.int64)
+        if n >= REACH:
+            chosen = np.unique(np.lib.stride_tricks.sliding_window_view(halves[1][len(spans) :], REACH).argmin(axis=1) + np.arange(n - REACH + 1))
+        after = np.append(starts[1:], len(text))
+        kept = np.concatenate([np.arange(len(spans)), len(spans) + chosen])
+        kind = np.where(kept < len(spans), SENTENCE, CHOSEN).astype(np.uint64)
+        high, low = (mixed(half[kept] + kind).view(np.int64) for half in halves)
+        return (
+            high, low, np.concatenate([spans[:, 0], starts[chosen]]), np.concatenate([spans[:, 1], after[chosen + WINDOW - 1]]),
+            np.concatenate([spans[:, 3] - spans[:, 2], np.full(len(chosen), WINDOW)]),
+        )
+
+
+def units(docs: DataFrame, rank: Column, min_words: int, line_words: int | None = None) -> DataFrame:
     """high, low (the digest), rank, doc_id, start, end, n_words of every unit."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedWords(str)
+        cutter = UnitCutter(min_words, line_words)
         for batch in (piece for whole in batches for piece in batches_of(whole)):
-            digests, which, places = [], [], []
-            for row, text in enumerate(batch["text"].to_pylist()):
-                for start, end, words in text_units(text or "", min_words, hashed):
-                    digests.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
-                    which.append(row)
-                    places.append((start, end, len(words)))
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            spans = np.array(places, np.int64).reshape(-1, 3)
-            rows = pa.array(which, pa.int64())
-            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch["rank"].take(rows), batch["doc_id"].take(rows)]
-            columns += [pa.array(spans[:, k]) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, ["high", "low", "rank", "doc_id", "start", "end", "n_words"])
+            found = [cutter.units(text or "") for text in batch["text"].to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+            high, low, *places = ([x[k] for x in found] for k in range(5))
+            columns = [pa.array(np.concatenate(x)) for x in (high, low)] + [batch["rank"].take(rows), batch["doc_id"].take(rows)]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.concatenate(x)) for x in places]], ["high", "low", "rank", "doc_id", "start", "end", "n_words"])
 
     schema = "high long, low long, rank long, doc_id long, start long, end long, n_words long"
     return docs.select(rank.cast("long").alias("rank"), F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
-def repeated_units(docs: DataFrame, rank: Column | None = None, min_words: int = 8) -> DataFrame:
+def repeated_units(docs: DataFrame, rank: Column | None = None, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     """doc_id, start, end, n_words of every unit to remove, and first_doc_id, first_start of the one that stays.
 
     The first occurrences are found by an aggregation that combines before its shuffle, and written: a digest has one row
     there, so the join back to the occurrences is linear, and as both its sides are dealt out for the join alone, adaptive
-    execution can split the occurrences of a very common unit.
+    execution can split the occurrences of a very common unit. Texts are cut twice: units take several times the room of the
+    texts, so that cutting again costs less than writing them.
     """
-    found = units(docs, F.lit(0) if rank is None else rank, min_words)
+    found = units(docs, F.lit(0) if rank is None else rank, min_words, line_words)
     place = F.struct("rank", "doc_id", "start")
     first = (
         found.groupBy("high", "low")

@@ -8,18 +8,57 @@ import pytest
 from corpus_rows import prose, row
 from pyspark.sql import functions as F
 
-from paceline.llm.unit_dedup import repeated_units, text_units, without_units
+from paceline.llm import unit_dedup
+from paceline.llm.unit_dedup import REACH, WINDOW, UnitCutter, repeated_units, without_units
+
+SENTENCE_END = re.compile(r"[.!?]+(?=\s)|\n")
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+PIECES = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+
+
+def lowered(text: str) -> str:
+    return text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def text_units(text: str, min_words: int, line_words: int | None = None):
+    """(start, end, words) of the units of a text, one after the other: sentences and lines, then the windows that are chosen."""
+    low, line_words = lowered(text), min_words if line_words is None else line_words
+    held, start, words, line, at = None, 0, [], True, 0
+    for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
+        words += PIECES.findall(low, at, end)
+        at = end
+        if len(words) >= min_words:
+            if held:
+                yield held
+            held, words, start, line = (start, end, words), [], end, False
+        if end == len(text) or text[end - 1] == "\n":
+            if held and words:
+                held = (held[0], end, held[2] + words)
+            if held:
+                yield held
+            elif line and words and len(words) >= line_words:
+                yield start, end, words
+            held, words, start, line = None, [], end, True
+    found = list(PIECES.finditer(low))
+    # Which windows are chosen follows their hashes alone.
+    high, _, starts, _, n_words = UnitCutter(10**9).units(text)
+    chosen = set(starts.tolist())
+    for k in range(len(found) - WINDOW + 1):
+        if found[k].start() in chosen:
+            end = found[k + WINDOW].start() if k + WINDOW < len(found) else len(text)
+            yield found[k].start(), end, ["\n", *(m[0] for m in found[k : k + WINDOW])]
+
 
 PASSAGE = prose(500, 70)
 
 
-def plain(rows, rank=lambda r: 0, least=8):
+def plain(rows, rank=lambda r: 0, least=unit_dedup.MIN_WORDS):
     """The earliest place of each unit, and the units elsewhere."""
     places = {}
     for r in rows:
         for start, end, words in text_units(r["text"] or "", least):
             low = lambda x: (x is not None, x or 0)
-            places.setdefault(" ".join(words), set()).add((low(rank(r)), low(r["doc_id"]), start, end, len(words)))
+            places.setdefault(" ".join(words), set()).add((low(rank(r)), low(r["doc_id"]), start, end, len(words) - (words[0] == "\n")))
     found = set()
     for each in places.values():
         first = min(each)
@@ -34,6 +73,43 @@ def test_units_cover_words_in_order():
     assert all(words == re.findall(r"\w+", x.lower()) for x, words in found)
 
 
+ODD = [
+    "", "a", "one two.\nthree four five. six\n\nseven", "_x_ y1 é ß. İ I\u0307 Σας", "日本語テキスト。これ は x", "ไทย ภาษา", "word " * 60, "a.b c! d?e f. " * 20,
+    prose(3, 200), prose(4, 150, "de"), "\n".join(f"line {k} of many" for k in range(30)), "x" * 5000 + " tail", "🙂 emoji 🙂 and\u0000nul \x1c sep",
+]
+
+
+@pytest.mark.parametrize("least, line", [(5, None), (16, None), (16, 1), (1, 1)])
+@pytest.mark.parametrize("piece", [1 << 20, 7])
+def test_units_of_odd_texts(monkeypatch, least, line, piece):
+    """The same spans as the plain way, and digests that are equal exactly where words are."""
+    monkeypatch.setattr(unit_dedup, "PIECE", piece)
+    cutter, by_digest, by_words = UnitCutter(least, line), {}, {}
+    for text in ODD * 2:
+        high, low, start, end, n = (x.tolist() for x in cutter.units(text))
+        expected = list(text_units(text, least, line))
+        assert sorted(zip(start, end, n, strict=True)) == sorted((a, b, len(w) - (w[0] == "\n")) for a, b, w in expected)
+        windows = {a: w for a, _, w in expected if w[0] == "\n"}
+        lines = {a: w for a, _, w in expected if w[0] != "\n"}
+        for k in range(len(high)):
+            words = tuple((windows if k >= len(lines) else lines)[start[k]])
+            assert by_digest.setdefault((high[k], low[k]), words) == words and by_words.setdefault(words, (high[k], low[k])) == (high[k], low[k])
+    assert len({h for h, _ in by_digest}) == len({x for _, x in by_digest}) == len(by_digest)
+
+
+def test_one_of_any_neighbouring_windows_is_chosen():
+    starts = UnitCutter(10**9).units(prose(8, 500))[2]
+    every = [m.start() for m in PIECES.finditer(prose(8, 500).lower())][: 500 - WINDOW + 1]
+    chosen = [every.index(x) for x in starts.tolist()]
+    assert chosen[0] < REACH and len(every) - chosen[-1] <= REACH and max(b - a for a, b in zip(chosen, chosen[1:])) <= REACH
+
+
+def test_short_lines_go_if_asked_for(spark, make_docs):
+    docs = make_docs([row(k, prose(k, 60) + "\nAll rights reserved.\n" + prose(100 + k, 60)) for k in range(4)])
+    assert repeated_units(docs).count() == 0
+    assert {(r["doc_id"], r["n_words"]) for r in repeated_units(docs, line_words=1).collect()} == {(1, 3), (2, 3), (3, 3)}
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rows = [row(k, prose(k, 100)) for k in range(20)]
