@@ -32,11 +32,14 @@ LEAST_WORDS = 5
 LINE = ["h1", "h2"]
 
 
-def line_words(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no and the words of every line that has one."""
+def line_words(docs: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """doc_id, line_no and the words of every line that has one; of those at the given places (and a few others) alone, if there are such."""
     lines = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line_no", F.col("line_no").cast("long"))
+    if places is not None:
+        lines = lines.filter(passes(F.xxhash64("doc_id", "line_no"), bitmap(places.select(F.xxhash64("doc_id", "line_no").alias("hash")))))
     plain = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " ")).alias("plain")
-    return lines.select("doc_id", F.col("line_no").cast("long"), plain).filter("plain <> ''").withColumn("words", F.split("plain", " "))
+    return lines.select("doc_id", "line_no", plain).filter("plain <> ''").withColumn("words", F.split("plain", " "))
 
 
 def halves() -> Column:
@@ -125,7 +128,8 @@ def near_duplicate_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "line_no")
     reduced = lines.groupBy(*LINE).agg(F.min(place).alias("first"), F.max(place).alias("last"))
     chosen = materialise(reduced.join(sharing_halves(lines), LINE).select(*LINE, "first"), "chosen-lines")
-    texts = line_words(docs).withColumn("h1", F.xxhash64("plain")).filter(passes(F.col("h1"), bitmap(chosen.select("h1"))))
+    # Lines are brought to their normal form once for their addresses, and again only where a chosen line stands first.
+    texts = line_words(docs, chosen.select("first.*")).withColumn("h1", F.xxhash64("plain"))
     spelt = (
         texts.select("doc_id", "line_no", "plain", "h1", F.xxhash64(F.lit(1), "plain").alias("h2"))
         .join(chosen.select(F.col("first.doc_id").alias("at_id"), F.col("first.line_no").alias("line_no"), *LINE, "first"), ["line_no", *LINE])
