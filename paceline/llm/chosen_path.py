@@ -103,7 +103,8 @@ def buckets(classes: DataFrame, s: PathSettings) -> DataFrame:
     """path, set_id, blocks: the buckets in which pairs are to be compared, and into how many blocks of some
     ``block_shingles`` shingles and ``block_sets`` classes at most their members are cut for that.
 
-    Buckets with the same members are reduced to one, which loses no pair. Runs a job for each level.
+    Buckets that mostly hold the members of another are united with it, which loses no pair: so the runs compare a group of near
+    copies once, not once each. Runs a job for each level.
     """
     members = classes.select("set_id", F.posexplode(F.slice("mins", 1, s.runs)).alias("run", "value"))
     members = members.select("set_id", "run", F.xxhash64("run", "value").alias("path"))
@@ -127,16 +128,28 @@ def buckets(classes: DataFrame, s: PathSettings) -> DataFrame:
         parts = part(range(s.branches), tokens.join(alike.filter("not alike"), "parent", "left_semi"))
         level = materialise(_sized(parts.select("path", "set_id", "run")).select("path", "set_id", "run", "size"), "paths")
         leaves = leaves.unionByName(level.filter((F.col("size") <= s.bucket) | F.lit(depth == s.levels)))
-    leaves = leaves.select("path", "set_id", "size").distinct()
-    member = F.xxhash64("set_id")
-    same = leaves.groupBy("path", "size").agg(F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("y"))
-    kept = same.groupBy("size", "x", "y").agg(F.min("path").alias("path")).select("path")
-    chosen = materialise(leaves.join(kept, "path").join(classes.select("set_id", "n"), "set_id").select("path", "set_id", "n"), "buckets")
+    leaves = materialise(leaves.select("path", "set_id", "size").distinct(), "leaves")
+    united = leaves.join(unions(leaves), "path", "left").select(F.coalesce("into", "path").alias("path"), "set_id").distinct()
+    chosen = materialise(united.join(classes.select("set_id", "n"), "set_id").select("path", "set_id", "n"), "buckets")
     needed = F.greatest(F.ceil(F.sum("n") / s.block_shingles), F.ceil(F.count(F.lit(1)) / s.block_sets))
     blocks = chosen.groupBy("path").agg(needed.cast("int").alias("blocks"))
     return chosen.drop("n").join(materialise(blocks, "blocks"), "path")
 
 
+def unions(leaves: DataFrame) -> DataFrame:
+    """path, into: the buckets to unite with a larger one (of equal ones, that of the least path) that has half of their members.
+
+    Only buckets that stay themselves take others in, so that unions don't run on along chains. A set has a bounded number
+    of buckets, so the pairs of buckets that share it are as many as the sets, times a constant.
+    """
+    other = leaves.select(F.col("path").alias("into"), "set_id", F.col("size").alias("into_size"))
+    larger = (F.col("into_size") > F.col("size")) | (F.col("into_size") == F.col("size")) & (F.col("into") < F.col("path"))
+    shared = leaves.join(other, "set_id").filter(larger).groupBy("path", "into", "size", "into_size").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialise(shared.filter("2 * n >= size"), "shared-buckets")
+    roots = shared.join(shared.select(F.col("path").alias("into")).distinct(), "into", "left_anti")
+    return roots.groupBy("path").agg(F.max_by("into", F.struct("n", "into_size", -F.col("into"))).alias("into"))
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, s: PathSettings) -> DataFrame:
     """set_id, shingles (uint64, little-endian) of the wanted classes (set_id, rep: a document of each)."""
 
