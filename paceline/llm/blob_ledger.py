@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import bitmap, passes, whole_text
+from paceline.llm.common import batches_of, bitmap, passes, whole_text
 from paceline.session import materialise
 
 
@@ -110,7 +110,7 @@ def scan_unseen(versions: DataFrame, ledger_path: str, keys: list[str], rules: t
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finding, key = pa.struct([("start", pa.int64()), ("pair", pa.string()), ("end", pa.int64())]), {r.name: r.key for r in rules}
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in batches_of(whole)):
             rows = []
             for text, missing in zip(batch["text"].to_pylist(), batch["missing"].to_pylist(), strict=True):
                 rows.append([{"start": start, "pair": key[name], "end": end} for start, _, name, end in scan_text(text, rules, set(missing))])
