@@ -1,0 +1,121 @@
+"""Bitmap states against the metrics from the log itself."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from paceline.operators.metrics import insight
+from paceline.sources.tables import event_log
+from paceline.sources.user_states import UserStates, numbered, users_of
+from profiles import PROPERTIES
+
+
+@pytest.fixture(scope="module")
+def tables(make_log, make_users):
+    draw = random.Random(12)
+    ids = [draw.randrange(-(10**12), 10**12) for _ in range(300)]
+    rows = [(draw.choice([*ids, None]), draw.choice("abcd"), draw.random() * 40) for _ in range(4000)]
+    users = [(i, draw.choice(["free", "pro", None]), draw.choice(["de", "fr", "us"])) for i in ids[:250]]
+    return make_log(rows), make_users(users)
+
+
+@pytest.fixture(scope="module")
+def states(spark, tables, tmp_path_factory):
+    store = UserStates(spark, str(tmp_path_factory.mktemp("states")))
+    store.add_days(tables[0])
+    return store
+
+
+def rows(frame):
+    return sorted(map(str, frame.select(*sorted(frame.columns)).collect()))
+
+
+OPTIONS = [
+    {}, {"by_week": True}, {"metric": "event_count"}, {"metric": "event_count", "by_week": True}, {"filters": {"plan": "pro"}}, {"group_by": "country"},
+    {"group_by": "plan"}, {"by_week": "yes", "filters": {"country": "de"}}, {"group_by": "country", "filters": {"plan": "free"}}, {"filters": {"plan": "none"}},
+]
+
+
+@pytest.mark.parametrize("days", [3, 17, 400])
+@pytest.mark.parametrize("options", OPTIONS, ids=str)
+def test_equal_to_the_log(tables, states, options, days):
+    log, users = tables
+    shared = {"events": ["a", "c"], "timeframe_days": days, "properties": PROPERTIES, **options}
+    assert rows(states.insight(log, users, **shared)) == rows(insight(log, users, **shared))
+
+
+def test_arguments(tables, states):
+    log, users = tables
+    for wrong in ({"metric": "x"}, {"filters": {"plan": "pro"}, "metric": "event_count"}, {"group_by": "shoe"}):
+        with pytest.raises(ValueError):
+            states.insight(log, users, events="a", properties=PROPERTIES, **wrong)
+    with pytest.raises(ValueError):
+        states.insight(log, events="a", group_by="plan", properties=PROPERTIES)
+
+
+def test_unions_of_events_days_and_users(tables, states):
+    """Any choice of events and days is a union of bitmaps."""
+    log, _ = tables
+    by_date = log.withColumn("date", F.col("ts").cast("date"))
+    for chosen in (F.col("event") == "a", F.col("event").isin("b", "d"), F.dayofmonth("date") % 2 == 0):
+        expected = by_date.filter(chosen).agg(F.count_distinct("user_id")).first()[0]
+        assert users_of(states.states().filter(chosen)).first()["value"] == expected
+
+
+def test_numbers_have_no_gaps(spark, states):
+    found = [r["number"] for r in states.numbers().collect()]
+    assert sorted(found) == list(range(len(found)))
+    shuffled = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).unionByName(spark.range(10).withColumnRenamed("id", "k"))
+    placed = {r["k"]: r["number"] for r in numbered(shuffled, "k", 5).collect()}
+    assert placed == {k: k + 5 for k in range(1000)}
+
+
+def scanned(spark, path: str, run) -> int:
+    """Rows that scans of the files at ``path`` gave while ``run`` ran."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen, total = store.executionsList().size(), 0
+    run()
+    for k in range(seen, store.executionsList().size()):
+        execution = store.executionsList().apply(k).executionId()
+        nodes, values = store.planGraph(execution).allNodes(), store.executionMetrics(execution)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Scan" in node.name() and path in node.desc():
+                for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        total += int(str(values.apply(metric.accumulatorId())).replace(",", "").split("\n")[-1].split(" ")[0])
+    return total
+
+
+def test_a_new_day_reads_that_day_alone(spark, tables, tmp_path):
+    log, users = tables
+    path = str(tmp_path / "log")
+    log.withColumn("day", F.col("ts").cast("date")).write.partitionBy("day").parquet(path)
+    by_day = event_log(spark.read.parquet(path), day="day")
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(40)]
+    store = UserStates(spark, str(tmp_path / "states"))
+    assert store.insight(by_day, events="a").first()["value"] == 0
+    store.add_days(by_day, days[:39])
+    own = by_day.filter(F.col("day") == days[39]).count()
+    assert 0 < own < by_day.count() / 20
+    assert scanned(spark, path, lambda: store.add_days(by_day, days[39:])) == own
+    store.add_days(by_day, days[20:22])  # once more: the days are replaced, not added to
+    for options in OPTIONS[:4]:
+        assert rows(store.insight(by_day, events=["a", "b"], timeframe_days=12, **options)) == rows(insight(log, events=["a", "b"], timeframe_days=12, **options))
+    # A look-back reads the log for the date in which it begins alone.
+    begun = by_day.filter(F.col("day") == days[39] - timedelta(days=12)).count()
+    assert scanned(spark, path, lambda: store.insight(by_day, events=["a", "b"], timeframe_days=12).collect()) <= begun
+
+
+def test_events_that_come_late(spark, make_log, tmp_path):
+    """Filed under a later day, they count for the date of their time."""
+    log = make_log([(1, "a", 1.0), (2, "a", 8.5), (3, "a", 9.5), (4, "a", 2.5)])
+    filed = log.withColumn("day", F.when(F.col("user_id") == 4, F.lit(date(2024, 1, 12))).otherwise(F.col("ts").cast("date")))
+    store = UserStates(spark, str(tmp_path / "late"))
+    store.add_days(filed)
+    for days in (1, 7, 8, 90):
+        assert rows(store.insight(filed, events="a", timeframe_days=days)) == rows(insight(log, events="a", timeframe_days=days))

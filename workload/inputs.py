@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paceline.session import scratch_path
 from paceline.sources.segments import SegmentStore
 from paceline.sources.tables import event_log, user_profiles
+from paceline.sources.user_states import UserStates
 
 PROPERTIES = ["segment", "nation", "region", "balance_band"]
 
@@ -111,5 +112,12 @@ def misspelt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(known, "event", "left").select(damaged.alias("event"))
 
 
+def click_states(spark: SparkSession, sf_dir: str) -> UserStates:
+    """The bitmap states of the click log, all days at once."""
+    states = UserStates(spark, scratch_path(spark, "click-states"))
+    states.add_days(click_log(spark, sf_dir))
+    return states
+
+
 def fresh_store(spark: SparkSession) -> SegmentStore:
     return SegmentStore(spark, scratch_path(spark, "segments"))

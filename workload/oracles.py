@@ -375,6 +375,20 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'all users' AS \"group\", count(*) AS value FROM log JOIN users u USING (user_id)"
         f" WHERE event IN ('1-URGENT', '5-LOW') AND {since(DAYS_O)} AND u.region = 'ASIA' AND u.balance_band = 'mid'",
     )
+    add(
+        "user_states_total", LOG_C,
+        f"SELECT 'all users' AS \"group\", count(DISTINCT user_id) AS value FROM log WHERE event IN ('click', 'purchase') AND {since(14)}",
+    )
+    add(
+        "user_states_by_week", LOG_C,
+        f"SELECT {week}, count(DISTINCT user_id) AS value FROM log WHERE event IN ('purchase', 'click') AND {since(DAYS_C)} GROUP BY 1",
+    )
+    add(
+        "user_states_by_property", CLICKS,
+        "SELECT * FROM (SELECT u.nation AS \"group\", count(DISTINCT l.user_id) AS value FROM log l JOIN users u USING (user_id)"
+        f" WHERE event = 'view' AND {since(DAYS_C)} AND u.balance_band = 'high' GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST LIMIT 12)"
+        ' WHERE "group" IS NOT NULL',
+    )
     add(
         "insight_filtered_by_week", CLICKS,
         f"SELECT {week}, count(DISTINCT user_id) AS value FROM log JOIN users u USING (user_id)"

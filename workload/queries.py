@@ -47,6 +47,7 @@ from paceline.sources.tables import event_catalog, property_values
 from workload.inputs import (
     PROPERTIES,
     click_log,
+    click_states,
     click_log_by_day,
     customer_profiles,
     fresh_store,
@@ -205,6 +206,24 @@ def insight_filtered_by_week(spark, sf):
     )
 
 
+@_query
+def user_states_total(spark, sf):
+    return click_states(spark, sf).insight(click_log(spark, sf), events="click, purchase", timeframe_days=14)
+
+
+@_query
+def user_states_by_week(spark, sf):
+    return click_states(spark, sf).insight(click_log(spark, sf), events=["purchase", "click"], by_week=True, timeframe_days=DAYS_C)
+
+
+@_query
+def user_states_by_property(spark, sf):
+    return click_states(spark, sf).insight(
+        click_log(spark, sf), customer_profiles(spark, sf), events=["view"], group_by="nation", timeframe_days=DAYS_C,
+        filters={"balance_band": "high"}, properties=PROPERTIES,
+    )
+
+
 # ------------------------------------------------------------------- funnel
 
 
