@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.args import as_flag, as_int, funnel_steps, known_property, profile_condition, required_text
 from paceline.functions.numeric import missing_share, share
-from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
+from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy, composed
 from paceline.operators.lookback import surveyed, within
 from paceline.session import materialise
 from paceline.sources.segments import SegmentStore
@@ -51,33 +51,49 @@ def _light_reach(rows: DataFrame, steps: list[str], window_days: int, pairs: boo
     return per_user.select(*columns)
 
 
-def _heavy_reach(rows: DataFrame, steps: list[str], window_days: int, pairs: bool) -> DataFrame:
-    """The same by conditional minima, one pass over the heavy rows per step; the minima combine map-side.
+def _heavy_reach(rows: DataFrame, steps: list[str], window_days: int, pairs: bool, slice_rows: int) -> DataFrame:
+    """The same for heavy users, from two passes over their rows, whatever the number of steps.
 
-    The state has one row per heavy user and is written after each step, so that adaptive execution knows its size
-    and broadcasts it, or splits the rows of one user.
+    The first pass finds when each user began, a row a user, which is written. The second reduces what follows to a row
+    for each time of a user, with the steps that were done at it; so all times differ, and a step taken in one row can't be followed
+    by another in the same. These rows are cut into slices, each slice becomes a table "steps reached before -> reached after", and
+    the tables of a user are composed.
     """
     n = len(steps)
     window = F.make_dt_interval(F.lit(window_days))
-    state = rows.groupBy("user_id").agg(
+    firsts = rows.groupBy("user_id").agg(
         F.min(_at(steps[0])).alias("t1"),
         *[F.min(_at(steps[k - 1])).alias(f"first{k}") for k in range(2, n if pairs else 2)],
     )
-    for k in range(2, n + 1):
-        known = [c for c in state.columns if c != "user_id"]
-        open_step = (F.col("ts") > F.col(f"t{k - 1}")) & (F.col("ts") <= F.col("t1") + window)
-        found = [F.min(F.when(open_step, _at(steps[k - 1]))).alias(f"t{k}")]
-        if pairs and k == 2:
-            for j in range(1, n):
-                first = F.col("t1" if j == 1 else f"first{j}")
-                hit = (F.col("event") == steps[j]) & (F.col("ts") > first) & (F.col("ts") <= first + window)
-                pair = F.when(first.isNull(), 0).when(hit, 2).otherwise(1)
-                found.append(F.max(pair).alias(f"pair_{j}"))
-        state = rows.join(materialise(state, "heavy-state"), "user_id").groupBy("user_id", *known).agg(*found)
+    firsts = materialise(firsts if pairs else firsts.filter(F.col("t1").isNotNull()), "heavy-starts")
+
+    inside = (F.col("ts") > F.col("t1")) & (F.col("ts") <= F.col("t1") + window)
+    bits = [F.when(F.col("event") == step, 1 << k).otherwise(0) for k, step in enumerate(steps)]
+    done = sum(bits[1:], bits[0])
+    hits = []
+    for k in range(1, n if pairs else 1):
+        first = F.col("t1" if k == 1 else f"first{k}")
+        follows = (F.col("event") == steps[k]) & (F.col("ts") > first) & (F.col("ts") <= first + window)
+        hits.append(F.coalesce(F.max(follows), F.lit(False)).alias(f"hit_{k}"))
+    mask = F.coalesce(F.bit_or(F.when(inside, done)), F.lit(0)).alias("done")
+    times = rows.join(firsts, "user_id").groupBy("user_id", "ts").agg(mask, *hits)
+    order = ("user_id", "ts")
+    ordered = times.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ordered = materialise(ordered, "heavy-times").withColumn("slice", F.expr(f"at div {slice_rows}"))
+
+    # Step k is bit k - 1, so that whoever reached m steps waits for bit m; nobody waits for bit n.
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("ts", "done"))), lambda x: x["done"])
+    after = lambda m: F.aggregate("listed", m, lambda at, d: at + F.when(F.getbit(d, at) == 1, 1).otherwise(0))
+    moves = F.array(F.transform(F.sequence(F.lit(0), F.lit(n)), after))
+    tables = ordered.filter("done > 0").groupBy("user_id", "slice").agg(listed.alias("listed")).select("user_id", "slice", moves.alias("moves"))
+    chained = composed(tables, ["user_id"]).select("user_id", F.get(F.get("moves", F.lit(0)), F.lit(1)).alias("furthest"))
+    found = firsts.join(chained, "user_id", "left")
+    reached = F.when(F.col("t1").isNull(), 0).otherwise(F.coalesce("furthest", F.lit(1))).alias("reached")
     if not pairs:
-        state = state.filter(F.col("t1").isNotNull())
-    names = [f"pair_{k}" for k in range(1, n)] if pairs else []
-    return state.select("user_id", _passed(n).alias("reached"), *names)
+        return found.select("user_id", reached)
+    pair = ordered.groupBy("user_id").agg(*[F.max(f"hit_{k}").alias(f"hit_{k}") for k in range(1, n)])
+    columns = [F.when(F.col("t1" if k == 1 else f"first{k}").isNull(), 0).when(F.col(f"hit_{k}"), 2).otherwise(1).alias(f"pair_{k}") for k in range(1, n)]
+    return found.join(pair, "user_id", "left").select("user_id", reached, *columns)
 
 
 def funnel_reach(
@@ -112,7 +128,7 @@ def funnel_reach(
     light, heavy = skew.split(rows, cohort if condition is not None else None)
     reaches = [_light_reach(light, names, window, with_pairs)]
     if heavy is not None:
-        reaches.append(_heavy_reach(heavy, names, window, with_pairs))
+        reaches.append(_heavy_reach(heavy, names, window, with_pairs, skew.slice_rows))
     if condition is None:
         reaches = [r.join(cohort, "user_id", "left_semi") for r in reaches]
     return reaches[0] if heavy is None else reaches[0].unionByName(reaches[1])

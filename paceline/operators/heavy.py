@@ -2,7 +2,7 @@
 
 Operators that need a user's events in order collect them per user. That is fine for
 almost everybody; a crawler or a shared account may hold a large part of the log, and is
-worked on in slices of a measured number of rows or with conditional minima instead, which combine map-side.
+worked on in slices of a measured number of rows instead.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from paceline.session import scratch_path
+from paceline.session import materialise, scratch_path
 
 
 @dataclass(frozen=True)
@@ -71,3 +71,33 @@ def survey(log: DataFrame, as_of: datetime | str | None, skew: SkewPolicy) -> tu
         known = spark.read.schema(per_user.select("user_id").schema).parquet(path)
         skew = replace(skew, known=known, nobody=not found.get("heavy"))
     return found.get("newest") if as_of is None else as_of, skew
+
+
+#: How many tables of moves are composed at a time.
+COMPOSED = 32
+
+
+def composed(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, moves``: the tables of all slices of a key, one after the other, as one table.
+
+    ``tables`` has ``keys``, ``slice`` and ``moves``: arrays that say for each state before a slice (its place) the state after it, one
+    array for each thing that is followed. Tables are small, whatever a slice holds; they are composed in groups of ``COMPOSED`` until one is
+    left. Runs a job for each level.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("slice")) - 1
+    level = materialise(tables.select(*keys, "slice", "moves").withColumn("nth", nth).drop("slice"), "moves")
+    chained = F.transform(
+        F.get("parts", F.lit(0))["moves"],
+        lambda first, p: F.transform(
+            F.sequence(F.lit(0), F.size(first) - 1),
+            lambda m: F.aggregate("parts", m, lambda at, part: F.get(F.get(part["moves"], p), at)),
+        ),
+    )
+    longest = level.agg(F.max("nth")).first()[0] or 0
+    while longest > 0:
+        grouped = level.groupBy(*keys, F.expr(f"cast(nth div {COMPOSED} as int)").alias("nth")).agg(
+            F.sort_array(F.collect_list(F.struct(F.col("nth").alias("k"), "moves"))).alias("parts")
+        )
+        level = materialise(grouped.select(*keys, "nth", chained.alias("moves")), "moves")
+        longest //= COMPOSED
+    return level.select(*keys, "moves")

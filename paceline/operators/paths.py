@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.args import as_int, name_list, path_ends
 from paceline.functions.numeric import share
-from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy
+from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy, composed
 from paceline.operators.sequences import Journeys, journeys, path_counts, scoped_rows
 from paceline.session import materialise
 
@@ -83,7 +83,7 @@ def align(found: Journeys, canonical: DataFrame) -> DataFrame:
 
     Each user goes to the path matched furthest; ``path`` is its events, null where there is no
     canonical path. A heavy user's slices are turned, one by one, into tables "matched before ->
-    matched after", whose size depends on the paths alone; these are composed in groups of ``COMPOSED`` until one is left.
+    matched after", whose size depends on the paths alone; these are composed.
     """
     listed = F.broadcast(_as_list(canonical))  # one row with at most five paths
     aligned = found.light.crossJoin(listed).select(
@@ -101,39 +101,16 @@ def align(found: Journeys, canonical: DataFrame) -> DataFrame:
     )
 
 
-COMPOSED = 32
-
-
 def _composed(steps: DataFrame, listed: DataFrame) -> DataFrame:
-    """``(user_id, completed, moves)``: one table of moves per path and heavy user. Runs a job for each level."""
+    """``(user_id, completed, moves)``: one table of moves per path and heavy user."""
     keys = ["user_id", "completed"]
-    numbers = steps.groupBy(*keys, "slice").count().withColumn(
-        "nth", F.row_number().over(Window.partitionBy(*keys).orderBy("slice")) - 1
-    )
     names = F.transform(F.sort_array(F.collect_list(F.struct("pos", "event"))), lambda x: x["event"])
     moves = F.transform(
         "canonical",
         lambda path: F.transform(F.sequence(F.lit(0), F.size(path)), lambda m: _advance(F.col("names"), path, m)),
     )
     tables = steps.groupBy(*keys, "slice").agg(names.alias("names")).crossJoin(listed).select(*keys, "slice", moves.alias("moves"))
-    of = numbers.select(F.col("user_id").alias("of_user"), F.col("slice").alias("of_slice"), "nth")
-    level = tables.join(of, tables["user_id"].eqNullSafe(of["of_user"]) & (tables["slice"] == of["of_slice"])).select(*keys, "nth", "moves")
-    level = materialise(level, "moves")
-    chained = F.transform(
-        F.get("parts", F.lit(0))["moves"],
-        lambda first, p: F.transform(
-            F.sequence(F.lit(0), F.size(first) - 1),
-            lambda m: F.aggregate("parts", m, lambda at, part: F.get(F.get(part["moves"], p), at)),
-        ),
-    )
-    longest = level.agg(F.max("nth")).first()[0] or 0
-    while longest > 0:
-        grouped = level.groupBy(*keys, F.expr(f"cast(nth div {COMPOSED} as int)").alias("nth")).agg(
-            F.sort_array(F.collect_list(F.struct(F.col("nth").alias("k"), "moves"))).alias("parts")
-        )
-        level = materialise(grouped.select(*keys, "nth", chained.alias("moves")), "moves")
-        longest //= COMPOSED
-    return level.select(*keys, "moves")
+    return composed(tables, keys)
 
 
 def _whole() -> WindowSpec:

@@ -87,6 +87,20 @@ def test_window_edges(make_log, people, skew):
     assert reached(log, people, ["a", "b"], **options) == {1: 1, 2: 2, 3: 2, 4: 1, 5: 1}
 
 
+@pytest.mark.parametrize("slice_rows", [1, 2, 3, 100])
+@pytest.mark.parametrize("pairs", [False, True])
+def test_slices_compose_to_the_light_path(spark, make_log, people, slice_rows, pairs):
+    """Many equal times, on both sides of every border, steps that are asked for twice, and few composed at a time."""
+    rng = random.Random(slice_rows)
+    rows = [(u, rng.choice("abcd"), DAY + timedelta(hours=rng.randrange(12))) for u in range(8) for _ in range(40)]
+    log = make_log(rows)
+    for steps in (["a", "b", "c"], ["a", "b", "a", "d"], list("abcdab")):
+        options = {"with_pairs": pairs, "conversion_window_days": 1}
+        light = sorted(map(tuple, funnel_reach(log, people, steps, skew=SkewPolicy(), **options).collect()))
+        heavy = funnel_reach(log, people, steps, skew=SkewPolicy(0, slice_rows), **options)
+        assert sorted(map(tuple, heavy.collect())) == light
+
+
 def test_filters_restrict_the_cohort(make_log, people):
     log = make_log([(1, "a", 0), (2, "a", 0), (3, "a", 0), (1, "b", 1)])
     for skew in (SKEWS["none"], SKEWS["all"]):

@@ -71,6 +71,17 @@ def test_funnels_and_paths_read_the_log_twice(spark, tables):
     assert log_reads(spark, log, lambda: journey_map(log, "a", "b")) <= 2
 
 
+@pytest.mark.parametrize("pairs", [False, True])
+def test_heavy_funnels_read_the_log_as_often_for_any_number_of_steps(spark, tables, pairs):
+    """A survey, and two passes over the rows of heavy users beside the one over those of the light ones, with two writes between."""
+    log, users, _ = tables
+    reads = [
+        log_reads(spark, log, lambda steps=steps: funnel_reach(log, users, steps, skew=SkewPolicy(5, 4), with_pairs=pairs))
+        for steps in (["a", "b"], ["a", "b", "c", "d"], list("abcdab"))
+    ]
+    assert max(reads) == min(reads) <= 4
+
+
 def test_reports_read_the_log_five_times_at_most(spark, tables):
     log, users, _ = tables
 
