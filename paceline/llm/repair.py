@@ -259,7 +259,8 @@ class Shard:
     def spans(self, symbols: np.ndarray) -> np.ndarray:
         return np.where(symbols < self.base, 1, self.lengths[np.maximum(symbols - self.base, 0)] if len(self.lengths) else 1)
 
-    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+    def unfolded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for: rules are replaced by their pairs until none is left."""
         while len(rules := np.flatnonzero(symbols >= self.base)):
             width = np.ones(len(symbols), np.int64)
             width[rules] = 2
@@ -268,7 +269,17 @@ class Shard:
             wider[at] = symbols
             wider[at[rules]], wider[at[rules] + 1] = self.left[symbols[rules] - self.base], self.right[symbols[rules] - self.base]
             symbols = wider
-        return symbols.astype(np.uint32)
+        return symbols
+
+    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for, each rule being unfolded once however often it occurs there."""
+        rules, which = np.unique(symbols[symbols >= self.base], return_inverse=True)
+        spans = self.spans(rules)
+        known = np.concatenate([np.arange(self.base), self.unfolded(rules)]).astype(np.uint32)
+        starts, lengths = symbols.copy(), np.ones(len(symbols), np.int64)
+        starts[symbols >= self.base] = self.base + (np.cumsum(spans) - spans)[which]
+        lengths[symbols >= self.base] = spans[which]
+        return gathered(known, starts, lengths)
 
     def document(self, n: int, start: int = 0, end: int | None = None) -> np.ndarray:
         """Ids ``start:end`` of the n-th document; only the symbols that cover them are expanded."""
