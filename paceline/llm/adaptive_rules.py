@@ -2,8 +2,10 @@
 
 Every document is measured once over its whole text. The values of a group are held in a sketch: whole numbers, cut
 to their seven leading bits, with counts. Sketches are merged by adding counts, in any order, and every quantile is
-exact to 1/64 of its value. A group's limits lie ``reach`` interquartile ranges (and a fixed slack) outside its quartiles.
-A group of fewer than ``least`` documents takes the limits of its language, a small language those of the corpus.
+exact to 1/64 of its value. A group's upper limit lies beyond its ninth decile, by ``reach`` times the way from its median to there;
+where that way is shorter than what one more symbol, line or word makes in the group's median document, this is taken for it. Lower limits, of
+word lengths, lie as far below the first decile. So all limits are learned; none holds a fixed slack. Documents are compared with them
+by the same leading bits. A group of fewer than ``least`` documents takes the limits of its language, a small language those of the corpus.
 
 Defined cases: a null or empty text has no words and fails the base rules; documents that fail them are in no sketch; null
 languages and sources are groups like any other; repeated rows are measured each; an empty table gives an empty
@@ -20,17 +22,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import batches_of
+from paceline.llm.common import batches_of, div
 from paceline.session import materialise
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-#: Measured value (whole number), slack beyond its limits, and whether it has a lower limit.
+#: Measured value (whole number), and the count in a thousand of which it is measured. A rule without one has a lower limit too.
 RULES = {
-    "word_length": ("100 * word_chars div n_words", 100, True),
-    "symbols": ("1000 * n_symbols div n_words", 20, False),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 300, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 300, False),
+    "word_length": ("100 * word_chars div n_words", None),
+    "symbols": ("1000 * n_symbols div n_words", "n_words"),
+    "dup_lines": ("1000 * n_dup_lines div n_lines", "n_lines"),
+    "repeats": ("1000 * n_repeat_words div n_words", "n_words"),
 }
+#: What is sketched: the rules' values, and the sizes of documents.
+SKETCHED = {rule: formula for rule, (formula, _) in RULES.items()} | {"n_words": "n_words", "n_lines": "n_lines"}
+DECILES = {"low": 1, "median": 5, "high": 9}
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
@@ -87,7 +92,7 @@ def leading_bits(value: Column) -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """rule, lang, source, value, n: the sketch of every group, as rows."""
-    values = F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.expr(formula).alias("measure")) for rule, (formula, _, _) in RULES.items()]))
+    values = F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.expr(formula).alias("measure")) for rule, formula in SKETCHED.items()]))
     return (
         measured.filter(~F.expr(BASE_FAILED))
         .select("lang", "source", values)
@@ -96,41 +101,45 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches merged by ``keys``: their size and their quartiles (the least value with that share at or below it)."""
+def deciles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches merged by ``keys``: their size and their deciles (the least value with that share at or below it)."""
     merged = sketch.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*keys).orderBy("value")
     ranked = merged.withColumn("below", F.sum("n").over(upto)).withColumn("size", F.sum("n").over(Window.partitionBy(*keys)))
-    at_least = [F.min(F.when(F.col("below") * 4 >= F.col("size") * k, F.col("value"))).alias(f"q{k}") for k in (1, 3)]
+    at_least = [F.min(F.when(F.col("below") * 10 >= F.col("size") * k, F.col("value"))).alias(name) for name, k in DECILES.items()]
     return ranked.groupBy(*keys).agg(F.first("size").alias("size"), *at_least)
 
 
-def limits(sketch: DataFrame, least: int = 100, reach: int = 3) -> DataFrame:
-    """rule, lang, source, low, high for every group that has a sketch."""
-    by_group = quartiles(sketch, ["rule", "lang", "source"])
-    by_lang = quartiles(sketch, ["rule", "lang"]).select("rule", F.col("lang").alias("of_lang"), *[F.col(c).alias(f"lang_{c}") for c in ("size", "q1", "q3")])
-    corpus = quartiles(sketch, ["rule"]).select("rule", *[F.col(c).alias(f"all_{c}") for c in ("q1", "q3")])
-    joined = by_group.join(by_lang, (by_group["rule"] == by_lang["rule"]) & by_group["lang"].eqNullSafe(by_lang["of_lang"])).drop(by_lang["rule"]).join(corpus, "rule")
+def limits(sketch: DataFrame, least: int = 100, reach: int = 6) -> DataFrame:
+    """lang, source, and the ``<rule>_low`` and ``<rule>_high`` of every group that has a sketch."""
+    by_group = deciles(sketch, ["rule", "lang", "source"])
+    by_lang = deciles(sketch, ["rule", "lang"]).select(F.col("rule").alias("of_rule"), F.col("lang").alias("of_lang"), *[F.col(c).alias(f"lang_{c}") for c in ("size", *DECILES)])
+    corpus = deciles(sketch, ["rule"]).select("rule", *[F.col(c).alias(f"all_{c}") for c in DECILES])
+    joined = by_group.join(by_lang, (F.col("rule") == F.col("of_rule")) & F.col("lang").eqNullSafe(F.col("of_lang"))).join(corpus, "rule")
 
     def settled(name: str) -> Column:
         return F.when(F.col("size") >= least, F.col(name)).when(F.col("lang_size") >= least, F.col(f"lang_{name}")).otherwise(F.col(f"all_{name}"))
 
-    slack = F.create_map(*[F.lit(x) for rule, (_, extra, _) in RULES.items() for x in (rule, extra)])[F.col("rule")]
-    both = F.create_map(*[F.lit(x) for rule, (_, _, lower) in RULES.items() for x in (rule, lower)])[F.col("rule")]
-    margin = reach * (settled("q3") - settled("q1")) + slack
-    return joined.select(
-        "rule", "lang", "source", F.when(both, settled("q1") - margin).otherwise(F.lit(0)).alias("low"), (settled("q3") + margin).alias("high")
-    )
+    wide = joined.select("rule", "lang", "source", *[settled(c).alias(c) for c in DECILES]).groupBy("lang", "source").pivot("rule", list(SKETCHED)).agg(*[F.first(c).alias(c) for c in DECILES])
+
+    def bounds(rule: str, size: str | None) -> list[Column]:
+        low, median, high = (F.col(f"{rule}_{c}") for c in DECILES)
+        one_more = F.lit(0).cast("long") if size is None else div(F.lit(1000).cast("long"), F.greatest(F.col(f"{size}_median"), F.lit(1)))
+        lower = low - reach * (median - low) if size is None else F.lit(0)
+        return [lower.cast("long").alias(f"{rule}_low"), (high + reach * F.greatest(high - median, one_more)).alias(f"{rule}_high")]
+
+    return wide.select("lang", "source", *[c for rule, (_, size) in RULES.items() for c in bounds(rule, size)])
 
 
-def judge(measured: DataFrame, least: int = 100, reach: int = 3) -> DataFrame:
+def judge(measured: DataFrame, least: int = 100, reach: int = 6) -> DataFrame:
     """The measured documents with ``base_failed``, ``kept`` and the rules each one fails.
 
     Limits are joined to documents; a group whose documents all failed the base rules needs none.
     """
-    wide = limits(sketches(measured), least, reach).groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).pivot("rule", list(RULES)).agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    wide = limits(sketches(measured), least, reach).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     joined = measured.join(wide, measured["lang"].eqNullSafe(wide["of_lang"]) & measured["source"].eqNullSafe(wide["of_source"]), "left")
-    failed = F.array_compact(F.array(*[F.when(~F.expr(formula).between(F.col(f"{rule}_low"), F.col(f"{rule}_high")), F.lit(rule)) for rule, (formula, _, _) in RULES.items()]))
+    outside = {rule: ~leading_bits(F.expr(formula)).between(F.col(f"{rule}_low"), F.col(f"{rule}_high")) for rule, (formula, _) in RULES.items()}
+    failed = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in outside.items()]))
     base = F.expr(BASE_FAILED)
     return joined.select(
         "doc_id", "lang", "source", *COUNTS, base.alias("base_failed"), F.when(base, F.lit(False)).otherwise(F.size(failed) == 0).alias("kept"),
@@ -138,6 +147,6 @@ def judge(measured: DataFrame, least: int = 100, reach: int = 3) -> DataFrame:
     )
 
 
-def apply_rules(docs: DataFrame, least: int = 100, reach: int = 3) -> DataFrame:
+def apply_rules(docs: DataFrame, least: int = 100, reach: int = 6) -> DataFrame:
     """All documents, judged. The counts are written once, as both the sketches and the judgement read them."""
     return judge(materialise(measure(docs), "measured"), least, reach)

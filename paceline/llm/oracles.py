@@ -26,25 +26,36 @@ measured AS (
     coalesce(w.n, 0) < 50 OR 100 * coalesce(r.n, 0) > 50 * coalesce(w.n, 0) AS base_failed
   FROM texts t LEFT JOIN per_word w USING (k) LEFT JOIN per_line l USING (k) LEFT JOIN repeated r USING (k)),
 valued AS (
-  SELECT k, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS rule,
+  SELECT k, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats', 'n_words', 'n_lines']) AS rule,
     unnest([100 * word_chars // n_words, 1000 * n_symbols // n_words, 1000 * n_dup_lines // n_lines,
-            1000 * n_repeat_words // n_words]) AS v
+            1000 * n_repeat_words // n_words, n_words, n_lines]) AS exact
   FROM measured WHERE NOT base_failed),
 cells AS (
-  SELECT rule, lang, source, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS v FROM valued),
-by_group AS (SELECT rule, lang, source, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM cells GROUP BY ALL),
-by_lang AS (SELECT rule, lang, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM cells GROUP BY ALL),
-corpus AS (SELECT rule, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM cells GROUP BY ALL),
+  SELECT *, (exact >> greatest(length(bin(exact)) - 7, 0)::BIGINT) << greatest(length(bin(exact)) - 7, 0)::BIGINT AS v FROM valued),
+placed AS (
+  SELECT rule, lang, source, v, count(*) OVER g AS n, count(*) OVER (g ORDER BY v) AS below, count(*) OVER l AS ln,
+    count(*) OVER (l ORDER BY v) AS lbelow, count(*) OVER a AS an, count(*) OVER (a ORDER BY v) AS abelow
+  FROM cells WINDOW g AS (PARTITION BY rule, lang, source), l AS (PARTITION BY rule, lang), a AS (PARTITION BY rule)),
+marks AS (SELECT unnest([1, 5, 9]) AS d),
+by_group AS (
+  SELECT rule, lang, source, d, any_value(n) AS n, any_value(ln) AS ln, min(v) FILTER (below * 10 >= n * d) AS q
+  FROM placed, marks GROUP BY ALL),
+by_lang AS (SELECT rule, lang, d, min(v) FILTER (lbelow * 10 >= ln * d) AS q FROM placed, marks GROUP BY ALL),
+corpus AS (SELECT rule, d, min(v) FILTER (abelow * 10 >= an * d) AS q FROM placed, marks GROUP BY ALL),
 settled AS (
-  SELECT g.rule, g.lang, g.source,
-    CASE WHEN g.n >= 100 THEN g.q1 WHEN l.n >= 100 THEN l.q1 ELSE c.q1 END AS q1,
-    CASE WHEN g.n >= 100 THEN g.q3 WHEN l.n >= 100 THEN l.q3 ELSE c.q3 END AS q3
-  FROM by_group g JOIN by_lang l ON g.rule = l.rule AND g.lang IS NOT DISTINCT FROM l.lang JOIN corpus c ON g.rule = c.rule),
+  SELECT g.rule, g.lang, g.source, max(q) FILTER (g.d = 1) AS low, max(q) FILTER (g.d = 5) AS median, max(q) FILTER (g.d = 9) AS high
+  FROM (SELECT g.rule, g.lang, g.source, g.d, CASE WHEN g.n >= 100 THEN g.q WHEN g.ln >= 100 THEN l.q ELSE c.q END AS q
+        FROM by_group g JOIN by_lang l ON g.rule = l.rule AND g.lang IS NOT DISTINCT FROM l.lang AND g.d = l.d
+        JOIN corpus c ON g.rule = c.rule AND g.d = c.d) g
+  GROUP BY ALL),
+sizes AS (SELECT lang, source, max(median) FILTER (rule = 'n_words') AS words, max(median) FILTER (rule = 'n_lines') AS lines FROM settled GROUP BY ALL),
 bad AS (
   SELECT DISTINCT v.k
-  FROM valued v JOIN settled s ON v.rule = s.rule AND v.lang IS NOT DISTINCT FROM s.lang AND v.source IS NOT DISTINCT FROM s.source
-  WHERE v > q3 + 3 * (q3 - q1) + CASE v.rule WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 20 ELSE 300 END
-    OR v.rule = 'word_length' AND v < q1 - 3 * (q3 - q1) - 100)
+  FROM cells v JOIN settled s ON v.rule = s.rule AND v.lang IS NOT DISTINCT FROM s.lang AND v.source IS NOT DISTINCT FROM s.source
+  JOIN sizes z ON v.lang IS NOT DISTINCT FROM z.lang AND v.source IS NOT DISTINCT FROM z.source
+  WHERE v.rule NOT IN ('n_words', 'n_lines')
+    AND (v.v > high + 6 * greatest(high - median, CASE v.rule WHEN 'word_length' THEN 0 WHEN 'dup_lines' THEN 1000 // greatest(lines, 1) ELSE 1000 // greatest(words, 1) END)
+      OR v.rule = 'word_length' AND v.v < low - 6 * (median - low)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND k NOT IN (SELECT k FROM bad) AS kept
 FROM measured

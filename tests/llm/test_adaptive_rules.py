@@ -7,10 +7,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from corpus_rows import prose, row
 from pyspark.sql import functions as F
 
-from paceline.llm.adaptive_rules import apply_rules, leading_bits, measure, quartiles, repeated_words, sketches
+from paceline.llm.adaptive_rules import RULES, apply_rules, deciles, leading_bits, limits, measure, repeated_words, sketches
 
 
 def plain_counts(text: str | None) -> tuple:
@@ -45,10 +46,10 @@ def test_sketch_quantiles_are_close_and_merge(spark):
     cells = spark.createDataFrame(values, "source string, v long").groupBy("source", leading_bits(F.col("v")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("rule", F.lit("r"))
     for keys, chosen in ((["rule", "source"], "a"), (["rule"], None)):
-        found = quartiles(cells, keys).filter(F.col("source") == chosen if chosen else F.lit(True)).first()
+        found = deciles(cells, keys).filter(F.col("source") == chosen if chosen else F.lit(True)).first()
         own = sorted(v for s, v in values if chosen in (None, s))
-        for name, share in (("q1", 0.25), ("q3", 0.75)):
-            exact = own[int(np.ceil(share * len(own))) - 1]
+        for name, tenths in (("low", 1), ("median", 5), ("high", 9)):
+            exact = own[-(-tenths * len(own) // 10) - 1]
             assert exact * 63 / 64 - 1 <= found[name] <= exact
         assert found["size"] == len(own)
 
@@ -64,6 +65,32 @@ def test_limits_follow_the_group(spark, make_docs):
     assert found[5001]["base_failed"] and found[5002]["base_failed"] and not found[5002]["kept"]
 
 
+@pytest.mark.parametrize("rule", RULES)
+def test_limits_move_with_the_tail_of_their_group(spark, rule):
+    """For every rule: what one group's upper half holds moves its limit, and no other group's."""
+    counts = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    column = {"word_length": "word_chars", "symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words"}[rule]
+
+    def found(tail: int) -> dict:
+        rows = []
+        for k in range(400):
+            values = {"word_chars": 2500, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0}
+            values[column] += (tail if k % 2 else 1) * (k % 20 > 11)
+            rows.append((k, "en", "ab"[k % 2], 500, *values.values(), 100))
+        learned = limits(sketches(spark.createDataFrame(rows, counts))).collect()
+        return {r["source"]: r[f"{rule}_high"] for r in learned}
+
+    small, large = found(1), found(60)
+    assert small["a"] == large["a"] and large["b"] > small["b"]
+
+
+def test_nothing_but_what_is_learned(spark, make_docs):
+    """Documents that are all alike are kept, whatever they are like; those a little beyond what one more symbol makes are not."""
+    rows = [row(k, prose(k, 80) + " #" * (k % 3), "en", "a") for k in range(150)] + [row(900, prose(900, 80) + "".join(f" #{j}x" for j in range(40)), "en", "a")]
+    found = {r["doc_id"]: r for r in apply_rules(make_docs(rows)).collect()}
+    assert found.pop(900)["failed_rules"] == ["symbols"] and all(r["kept"] for r in found.values())
+
+
 def test_small_groups_take_the_limits_of_their_language(spark, make_docs):
     rows = [row(k, prose(k, 80), "en", f"s{k % 40}") for k in range(200)] + [row(900, " ## ".join(f"unit{j}" for j in range(80)), "en", "s1")]
     found = {r["doc_id"]: r["kept"] for r in apply_rules(make_docs(rows)).collect()}
