@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from profiles import PROPERTIES
 from paceline.operators.funnel import funnel_reach, funnel_steps_table
@@ -13,7 +14,7 @@ from paceline.operators.sequences import compressed_sequences, scoped_rows, user
 from paceline.plans.reports import conversion_blockers, upgrade_paths, weekly_health
 from paceline.session import scratch_path
 from paceline.sources.segments import SegmentStore
-from paceline.sources.tables import event_log
+from paceline.sources.tables import event_log, read_ordered_log, write_ordered_log
 
 STEPS = ["a", "b", "c"]
 USERS = 500
@@ -118,6 +119,32 @@ def test_day_partitions_are_pruned(spark, tables, tmp_path):
     assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, same.collect()))
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+@pytest.mark.parametrize("as_of", [None, "2024-01-21 12:00:00"])
+def test_row_groups_are_skipped_by_time(spark, make_log, tmp_path, kind, as_of):
+    """A look-back that begins inside a day reads a part of that day."""
+    log = make_log([(k % 50, "abcd"[k % 4], 20 + k / 20_000) for k in range(20_000)] + [(1, "a", 3)]).withColumn("ts", F.col("ts").cast(kind))
+    path = str(tmp_path / "ordered")
+    write_ordered_log(log, path, group_rows=500)
+    ordered = read_ordered_log(spark, path)
+    for days in (0, 1, 30):
+        same = within(log, days, as_of)
+        assert within(ordered, days, as_of).exceptAll(same).isEmpty() and same.exceptAll(within(ordered, days, as_of)).isEmpty()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    before = set(_scans(spark))
+    found = within(ordered, 0, "2024-01-21 23:00:00").collect()
+    read = sum(n for key, (where, n) in _scans(spark).items() if key not in before and str(tmp_path) in where)
+    assert 800 < len(found) <= read <= len(found) + 1100  # of 20,000 rows of the day
+
+
+def test_logs_say_how_late_events_come(spark, tmp_path, make_log):
+    """The newest event, filed eight days before the newest day, is found if the log says so; whoever asks."""
+    rows = [(1, "a", "2024-01-20 10:00:00", "2024-01-20"), (2, "a", "2024-01-01 00:00:00", "2024-01-28"), (3, "a", "2024-01-19 00:00:00", "2024-01-19")]
+    table = spark.createDataFrame(rows, "user_id bigint, event string, ts string, day string").selectExpr("user_id", "event", "cast(ts as timestamp_ntz) ts", "cast(day as date) day")
+    assert {r.user_id for r in within(event_log(table, day="day", late_days=8), 2).collect()} == {1, 3}
+    assert {r.user_id for r in within(event_log(table, day="day"), 2).collect()} != {1, 3}
+
+
 def test_a_late_event_does_not_move_the_anchor(spark, make_log):
     rows = make_log([(1, "a", 1), (2, "a", 8), (3, "a", 9), (4, "a", 1)]).collect()
     days = ["2024-01-02", "2024-01-09", "2024-01-10", "2024-01-11"]  # the last event came in late

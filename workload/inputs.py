@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.session import scratch_path
 from paceline.sources.segments import SegmentStore
-from paceline.sources.tables import event_log, user_profiles
+from paceline.sources.tables import event_log, read_ordered_log, user_profiles, write_ordered_log
 from paceline.sources.user_states import UserStates
 
 PROPERTIES = ["segment", "nation", "region", "balance_band"]
@@ -41,6 +41,13 @@ def click_log_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark.read.parquet(path), day="day")
 
 
+def click_log_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The click log in folders by day, ordered by time."""
+    path = scratch_path(spark, "clicks-ordered")
+    write_ordered_log(click_log(spark, sf_dir), path)
+    return read_ordered_log(spark, path)
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(_table(spark, sf_dir, "orders"), user_id="o_custkey", event="o_orderpriority", ts="o_orderdate")
 

@@ -342,6 +342,7 @@ def oracle_sql() -> dict[str, str]:
   arg_max(n, week) AS item_value FROM weeks""",
     )
     add("anchored_lookback", LOG_C, f"SELECT * FROM log WHERE {since(10)}")
+    add("lookback_ordered", LOG_C, f"SELECT * FROM log WHERE {since(10)}")
     add(
         "insight_unique_users", LOG_O,
         f"SELECT 'all users' AS \"group\", count(DISTINCT user_id) AS value FROM log WHERE event IN ('1-URGENT', '2-HIGH') AND {since(365)}",

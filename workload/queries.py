@@ -49,6 +49,7 @@ from workload.inputs import (
     click_log,
     click_states,
     click_log_by_day,
+    click_log_ordered,
     customer_profiles,
     fresh_store,
     misspelt_words,
@@ -138,6 +139,11 @@ def lookback_by_day(spark, sf):
     return within(click_log_by_day(spark, sf), 10)
 
 
+@_query
+def lookback_ordered(spark, sf):
+    return within(click_log_ordered(spark, sf), 10)
+
+
 @_query
 def funnel_by_day(spark, sf):
     return funnel_reach(click_log_by_day(spark, sf), customer_profiles(spark, sf), CLICK_STEPS, timeframe_days=10, conversion_window_days=3)
