@@ -56,6 +56,17 @@ class PathSettings:
     def minhashes(self) -> int:
         return self.runs * (1 + (self.levels - 1) * self.branches)
 
+    @property
+    def least_equal(self) -> int:
+        """How many of their minhashes two sets at the threshold have in common at least, but for one pair in a hundred thousand of those
+        that the recall allows to miss."""
+        m, p, below = self.minhashes, self.similarity_permille / 1000, 0.0
+        for k in range(m + 1):
+            below += math.comb(m, k) * p**k * (1 - p) ** (m - k)
+            if below > (1 - self.recall) * 1e-5:
+                return k
+        return m
+
     def coordinate(self, run: int, level: int, branch: int) -> int:
         return self.runs + (run * (self.levels - 1) + level - 2) * self.branches + branch
 
@@ -103,7 +114,8 @@ def buckets(classes: DataFrame, s: PathSettings) -> DataFrame:
     """path, set_id, blocks: the buckets in which pairs are to be compared, and into how many blocks of some
     ``block_shingles`` shingles and ``block_sets`` classes at most their members are cut for that.
 
-    Buckets that mostly hold the members of another are united with it, which loses no pair: so the runs compare a group of near
+    Members that share few minhashes with all others of their bucket meet there by chance, as by a line that many texts have, and leave
+    it before any shingle is read. Buckets that mostly hold the members of another are united with it, which loses no pair: so the runs compare a group of near
     copies once, not once each. Runs a job for each level.
     """
     members = classes.select("set_id", F.posexplode(F.slice("mins", 1, s.runs)).alias("run", "value"))
@@ -130,6 +142,9 @@ def buckets(classes: DataFrame, s: PathSettings) -> DataFrame:
         leaves = leaves.unionByName(level.filter((F.col("size") <= s.bucket) | F.lit(depth == s.levels)))
     leaves = materialise(leaves.select("path", "set_id", "size").distinct(), "leaves")
     united = leaves.join(unions(leaves), "path", "left").select(F.coalesce("into", "path").alias("path"), "set_id").distinct()
+    united = materialise(united, "united")
+    blocks = united.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / s.block_sets).cast("int").alias("blocks"))
+    united = hopeful(united.join(materialise(blocks, "blocks"), "path"), classes, s)
     chosen = materialise(united.join(classes.select("set_id", "n"), "set_id").select("path", "set_id", "n"), "buckets")
     needed = F.greatest(F.ceil(F.sum("n") / s.block_shingles), F.ceil(F.count(F.lit(1)) / s.block_sets))
     blocks = chosen.groupBy("path").agg(needed.cast("int").alias("blocks"))
@@ -208,6 +223,43 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list
         yield held
 
 
+def block_pairs(leaves: DataFrame) -> DataFrame:
+    """path, set_id, block, low, high: a row for every pair (low, high) of blocks of its bucket in which a member is compared."""
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    dealt = leaves.select("path", "set_id", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("path", "set_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def hopeful(leaves: DataFrame, classes: DataFrame, s: PathSettings) -> DataFrame:
+    """path, set_id of the members of buckets that have enough minhashes in common with another one there."""
+    keys = ["path", "low", "high"]
+    rows = block_pairs(leaves).join(classes.select("set_id", "mins"), "set_id")
+    least = s.least_equal
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            first = group[0]
+            split = sum(x["block"] == first["low"] for x in group) if first["low"] < first["high"] else 0
+            if len(group) < 2 or first["low"] < first["high"] and split in (0, len(group)):
+                continue
+            mins = np.array([x["mins"] for x in group], np.int64)
+            a, b = (mins[:split], mins[split:]) if split else (mins, mins)
+            equal = np.zeros((len(a), len(b)), np.int16)
+            for x, y in zip(a.T, b.T, strict=True):
+                equal += x[:, None] == y[None, :]
+            near = equal >= least
+            if not split:
+                np.fill_diagonal(near, False)
+            kept = np.concatenate([near.any(axis=1), near.any(axis=0)]) if split else near.any(axis=1)
+            ids = [x["set_id"] for x, some in zip(group, kept.tolist(), strict=True) if some]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array([first["path"]] * len(ids), pa.int64()), pa.array(ids, pa.binary())], ["path", "set_id"])
+
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "block").select(*keys, "block", "set_id", "mins")
+    return dealt.mapInArrow(check, "path long, set_id binary").distinct()
+
+
 def compared(leaves: DataFrame, sets: DataFrame, s: PathSettings) -> DataFrame:
     """set_id, root, links: a row for each member of a compared bucket (or pair of its blocks) that has a link there.
 
@@ -215,10 +267,7 @@ def compared(leaves: DataFrame, sets: DataFrame, s: PathSettings) -> DataFrame:
     """
     keys = ["path", "low", "high"]
     known = leaves.groupBy("set_id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    dealt = leaves.select("path", "set_id", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = dealt.select("path", "set_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = tasks.join(sets.join(known, "set_id"), "set_id")
+    rows = block_pairs(leaves).join(sets.join(known, "set_id"), "set_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):

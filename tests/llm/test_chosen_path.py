@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -82,6 +83,13 @@ def test_shared_counts_and_ownership():
     assert compare(alike, [np.array([5, 9])] * 3, 9, 0, 800).sum() == 0
 
 
+def test_few_common_minhashes_rule_out_the_threshold():
+    settings = PathSettings()
+    m, k = settings.minhashes, settings.least_equal
+    missed = sum(math.comb(m, j) * 0.8**j * 0.2 ** (m - j) for j in range(k))
+    assert missed <= 1e-9 and m / 4 < k < m * 0.8  # sets of a quarter of the tokens in common hardly ever pass
+
+
 def test_runs_follow_from_the_recall():
     assert PathSettings(recall=0.9).runs == 2 and PathSettings(recall=0.9999).runs == 6
 
