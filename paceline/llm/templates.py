@@ -1,16 +1,21 @@
 """Benchmark decontamination by templates: finds benchmark items in documents even with other numbers, names or units.
 
-A text becomes a sequence of template words: numbers, names (capitalised words inside a sentence; neighbours are one name) and units
-(after a number) turn into typed slots, other words are lower-cased and stripped of punctuation. Windows of ``window``
-template words, at least ``literals`` of them not slots, are hashed; those with fewer are hashed with the values of their
-slots, so they only match as they stand. Equal hashes of a document and an item are joined.
-A capitalised word that starts a sentence may be a name or not: windows that hold one are hashed both ways. Places are
-counted as if it were a name, in documents and items alike.
-Matches of one document and item that lie on one diagonal fill the item's slots: a window counts only if every
-value of its slots is replaced by what replaces it most often on the diagonal, and none does if names change places. An item leaks into a document if consistent matches cover at
-least ``coverage`` of its windows, or of those that are not exact.
-
-Defined cases: null and empty texts match nothing, nor do items of fewer than ``literals`` words; items of equal text are
+A text becomes a sequence of template words: numbers (also with a unit glued on), names (capitalised words inside a sentence; neighbours are
+one name) and units (after a number) turn into typed slots, other words are lower-cased and stripped of punctuation; signs beside a number are
+words (but no literals), and so is each letter of a script written without spaces. Windows of ``window`` template words, at least ``literals`` of them not slots,
+are hashed; those with fewer are hashed with the values of their slots, so they only match as they stand. Items of fewer than ``literals``
+words match lines that hold just their words, with equal values. Equal hashes of a document and an item are joined.
+
+A capitalised word that starts a sentence may be a name or not, and so may any in a sentence of which a fifth is capitalised (as nouns are
+in German): windows that hold one are hashed both ways. Places are counted as if it were a name, in documents and items alike.
+Items of one template are one class, reported by its least id with the number of its items: their windows that match with any values are joined
+once, however many items there are; those that match as they stand belong to the class too, with the values of each item.
+
+Matches of one document and class that lie on one diagonal fill the slots: a window counts only if every
+value of its slots is replaced by what replaces it most often on the diagonal, and none does if names change places. An item leaks into a
+document if consistent matches cover at least ``coverage`` of its windows, or of those that are not exact.
+
+Defined cases: null and empty texts match nothing, nor do items without a word; items of equal text are
 reported by their least id; an item shorter than a window is one window; repeated documents with one id count
 once; a null ``doc_id`` is matched like any other; empty tables give an empty result; other columns are ignored.
 """
@@ -27,26 +32,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.common import batches_of, mixed, window_hashes
+from paceline.session import materialise
 
-# Words that are numbers, and units that may follow a number.
+# Words that are numbers, and units that may follow a number, in English, German, French and Spanish.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
-    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
+    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half"
+    " null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn zwanzig dreißig vierzig fünfzig hundert tausend"
+    " deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille"
+    " dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta cien mil".split()
 )
 UNIT_WORDS = frozenset(
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec secs min mins h hr hrs inch inches foot feet yard yards mile miles meter meters"
     " metre metres kilometer kilometers kilometre kilometres centimeter centimeters gram grams kilogram kilograms pound pounds ounce ounces"
     " ton tons liter liters litre litres gallon gallons cup cups second seconds minute minutes hour hours day days week weeks month months"
-    " year years dollar dollars cent cents euro euros percent degree degrees kmh mph km/h m/s".split()
+    " year years dollar dollars cent cents euro euros percent degree degrees kmh mph km/h m/s"
+    " stunde stunden minuten sekunde sekunden tag tage tagen woche wochen monat monate jahr jahre jahren gramm kilogramm tonnen prozent grad"
+    " heure heures secondes jour jours semaine semaines mois an ans année années mètre mètres kilomètres grammes"
+    " hora horas minutos segundos día días semana semanas mes meses año años metro metros kilómetros gramos litros".split()
 )
-NUMBER = re.compile(r"[+-]?\d[\d.,:/]*%?")
+NUMBER, GLUED = re.compile(r"[+-]?\d[\d.,:/]*%?"), re.compile(r"[+-]?\d[\d.,:/]*([^\W\d_]+(?:/[a-z])?)")
+SIGN = re.compile(r"[+*/=<>^×÷±−≤≥-]+")
+# Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+HAS_UNSPACED, PIECES = re.compile(f"[{UNSPACED}]"), re.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
+SENTENCE_MARK = re.compile(r"[.!?:。！？][\"')\]]*$")
 EDGES = re.compile(r"^[^\w%]+|[^\w%]+$")
+#: A sentence with this share of capitalised words is in a language that capitalises nouns, or a title.
+MANY_CAPITALS = 0.2
 HASH = np.uint64(0xFFFF ^ (1 << 64) - 1)  # the bits of a packed word or a slot's value without its marks
-CAPITAL, NUMERIC, UNIT, SENTENCE_END, NOTHING = 1, 2, 4, 8, 16
+CAPITAL, NUMERIC, UNIT, SENTENCE_END, NOTHING, SIGNS = 1, 2, 4, 8, 16, 32
 SLOT_NUMBER, SLOT_NAME, SLOT_UNIT = (np.uint64(x << 8) for x in (1, 2, 3))
 # The lowest bits of a slot's value: what it surely is, or a word that may be a name as it starts a sentence.
 OTHER, NAME, MAYBE = (np.uint64(x) for x in (1, 2, 3))
 FILTER_BITS = 22
+PAIRS = "array<struct<item_slots: bigint, slots: bigint>>"
+# Stands for the size of windows that are whole lines.
+LINES = 0
 
 
 class TemplateWords(dict):
@@ -58,11 +80,13 @@ class TemplateWords(dict):
 
     def __missing__(self, word: str) -> int:
         core = EDGES.sub("", word)
-        marks = SENTENCE_END if re.search(r"[.!?:][\"')\]]*$", word) else 0
+        marks = SENTENCE_END if SENTENCE_MARK.search(word) else 0
         form = core.lower()
+        glued = GLUED.fullmatch(form)
         if not form:
-            marks |= NOTHING
-        elif NUMBER.fullmatch(form) or form in NUMBER_WORDS:
+            marks |= SIGNS if SIGN.fullmatch(word) else NOTHING
+            form = word
+        elif NUMBER.fullmatch(form) or all(x in NUMBER_WORDS for x in form.split("-")) or glued and glued[1] in UNIT_WORDS:
             marks |= NUMERIC
         elif core[0].isupper() and not any(map(str.isupper, core[1:])):
             marks |= CAPITAL
@@ -74,14 +98,25 @@ class TemplateWords(dict):
         return found
 
 
-def _looked_up(text: str, words: TemplateWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed words, marks, whether a sentence starts) of the words that hold more than punctuation."""
+def cut_words(text: str) -> list[str]:
     cut = text.split()
+    if HAS_UNSPACED.search(text):
+        cut = [y for x in cut for y in PIECES.findall(x)]
+    return cut
+
+
+def _looked_up(cut: list[str], words: TemplateWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed words, marks, whether a capital may be no name) of the words that hold more than punctuation, and of signs beside numbers."""
     packed = np.fromiter(map(words.__getitem__, cut), np.uint64, len(cut))
     marks = packed.astype(np.uint8)
     starts = np.concatenate([[True], marks[:-1] & SENTENCE_END > 0])[: len(marks)]
-    keep = marks & NOTHING == 0
-    return packed[keep], marks[keep], starts[keep]
+    number = np.concatenate([[False], marks & NUMERIC > 0, [False]])
+    keep = (marks & NOTHING == 0) & ((marks & SIGNS == 0) | number[:-2] | number[2:])
+    sentence = np.cumsum(starts)[keep]
+    packed, marks, starts = packed[keep], marks[keep], starts[keep]
+    inside = ~starts
+    capitals, all_words = (np.bincount(sentence[x], minlength=int(sentence[-1]) + 1 if len(sentence) else 1) for x in (inside & (marks & CAPITAL > 0), inside))
+    return packed, marks, starts | ((capitals > 1) & (capitals >= MANY_CAPITALS * all_words))[sentence]
 
 
 def _slotted(packed: np.ndarray, marks: np.ndarray, starts: np.ndarray, open_names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +144,7 @@ def _slotted(packed: np.ndarray, marks: np.ndarray, starts: np.ndarray, open_nam
 
 def template(text: str, words: TemplateWords) -> tuple[np.ndarray, np.ndarray]:
     """(template words, slot values) with words that start sentences as they stand; the value of what is no slot is 0."""
-    return _slotted(*_looked_up(text, words), False)[:2]
+    return _slotted(*_looked_up(cut_words(text), words), False)[:2]
 
 
 def _hashes_at(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -121,25 +156,42 @@ def _hashes_at(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 class Reading:
-    """The windows of a text in both readings of the words that start its sentences."""
+    """The windows of a text in both readings of the words that may be names."""
 
     def __init__(self, text: str, words: TemplateWords):
-        looked_up = _looked_up(text, words)
+        self.text, self.words = text, words
+        looked_up = _looked_up(cut_words(text), words)
         self.found, self.slots, first = _slotted(*looked_up, False)
         self.open_found, self.open_slots, self.open_first = _slotted(*looked_up, True)
+        signs = looked_up[1] & SIGNS > 0
+        self.plain, self.open_plain = (self.slots == 0) & ~signs[first], ~signs[self.open_first]  # no sign is a literal
         self.place = np.searchsorted(self.open_first, first, "right") - 1
         self.exact = np.where(self.slots > 0, self.slots & HASH, self.found)
 
     def __len__(self) -> int:
         return len(self.open_found)
 
+    def lines(self, literals: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Lines of fewer than ``literals`` words, hashed as they stand; parts as of ``windows``, all of them exact."""
+        places, hashes, before = [], [], 0
+        for line in self.text.split("\n"):
+            packed, _, _ = _looked_up(cut_words(line), self.words)
+            if 0 < len(packed) < literals:
+                places.append(min(int(np.searchsorted(self.open_first, before, "right")) - 1, len(self) - 1))
+                hashes.append(_hashes_at((packed & HASH) + np.uint64(1), np.zeros(1, np.int64), len(packed))[0])
+            before += len(packed)
+        nothing, none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return [(nothing, nothing, none, none), (np.zeros(len(places), np.int64), np.array(places, np.int64), np.array(hashes, np.uint64), none)]
+
     def windows(self, size: int, literals: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(starts, places, hashes, slot values of the text) of literal readings, exact windows and open readings."""
+        if size == LINES:
+            return self.lines(literals)
         needed, parts = min(literals, size), []
         if len(self.found) < size:
             parts += [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), self.slots)] * 2
         if len(self.found) >= size:
-            plain = np.concatenate([[0], np.cumsum(self.slots == 0)])
+            plain = np.concatenate([[0], np.cumsum(self.plain)])
             rich = plain[size:] - plain[:-size] < needed
             at = np.flatnonzero(~rich)
             parts.append((at, self.place[at], window_hashes(self.found, size)[at], self.slots))
@@ -148,7 +200,7 @@ class Reading:
         if len(self.open_found) >= size:
             kind = self.open_slots & np.uint64(3)
             maybe = np.concatenate([[0], np.cumsum(kind == MAYBE)])
-            plain = np.concatenate([[0], np.cumsum((kind == 0) | (kind == MAYBE))])
+            plain = np.concatenate([[0], np.cumsum(((kind == 0) | (kind == MAYBE)) & self.open_plain)])
             at = np.flatnonzero((maybe[size:] > maybe[:-size]) & (plain[size:] - plain[:-size] >= needed))
             parts.append((at, at, window_hashes(self.open_found, size)[at], self.open_slots))
         return parts
@@ -170,7 +222,8 @@ def _listed(parts: list[tuple], size: int, passes: np.ndarray | None = None) ->
 
 
 def item_windows(items: DataFrame, window: int = 8, literals: int = 5) -> DataFrame:
-    """item_id, item_pos, size, hash, item_slots, exact, n_windows and n_typed (those not only exact) of every window of every distinct item."""
+    """item_id, n_items, item_pos, size, hash, item_slots, exact, n_windows and n_typed (those not only exact) of every window of every class
+    of items of one template; ``item_id`` is the least of the class."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = TemplateWords()
@@ -179,19 +232,31 @@ def item_windows(items: DataFrame, window: int = 8, literals: int = 5) -> DataFr
             for item_id, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 reading = Reading(text, words)
                 # A short item is one window in either reading.
-                for size in sorted({min(window, len(reading)), min(window, len(reading.found))}):
-                    if size >= literals:
-                        rows += [(item_id, *rest) for rest in _listed(reading.windows(size, literals), size)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield _rows([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "item_pos", "size", "hash", "item_slots", "exact"])
+                sizes = {min(window, len(reading)), min(window, len(reading.found))}
+                # Items of one template have the same readings.
+                template = xxhash.xxh3_128_digest(reading.found.tobytes() + b"|" + reading.open_found.tobytes())
+                for size in sorted(x if x >= literals else LINES for x in sizes if x):
+                    rows += [(item_id, template, *rest) for rest in _listed(reading.windows(size, literals), size)]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            names = ["item_id", "template", "item_pos", "size", "hash", "item_slots", "exact"]
+            yield _rows([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     distinct = items.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
-    schema = "item_id long, item_pos long, size long, hash long, item_slots array<long>, exact boolean"
-    listed = distinct.select("item_id", "text").mapInArrow(cut, schema)
+    schema = "item_id long, template binary, item_pos long, size long, hash long, item_slots array<long>, exact boolean"
+    listed = materialise(distinct.select("item_id", "text").mapInArrow(cut, schema), "item-windows")
     # Windows are counted by their place, as one place may have several hashes.
-    counts = listed.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("n_typed"))
-    return listed.join(counts, "item_id")
+    classes = materialise(
+        listed.groupBy("template").agg(
+            F.min(F.coalesce("item_id", F.lit(0))).alias("first"), F.min("item_id").alias("class_id"), F.count_distinct(F.coalesce("item_id", F.lit(0))).alias("n_items"),
+            F.count_distinct("item_pos").alias("n_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("n_typed"),
+        ),
+        "item-classes",
+    )
+    joined = listed.join(classes, "template").filter(F.col("exact") | (F.coalesce("item_id", F.lit(0)) == F.col("first")))
+    # An exact window has nothing to replace.
+    slots = F.when(F.col("exact"), F.array().cast("array<bigint>")).otherwise(F.col("item_slots"))
+    return joined.select(F.col("class_id").alias("item_id"), "n_items", "item_pos", "size", "hash", slots.alias("item_slots"), "exact", "n_windows", "n_typed").distinct()
 
 
 def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -225,9 +290,9 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], lite
 
 
 def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, literals: int = 5) -> DataFrame:
-    """doc_id, item_id, matched and n_windows (windows of the item), coverage, start, end (in template words of the
+    """doc_id, item_id, n_items (of its template), matched and n_windows (windows of the item), coverage, start, end (in template words of the
     document), n_slots and n_changed (slots filled, and those filled otherwise), over all consistent matches."""
-    listed = item_windows(items, window, literals)
+    listed = materialise(item_windows(items, window, literals), "class-windows")
     bitmap, sizes = window_filter(listed)
     hits = document_windows(docs, bitmap, sizes, literals).join(listed, ["hash", "size"])
 
@@ -243,10 +308,10 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, literal
     def agrees(a: Column, b: Column) -> Column:
         return (a["of"] == b["of"]) & (a["by"] == b["by"])
 
-    window_row = F.struct("item_pos", "pos", "size", "exact", F.transform(F.arrays_zip("item_slots", "slots"), value_pair).alias("pairs"))
+    window_row = F.struct("item_pos", "pos", "size", "exact", F.transform(F.when(F.col("exact"), F.array().cast(PAIRS)).otherwise(F.arrays_zip("item_slots", "slots")), value_pair).alias("pairs"))
     diagonals = (
         hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(F.collect_set(window_row).alias("windows"), F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"))
+        .agg(F.collect_set(window_row).alias("windows"), F.first("n_windows").alias("n_windows"), F.first("n_typed").alias("n_typed"), F.first("n_items").alias("n_items"))
         .withColumn("filled", F.flatten(F.transform("windows", lambda w: w["pairs"])))
         .withColumn("replaced", plain(F.col("filled")))
         .withColumn("names", plain(F.filter("filled", lambda x: x["name"])))
@@ -283,9 +348,9 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, literal
         .withColumn("windows", F.when(F.col("contradicts"), kept).otherwise(F.col("windows")))
         .filter(F.size("windows") > 0)
         .select(
-            "doc_id", "item_id", "n_windows", "n_typed", F.col("windows.item_pos").alias("at"),
+            "doc_id", "item_id", "n_items", "n_windows", "n_typed", F.col("windows.item_pos").alias("at"),
             F.transform(F.filter("windows", lambda w: ~w["exact"]), lambda w: w["item_pos"]).alias("typed_at"),
-            F.array_min("windows.pos").alias("start"), F.array_max(F.transform("windows", lambda w: w["pos"] + w["size"])).alias("end"),
+            F.array_min("windows.pos").alias("start"), F.array_max(F.transform("windows", lambda w: w["pos"] + F.greatest(w["size"], F.lit(1)))).alias("end"),
             plain(F.filter(F.flatten("windows.pairs"), lambda x: ~(x["maybe"] & (x["of"] == x["by"])))).alias("pairs"),
         )
         .withColumn("changed", changed)
@@ -299,8 +364,9 @@ def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, literal
             F.max("end").alias("end"),
             F.max(F.size("pairs")).cast("long").alias("n_slots"),
             F.max("changed").cast("long").alias("n_changed"),
+            F.first("n_items").alias("n_items"),
         )
-        .select("doc_id", "item_id", "best.matched", "best.n_windows", "start", "end", "n_slots", "n_changed", "best.coverage")
+        .select("doc_id", "item_id", "n_items", "best.matched", "best.n_windows", "start", "end", "n_slots", "n_changed", "best.coverage")
     )
 
 
