@@ -20,13 +20,12 @@ empty table gives an empty table; other columns are ignored; a text of any lengt
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,23 +43,28 @@ DECODED = "part long, shard long, doc_id long, local_start long, n_tokens long,
 class TextEncoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    A byte-level BPE never merges across a space that stands before a visible character, or a line break between
-    visible characters, so a text is the concatenation of such pieces. Each
+    A byte-level BPE never merges across a space that stands before a visible character, a line break between
+    visible characters, or between a word and the punctuation after it, so a text is the concatenation of such pieces. Each
     distinct piece is encoded by the library once and then looked up. A text that holds the string of a special token is
     encoded whole, as the library cuts it there first.
     """
 
-    WORD, CHUNK = re.compile(r"\0?[^\s\0]\S*"), 4096
+    PUNCTUATION = ".,;:!?)"
     UNUSUAL = re.compile("[\0\t\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str, most_pieces: int = 1_500_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.vocabulary = self.tokenizer.get_vocab_size()
-        # In a byte-level vocabulary a letter stands for a byte.
-        self.widths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.vocabulary)])
+        self.model, self.vocabulary = self.tokenizer.model, self.tokenizer.get_vocab_size()
+        # The character that stands for each byte in the vocabulary, as the library has it.
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {b: letters.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        for char in map(chr, range(128, 0x800)):
+            for byte, letter in zip(char.encode(), letters.pre_tokenize_str(char)[0][0], strict=True):
+                self.letters[byte] = letter
         self.most_pieces = most_pieces
         self.forget()
 
@@ -73,34 +77,38 @@ class TextEncoder:
         self.starts = np.concatenate([self.starts, starts + len(self.ids)])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
 
-    def _add_each(self, keys: list[str]) -> None:
-        """Keys with white space inside, and the line break: encoded one by one."""
-        spelt = [key[1:] if key[0] == "\0" else key if key == "\n" else " " + key for key in keys]
-        found = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in spelt]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self._add(keys, np.cumsum(sizes) - sizes, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+    def _encoded(self, key: str) -> list[int]:
+        """Ids of a piece; one of letters alone goes to the library's BPE without its search for pieces."""
+        text = key[1:] if key[0] == "\0" else key if key == "\n" else " " + key
+        if key.isalpha() or text.isalpha():
+            spelt = text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(self.letters)
+            return [x.id for x in self.model.tokenize(spelt)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, keys: list[str]) -> None:
-        """Adds keys: a key is a word that follows a space, a line break, or NUL and a piece as it stands.
+        """Adds keys: a word with punctuation after it from its two parts, all others by the library.
 
-        Words are encoded many at a time, as in a text: behind a first word, each after a space or, if it stands for itself, a line break.
+        A key is a word that follows a space, a line break, or NUL and a piece as it stands.
         """
-        words = [key for key in keys if self.WORD.fullmatch(key)]
-        if len(words) < len(keys):
-            self._add_each([key for key in keys if not self.WORD.fullmatch(key)])
-        if not words:
-            return
-        spelt = ["\n" + key[1:] if key[0] == "\0" else " " + key for key in words]
-        chunks = [" a" + "".join(spelt[k : k + self.CHUNK]) for k in range(0, len(words), self.CHUNK)]
-        ids = np.fromiter(chain.from_iterable(x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)), np.uint32)
-        borders = np.concatenate([[0], np.cumsum(self.widths[ids])])
-        sizes = np.fromiter((len(x.encode()) for x in spelt), np.int64, len(words))
-        ends = np.cumsum(sizes) + 2 * (np.arange(len(words)) // self.CHUNK + 1)
-        starts = ends - sizes + np.fromiter((key[0] == "\0" for key in words), np.int64, len(words))
-        first, last = np.searchsorted(borders, starts), np.searchsorted(borders, ends)
-        if (borders[first] != starts).any() or (borders[last] != ends).any():
-            raise ValueError("the tokenizer joins what stands on both sides of a space or line break")
-        self._add(words, first, last - first, ids)
+        index, compound, plain = self.index, [], {}
+        for key in keys:
+            stem = key.rstrip(self.PUNCTUATION)
+            if len(stem) < len(key) and stem[-1:].isalnum():
+                tail = "\0" + key[len(stem) :]
+                compound.append((key, stem, tail))
+                plain.update((x, None) for x in (stem, tail) if x not in index)
+            else:
+                plain[key] = None
+        found = [self._encoded(key) for key in plain]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self._add(list(plain), np.cumsum(sizes) - sizes, sizes, ids)
+        if compound:
+            parts = np.array([(index[stem], index[tail]) for _, stem, tail in compound])
+            sizes = self.sizes[parts]
+            ids = gathered(self.ids, self.starts[parts.ravel()], sizes.ravel())
+            sizes = sizes.sum(axis=1)
+            self._add([x[0] for x in compound], np.cumsum(sizes) - sizes, sizes, ids)
 
     def codes(self, keys: list[str]) -> np.ndarray:
         if len(self.index) > self.most_pieces:
@@ -123,10 +131,13 @@ class TextEncoder:
         distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
         if len(self.index) > self.most_pieces:
             self.forget()
-        new = [x for x in distinct if x not in self.index]
+        known = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(known < 0)
+        new = [distinct[k] for k in fresh.tolist()]
         odd = {x for x in new if not x.strip("\0") or self.UNUSUAL.search(x, 1)}
-        self.learn([x for x in new if x not in odd])
-        code = np.fromiter((self.index.get(x, -1) for x in distinct), np.int64, len(distinct))[which]
+        self.learn([x for x in new if x not in odd] if odd else new)
+        known[fresh] = np.fromiter(map(self.index.get, new, repeat(-1)), np.int64, len(new))
+        code = known[which]
         strange = np.add.reduceat(code < 0, offsets[:-1]) > 0 if len(texts) else np.zeros(0, bool)
         for mark in ("\0", *self.special):
             strange |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
@@ -331,7 +342,6 @@ def encode_shards(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         encoder = _encoder(public_vocabulary(vocabulary) if "/" not in vocabulary else vocabulary)
         part, shard, held, n_held, base = TaskContext.get().partitionId(), 0, [], 0, encoder.vocabulary
         end = np.array([end_id], np.uint32)
