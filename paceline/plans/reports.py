@@ -1,4 +1,7 @@
-"""The three ready-made reports."""
+"""The three ready-made reports.
+
+Each reads the log twice: a survey, and a pass that leaves the rows of its look-backs by user. All sections are cut from these.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +12,16 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.functions.args import funnel_steps
+from paceline.functions.args import as_int, event_names, funnel_steps
 from paceline.operators.breakdown import breakdown_entries, top_entries
 from paceline.operators.compare import compare_discoveries, compare_profiles
 from paceline.operators.funnel import export_funnel_segments, funnel_reach, funnel_steps_table
 from paceline.operators.heavy import DEFAULT_SKEW, SkewPolicy, survey
+from paceline.operators.lookback import within
 from paceline.operators.metrics import weekly_users
 from paceline.operators.paths import journey_map, product_paths
 from paceline.operators.segments import define_segment, discover_events, discover_together, profile_together
-from paceline.session import materialise
+from paceline.session import materialise, materialise_by
 from paceline.sources.segments import SegmentStore
 
 
@@ -37,6 +41,17 @@ def _stack(parts: Sequence[DataFrame]) -> DataFrame:
     return table
 
 
+def _by_user(log: DataFrame, days: Sequence[Any], as_of: datetime | str | None, skew: SkewPolicy, events: Sequence[str] | None = None) -> DataFrame:
+    """The rows of the longest look-back of a report, from one pass over the log, as a log of its own that all sections read.
+
+    It lies in buckets by user, so that whatever is grouped by user needs no further exchange; if there are heavy users, as it comes.
+    """
+    rows = within(log, max(as_int(d, 90) for d in days), as_of)
+    if events is not None:
+        rows = rows.filter(F.col("event").isin(sorted(set(events))))
+    return materialise_by(rows, "user_id", "report-rows") if skew.nobody else materialise(rows, "report-rows")
+
+
 def conversion_blockers(
     log: DataFrame,
     users: DataFrame,
@@ -60,6 +75,7 @@ def conversion_blockers(
     """
     names = funnel_steps(steps)
     as_of, skew = survey(log, as_of, skew)
+    log = _by_user(log, [timeframe_days, discovery_days], as_of, skew)
     reach = funnel_reach(
         log, users, names, timeframe_days=timeframe_days, conversion_window_days=conversion_window_days,
         properties=properties, as_of=as_of, skew=skew,
@@ -104,6 +120,7 @@ def upgrade_paths(
     and ``journey`` (users, share of start). The event set reaches the paths as a semi-join.
     """
     as_of, skew = survey(log, as_of, skew)
+    log = _by_user(log, [timeframe_days, paths_days], as_of, skew)
     rule = {"event": goal, "op": "at_least", "count": 1, "timeframe_days": timeframe_days}
     store.write(segment_name, define_segment(log, users, event_filters=[rule], as_of=as_of))
     doers = store.read(segment_name)
@@ -150,6 +167,8 @@ def weekly_health(
     }
     parts = []
     sets = {"signups": signup_events, "engagement": engagement_events}
+    wanted = [*names, *(e for listed in sets.values() for e in event_names(listed, "events", 1, 20))]
+    log = _by_user(log, [series_days, funnel_days], as_of, skew, wanted)
     series = materialise(weekly_users(log, sets, timeframe_days=series_days, as_of=as_of), "weekly-users")
     for section in sets:
         own = series.filter(F.col(section) > 0)

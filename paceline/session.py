@@ -66,3 +66,18 @@ def materialise(frame: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, purpose)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def materialise_by(frame: DataFrame, key: str, purpose: str, dealt: bool = False) -> DataFrame:
+    """Write a frame to the shared folder in buckets by a key, ``spark.sql.shuffle.partitions`` of them, and read it back. Runs a job.
+
+    Grouping by the key, and joins of such tables on it, then need no exchange. For keys without a hot value: a bucket is written by
+    one task. ``dealt`` says that rows come as another such table has them, so that no exchange is needed. The table's name is known to this
+    session alone.
+    """
+    spark = frame.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"paceline_{uuid.uuid4().hex}"
+    rows = frame if dealt else frame.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, purpose)).saveAsTable(name)
+    return spark.table(name)
