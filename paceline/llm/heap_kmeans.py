@@ -22,7 +22,6 @@ scaling) end in an error, as a distance could then exceed 64 bits.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.session import materialise, scratch_path
+from paceline.session import materialise, materialise_by
 
 BLOCKS = "block long, n int, vec_ids binary, null_ids binary, vectors binary"
 STATE = "block long, sizes binary, rows binary, keys binary, popped long, change array<long>"
@@ -165,13 +164,6 @@ def pack(kept: DataFrame, dims: int, scale: int) -> DataFrame:
     return kept.mapInArrow(blocks, BLOCKS)
 
 
-def bucketed(frame: DataFrame, purpose: str, buckets: int) -> DataFrame:
-    """The frame written to the shared folder in buckets by block: joins on the block need no exchange."""
-    name = f"{purpose}_{uuid.uuid4().hex}"
-    frame.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch_path(frame.sparkSession, purpose)).saveAsTable(name)
-    return frame.sparkSession.table(name)
-
-
 def start_centroids(kept: DataFrame, k: int, seed: int, scale: int) -> list[list[int]]:
     """The vectors with the least hashes of ``seed:vec_id``, in the order of the hashes."""
     place = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
@@ -239,11 +231,10 @@ def cluster_vectors(
         return spark.createDataFrame([], empty)
     k = len(start)
     clusters = Clusters(start, [0.0] * k, [[0] * dims for _ in range(k)], [0] * k)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = bucketed(pack(kept, dims, scale).repartition(buckets, "block"), "vector_blocks", buckets)
+    blocks = materialise_by(pack(kept, dims, scale), "block", "vector-blocks")
     state = None
     for turn in range(rounds + 1):
-        state = bucketed(one_round(blocks, state, clusters, dims), "cluster_heaps", buckets)
+        state = materialise_by(one_round(blocks, state, clusters, dims), "block", "cluster-heaps", dealt=True)
         if history is not None:
             history.append(state.agg(F.sum("popped")).first()[0])
         if turn < rounds:
