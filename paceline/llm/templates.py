@@ -79,24 +79,36 @@ class TemplateWords(dict):
         self.most = most
 
     def __missing__(self, word: str) -> int:
-        core = EDGES.sub("", word)
-        marks = SENTENCE_END if SENTENCE_MARK.search(word) else 0
+        if len(self) >= self.most:
+            self.clear()
+        marks, core = 0, word
+        if not word.isalpha():
+            if word[-1] in ".,;" and word[:-1].isalpha():  # most other words, without regular expressions
+                marks, core = SENTENCE_END if word[-1] == "." else 0, word[:-1]
+            else:
+                marks, core = SENTENCE_END if SENTENCE_MARK.search(word) else 0, EDGES.sub("", word)
         form = core.lower()
-        glued = GLUED.fullmatch(form)
         if not form:
             marks |= SIGNS if SIGN.fullmatch(word) else NOTHING
             form = word
-        elif NUMBER.fullmatch(form) or all(x in NUMBER_WORDS for x in form.split("-")) or glued and glued[1] in UNIT_WORDS:
+        elif self.is_number(form):
             marks |= NUMERIC
         elif core[0].isupper() and not any(map(str.isupper, core[1:])):
             marks |= CAPITAL
         if form in UNIT_WORDS or form == "%":
             marks |= UNIT
-        if len(self) >= self.most:
-            self.clear()
         found = self[word] = (xxhash.xxh3_64_intdigest(form.encode()) >> 16 << 16) | marks
         return found
 
+    @staticmethod
+    def is_number(form: str) -> bool:
+        if form in NUMBER_WORDS:
+            return True
+        if form.isalpha():
+            return False
+        glued = GLUED.fullmatch(form)
+        return NUMBER.fullmatch(form) is not None or all(x in NUMBER_WORDS for x in form.split("-")) or glued is not None and glued[1] in UNIT_WORDS
+
 
 def cut_words(text: str) -> list[str]:
     cut = text.split()
