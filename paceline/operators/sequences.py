@@ -255,14 +255,76 @@ def path_windows(found: Journeys) -> DataFrame:
     return light if found.steps is None else light.unionByName(_whole(found.steps.filter("completed")))
 
 
-FIRST_STEPS = 1000  # of a heavy user's path, by which it is ordered among paths of as many users
+BLOCK_STEPS = 1000  # steps of a heavy path that are put side by side at a time
+DIGEST = ["steps", "h1", "h2"]
+
+
+def _same_path(a: DataFrame, b: DataFrame) -> Column:
+    return (a["steps"] == b["of_steps"]) & (a["h1"] == b["of_h1"]) & (a["h2"] == b["of_h2"])
+
+
+def _steps_of(paths: DataFrame, done: DataFrame) -> DataFrame:
+    """``steps, h1, h2, pos, event`` of paths that hold their events, or name a heavy user who took them."""
+    light = paths.filter(F.col("events").isNotNull()).select(*DIGEST, F.posexplode("events").alias("at", "event"))
+    light = light.select(*DIGEST, (F.col("at") + 1).cast("bigint").alias("pos"), "event")
+    heavy = paths.filter(F.col("events").isNull()).select(*DIGEST, "like")
+    taken = done.join(heavy, done["user_id"].eqNullSafe(heavy["like"])).select(*DIGEST, "pos", "event")
+    return light.unionByName(taken)
+
+
+def _least_paths(group: DataFrame, done: DataFrame, need: int) -> DataFrame:
+    """The ``need`` paths of least text, of any length.
+
+    Digests of blocks of ``BLOCK_STEPS`` steps tell where the paths part first; only the texts of that block are put together. Paths
+    before the wanted place are in, those behind it out, and those that still share it go on to where they part next.
+    """
+    chosen, after = [], -1
+    while True:
+        n = group.count()
+        if n <= need:
+            chosen.append(group)
+            break
+        rows = _steps_of(group, done).withColumn("block", F.expr(f"(pos - 1) div {BLOCK_STEPS}")).filter(F.col("block") > after)
+        digests = rows.groupBy(*DIGEST, "block").agg(F.bit_xor(F.xxhash64("event", "pos")).alias("d"))
+        parted = digests.groupBy("block").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n"))
+        after = parted.filter((F.col("low") != F.col("high")) | (F.col("n") < n)).agg(F.min("block")).first()[0]
+        if after is None:  # paths of the same text
+            chosen.append(group.orderBy("h1").limit(need))
+            break
+        listed = F.sort_array(F.collect_list(F.struct("pos", "event")))
+        own = rows.filter(F.col("block") == after).groupBy(*DIGEST).agg(listed.alias("listed"))
+        own = own.select(*[F.col(c).alias(f"of_{c}") for c in DIGEST], F.transform("listed", lambda x: x["event"]).alias("names"))
+        goes_on = F.when(F.col("steps") > (after + 1) * BLOCK_STEPS, ARROW).otherwise("")
+        text = F.when(F.col("names").isNull(), "").otherwise(F.concat(F.array_join("names", ARROW), goes_on))
+        texts = materialise(group.join(own, _same_path(group, own), "left").select(*group.columns, text.alias("text")), "parting-paths")
+        border = texts.orderBy("text").limit(need).agg(F.max("text")).first()[0]
+        before = texts.filter(F.col("text") < border).drop("text")
+        chosen.append(before)
+        need -= before.count()
+        group = texts.filter(F.col("text") == border).drop("text")
+    found = chosen[0]
+    for part in chosen[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _top_paths(counted: DataFrame, done: DataFrame, most: int) -> DataFrame:
+    """The ``most`` travelled paths; among those of as many users the text decides, of heavy users' paths too."""
+    users = [r["users"] for r in counted.select("users").orderBy(F.desc("users")).limit(most).collect()]
+    if len(users) < most:
+        return counted
+    last = users[-1]
+    need, tied = users.count(last), counted.filter(F.col("users") == last)
+    light = tied.filter(F.col("events").isNotNull()).orderBy(F.array_join("events", ARROW), "h1").limit(need)
+    group = materialise(light.unionByName(tied.filter(F.col("events").isNull())), "tied-paths")
+    return counted.filter(F.col("users") > last).unionByName(_least_paths(group, done, need))
 
 
 def path_counts(found: Journeys, most: int) -> DataFrame:
     """``(events, path, users)`` of the ``most`` travelled completed journeys, and the users of all, ``completed_users``.
 
     Paths are told apart by two hashes over their steps, which are combined map-side for heavy users; only the winners
-    are put together. Among paths of as many users the text decides.
+    are put together. Among paths of as many users the text decides, whatever their length.
     """
 
     def hashed(event: Column, pos: Column) -> list[Column]:
@@ -272,34 +334,26 @@ def path_counts(found: Journeys, most: int) -> DataFrame:
         each = F.transform("events", lambda e, i: hashed(e, (i + 1).cast("bigint"))[which])
         return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
 
-    digest = ["steps", "h1", "h2"]
     counted = (
         found.light.filter("completed")
         .select("events", F.size("events").cast("bigint").alias("steps"), folded(0).alias("h1"), folded(1).alias("h2"))
-        .groupBy(*digest)
+        .groupBy(*DIGEST)
         .agg(F.count(F.lit(1)).alias("users"), F.min("events").alias("events"))
         .withColumn("like", F.lit(None).cast(found.light.schema["user_id"].dataType))
-        .withColumn("ordered", F.array_join("events", ARROW))
     )
     if found.steps is not None:
         done = found.steps.filter("completed")
         h1, h2 = hashed(F.col("event"), F.col("pos"))
-        opening = F.when(F.col("pos") <= FIRST_STEPS, F.struct("pos", "event"))
-        heavy = done.groupBy("user_id").agg(
-            F.count(F.lit(1)).alias("steps"), F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"),
-            F.sort_array(F.collect_list(opening)).alias("opening"),
-        )
-        text = F.array_join(F.transform("opening", lambda x: x["event"]), ARROW)
-        heavy = heavy.groupBy(*digest).agg(
-            F.count(F.lit(1)).alias("users"), F.min("user_id").alias("like"), F.min(text).alias("ordered")
-        )
-        counted = counted.unionByName(heavy, allowMissingColumns=True).groupBy(*digest).agg(
-            F.sum("users").alias("users"), F.min("events").alias("events"), F.min("like").alias("like"), F.max("ordered").alias("ordered")
+        heavy = done.groupBy("user_id").agg(F.count(F.lit(1)).alias("steps"), F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"))
+        heavy = heavy.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("users"), F.min("user_id").alias("like"))
+        counted = counted.unionByName(heavy, allowMissingColumns=True).groupBy(*DIGEST).agg(
+            F.sum("users").alias("users"), F.min("events").alias("events"), F.min("like").alias("like")
         )
     counted = materialise(counted, "path-counts")
-    top = counted.orderBy(F.desc("users"), "ordered", "h1").limit(most)
-    if found.steps is not None:
-        top = materialise(top, "top-paths")
+    if found.steps is None:
+        top = counted.orderBy(F.desc("users"), F.array_join("events", ARROW), "h1").limit(most)
+    else:
+        top = materialise(_top_paths(counted, done, most), "top-paths")
         wanted = top.filter(F.col("events").isNull()).select(F.col("like").alias("of_user"))
         done = found.steps.filter("completed")
         own = _whole(done.join(wanted, done["user_id"].eqNullSafe(wanted["of_user"]), "left_semi"))
@@ -309,4 +363,5 @@ def path_counts(found: Journeys, most: int) -> DataFrame:
     total = counted.agg(F.coalesce(F.sum("users"), F.lit(0)).alias("completed_users"))
     found_paths = top.select("events", F.array_join("events", ARROW).alias("path"), "users", F.lit(True).alias("some"))
     # One row, so that the users of all paths are there even if no path is.
-    return total.join(found_paths, F.lit(True), "left").select("events", "path", "users", "completed_users")
+    joined = total.join(found_paths, F.lit(True), "left").select("events", "path", "users", "completed_users")
+    return joined.orderBy(F.desc_nulls_last("users"), "path")

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 import plain
+from paceline.operators import sequences
 from paceline.operators.heavy import SkewPolicy
 from paceline.operators.paths import journey_map, journey_paths, journey_summary, product_paths
 from paceline.operators.sequences import (
@@ -144,3 +145,36 @@ def test_ends_must_differ(log):
         product_paths(log, "a", "a")
     with pytest.raises(ValueError):
         journey_map(log, "a", "")
+
+
+def test_long_paths_are_ordered_by_all_their_steps(make_log):
+    """Heavy users' paths that part after step 1,200, on a tie for the last place."""
+    rows, texts = [], []
+    for user, (middle, end) in enumerate([("cd", 1300), ("cd", 1290), ("dc", 1300), ("cd", 700)]):
+        names = ["a"] + [("c" if k % 2 else "d") for k in range(1, 1200)]
+        names += [middle[k % 2] for k in range(end - 1200)] if end > 1200 else []
+        names = names[:end] + ["b"]
+        steps = [x for k, x in enumerate(names) if k == 0 or x != names[k - 1]]
+        rows += [(user, x, DAY + timedelta(minutes=k)) for k, x in enumerate(steps)]
+        texts.append(" -> ".join(steps))
+    log = make_log(rows)
+    for most in (1, 3):
+        found = product_paths(log, "a", "b", top_n=most, skew=SkewPolicy(0, 50)).collect()
+        assert sorted(r.path for r in found) == sorted(texts)[:most]
+        assert {r.completed_users for r in found} == {4}
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_ties_are_settled_block_by_block(make_log, monkeypatch, block):
+    """Short blocks, many paths of one user each, some of light users, prefixes of each other among them."""
+    monkeypatch.setattr(sequences, "BLOCK_STEPS", block)
+    rng = random.Random(block)
+    rows = []
+    for user in range(40):
+        names = ["a", *(rng.choice(["c", "d", "cc", "c!"]) for _ in range(rng.randrange(6, 12) if user % 3 else 3)), "b"]
+        rows += [(user, x, DAY + timedelta(hours=k)) for k, x in enumerate(names)]
+    log = make_log(rows)
+    expected = plain.path_counts(plain.journeys(rows, "a", "b"))
+    for most, skew in ((4, SkewPolicy()), (4, SkewPolicy(7, 3)), (9, SkewPolicy(0, 2))):
+        found = product_paths(log, "a", "b", top_n=most, skew=skew).collect()
+        assert sorted((r.path, r.users) for r in found) == sorted(expected[:most])
