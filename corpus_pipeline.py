@@ -49,7 +49,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         part = F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long")
         ordered = docs.select("doc_id", "text", part.alias("part"), name.alias("file"), F.col("_metadata.row_index").alias("row"))
         order = ["part", "file", "row"]
-    except AnalysisException:
+    except AnalysisException as error:
+        if not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            raise
         ordered, order = docs, ["doc_id"]
     path = scratch_path(spark, "token-shards")
     encode_shards(ordered, order=order).write.option("compression", "zstd").parquet(path)
