@@ -181,7 +181,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, s: PathSettings) -> DataFra
     return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("set_id", "text").mapInArrow(build, "set_id binary, shingles binary").dropDuplicates(["set_id"])
 
 
-def shared_counts(sets: list[np.ndarray], split: int, most_columns: int = 2048) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray], split: int, most_columns: int = 1024) -> np.ndarray:
     """Sizes of the intersections of the first ``split`` sets with the others (of all with all if that is none)."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, column, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
@@ -205,7 +205,10 @@ def compare(sets: list[np.ndarray], paths: list[np.ndarray], path: int, split: i
     sizes = np.array([len(x) for x in sets], np.int64)
     cut = split if 0 < split < len(sets) else 0
     rows, columns = (sizes[:cut] if cut else sizes)[:, None], sizes[cut:][None, :]
-    found = both.astype(np.int64) * (1000 + permille) >= permille * (rows + columns)
+    found = np.empty(both.shape, bool)
+    for at in range(0, len(both), 128):  # some rows at a time, so that whole numbers don't take many times the room of the counts
+        found[at : at + 128] = both[at : at + 128].astype(np.int64) * (1000 + permille) >= permille * (rows[at : at + 128] + columns)
+    del both
     found &= shared_counts([x[x < path].view(np.uint64) for x in paths], split) == 0
     return found if cut else np.triu(found, 1)
 
