@@ -21,12 +21,15 @@ SETTINGS = {
 
 
 def build_session(app_name: str = "paceline", master: str | None = None, **extra: str) -> SparkSession:
+    """A session with the library's settings; the executors' Python gets this package."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 _shipped: set[str] = set()

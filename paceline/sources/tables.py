@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,18 @@ def event_catalog(log: DataFrame) -> DataFrame:
     )
 
 
+def catalog_at(spark: SparkSession, path: str, **columns: str | None) -> dict[str, DataFrame | str]:
+    """``rows``, the catalog of the log at a path, and a ``message``: a log that is not there has no events, and the message says so."""
+    try:
+        return {"rows": event_catalog(read_event_log(spark, path, **columns)), "message": ""}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        empty = spark.createDataFrame([], "event string, occurrences bigint, users bigint")
+        return {"rows": empty, "message": f"there is no event log at {path}"}
+
+
+
 def property_rows(properties: Sequence[str]) -> Column:
     """One (property, value) struct per property of a profile row, as an array."""
     return F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("value")) for p in properties])

@@ -14,7 +14,7 @@ from paceline.operators.sequences import compressed_sequences, scoped_rows, user
 from paceline.plans.reports import conversion_blockers, upgrade_paths, weekly_health
 from paceline.session import materialise_by, scratch_path
 from paceline.sources.segments import SegmentStore
-from paceline.sources.tables import event_log, read_ordered_log, write_ordered_log
+from paceline.sources.tables import catalog_at, event_log, read_ordered_log, write_ordered_log
 
 STEPS = ["a", "b", "c"]
 USERS = 500
@@ -166,3 +166,12 @@ def test_a_late_event_does_not_move_the_anchor(spark, make_log):
     log = log.selectExpr("user_id", "event", "ts", "cast(day as date) AS day")
     assert {r.user_id for r in within(log, 2).collect()} == {2, 3} == {r.user_id for r in within(log.drop("day"), 2).collect()}
 
+
+def test_a_log_that_is_not_there_has_an_empty_catalog(spark, tables, tmp_path):
+    log, _, _ = tables
+    missing = catalog_at(spark, str(tmp_path / "nowhere"))
+    assert missing["rows"].isEmpty() and "no event log" in missing["message"]
+    log.write.parquet(str(tmp_path / "log"))
+    found = catalog_at(spark, str(tmp_path / "log"))
+    assert {r.event for r in found["rows"].collect()} == set("abcd") and found["message"] == ""
+    assert found["rows"].schema.simpleString() == missing["rows"].schema.simpleString()
