@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Numbers of letter classes, each dividing the next: classes of a finer division lie inside those of a coarser one.
-DIVISIONS = (1, 4, 16, 64)
+DIVISIONS = (1, 2, 4, 8, 16, 32, 64)
 
 
 def letter_counts(texts: Sequence[str], classes: int) -> np.ndarray:
@@ -28,21 +28,32 @@ def shared_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ratio_bound(classes: int) -> Callable[[Column, Column], Column]:
-    """A vectorised function of two texts: the highest ratio that their letters, told apart by class only, allow."""
+    """A vectorised function of two keys of ``letter_keys``, of this division or a finer one: the highest ratio that the letters of their
+    texts, told apart by class only, allow."""
 
-    def bound(names: pd.Series, others: pd.Series) -> pd.Series:
-        a, b = (letter_counts([x.lower() for x in side], classes) for side in (names, others))
+    def bound(keys: pd.Series, others: pd.Series) -> pd.Series:
+        a, b = (letter_counts(list(side), classes) for side in (keys, others))
         return pd.Series(shared_bound(a, b))
 
     return F.pandas_udf(bound, "double")
 
 
 def letter_keys() -> Callable[[Column], Column]:
-    """A vectorised function of a text: for every division, a key that texts share if they have the same letter counts in it."""
+    """A vectorised function of a text: for every division, a key that texts share if they have the same letter counts in it.
+
+    For one class it is the number of letters, else the classes of the letters in ascending order, class k as code point 64 + k, so that
+    a key has the letter counts of its text, in its own division and in all coarser ones.
+    """
 
     def keys(names: pd.Series) -> pd.DataFrame:
         lowered = [x.lower() for x in names]
-        spelt = {f"k{c}": [",".join(map(str, row)) for row in letter_counts(lowered, c).tolist()] for c in DIVISIONS}
+        sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+        letters = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner, ends = np.repeat(np.arange(len(lowered)), sizes), np.cumsum(sizes).tolist()
+        spelt = {"k1": list(map(str, sizes.tolist()))}
+        for c in DIVISIONS[1:]:
+            classes = (np.sort(owner * c + letters % c) % c + 64).astype(np.uint8).tobytes().decode("ascii")
+            spelt[f"k{c}"] = [classes[start:end] for start, end in zip([0, *ends], ends)]
         return pd.DataFrame(spelt)
 
     return F.pandas_udf(keys, ", ".join(f"k{c} string" for c in DIVISIONS))

@@ -62,6 +62,7 @@ def name_conformance(feed: DataFrame, dictionary: DataFrame | Sequence[str], col
     if lists is not None:
         unknown = names.filter(~F.col("name").isin(lists.get("", []))).distinct()
     else:
+        known = materialise(known, "known-names")  # read by the join and the index
         unknown = names.distinct().join(known.select(F.col("known").alias("name")), "name", "left_anti").select(*NAME)
     return best_matches(unknown, known, lists).select(
         F.col("name").alias("from_name"), _accepted("score", "match").alias("to_name"), round_exact("score", 3).alias("score")

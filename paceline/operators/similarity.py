@@ -1,8 +1,9 @@
 """The most similar name of a dictionary of any size, by an index of letter signatures.
 
-A node of the index holds the names whose letters, told apart by 1, 4, 16 or 64 classes, have the same counts; one of
-its names stands for it, since any of them gives the node's bound: no name inside is more similar than shared letters allow. Finer nodes lie
-inside coarser ones, so a search goes down level by level, each level an equi-join of (name, node) with the node's children.
+A node of the index holds the names whose letters, told apart by 1, 2, 4, ... or 64 classes, have the same counts; its key spells
+them, and gives the node's bound: no name inside is more similar than shared letters allow. Finer nodes lie
+inside coarser ones, so a search goes down level by level, each level an equi-join of (name, node) with the node's children. Classes only
+double from level to level, so that a node has few children and most of what can't match is left out before names are told apart finely.
 
 Best bounds are searched first, in rounds. A round goes down to all nodes whose bound is at least its floor, compares what the
 leaves hold, and settles every name whose score has reached the floor, as nothing below can be better. The others go on to the next round, with
@@ -23,16 +24,16 @@ STEP = 0.1  # by how much the floor falls from round to round
 
 
 def signatures(known: DataFrame) -> DataFrame:
-    """``(kind, known, k1, k4, ...)``: each name with its keys in all divisions."""
+    """``(kind, known, k1, k2, ...)``: each name with its keys in all divisions."""
     return known.select("kind", "known", letter_keys()("known").alias("keys")).select("kind", "known", "keys.*")
 
 
 def tree(index: DataFrame) -> DataFrame:
-    """``(level, kind, parent, key, member)`` of all nodes; ``member`` is one of the names inside."""
+    """``(level, kind, parent, key)`` of all nodes."""
     levels = []
     for level, key in enumerate(KEYS):
         parent = F.col(KEYS[level - 1]) if level else F.lit("")
-        levels.append(index.groupBy("kind", parent.alias("parent"), F.col(key).alias("key")).agg(F.min("known").alias("member")).withColumn("level", F.lit(level)))
+        levels.append(index.select("kind", parent.alias("parent"), F.col(key).alias("key")).distinct().withColumn("level", F.lit(level)))
     nodes = levels[0]
     for more in levels[1:]:
         nodes = nodes.unionByName(more)
@@ -50,13 +51,13 @@ def candidates(names: DataFrame, index: DataFrame, nodes: DataFrame, floor: floa
     hopeful = (F.col("bound") >= floor) & (F.col("bound") > F.col("score"))
     # A kind has a node for each length of its names: one row a kind, however many names there are.
     lengths = nodes.filter("level = 0").groupBy("kind").agg(F.collect_list("key").alias("lengths"))
-    sized = names.select(*NAME, "score", letter_keys()("name")[KEYS[0]].cast("int").alias("size"))
-    each = sized.join(lengths, "kind").select(*NAME, "score", "size", F.explode("lengths").alias("parent"))
-    at = each.withColumn("bound", _length_bound(F.col("size"), F.col("parent").cast("int"))).filter(hopeful).select(*NAME, "score", "parent")
+    spelt = names.select(*NAME, "score", letter_keys()("name").alias("keys")).select(*NAME, "score", F.col(f"keys.{KEYS[-1]}").alias("letters"))
+    each = spelt.join(lengths, "kind").select(*NAME, "score", "letters", F.explode("lengths").alias("parent"))
+    at = each.withColumn("bound", _length_bound(F.length("letters"), F.col("parent").cast("int"))).filter(hopeful).drop("bound")
     for level in range(1, len(KEYS)):
-        below = at.join(nodes.filter(F.col("level") == level).select("kind", "parent", "key", "member"), ["kind", "parent"])
-        bounded = below.withColumn("bound", ratio_bound(DIVISIONS[level])("name", "member")).filter(hopeful)
-        at = bounded.select(*NAME, "score", "bound", F.col("key").alias("parent"))
+        below = at.join(nodes.filter(F.col("level") == level).select("kind", "parent", "key"), ["kind", "parent"])
+        bounded = below.withColumn("bound", ratio_bound(DIVISIONS[level])("letters", "key")).filter(hopeful)
+        at = bounded.select(*NAME, "score", "letters", "bound", F.col("key").alias("parent"))
     if ceiling is not None:
         at = at.filter(F.col("bound") < ceiling)
     leaves = index.select("kind", F.col(KEYS[-1]).alias("parent"), "known")

@@ -10,9 +10,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from paceline.functions.text import DIVISIONS, letter_counts, shared_bound
+from paceline.functions.text import DIVISIONS, letter_counts, letter_keys, shared_bound
 from paceline.operators import conform, similarity
 from paceline.operators.conform import conformed_event_log, name_conformance, property_conformance
+from workload import inputs
 from workload.inputs import misspelt_words, word_dictionary
 from workload.queries import queries
 
@@ -106,6 +107,27 @@ def test_a_search_meets_few_names(spark):
     assert len(pairs) < len(rows) * len(known) / 200
 
 
+def test_keys_hold_the_letters_of_all_coarser_divisions(spark):
+    """A node has few children, and its key gives its bound: no text has to stand for it."""
+    names = ["", "Aß~z", "é日本7", "\x7f@?", "x" * 300]
+    keys = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").select("k", letter_keys()("n").alias("keys")).orderBy("k").collect()
+    for c, coarser in zip(DIVISIONS[1:], DIVISIONS, strict=False):
+        assert c == 2 * coarser
+        for d in DIVISIONS[: DIVISIONS.index(c) + 1]:
+            assert (letter_counts([r["keys"][f"k{c}"] for r in keys], d) == letter_counts([n.lower() for n in names], d)).all()
+    assert [r["keys"]["k1"] for r in keys] == [str(len(n)) for n in names]
+
+
+def test_the_words_query_cuts_texts_once(spark, monkeypatch, tmp_path):
+    for name in ("documents", "conversations", "benchmark"):
+        pq.write_table(pa.table({"text": [f"some words of {name}"]}), tmp_path / f"{name}.parquet")
+    tokens, cut = inputs._tokens, []
+    monkeypatch.setattr(inputs, "_tokens", lambda table: cut.append(table) or tokens(table))
+    found = queries()["name_conformance_words"](spark, str(tmp_path))
+    assert len(cut) == 3 and "documents.parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.from_name for r in found.collect()) == ["benchmark", "off", "somee", "wordss"]
+
+
 def test_the_words_query(spark, monkeypatch, tmp_path):
     """The registered query on small tables, against all pairs of words."""
     rng = random.Random(3)

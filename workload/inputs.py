@@ -111,10 +111,11 @@ def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
-def misspelt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of the benchmark: those that the dictionary knows with their last letter doubled, the unknown ones as they stand."""
+def misspelt_words(spark: SparkSession, sf_dir: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """All words of the benchmark: those that the dictionary (``word_dictionary``, if it is not given) knows with their last letter doubled,
+    the unknown ones as they stand."""
     words = _tokens(_table(spark, sf_dir, "benchmark")).distinct()
-    known = word_dictionary(spark, sf_dir).select("event", F.lit(True).alias("known"))
+    known = (word_dictionary(spark, sf_dir) if dictionary is None else dictionary).select("event", F.lit(True).alias("known"))
     damaged = F.when(F.col("known"), F.concat("event", F.substring("event", -1, 1))).otherwise(F.col("event"))
     return words.join(known, "event", "left").select(damaged.alias("event"))
 

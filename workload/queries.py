@@ -560,7 +560,8 @@ def name_conformance_clicks(spark, sf):
 @_query
 def name_conformance_words(spark, sf):
     """No SQL: it would compare every word with the whole dictionary; ``tests/test_conform.py`` does so on a small one."""
-    return name_conformance(misspelt_words(spark, sf), word_dictionary(spark, sf))
+    dictionary = materialise(word_dictionary(spark, sf), "word-dictionary")  # all texts are cut into words once
+    return name_conformance(misspelt_words(spark, sf, dictionary), dictionary)
 
 
 @_query
