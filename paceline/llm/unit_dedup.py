@@ -45,6 +45,9 @@ SENTENCE, CHOSEN = 0, 1 << 40
 MIN_WORDS = 16
 # Letters that are hashed at a time, whatever the length of a text.
 PIECE = 1 << 20
+# Bytes of texts that are cut at a time, and of units handed to Spark at a time.
+IN_BYTES, OUT_BYTES = 1 << 20, 1 << 20
+UNITS = ["high", "low", "rank", "doc_id", "start", "end", "n_words"]
 
 
 @lru_cache(maxsize=1)
@@ -143,19 +146,26 @@ class UnitCutter:
         )
 
 
+def unit_batches(batches: Iterator[pa.RecordBatch], cutter: UnitCutter) -> Iterator[pa.RecordBatch]:
+    """high, low, rank, doc_id, start, end, n_words of every unit of batches of (rank, doc_id, text).
+
+    Units take many times the room of their texts, and Spark holds what comes at a time outside its heap, so they come in small batches.
+    """
+    for batch in (piece for whole in batches for piece in batches_of(whole, IN_BYTES)):
+        found = [cutter.units(text or "") for text in batch["text"].to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+        high, low, *places = ([x[k] for x in found] for k in range(5))
+        columns = [pa.array(np.concatenate(x)) for x in (high, low)] + [batch["rank"].take(rows), batch["doc_id"].take(rows)]
+        yield from batches_of(pa.RecordBatch.from_arrays([*columns, *[pa.array(np.concatenate(x)) for x in places]], UNITS), OUT_BYTES)
+
+
 def units(docs: DataFrame, rank: Column, min_words: int, line_words: int | None = None) -> DataFrame:
     """high, low (the digest), rank, doc_id, start, end, n_words of every unit."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = UnitCutter(min_words, line_words)
-        for batch in (piece for whole in batches for piece in batches_of(whole)):
-            found = [cutter.units(text or "") for text in batch["text"].to_pylist()]
-            rows = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-            high, low, *places = ([x[k] for x in found] for k in range(5))
-            columns = [pa.array(np.concatenate(x)) for x in (high, low)] + [batch["rank"].take(rows), batch["doc_id"].take(rows)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.concatenate(x)) for x in places]], ["high", "low", "rank", "doc_id", "start", "end", "n_words"])
-
-    schema = "high long, low long, rank long, doc_id long, start long, end long, n_words long"
+        return unit_batches(batches, UnitCutter(min_words, line_words))
+
+    schema = ", ".join(f"{x} long" for x in UNITS)
     return docs.select(rank.cast("long").alias("rank"), F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 from corpus_rows import prose, row
 from pyspark.sql import functions as F
 
 from paceline.llm import unit_dedup
-from paceline.llm.unit_dedup import REACH, WINDOW, UnitCutter, repeated_units, without_units
+from paceline.llm.unit_dedup import REACH, WINDOW, UnitCutter, repeated_units, unit_batches, without_units
 
 SENTENCE_END = re.compile(r"[.!?]+(?=\s)|\n")
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -179,3 +180,14 @@ def test_a_run_of_one_word_keeps_its_first_window(spark, make_docs):
     docs = make_docs([row(1, "ha " * 200)])
     left = without_units(docs, repeated_units(docs)).first()["text"]
     assert 24 <= len(left.split()) < 40
+
+
+def test_units_come_in_small_batches():
+    """Many short texts and one long one: what goes to Spark at a time stays small, and nothing is lost."""
+    texts = [prose(k, 400) for k in range(300)] + [None, "", prose(7, 200_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts)), pa.array(range(len(texts))), pa.array(texts)], ["rank", "doc_id", "text"])
+    found = list(unit_batches(iter([batch]), UnitCutter(16)))
+    assert max(x.nbytes for x in found) <= unit_dedup.OUT_BYTES
+    cutter = UnitCutter(16)
+    counts = [len(cutter.units(text or "")[0]) for text in texts]
+    assert [y for x in found for y in x["doc_id"].to_pylist()] == [k for k, n in enumerate(counts) for _ in range(n)]
