@@ -183,12 +183,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, s: PathSettings) -> DataFra
 
 def shared_counts(sets: list[np.ndarray], split: int, most_columns: int = 1024) -> np.ndarray:
     """Sizes of the intersections of the first ``split`` sets with the others (of all with all if that is none)."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
-    several = counts[column] > 1  # a token of one set adds to no intersection
-    owner, column = owner[several], (np.cumsum(counts > 1) - 1)[column[several]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    # Sorted by token with their owners, in place where it can be: a block's shingles are held few times over.
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable").astype(np.int32)
+    flat = flat[order]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
+    del order
+    starts = np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]])
+    del flat
+    several = ~(starts & np.append(starts[1:], True)[: len(starts)])  # a token of one set adds to no intersection
+    owner, column = owner[several], np.cumsum(starts[several], dtype=np.int32) - 1
+    del starts, several
     cut = split if 0 < split < len(sets) else 0
     total = np.zeros((cut or len(sets), len(sets) - cut), np.float32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, most_columns):

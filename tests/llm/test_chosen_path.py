@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -83,6 +84,18 @@ def test_shared_counts_and_ownership():
     assert compare(alike, [np.array([5, 9])] * 3, 9, 0, 800).sum() == 0
 
 
+def test_counting_takes_little_room():
+    """A block's shingles are held few times over while they are counted, whatever they share."""
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 1 << 40, 20_000).astype(np.uint64)) for _ in range(25)] * 2
+    tracemalloc.start()
+    counts = shared_counts(sets, 25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.diag(counts) == [len(x) for x in sets[:25]]).all()
+    assert peak < 4.5 * sum(x.nbytes for x in sets)
+
+
 def test_few_common_minhashes_rule_out_the_threshold():
     settings = PathSettings()
     m, k = settings.minhashes, settings.least_equal
