@@ -60,9 +60,15 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return words
     size = min(size, len(words))
     n = len(words) - size + 1
-    total = np.zeros(n, np.uint64)
-    for k in range(size):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    # Runs double in length, and those whose lengths add up to the size are strung together.
+    total, done, run, factor = np.zeros(n, np.uint64), 0, words, 0x9E3779B97F4A7C15
+    for k in range(size.bit_length()):
+        length = 1 << k
+        if size & length:
+            total = total * np.uint64(factor) + run[done : done + n] if done else run[:n]
+            done += length
+        if done < size:
+            run, factor = run[:-length] * np.uint64(factor) + run[length:], factor * factor % (1 << 64)
     return mixed(total + np.uint64(size))
 
 

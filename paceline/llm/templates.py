@@ -85,13 +85,16 @@ class TemplateWords(dict):
         if not word.isalpha():
             if word[-1] in ".,;" and word[:-1].isalpha():  # most other words, without regular expressions
                 marks, core = SENTENCE_END if word[-1] == "." else 0, word[:-1]
+                if core in self:
+                    found = self[word] = self[core] | marks
+                    return found
             else:
                 marks, core = SENTENCE_END if SENTENCE_MARK.search(word) else 0, EDGES.sub("", word)
         form = core.lower()
         if not form:
             marks |= SIGNS if SIGN.fullmatch(word) else NOTHING
             form = word
-        elif self.is_number(form):
+        elif form in NUMBER_WORDS or not form.isalpha() and self.is_number(form):
             marks |= NUMERIC
         elif core[0].isupper() and not any(map(str.isupper, core[1:])):
             marks |= CAPITAL
@@ -161,6 +164,8 @@ def template(text: str, words: TemplateWords) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes_at(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the windows that start at some places; never those of ``window_hashes``."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
     total = np.full(len(at), 0xD6E8FEB86659FD93, np.uint64)
     for k in range(size):
         total = total * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
@@ -214,7 +219,8 @@ class Reading:
             maybe = np.concatenate([[0], np.cumsum(kind == MAYBE)])
             plain = np.concatenate([[0], np.cumsum(((kind == 0) | (kind == MAYBE)) & self.open_plain)])
             at = np.flatnonzero((maybe[size:] > maybe[:-size]) & (plain[size:] - plain[:-size] >= needed))
-            parts.append((at, at, window_hashes(self.open_found, size)[at], self.open_slots))
+            if len(at):
+                parts.append((at, at, window_hashes(self.open_found, size)[at], self.open_slots))
         return parts
 
 

@@ -215,3 +215,15 @@ def test_against_all_pairs(spark, make_docs):
     frame = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["matched"], r["n_windows"]) for r in template_matches(make_docs([row(*x) for x in docs]), frame).collect()}
     assert got == plain_matches(docs, items) and len(got) > 80
+
+
+def test_a_known_word_is_hashed_once(monkeypatch):
+    """A full stop or a comma after a known word costs no second normal form; the marks are those of the word met alone."""
+    from paceline.llm import templates as T
+
+    words, calls, digest = T.TemplateWords(), [], T.xxhash.xxh3_64_intdigest
+    listed = ["Berlin", "three", "km", "house"]
+    apart = {x + end: T.TemplateWords()[x + end] for x in listed for end in ("", ".", ",")}
+    monkeypatch.setattr(T.xxhash, "xxh3_64_intdigest", lambda x: calls.append(x) or digest(x))
+    assert {x + end: words[x + end] for x in listed for end in ("", ".", ",")} == apart
+    assert len(calls) == len(listed)
