@@ -52,7 +52,7 @@ class TextEncoder:
     PUNCTUATION = ".,;:!?)"
     UNUSUAL = re.compile("[\0\t\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-    def __init__(self, path: str, most_pieces: int = 1_500_000):
+    def __init__(self, path: str, most_pieces: int = 500_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -66,19 +66,30 @@ class TextEncoder:
             for byte, letter in zip(char.encode(), letters.pre_tokenize_str(char)[0][0], strict=True):
                 self.letters[byte] = letter
         self.most_pieces = most_pieces
-        self.forget()
+        self.index: dict[str, int] = {}
+        self.starts, self.sizes, self.ids, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Drops the pieces that no later batch has met again; all, if the others fill half of the room."""
+        again = np.flatnonzero(self.met)
+        if 2 * len(again) > self.most_pieces:
+            again = again[:0]
+        keys = list(self.index)  # in the order of their codes
+        self.index = {keys[k]: code for code, k in enumerate(again.tolist())}
+        sizes = self.sizes[again]
+        self.ids = gathered(self.ids, self.starts[again], sizes)
+        self.starts, self.sizes, self.met = np.cumsum(sizes) - sizes, sizes, np.zeros(len(again), bool)
 
     def _add(self, keys: list[str], starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.index.update(zip(keys, range(len(self.index), len(self.index) + len(keys)), strict=True))
         self.starts = np.concatenate([self.starts, starts + len(self.ids)])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(keys), bool)])
 
     def _encoded(self, key: str) -> list[int]:
         """Ids of a piece; one of letters alone goes to the library's BPE without its search for pieces."""
+        if key.isascii() and key.isalpha():  # most words: their letters stand for themselves
+            return [x.id for x in self.model.tokenize(self.letters[32] + key)]
         text = key[1:] if key[0] == "\0" else key if key == "\n" else " " + key
         if key.isalpha() or text.isalpha():
             spelt = text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(self.letters)
@@ -133,6 +144,7 @@ class TextEncoder:
             self.forget()
         known = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
         fresh = np.flatnonzero(known < 0)
+        self.met[known[known >= 0]] = True
         new = [distinct[k] for k in fresh.tolist()]
         odd = {x for x in new if not x.strip("\0") or self.UNUSUAL.search(x, 1)}
         self.learn([x for x in new if x not in odd] if odd else new)

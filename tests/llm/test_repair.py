@@ -118,3 +118,17 @@ def test_documents_come_back_in_order(spark, awkward, awkward_rows, tmp_path, sh
 def test_an_empty_table(spark, nothing, tmp_path):
     encode_shards(nothing).write.parquet(str(tmp_path / "none"))
     assert document_index(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pieces_met_once_are_dropped():
+    """The table of pieces stays small however many words pass; what comes again stays known, and ids stay right."""
+    encoder, often = TextEncoder(VOCABULARY, most_pieces=400), "common words, met again. "
+    known = []
+    for k in range(12):
+        text = often + " ".join(f"w{k}x{n}é abc{chr(97 + k)}{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(150))
+        before = {"common", "words,", "met"} <= {x.strip("\0") for x in encoder.index}
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == plain_ids(text)
+        known.append(before)
+        assert len(encoder.index) < 400 + 400
+    assert sum(known) >= 10
