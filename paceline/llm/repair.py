@@ -50,6 +50,7 @@ class TextEncoder:
     """
 
     PUNCTUATION = ".,;:!?)"
+    AT_ONCE = 16  # words that are encoded together
     UNUSUAL = re.compile("[\0\t\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str, most_pieces: int = 500_000):
@@ -65,6 +66,17 @@ class TextEncoder:
         for char in map(chr, range(128, 0x800)):
             for byte, letter in zip(char.encode(), letters.pre_tokenize_str(char)[0][0], strict=True):
                 self.letters[byte] = letter
+        # Words of letters are merged together only if no merge crosses a space before a letter and a word is what its merges give.
+        space, back = self.letters[32], {letter: byte for byte, letter in self.letters.items()}
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        inner = []
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.spaced[k] = token[:1] == space
+            if space in token.lstrip(space):
+                inner.append(token)
+        model = self.model
+        odd = getattr(model, "ignore_merges", False) or model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix
+        self.parted = not odd and all(bytes(back.get(c, ord(c)) for c in x).decode(errors="replace").isspace() for x in inner)
         self.most_pieces = most_pieces
         self.index: dict[str, int] = {}
         self.starts, self.sizes, self.ids, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
@@ -88,38 +100,68 @@ class TextEncoder:
 
     def _encoded(self, key: str) -> list[int]:
         """Ids of a piece; one of letters alone goes to the library's BPE without its search for pieces."""
-        if key.isascii() and key.isalpha():  # most words: their letters stand for themselves
-            return [x.id for x in self.model.tokenize(self.letters[32] + key)]
         text = key[1:] if key[0] == "\0" else key if key == "\n" else " " + key
         if key.isalpha() or text.isalpha():
-            spelt = text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(self.letters)
-            return [x.id for x in self.model.tokenize(spelt)]
+            return [x.id for x in self.model.tokenize(self.spelt(text))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def spelt(self, text: str) -> str:
+        """A text of letters and single spaces in the characters that stand for its bytes."""
+        if text.isascii():
+            return text.replace(" ", self.letters[32])
+        return text.encode().decode("latin-1").translate(self.letters)
+
+    def _one_by_one(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self._encoded(key) for key in keys]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _together(self, keys: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of words that follow a space, some at a time: where a token begins with a space, so does a word."""
+        found: list[int] = []
+        for at in range(0, len(keys), self.AT_ONCE):
+            some = keys[at : at + self.AT_ONCE]
+            text = " " + " ".join(some)
+            if letters and self.parted:
+                found += [x.id for x in self.model.tokenize(self.spelt(text))]
+            elif letters or any(x in text for x in self.special):
+                found += chain.from_iterable(map(self._encoded, some))
+            else:
+                found += self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = np.array(found, np.uint32)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(keys):  # a word in which a special token follows its space
+            return self._one_by_one(keys)
+        return ids, np.diff(starts, append=len(ids))
+
     def learn(self, keys: list[str]) -> None:
         """Adds keys: a word with punctuation after it from its two parts, all others by the library.
 
         A key is a word that follows a space, a line break, or NUL and a piece as it stands.
         """
-        index, compound, plain = self.index, [], {}
-        for key in keys:
+        index, others = self.index, [x for x in keys if not x.isalpha()]
+        whole, compound, stems, tails = [], [], [], []
+        for key in others:
             stem = key.rstrip(self.PUNCTUATION)
             if len(stem) < len(key) and stem[-1:].isalnum():
-                tail = "\0" + key[len(stem) :]
-                compound.append((key, stem, tail))
-                plain.update((x, None) for x in (stem, tail) if x not in index)
+                compound.append(key)
+                stems.append(stem)
+                tails.append("\0" + key[len(stem) :])
             else:
-                plain[key] = None
-        found = [self._encoded(key) for key in plain]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        self._add(list(plain), np.cumsum(sizes) - sizes, sizes, ids)
+                whole.append(key)
+        whole += [x for x in dict.fromkeys(chain(stems, dict.fromkeys(tails))) if x not in index]
+        words = list(dict.fromkeys(chain(filter(str.isalpha, keys), filter(str.isalpha, whole))))
+        others = dict.fromkeys(x for x in whole if not x.isalpha())
+        alone = [x for x in others if x[0] == "\0" or x == "\n"]
+        mixed = [x for x in others if x[0] != "\0" and x != "\n"]
+        found = [self._together(words, True), self._together(mixed, False), self._one_by_one(alone)]
+        ids, sizes = (np.concatenate([x[k] for x in found]) for k in range(2))
+        self._add([*words, *mixed, *alone], np.cumsum(sizes) - sizes, sizes, ids)
         if compound:
-            parts = np.array([(index[stem], index[tail]) for _, stem, tail in compound])
+            parts = np.fromiter(map(index.__getitem__, chain(stems, tails)), np.int64, 2 * len(compound)).reshape(2, -1).T
             sizes = self.sizes[parts]
             ids = gathered(self.ids, self.starts[parts.ravel()], sizes.ravel())
             sizes = sizes.sum(axis=1)
-            self._add([x[0] for x in compound], np.cumsum(sizes) - sizes, sizes, ids)
+            self._add(compound, np.cumsum(sizes) - sizes, sizes, ids)
 
     def codes(self, keys: list[str]) -> np.ndarray:
         if len(self.index) > self.most_pieces:
@@ -139,7 +181,7 @@ class TextEncoder:
         marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", " \n \0"), nothing)
         cut = pc.split_pattern(marked, " ")
         offsets, words = cut.offsets.to_numpy() - cut.offsets[0].as_py(), cut.flatten().dictionary_encode()
-        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        distinct, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
         if len(self.index) > self.most_pieces:
             self.forget()
         known = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
@@ -180,10 +222,17 @@ class TextEncoder:
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs ``values[start : start + length]``, one after the other."""
+    """The runs ``values[start : start + length]``, one after the other; made some at a time, so that places stay in the processor's cache."""
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    found = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    shifts, done = starts - (ends - lengths), 0
+    for at in range(0, len(ends), 1 << 15):
+        upto = int(ends[at : at + (1 << 15)][-1])
+        places = np.repeat(shifts[at : at + (1 << 15)], lengths[at : at + (1 << 15)])
+        places += np.arange(done, upto)
+        found[done:upto] = values[places]
+        done = upto
+    return found
 
 
 def grammar(ids: np.ndarray, doc_ends: np.ndarray, base: int, least: int, spread: int = 8):
@@ -296,13 +345,15 @@ class Shard:
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for, each rule being unfolded once however often it occurs there."""
-        rules, which = np.unique(symbols[symbols >= self.base], return_inverse=True)
+        used = np.zeros(self.base + len(self.left), bool)
+        used[symbols] = True
+        rules = self.base + np.flatnonzero(used[self.base :])
         spans = self.spans(rules)
         known = np.concatenate([np.arange(self.base), self.unfolded(rules)]).astype(np.uint32)
-        starts, lengths = symbols.copy(), np.ones(len(symbols), np.int64)
-        starts[symbols >= self.base] = self.base + (np.cumsum(spans) - spans)[which]
-        lengths[symbols >= self.base] = spans[which]
-        return gathered(known, starts, lengths)
+        # Of every symbol, the place and number of its ids in ``known``.
+        starts, lengths = np.arange(len(used)), np.ones(len(used), np.int64)
+        starts[rules], lengths[rules] = self.base + np.cumsum(spans) - spans, spans
+        return gathered(known, starts[symbols], lengths[symbols])
 
     def document(self, n: int, start: int = 0, end: int | None = None) -> np.ndarray:
         """Ids ``start:end`` of the n-th document; only the symbols that cover them are expanded."""

@@ -40,6 +40,33 @@ def test_encoding_of_a_batch_with_nulls():
     assert parts == [*map(plain_ids, ODD), [], plain_ids("plain words. here")]
 
 
+class Counted:
+    """A tokenizer's model that counts its calls."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, text: str):
+        self.calls += 1
+        return self.model.tokenize(text)
+
+
+def test_new_words_are_merged_some_at_a_time():
+    words = [f"{a}{b}é{c}" if c == "x" else f"{a}{b}{c}" for a in ("ba", "co", "Dü", "elle") for b in ("tion", "ß", "men", "日本", "ov") for c in ("a", "x", "ing", "ſ", "que")]
+    texts = [" ".join(words), "x " + " ".join(f"{w}, {w}7 {w}-{w}!" for w in words)]
+    encoder = TextEncoder(VOCABULARY)
+    encoder.model = Counted(encoder.model)
+    ids, sizes = encoder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [*map(plain_ids, texts)]
+    assert encoder.model.calls <= len(words) // 8
+
+
+def test_words_that_do_not_begin_with_their_space_are_encoded_alone():
+    words = ["plain", "<|endoftext|>", "a1", "<|endoftext|>b2", "c<|endoftext|>", "it's", "d4"]
+    ids, sizes = ENCODER._together(words, False)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [plain_ids(f" {x}") for x in words]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab c.'\n\t1é !"), max_size=30), min_size=1, max_size=4))
 def test_encoding_equals_the_tokenizer(texts):
