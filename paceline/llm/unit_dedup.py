@@ -20,7 +20,6 @@ empty table gives an empty table; other columns are ignored; texts of any length
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 from paceline.llm.common import batches_of, free_name, mixed
 from paceline.session import materialise
 
-SENTENCE_END = re.compile(r"[.!?]+(?=\s)|\n")
+# A sentence ends after one of these before white space, and with its line.
+IS_CLOSING, LINE_END = np.array([chr(k) in ".!?" for k in range(128)]), np.uint32(ord("\n"))
 # Fixed values. Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 # Words of a window, and neighbouring windows of which one is chosen at least.
@@ -45,15 +45,15 @@ SENTENCE, CHOSEN = 0, 1 << 40
 MIN_WORDS = 16
 # Letters that are hashed at a time, whatever the length of a text.
 PIECE = 1 << 20
-# Bytes of texts that are cut at a time, and of units handed to Spark at a time.
-IN_BYTES, OUT_BYTES = 1 << 20, 1 << 20
+# Bytes of texts that are cut together, and of units handed to Spark at a time.
+IN_BYTES, OUT_BYTES = 1 << 18, 1 << 20
 UNITS = ["high", "low", "rank", "doc_id", "start", "end", "n_words"]
 
 
 @lru_cache(maxsize=1)
 def letter_kinds() -> np.ndarray:
-    """For every code point: 1 if it is part of a word, 2 if it is a word by itself, else 0."""
-    kinds = np.fromiter((chr(k).isalnum() for k in range(0x110000)), np.uint8, 0x110000)
+    """For every code point: 1 if it is part of a word, 2 if it is a word by itself, 3 if it is white space, else 0."""
+    kinds = np.fromiter((chr(k).isalnum() or 3 * chr(k).isspace() for k in range(0x110000)), np.uint8, 0x110000)
     kinds[ord("_")] = 1
     for first, last in UNSPACED:
         kinds[first : last + 1] = 2
@@ -81,6 +81,12 @@ def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray, powers:
     return mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, letter for letter."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 class UnitCutter:
     """Cuts texts; holds the powers that their hashes need."""
 
@@ -88,13 +94,8 @@ class UnitCutter:
         self.min_words, self.line_words = min_words, min_words if line_words is None else line_words
         self.letters, self.halves = Powers(LETTERS), [Powers(b) for b in HALVES]
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, hashes) of the words of a text in lower case."""
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        letters = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds = letter_kinds()[letters]
+    def words(self, letters: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the words of letters in lower case."""
         inside = np.concatenate([[False], kinds == 1, [False]])
         starts = np.flatnonzero((kinds == 2) | inside[1:-1] & ~inside[:-2])
         ends = np.flatnonzero((kinds == 2) | inside[1:-1] & ~inside[2:]) + 1
@@ -107,43 +108,65 @@ class UnitCutter:
             done = upto
         return starts, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
 
-    def sentences(self, text: str, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(start, end, first word, last word) of sentences of at least ``min_words`` words, and of whole lines."""
+    def sentences(self, letters: np.ndarray, kinds: np.ndarray, text_ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Rows (start, end, first word, last word) of sentences of at least ``min_words`` words, and of whole lines."""
+        before_space = np.flatnonzero(kinds[1:] == 3)
+        closing = (letters == LINE_END).astype(np.uint8)
+        closing[text_ends] = 2
+        closing[before_space[IS_CLOSING[np.minimum(letters[before_space], len(IS_CLOSING) - 1)]]] = 3
+        tails = np.maximum(text_ends - 1, 0)
+        closing[tails[closing[tails] == 3]] = 0  # the text ends there anyway
+        bounds = np.flatnonzero(closing)
+        kind = closing[bounds]
+        bounds += kind != 2  # a text ends before the line break that parts it from the next
         found, held = [], None  # held: a unit that may still get the rest of its line
         start, first, line = 0, 0, True  # line: whether the unit began with its line
-        bounds = [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]
-        for end, last in zip(bounds, np.searchsorted(starts, bounds).tolist(), strict=True):
-            line_ends = end == len(text) or text[end - 1] == "\n"
+        for end, last, what in zip(bounds.tolist(), np.searchsorted(starts, bounds).tolist(), kind.tolist(), strict=True):
             if last - first >= self.min_words:
                 if held:
                     found.append(held)
                 held, start, first, line = (start, end, first, last), end, last, False
-            if line_ends:
+            if what != 3:
                 if held:
                     found.append((held[0], end, held[2], last) if last > held[3] else held)
                 elif line and last - first >= max(self.line_words, 1):
                     found.append((start, end, first, last))
-                held, start, first, line = None, end, last, True
-        return found
-
-    def units(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(high, low, start, end, n_words) of the units of a text: sentences and lines, then windows, which end where the next word starts."""
-        starts, hashes = self.words(text)
-        spans = np.array(self.sentences(text, starts), np.int64).reshape(-1, 4)
-        n = len(starts) - WINDOW + 1
-        at = np.arange(max(n, 0))
-        halves = [run_hashes(hashes, np.concatenate([spans[:, 2], at]), np.concatenate([spans[:, 3], at + WINDOW]), p) for p in self.halves]
-        chosen = np.zeros(0, np.int64)
-        if n >= REACH:
-            chosen = np.unique(np.lib.stride_tricks.sliding_window_view(halves[1][len(spans) :], REACH).argmin(axis=1) + np.arange(n - REACH + 1))
-        after = np.append(starts[1:], len(text))
-        kept = np.concatenate([np.arange(len(spans)), len(spans) + chosen])
-        kind = np.where(kept < len(spans), SENTENCE, CHOSEN).astype(np.uint64)
-        high, low = (mixed(half[kept] + kind).view(np.int64) for half in halves)
-        return (
-            high, low, np.concatenate([spans[:, 0], starts[chosen]]), np.concatenate([spans[:, 1], after[chosen + WINDOW - 1]]),
-            np.concatenate([spans[:, 3] - spans[:, 2], np.full(len(chosen), WINDOW)]),
-        )
+                held, start, first, line = None, end + (what == 2), last, True
+        return np.array(found, np.int64).reshape(-1, 4)
+
+    def units(self, text: str) -> tuple[np.ndarray, ...]:
+        """(high, low, start, end, n_words) of the units of a text."""
+        return self.units_of([text])[1:]
+
+    def units_of(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(number of its text, high, low, start, end, n_words) of the units of texts: sentences and lines, then windows, which end where the next word starts.
+
+        The texts are read as one, with a line break after each; no unit crosses it.
+        """
+        joined = "\n".join([*map(lowered, texts), ""])
+        letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = letter_kinds()[letters]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        text_ends = np.cumsum(sizes + 1) - 1
+        starts, hashes = self.words(letters, kinds)
+        spans = self.sentences(letters, kinds, text_ends, starts)
+        of = np.searchsorted(text_ends, starts)
+        chosen, n = np.zeros(0, np.int64), len(starts) - WINDOW - REACH + 2
+        if n > 0:
+            at = np.arange(n + REACH - 1)
+            least = np.lib.stride_tricks.sliding_window_view(run_hashes(hashes, at, at + WINDOW, self.halves[1]), REACH).argmin(axis=1) + at[:n]
+            # Neighbours of one text only; of equal ones the first.
+            least = least[of[:n] == of[len(of) - n :]]
+            chosen = least[np.diff(least, prepend=-1) > 0]
+        after = np.append(starts[1:], len(joined))
+        first, last = np.concatenate([spans[:, 2], chosen]), np.concatenate([spans[:, 3], chosen + WINDOW])
+        kind = np.repeat(np.array([SENTENCE, CHOSEN], np.uint64), [len(spans), len(chosen)])
+        high, low = (mixed(run_hashes(hashes, first, last, p) + kind).view(np.int64) for p in self.halves)
+        text, ends = of[first], np.concatenate([spans[:, 1], after[chosen + WINDOW - 1]])
+        base = text_ends[text] - sizes[text]
+        start = np.concatenate([spans[:, 0], starts[chosen]])
+        order = np.argsort(text, kind="stable")
+        return tuple(x[order] for x in (text, high, low, start - base, np.minimum(ends, text_ends[text]) - base, last - first))
 
 
 def unit_batches(batches: Iterator[pa.RecordBatch], cutter: UnitCutter) -> Iterator[pa.RecordBatch]:
@@ -152,11 +175,9 @@ def unit_batches(batches: Iterator[pa.RecordBatch], cutter: UnitCutter) -> Itera
     Units take many times the room of their texts, and Spark holds what comes at a time outside its heap, so they come in small batches.
     """
     for batch in (piece for whole in batches for piece in batches_of(whole, IN_BYTES)):
-        found = [cutter.units(text or "") for text in batch["text"].to_pylist()]
-        rows = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-        high, low, *places = ([x[k] for x in found] for k in range(5))
-        columns = [pa.array(np.concatenate(x)) for x in (high, low)] + [batch["rank"].take(rows), batch["doc_id"].take(rows)]
-        yield from batches_of(pa.RecordBatch.from_arrays([*columns, *[pa.array(np.concatenate(x)) for x in places]], UNITS), OUT_BYTES)
+        rows, high, low, *places = map(pa.array, cutter.units_of([text or "" for text in batch["text"].to_pylist()]))
+        columns = [high, low, batch["rank"].take(rows), batch["doc_id"].take(rows), *places]
+        yield from batches_of(pa.RecordBatch.from_arrays(columns, UNITS), OUT_BYTES)
 
 
 def units(docs: DataFrame, rank: Column, min_words: int, line_words: int | None = None) -> DataFrame:

@@ -191,3 +191,15 @@ def test_units_come_in_small_batches():
     cutter = UnitCutter(16)
     counts = [len(cutter.units(text or "")[0]) for text in texts]
     assert [y for x in found for y in x["doc_id"].to_pylist()] == [k for k, n in enumerate(counts) for _ in range(n)]
+
+
+def test_texts_cut_together_have_the_units_of_each(monkeypatch):
+    """Neighbours that end or begin amid a sentence, a line, a run of white space or capitals share nothing."""
+    texts = ["", prose(1, 300), PASSAGE, "", "\n", "A b c. D e f", "g h. İ ΑΣ", "ΑΣ " * 30, "x.", " y z!\n\n", "日本語。 文. 日本. " * 20, prose(2, 40) + ".", "w " * 60]
+    cutter, calls, plain_hashes = UnitCutter(3, 1), [], unit_dedup.run_hashes
+    monkeypatch.setattr(unit_dedup, "run_hashes", lambda *x: calls.append(1) or plain_hashes(*x))
+    batch = pa.record_batch({"rank": pa.array([0] * len(texts), pa.int64()), "doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    found = [tuple(x.values()) for part in unit_batches(iter([batch]), cutter) for x in part.to_pylist()]
+    assert len(calls) < len(texts)
+    each = [(high, low, 0, k, *place) for k, text in enumerate(texts) for high, low, *place in zip(*(x.tolist() for x in cutter.units(text)), strict=True)]
+    assert sorted(found) == sorted(each)
