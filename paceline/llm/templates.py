@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,10 @@ SLOT_NUMBER, SLOT_NAME, SLOT_UNIT = (np.uint64(x << 8) for x in (1, 2, 3))
 OTHER, NAME, MAYBE = (np.uint64(x) for x in (1, 2, 3))
 FILTER_BITS = 22
 PAIRS = "array<struct<item_slots: bigint, slots: bigint>>"
+# Stands between texts that are read together: no text holds it as a word.
+PART = "\n"
+# Bytes of texts that are read together.
+TOGETHER = 1 << 18
 # Stands for the size of windows that are whole lines.
 LINES = 0
 
@@ -81,6 +86,9 @@ class TemplateWords(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
+        if word == PART:
+            found = self[word] = SENTENCE_END | NOTHING
+            return found
         marks, core = 0, word
         if not word.isalpha():
             if word[-1] in ".,;" and word[:-1].isalpha():  # most other words, without regular expressions
@@ -120,8 +128,9 @@ def cut_words(text: str) -> list[str]:
     return cut
 
 
-def _looked_up(cut: list[str], words: TemplateWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed words, marks, whether a capital may be no name) of the words that hold more than punctuation, and of signs beside numbers."""
+def _looked_up(cut: list[str], words: TemplateWords, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(packed words, marks, whether a capital may be no name, number of the text) of the words that hold more than punctuation, and of
+    signs beside numbers; ``of``: the number of the text of each word, if there are several, parted by ``PART``."""
     packed = np.fromiter(map(words.__getitem__, cut), np.uint64, len(cut))
     marks = packed.astype(np.uint8)
     starts = np.concatenate([[True], marks[:-1] & SENTENCE_END > 0])[: len(marks)]
@@ -129,15 +138,17 @@ def _looked_up(cut: list[str], words: TemplateWords) -> tuple[np.ndarray, np.nda
     keep = (marks & NOTHING == 0) & ((marks & SIGNS == 0) | number[:-2] | number[2:])
     sentence = np.cumsum(starts)[keep]
     packed, marks, starts = packed[keep], marks[keep], starts[keep]
+    of = np.zeros(len(packed), np.int64) if of is None else of[keep]
     inside = ~starts
     capitals, all_words = (np.bincount(sentence[x], minlength=int(sentence[-1]) + 1 if len(sentence) else 1) for x in (inside & (marks & CAPITAL > 0), inside))
-    return packed, marks, starts | ((capitals > 1) & (capitals >= MANY_CAPITALS * all_words))[sentence]
+    return packed, marks, starts | ((capitals > 1) & (capitals >= MANY_CAPITALS * all_words))[sentence], of
 
 
-def _slotted(packed: np.ndarray, marks: np.ndarray, starts: np.ndarray, open_names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slotted(packed: np.ndarray, marks: np.ndarray, starts: np.ndarray, of: np.ndarray, open_names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template words, slot values, place of the first word of each); ``open_names``: sentences may start with names."""
     number = marks & NUMERIC > 0
-    unit = (marks & UNIT > 0) & ~number & np.concatenate([[False], number[:-1]])[: len(number)]
+    goes_on = np.concatenate([[False], of[1:] == of[:-1]])[: len(of)]  # a word of the same text stands before
+    unit = (marks & UNIT > 0) & ~number & goes_on & np.concatenate([[False], number[:-1]])[: len(number)]
     name = (marks & CAPITAL > 0) & ~unit
     maybe = name & starts
     if not open_names:
@@ -149,7 +160,7 @@ def _slotted(packed: np.ndarray, marks: np.ndarray, starts: np.ndarray, open_nam
     kinds = np.where(name, np.where(maybe, MAYBE, NAME), np.where(slots > 0, OTHER, np.uint64(0)))
     first = np.arange(len(found))
     if name.any():
-        runs = name & ~maybe & np.concatenate([[False], name[:-1]])  # goes on a name
+        runs = name & ~maybe & goes_on & np.concatenate([[False], name[:-1]])  # goes on a name
         if runs.any():
             first = np.flatnonzero(~runs)
             order = (np.arange(len(slots)) - np.maximum.accumulate(np.where(runs, 0, np.arange(len(slots))))).astype(np.uint64)
@@ -173,54 +184,70 @@ def _hashes_at(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 class Reading:
-    """The windows of a text in both readings of the words that may be names."""
+    """The windows of a text, or of several texts, in both readings of the words that may be names."""
 
-    def __init__(self, text: str, words: TemplateWords):
+    def __init__(self, text: str | list[str], words: TemplateWords):
         self.text, self.words = text, words
-        looked_up = _looked_up(cut_words(text), words)
+        if isinstance(text, str):
+            looked_up = _looked_up(cut_words(text), words)
+        else:
+            cuts = [[*cut_words(x), PART] for x in text]
+            looked_up = _looked_up(list(chain.from_iterable(cuts)), words, np.repeat(np.arange(len(cuts)), [len(x) for x in cuts]))
         self.found, self.slots, first = _slotted(*looked_up, False)
         self.open_found, self.open_slots, self.open_first = _slotted(*looked_up, True)
         signs = looked_up[1] & SIGNS > 0
         self.plain, self.open_plain = (self.slots == 0) & ~signs[first], ~signs[self.open_first]  # no sign is a literal
-        self.place = np.searchsorted(self.open_first, first, "right") - 1
+        # Of every template word, the number of its text, and its place there.
+        self.of, self.open_of = looked_up[3][first], looked_up[3][self.open_first]
+        self.open_place = np.arange(len(self.open_of)) - np.searchsorted(self.open_of, self.open_of)
+        self.place = self.open_place[np.searchsorted(self.open_first, first, "right") - 1]
         self.exact = np.where(self.slots > 0, self.slots & HASH, self.found)
 
     def __len__(self) -> int:
         return len(self.open_found)
 
-    def lines(self, literals: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Lines of fewer than ``literals`` words, hashed as they stand; parts as of ``windows``, all of them exact."""
+    def lines(self, literals: int) -> list[tuple[np.ndarray, ...]]:
+        """Lines of fewer than ``literals`` words, hashed as they stand; parts as of ``parts``, all of them exact."""
         places, hashes, before = [], [], 0
         for line in self.text.split("\n"):
-            packed, _, _ = _looked_up(cut_words(line), self.words)
+            packed, _, _, _ = _looked_up(cut_words(line), self.words)
             if 0 < len(packed) < literals:
                 places.append(min(int(np.searchsorted(self.open_first, before, "right")) - 1, len(self) - 1))
                 hashes.append(_hashes_at((packed & HASH) + np.uint64(1), np.zeros(1, np.int64), len(packed))[0])
             before += len(packed)
         nothing, none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return [(nothing, nothing, none, none), (np.zeros(len(places), np.int64), np.array(places, np.int64), np.array(hashes, np.uint64), none)]
+        zeros = np.zeros(len(places), np.int64)
+        return [(nothing, nothing, nothing, none, none), (zeros, zeros, np.array(places, np.int64), np.array(hashes, np.uint64), none)]
 
     def windows(self, size: int, literals: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(starts, places, hashes, slot values of the text) of literal readings, exact windows and open readings."""
+        return [(at, *rest) for at, _, *rest in self.parts(size, literals)]
+
+    def parts(self, size: int, literals: int) -> list[tuple[np.ndarray, ...]]:
+        """(starts, numbers of their texts, places there, hashes, slot values) of literal readings, exact windows and open readings.
+
+        Lines are those of a single text."""
         if size == LINES:
             return self.lines(literals)
         needed, parts = min(literals, size), []
         if len(self.found) < size:
-            parts += [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), self.slots)] * 2
+            parts += [(*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), self.slots)] * 2
         if len(self.found) >= size:
             plain = np.concatenate([[0], np.cumsum(self.plain)])
             rich = plain[size:] - plain[:-size] < needed
-            at = np.flatnonzero(~rich)
-            parts.append((at, self.place[at], window_hashes(self.found, size)[at], self.slots))
-            at = np.flatnonzero(rich)
-            parts.append((at, self.place[at], _hashes_at(self.exact, at, size), self.slots))
+            whole = self.of[size - 1 :] == self.of[: len(rich)]
+            at = np.flatnonzero(~rich & whole)
+            parts.append((at, self.of[at], self.place[at], window_hashes(self.found, size)[at], self.slots))
+            at = np.flatnonzero(rich & whole)
+            parts.append((at, self.of[at], self.place[at], _hashes_at(self.exact, at, size), self.slots))
         if len(self.open_found) >= size:
             kind = self.open_slots & np.uint64(3)
             maybe = np.concatenate([[0], np.cumsum(kind == MAYBE)])
             plain = np.concatenate([[0], np.cumsum(((kind == 0) | (kind == MAYBE)) & self.open_plain)])
-            at = np.flatnonzero((maybe[size:] > maybe[:-size]) & (plain[size:] - plain[:-size] >= needed))
+            whole = self.open_of[size - 1 :] == self.open_of[: len(self) - size + 1]
+            at = np.flatnonzero((maybe[size:] > maybe[:-size]) & (plain[size:] - plain[:-size] >= needed) & whole)
             if len(at):
-                parts.append((at, at, window_hashes(self.open_found, size)[at], self.open_slots))
+                parts.append((at, self.open_of[at], self.open_place[at], window_hashes(self.open_found, size)[at], self.open_slots))
         return parts
 
 
@@ -228,15 +255,15 @@ def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _listed(parts: list[tuple], size: int, passes: np.ndarray | None = None) -> Iterator[tuple[int, int, int, list[int], bool]]:
-    """(place, size, hash, slot values, whether it is exact) of the windows, or of those whose hash passes the filter."""
-    for number, (at, places, hashes, slots) in enumerate(parts):
+def _listed(parts: list[tuple], size: int, passes: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int, list[int], bool]]:
+    """(number of the text, place, size, hash, slot values, whether it is exact) of the windows, or of those whose hash passes the filter."""
+    for number, (at, of, places, hashes, slots) in enumerate(parts):
         if passes is not None:
             kept = np.flatnonzero(passes[hashes & np.uint64((1 << FILTER_BITS) - 1)])
-            at, places, hashes = at[kept], places[kept], hashes[kept]
-        for p, place, value in zip(at.tolist(), places.tolist(), hashes.view(np.int64).tolist(), strict=True):
+            at, of, places, hashes = at[kept], of[kept], places[kept], hashes[kept]
+        for p, text, place, value in zip(at.tolist(), of.tolist(), places.tolist(), hashes.view(np.int64).tolist(), strict=True):
             filled = slots[p : p + size]
-            yield place, size, value, filled[filled > 0].view(np.int64).tolist(), number == 1
+            yield text, place, size, value, filled[filled > 0].view(np.int64).tolist(), number == 1
 
 
 def item_windows(items: DataFrame, window: int = 8, literals: int = 5) -> DataFrame:
@@ -254,7 +281,7 @@ def item_windows(items: DataFrame, window: int = 8, literals: int = 5) -> DataFr
                 # Items of one template have the same readings.
                 template = xxhash.xxh3_128_digest(reading.found.tobytes() + b"|" + reading.open_found.tobytes())
                 for size in sorted(x if x >= literals else LINES for x in sizes if x):
-                    rows += [(item_id, template, *rest) for rest in _listed(reading.windows(size, literals), size)]
+                    rows += [(item_id, template, *rest) for _, *rest in _listed(reading.parts(size, literals), size)]
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             names = ["item_id", "template", "item_pos", "size", "hash", "item_slots", "exact"]
@@ -291,14 +318,16 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], lite
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, passes = TemplateWords(), np.unpackbits(bitmap).view(bool)
-        for batch in (piece for whole in batches for piece in batches_of(whole)):
+        for batch in (piece for whole in batches for piece in batches_of(whole, TOGETHER)):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if not text:
-                    continue
-                reading = Reading(text, words)
-                for size in sizes:
-                    rows += [(doc_id, *rest[:4]) for rest in _listed(reading.windows(size, literals), size, passes)]
+            doc_ids, texts = batch["doc_id"].to_pylist(), [x or "" for x in batch["text"].to_pylist()]
+            reading = Reading(texts, words)
+            for size in sizes:
+                if size == LINES:
+                    for doc_id, text in zip(doc_ids, texts, strict=True):
+                        rows += [(doc_id, *rest[1:5]) for rest in _listed(Reading(text, words).lines(literals), size, passes)]
+                else:
+                    rows += [(doc_ids[text], *rest) for text, *rest, _ in _listed(reading.parts(size, literals), size, passes)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield _rows([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "pos", "size", "hash", "slots"])

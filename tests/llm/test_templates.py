@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from corpus_rows import prose, row
 
@@ -227,3 +228,15 @@ def test_a_known_word_is_hashed_once(monkeypatch):
     monkeypatch.setattr(T.xxhash, "xxh3_64_intdigest", lambda x: calls.append(x) or digest(x))
     assert {x + end: words[x + end] for x in listed for end in ("", ".", ",")} == apart
     assert len(calls) == len(listed)
+
+
+def test_texts_read_together_have_the_windows_of_each():
+    """Numbers, names, signs and sentences at the end of a text do not reach into the next."""
+    from paceline.llm import templates as T
+
+    texts = ["", "Anna saw 5", "km + 3 at the house of the river bank in town", "", "— Berlin and the house of the river bank in town Paris", "— Oslo = 4", "+ 5 a b c d e f g h", "One."] * 3
+    words, passes = TemplateWords(), np.ones(1 << T.FILTER_BITS, bool)
+    for size in (5, 8):
+        found = list(T._listed(Reading(texts, words).parts(size, 5), size, passes))
+        each = [(k, *rest) for k, text in enumerate(texts) for _, *rest in T._listed(Reading(text, words).parts(size, 5), size, passes)]
+        assert sorted(found) == sorted(each) and found
