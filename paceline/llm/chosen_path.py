@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import HashedWords, batches_of, bitmap, passes, window_hashes
+from paceline.llm.common import HashedWords, batches_of, bitmap, given_back, passes, window_hashes
 from paceline.llm.components import connected_components
 from paceline.session import materialise
 
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, s: PathSettings) -> DataFrame:
                 [batch["doc_id"], pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "set_id", "n", "mins"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, set_id binary, n long, mins array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(given_back(sign), "doc_id long, set_id binary, n long, mins array<long>")
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, s: PathSettings) -> DataFra
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     texts = texts.filter(passes(F.coalesce("doc_id", F.lit(0)), bitmap(wanted.select(F.coalesce("rep", F.lit(0))))))
-    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("set_id", "text").mapInArrow(build, "set_id binary, shingles binary").dropDuplicates(["set_id"])
+    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("set_id", "text").mapInArrow(given_back(build), "set_id binary, shingles binary").dropDuplicates(["set_id"])
 
 
 def shared_counts(sets: list[np.ndarray], split: int, most_columns: int = 1024) -> np.ndarray:
@@ -265,7 +265,7 @@ def hopeful(leaves: DataFrame, classes: DataFrame, s: PathSettings) -> DataFrame
 
     parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "block").select(*keys, "block", "set_id", "mins")
-    return dealt.mapInArrow(check, "path long, set_id binary").distinct()
+    return dealt.mapInArrow(given_back(check), "path long, set_id binary").distinct()
 
 
 def compared(leaves: DataFrame, sets: DataFrame, s: PathSettings) -> DataFrame:
@@ -305,7 +305,7 @@ def compared(leaves: DataFrame, sets: DataFrame, s: PathSettings) -> DataFrame:
             )
 
     parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "block").select(*keys, "block", "set_id", "shingles", "paths").mapInArrow(check, "set_id binary, root binary, links long")
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "block").select(*keys, "block", "set_id", "shingles", "paths").mapInArrow(given_back(check), "set_id binary, root binary, links long")
 
 
 def near_duplicates(docs: DataFrame, settings: PathSettings = PathSettings()) -> DataFrame:  # noqa: B008

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,29 @@ def batches_of(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.
         yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Gives memory that this process has freed, but that its allocators hold on to, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def given_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over the batches of a task, after which its process gives back what it no longer needs.
+
+    Python workers live on from task to task, and stand idle beside later stages that need the executor's memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 class HashedWords(dict):
     """Word -> 64-bit hash of its normal form; looked up far more often than computed.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import batches_of
+from paceline.llm.common import batches_of, given_back
 
 PAD = 256
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -244,7 +244,7 @@ def predict_languages(docs: DataFrame, model: GruLabeller) -> DataFrame:
             )
 
     held_out = F.coalesce(remainder() == 1, F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), held_out, "text").mapInArrow(predict, PREDICTED)
+    return docs.select(F.col("doc_id").cast("long"), held_out, "text").mapInArrow(given_back(predict), PREDICTED)
 
 
 def identify_languages(docs: DataFrame, settings: GruSettings = GruSettings()) -> DataFrame:  # noqa: B008
@@ -260,7 +260,7 @@ def with_language(docs: DataFrame, model: GruLabeller, least_score: float = 0.35
             names, scores = model.predict(batch["text"].to_pylist())
             yield batch.filter(pa.array([x != "und" and y >= least_score for x, y in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(given_back(sift), docs.schema)
 
 
 def label_positions(docs: DataFrame, model: GruLabeller) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import batches_of, whole_text
+from paceline.llm.common import batches_of, given_back, whole_text
 
 MAGIC, HEADER = b"RPG1", struct.Struct("<4s5I")
 SHARDS = "part long, shard long, n_docs long, n_ids long, n_symbols long, n_rules long, blob binary"
@@ -78,6 +78,10 @@ class TextEncoder:
         odd = getattr(model, "ignore_merges", False) or model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix
         self.parted = not odd and all(bytes(back.get(c, ord(c)) for c in x).decode(errors="replace").isspace() for x in inner)
         self.most_pieces = most_pieces
+        self.clear()
+
+    def clear(self) -> None:
+        """Drops all pieces."""
         self.index: dict[str, int] = {}
         self.starts, self.sizes, self.ids, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
 
@@ -390,7 +394,8 @@ def encode_shards(
     """Shards of the documents, in ascending ``doc_id`` order or that of the given columns.
 
     Texts are dealt out by ranges of the order, so that parts and shards count up with it; a task holds
-    one shard (``shard_ids`` ids, or one longer document) at a time.
+    one shard (``shard_ids`` ids, or one longer document) at a time. Distinct pieces are known to their task alone, so that
+    workers hold none of them when it is over.
     """
     keys = order or ["doc_id"]
     tied = F.xxhash64("text")
@@ -415,7 +420,7 @@ def encode_shards(
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names)
 
         names = [x.split()[0] for x in SHARDS.split(", ")]
-        for batch in (piece for whole in batches for piece in batches_of(whole, 8 << 20)):
+        for batch in (piece for whole in batches for piece in batches_of(whole, 2 << 20)):
             flat, sizes = encoder.encode(batch["text"])
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 if held and n_held + len(ids) + 1 > shard_ids:
@@ -425,8 +430,9 @@ def encode_shards(
                 n_held += len(ids) + 1
         if held:
             yield closed()
+        encoder.clear()
 
-    return dealt.mapInArrow(encode, SHARDS)
+    return dealt.mapInArrow(given_back(encode), SHARDS)
 
 
 def decode_shards(shards: DataFrame) -> DataFrame:
@@ -445,7 +451,7 @@ def decode_shards(shards: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
-    return shards.select("part", "shard", "blob").mapInArrow(decode, DECODED)
+    return shards.select("part", "shard", "blob").mapInArrow(given_back(decode), DECODED)
 
 
 def document_index(spark: SparkSession, path: str) -> DataFrame:

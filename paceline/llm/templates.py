@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import batches_of, mixed, window_hashes
+from paceline.llm.common import batches_of, given_back, mixed, window_hashes
 from paceline.session import materialise
 
 # Words that are numbers, and units that may follow a number, in English, German, French and Spanish.
@@ -289,7 +289,7 @@ def item_windows(items: DataFrame, window: int = 8, literals: int = 5) -> DataFr
 
     distinct = items.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     schema = "item_id long, template binary, item_pos long, size long, hash long, item_slots array<long>, exact boolean"
-    listed = materialise(distinct.select("item_id", "text").mapInArrow(cut, schema), "item-windows")
+    listed = materialise(distinct.select("item_id", "text").mapInArrow(given_back(cut), schema), "item-windows")
     # Windows are counted by their place, as one place may have several hashes.
     classes = materialise(
         listed.groupBy("template").agg(
@@ -333,7 +333,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], lite
             yield _rows([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "pos", "size", "hash", "slots"])
 
     schema = "doc_id long, pos long, size long, hash long, slots array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(given_back(cut), schema)
 
 
 def template_matches(docs: DataFrame, items: DataFrame, window: int = 8, literals: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from corpus_rows import prose, row
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -159,3 +160,21 @@ def test_pieces_met_once_are_dropped():
         known.append(before)
         assert len(encoder.index) < 400 + 400
     assert sum(known) >= 10
+
+
+def test_workers_keep_no_pieces(spark, make_docs, tmp_path):
+    """Python workers outlive their tasks: the encoder they keep holds nothing of the texts that it has read."""
+    docs = make_docs([row(k, prose(k, 200)) for k in range(64)])
+    encode_shards(docs).write.parquet(str(tmp_path / "shards"))
+
+    def held(batches):
+        from paceline.llm.repair import _encoder
+
+        found = []
+        for batch in batches:
+            if _encoder.cache_info().currsize:
+                found.append(len(_encoder(VOCABULARY).index))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["n"])
+
+    counts = [r["n"] for r in spark.range(64, numPartitions=32).mapInArrow(held, "n long").collect()]
+    assert counts and set(counts) == {0}
